@@ -240,3 +240,43 @@ WEATHER_CODES = {
     4200: "Light Rain", 4201: "Heavy Rain", 8000: "Thunderstorm",
 }
 EXPLAIN_BASE = 0.312
+
+# ----------------------------------------------------------------------------
+# FIXED VALUES — operations desk tables
+# ----------------------------------------------------------------------------
+RESOURCES = [
+    ("Heavy Tow Truck Alpha", "towing", "Silk Board Depot"),
+    ("Heavy Tow Truck Beta", "towing", "Hebbal Depot"),
+    ("Traffic Patrol Squad A", "police", "Mekhri Circle HQ"),
+    ("Traffic Patrol Squad B", "police", "Koramangala Station"),
+    ("Emergency Pumping Crew", "repair", "BBMP Central Ward"),
+    ("Horticulture Recovery Team", "repair", "KR Puram Depot"),
+    ("Rapid Response Ambulance 1", "medical", "St. John's Hospital"),
+    ("Local Police Escort", "police", "City Center HQ"),
+]
+# resource plan quantities: junction keyword -> scale -> (police, barricades, marshals, emergency)
+RESOURCE_PLAN = [
+    ("Silk Board", {"CRITICAL": (18, 80, 25, 3), "HIGH": (12, 50, 15, 2), "MEDIUM": (8, 30, 8, 1)}),
+    ("Hebbal", {"CRITICAL": (14, 60, 18, 2), "HIGH": (10, 40, 12, 2), "MEDIUM": (6, 20, 6, 1)}),
+    ("KR Puram", {"CRITICAL": (20, 70, 30, 3), "HIGH": (12, 45, 18, 2), "MEDIUM": (8, 25, 10, 1)}),
+    ("", {"CRITICAL": (10, 40, 12, 1), "HIGH": (8, 25, 8, 1), "MEDIUM": (4, 15, 4, 1)}),
+]
+RESOURCE_COST_PER_HOUR = (250, 50, 150, 1000)
+RESOURCE_CAPACITY = (50, 200, 80, 8)
+HIGH_IMPACT_LOCATIONS = ["Silk Board Junction", "Hebbal Flyover Junction", "KR Puram Hanging Bridge"]
+MEDIUM_IMPACT_LOCATIONS = ["Mekhri Circle", "Nagavara ORR Junction", "Mysore Road Toll"]
+MORNING_PEAK_PLACES = ["Hebbal", "KR Puram", "Yeshwanthpur"]
+IMPACT_HOURS = [6, 8, 10, 12, 14, 16, 18, 20, 22, 24]
+LIFECYCLE = [  # status reached -> (seconds after start, log type)
+    ("reported", 0), ("dispatch", 30), ("scene", 180), ("resolved", 600),
+]
+RECOMMENDATIONS = {
+    "crowd_high": "Deploy 12+ Traffic Officers & 4 Rapid Response units to {loc}.",
+    "crowd_mid": "Deploy 6-8 Traffic Officers for manual junction control at {loc}.",
+    "crowd_low": "Assign 2-3 Traffic Patrol units for monitoring.",
+    "delay_high": "Implement regional diversions 3km prior to {loc}. Hold Heavy Goods Vehicles (HGVs) on outer corridors.",
+    "delay_mid": "Broadcast advisory on local radio and VMS (Variable Message Signs) to bypass {loc}.",
+    "rain": "Clear catch basins and activate storm pumps at low points. Expect speed reduction of 40% across corridor lanes.",
+    "fog": "Activate overhead high-visibility fog lighting. Restrict overtaking actions on high-speed flyovers.",
+}
+WEATHER_STATES = ["Clear", "Rainy", "Heavy Rain", "Foggy", "Stormy"]

@@ -4,8 +4,8 @@
 each partition, numbers rows with ``monotonically_increasing_id`` (partition
 index in the high bits, in-partition ordinal in the low bits), and adds a
 per-(partition, group) offset computed from a tiny count table
-(#partitions x #groups rows, broadcast).  Both branches read the same range
-exchange (Spark reuses it), so counts and rows agree.  A unique tiebreak is
+(#partitions x #groups rows, broadcast).  The numbered rows are checkpointed
+once, so counts and rows come from the same materialisation.  A unique tiebreak is
 added before the shuffle so that a hot value (say a third of all rows) is split
 across partitions instead of landing in one task.
 """
@@ -26,20 +26,29 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
 
 def global_positions(df: DataFrame, order_cols: list, group_cols: list[str] = (), out: str = "pos",
                      num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in ``order_cols`` order (within ``group_cols``)."""
+    """0-based position of each row in ``order_cols`` order (within ``group_cols``).
+
+    The range-sorted rows are numbered once and cut with a reliable ``checkpoint()``
+    (shared folder named by ``spark.checkpoint.dir``); counts and positions are both
+    read from that single materialisation, so they agree even if adaptive re-planning
+    or a lost executor would recompute the upstream plan differently.
+    """
+    from roadlens.session import ensure_checkpoint_dir
     group_cols = list(group_cols)
     n = _num_partitions(df, num_partitions)
     tagged = df.withColumn("__tb", F.monotonically_increasing_id())
     keys = [*group_cols, *order_cols, "__tb"]
-    rp = (tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-          .withColumn("__pid", F.spark_partition_id())
-          .withColumn("__mid", F.monotonically_increasing_id()))
-    stats = rp.groupBy("__pid", *group_cols).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__m0"))
+    ensure_checkpoint_dir(df.sparkSession)
+    numbered = (tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                .withColumn("__pid", F.spark_partition_id())
+                .withColumn("__mid", F.monotonically_increasing_id())
+                .checkpoint(eager=True))
+    stats = numbered.groupBy("__pid", *group_cols).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__m0"))
     before = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1) \
         if group_cols else Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.select("__pid", *group_cols, "__m0",
                          F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    joined = rp.join(F.broadcast(stats), ["__pid", *group_cols], "inner")
+    joined = numbered.join(F.broadcast(stats), ["__pid", *group_cols], "inner")
     return joined.select(*df.columns, (F.col("__off") + F.col("__mid") - F.col("__m0")).alias(out))
 
 

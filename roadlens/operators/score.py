@@ -124,3 +124,146 @@ def explained(df: DataFrame, cause="event_cause", lat="latitude", lon="longitude
 
 def direction(v) -> Column:
     return F.when(col(v) > 0, "increase").when(col(v) < 0, "decrease").otherwise("neutral")
+
+
+# ---------------------------------------------------------------- event planning rules (SCR-08..18)
+
+def event_risk_score(crowd, duration_min, location, weather) -> Column:
+    """SCR-08: crowd + duration + location + weather points, capped at 100."""
+    from roadlens.constants import HIGH_IMPACT_LOCATIONS, MEDIUM_IMPACT_LOCATIONS
+    c, d = col(crowd), col(duration_min)
+    crowd_pts = first_match([(c >= 50000, 40), (c >= 30000, 30), (c >= 15000, 20), (c >= 5000, 10)], 5)
+    dur_pts = first_match([(d >= 240, 20), (d >= 150, 15), (d >= 90, 10)], 5)
+    loc_pts = first_match([(col(location).isin(HIGH_IMPACT_LOCATIONS), 25),
+                           (col(location).isin(MEDIUM_IMPACT_LOCATIONS), 15)], 10)
+    w_pts = first_match([(col(weather).isin("Stormy", "Heavy Rain"), 15), (col(weather).isin("Rainy", "Foggy"), 10)], 2)
+    return F.least(F.lit(100), crowd_pts + dur_pts + loc_pts + w_pts)
+
+
+def js_round(c) -> Column:
+    """JavaScript Math.round: half toward +infinity."""
+    return F.floor(col(c) + F.lit(0.5)).cast("long")
+
+
+def event_forecast(risk, duration_h, crowd) -> list[Column]:
+    """SCR-09: congestion level 75/50/30, traffic increase %, delay, peak hour, event type."""
+    r = col(risk)
+    return [first_match([(r >= 75, "CRITICAL"), (r >= 50, "HIGH"), (r >= 30, "MEDIUM")], "LOW").alias("congestion_level"),
+            js_round(r * F.lit(0.9)).alias("traffic_increase_pct"),
+            js_round(r * F.lit(0.5)).alias("expected_delay_mins"),
+            (F.lit(16) + js_round(col(duration_h) / F.lit(2.0))).alias("peak_hour"),
+            F.when(col(crowd) > 25000, "Mega Public Gathering").otherwise("Public Event").alias("event_type")]
+
+
+def hourly_impact(df: DataFrame, start_h, end_h, peak_h, increase, location, key="id") -> DataFrame:
+    """SCR-10: baseline by hour class + triangular event impact (wrap at midnight), cap 99.
+
+    One row per (key, hour) via a fixed 10-element explode (bounded fan-out)."""
+    from roadlens.constants import IMPACT_HOURS, MORNING_PEAK_PLACES
+    ex = df.select(key, col(start_h).alias("s"), col(end_h).alias("e"), col(peak_h).alias("p"),
+                   col(increase).alias("inc"), contains_any(col(location), MORNING_PEAK_PLACES).alias("mp"),
+                   F.explode(F.array(*[F.lit(h) for h in IMPACT_HOURS])).alias("hour"))
+    h = F.col("hour")
+    base = first_match([(h.isin(8, 10), F.when(F.col("mp"), 75).otherwise(60)),
+                        (h.isin(18, 20), F.when(F.col("mp"), 65).otherwise(82)),
+                        (h.isin(12, 14, 16), F.lit(45)), (h == 22, F.lit(35))], 15)
+    active = F.when(F.col("e") >= F.col("s"), (h >= F.col("s")) & (h <= F.col("e"))) \
+        .otherwise((h >= F.col("s")) | (h <= F.col("e")))
+    dpk = F.abs(h - F.col("p"))
+    dpk = F.when(dpk > 12, F.lit(24) - dpk).otherwise(dpk)
+    factor = F.greatest(F.lit(0.0), F.lit(1.0) - dpk / F.lit(3.5))
+    ds, de = F.abs(h - F.col("s")), F.abs(h - F.col("e"))
+    inactive = first_match([(ds < 2, js_round(F.col("inc") * F.lit(0.3) * (F.lit(1.0) - ds / F.lit(2.0)))),
+                            (de < 2, js_round(F.col("inc") * F.lit(0.4) * (F.lit(1.0) - de / F.lit(2.0))))], 0)
+    impact = F.when(active, js_round(F.col("inc") * factor)).otherwise(inactive)
+    return ex.select(key, "hour", base.alias("baseline"), F.least(base + impact, F.lit(99)).alias("predicted"))
+
+
+def resource_plan(junction, crowd, hours) -> list[Column]:
+    """SCR-11: quantities by junction family x crowd scale, total cost x hours, utilisation %."""
+    from roadlens.constants import RESOURCE_CAPACITY, RESOURCE_COST_PER_HOUR, RESOURCE_PLAN
+    c = col(crowd)
+    scale = first_match([(c > 25000, "CRITICAL"), (c > 12000, "HIGH")], "MEDIUM")
+    qty = []
+    for item in range(4):
+        rules = []
+        for kw, table in RESOURCE_PLAN:
+            pick = first_match([(scale == s, v[item]) for s, v in table.items()], 0)
+            rules.append((F.contains(col(junction), F.lit(kw)) if kw else F.lit(True), pick))
+        qty.append(first_match(rules, 0))
+    cost = sum((q * F.lit(cph) for q, cph in zip(qty, RESOURCE_COST_PER_HOUR)), F.lit(0)) * col(hours)
+    util = js_round(sum((q / F.lit(float(cap)) for q, cap in zip(qty, RESOURCE_CAPACITY)), F.lit(0.0))
+                    / F.lit(4.0) * F.lit(100.0))
+    return [scale.alias("scale"), qty[0].alias("police"), qty[1].alias("barricades"), qty[2].alias("marshals"),
+            qty[3].alias("emergency"), cost.alias("total_cost"), util.alias("utilization")]
+
+
+def recommendations(location, crowd, weather, delay) -> Column:
+    """SCR-12: rule recommendations as an array (NULLs compacted away)."""
+    from roadlens.constants import RECOMMENDATIONS as R
+    c, d, w = col(crowd), col(delay), col(weather)
+
+    def fmt(t):
+        parts = t.split("{loc}")
+        return F.concat(*[x for p in parts for x in (F.lit(p), col(location))][:-1]) if len(parts) > 1 else F.lit(t)
+    return F.array_compact(F.array(
+        first_match([(c > 30000, fmt(R["crowd_high"])), (c > 10000, fmt(R["crowd_mid"]))], fmt(R["crowd_low"])),
+        F.when(d > 45, fmt(R["delay_high"])).when(d > 20, fmt(R["delay_mid"])),
+        F.when(w.isin("Rainy", "Heavy Rain"), F.lit(R["rain"])).when(w == "Foggy", F.lit(R["fog"]))))
+
+
+def arrival_estimate(km, risk_level) -> Column:
+    """SCR-13: round(max(5, round(km*8)) * priority factor)."""
+    base = F.greatest(F.lit(5), js_round(col(km) * F.lit(8.0)))
+    factor = first_match([(col(risk_level) == "CRITICAL", 0.7), (col(risk_level) == "HIGH", 0.9),
+                          (col(risk_level) == "MEDIUM", 1.2)], 1.5)
+    return js_round(base * factor)
+
+
+def traffic_mix(active_count) -> list[Column]:
+    """SCR-15: smooth/heavy/moderate shares from the active incident count."""
+    n = col(active_count)
+    smooth = F.greatest(F.lit(50.0), F.lit(85.0) - n * F.lit(2.5))
+    heavy = F.least(F.lit(25.0), F.lit(5.0) + n * F.lit(1.5))
+    return [smooth.alias("smooth_pct"), heavy.alias("heavy_pct"), (F.lit(100.0) - smooth - heavy).alias("moderate_pct")]
+
+
+def weather_delay(rain) -> Column:
+    """SCR-15: round(5 + 1.2 * rainfall)."""
+    return js_round(F.lit(5.0) + F.coalesce(col(rain), F.lit(0.0)) * F.lit(1.2))
+
+
+def camera_delay(density, queue) -> Column:
+    """SCR-16: queue / {10, 18, 30} by density, else '< 2 min'."""
+    d, q = col(density), col(queue)
+    return first_match([(d == "JAMMED", F.concat(js_round(q / F.lit(10.0)).cast("string"), F.lit(" min"))),
+                        (d == "HEAVY", F.concat(js_round(q / F.lit(18.0)).cast("string"), F.lit(" min"))),
+                        (d == "MODERATE", F.concat(js_round(q / F.lit(30.0)).cast("string"), F.lit(" min")))],
+                       "< 2 min")
+
+
+def incident_status(raw_status, priority, closure, prob, cause) -> list[Column]:
+    """SCR-17: risk level from priority (+ closure upgrade), status from raw status and
+    probability, congestion score from cause + probability (+10 when CRITICAL), 1 dp."""
+    pr = F.upper(F.coalesce(col(priority), F.lit("Low")))
+    risk = first_match([(pr == "HIGH", "HIGH"), (pr == "MEDIUM", "MEDIUM"), (pr == "CRITICAL", "CRITICAL")], "LOW")
+    risk = F.when((col(closure) == 1) & risk.isin("LOW", "MEDIUM"), F.lit("HIGH")).otherwise(risk)
+    status = first_match([(col(raw_status).isin("closed", "resolved"), "RESOLVED"), (col(prob) > 0.70, "ON_SCENE"),
+                          (col(prob) > 0.40, "DISPATCHED")], "PENDING")
+    lc = F.lower(F.coalesce(col(cause), F.lit("others")))
+    base = first_match([(lc.isin("accident", "flooding"), 75), (lc.isin("breakdown", "construction", "tree_fall"), 55),
+                        (lc.isin("pot_holes", "road_conditions", "congestion"), 40)], 30)
+    score = F.least(F.lit(100.0), base + col(prob) * F.lit(20.0) + F.when(risk == "CRITICAL", 10.0).otherwise(0.0))
+    return [risk.alias("risk_level"), status.alias("status"), np_round(score, 1).alias("congestion_score")]
+
+
+def diversion_benefit(crowd, delay, score) -> list[Column]:
+    """SCR-18: reduction 55/45/35 % by crowd, minutes saved; per-location saved minutes,
+    reduction and redirected flow from the base score."""
+    c = col(crowd)
+    pct = first_match([(c > 25000, 55), (c > 12000, 45)], 35)
+    s = col(score) - F.lit(40)
+    return [pct.alias("reduction_pct"), js_round(F.coalesce(col(delay), F.lit(45)) * pct / F.lit(100.0)).alias("time_saved_min"),
+            (F.lit(15) + F.floor(s * F.lit(0.4))).cast("long").alias("traffic_saved_min"),
+            (F.lit(25) + F.floor(s * F.lit(0.3))).cast("long").alias("reduction_percent"),
+            (F.lit(1500) + F.floor(s * F.lit(80))).cast("long").alias("flow_count")]

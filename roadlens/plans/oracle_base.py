@@ -8,7 +8,9 @@ from roadlens.sources.tables import (
 )
 
 
-def q(s: str) -> str:
+def q(s) -> str:
+    if isinstance(s, (int, float)) and not isinstance(s, bool):
+        return repr(s)
     return "'" + s.replace("'", "''") + "'"
 
 

@@ -111,3 +111,29 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (lab.join(docs, "doc_id", "inner")
             .select(F.col("doc_id").alias("id"), F.col("quality").alias("label"),
                     (F.col("n_chars").cast("double") / (F.col("n_chars") + F.lit(2000.0))).alias("score")))
+
+
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera readings bound to ``events`` (6 cameras by user): status, density, queue,
+    vehicle count, uptime, incident."""
+    ev = read_table(spark, sf_dir, "events")
+    v = F.col("value")
+    return ev.select(
+        ((F.col("user_id") % 6) + 1).alias("camera_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+        F.when((F.col("event_type") == "error") & (v > 200), "OFFLINE").otherwise("ONLINE").alias("status"),
+        F.when(v > 300, "JAMMED").when(v > 150, "HEAVY").when(v > 60, "MODERATE").otherwise("LOW").alias("density"),
+        (v * F.lit(2.0)).alias("queue_length_m"), F.floor(v * 3).cast("int").alias("vehicle_count"),
+        (F.lit(100.0) - (F.col("event_id") % 50).cast("double") / F.lit(10.0)).alias("uptime_pct"),
+        F.when(v > 250, "Congestion").otherwise("None").alias("incident"))
+
+
+def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly rainfall bound to ``view`` events (value over 100 -> value / 20 mm) and a
+    weather code cycling through the code table by hour."""
+    from roadlens.constants import WEATHER_CODES
+    ev = read_table(spark, sf_dir, "events").filter((F.col("event_type") == "view") & F.col("ts").isNotNull())
+    hr = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    w = ev.groupBy(hr.alias("hr")).agg(F.avg(F.when(F.col("value") > 100, F.col("value") / F.lit(20.0))
+                                             .otherwise(F.lit(0.0))).alias("rain_mm"))
+    codes = list(WEATHER_CODES) + [9999]
+    return w.select("hr", "rain_mm", pick((F.unix_seconds("hr") / 3600).cast("long") % 13, codes).alias("code"))
