@@ -280,3 +280,43 @@ RECOMMENDATIONS = {
     "fog": "Activate overhead high-visibility fog lighting. Restrict overtaking actions on high-speed flyovers.",
 }
 WEATHER_STATES = ["Clear", "Rainy", "Heavy Rain", "Foggy", "Stormy"]
+
+# ----------------------------------------------------------------------------
+# FIXED VALUES — feature category by name prefix (first match in this order, else Other)
+# ----------------------------------------------------------------------------
+FEATURE_CATEGORIES = [
+    ("hour", "Temporal"), ("dow", "Temporal"), ("month", "Temporal"),
+    ("is_weekend", "Temporal"), ("is_morning_peak", "Temporal"), ("is_night_peak", "Temporal"),
+    ("is_daytime_ban", "Temporal"), ("is_transition", "Temporal"), ("is_pre_dawn", "Temporal"),
+    ("hour_bin", "Temporal"), ("hour_quadrant", "Temporal"), ("quarter", "Temporal"),
+    ("days_since", "Temporal"), ("time_since_midnight", "Temporal"),
+    ("sin_hour_fine", "Temporal"), ("cos_hour_fine", "Temporal"),
+    ("cause", "Event"), ("event_type", "Event"), ("veh_type", "Event"),
+    ("is_planned", "Event"), ("is_heavy", "Event"), ("is_public", "Event"),
+    ("is_infrastructure", "Event"), ("is_obstruction", "Event"), ("is_vehicle", "Event"),
+    ("is_social", "Event"), ("is_environmental", "Event"), ("is_high_closure", "Event"),
+    ("corridor", "Congestion"), ("is_arterial", "Congestion"), ("is_non_corridor", "Congestion"),
+    ("is_cbd", "Congestion"), ("is_peak_congestion", "Congestion"),
+    ("hour_corridor", "Congestion"), ("hour_bin_system", "Congestion"),
+    ("vehicles_per", "Congestion"), ("police_station", "Congestion"),
+    ("zone", "Zone"), ("gba", "Zone"), ("is_high_risk_zone", "Zone"), ("is_unknown_zone", "Zone"),
+    ("junction", "Junction"),
+    ("closure_risk", "RoadClosure"), ("hour_closure", "RoadClosure"),
+    ("lat", "Geospatial"), ("lon", "Geospatial"), ("dist_to", "Geospatial"),
+    ("radial_band", "Geospatial"), ("lat_lon", "Geospatial"),
+    ("spatial_grid", "Geospatial"), ("coord_out", "Geospatial"),
+    ("is_radial", "Route"), ("is_orbital", "Route"),
+    ("corridor_cluster", "Route"), ("corridor_length", "Route"),
+    ("cause_x", "Interaction"), ("heavy_x", "Interaction"),
+    ("obstruction_x", "Interaction"), ("social_x", "Interaction"),
+    ("zone_risk_x", "Interaction"), ("dist_centre_x", "Interaction"),
+    ("corridor_x", "Interaction"), ("junction_x", "Interaction"),
+    ("corridor_zone", "GroupStat"), ("hour_cause", "GroupStat"),
+    ("zone_cause", "GroupStat"), ("police_hour", "GroupStat"),
+    ("rolling", "Rolling"), ("events_same", "Rolling"),
+    ("description", "Text"), ("address", "Text"),
+    ("if_anomaly", "Anomaly"), ("authenticated", "Other"),
+    ("start_dt_parse", "Other"), ("veh_type_was", "Missing"),
+    ("zone_was", "Missing"), ("junction_was", "Missing"),
+    ("corridor_was", "Missing"), ("gba_identifier_was", "Missing"),
+]

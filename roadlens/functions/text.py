@@ -78,9 +78,9 @@ def junction_zone(junction) -> Column:
 
 
 def name_category(name, prefixes) -> Column:
-    """TXT-10: category of the first matching prefix (order matters)."""
-    n = col(name)
-    return first_match([(n.startswith(p), cat) for p, cat in prefixes], "Other")
+    """TXT-10: category of the first matching prefix (order matters, case-insensitive)."""
+    n = F.lower(col(name))
+    return first_match([(n.startswith(p.lower()), cat) for p, cat in prefixes], "Other")
 
 
 def missing_text(c) -> Column:
