@@ -56,7 +56,11 @@ def pick(idx: Column, values: list) -> Column:
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incident fact table bound to ``events`` (one row per event)."""
-    ev = read_table(spark, sf_dir, "events")
+    return incidents_from(read_table(spark, sf_dir, "events"))
+
+
+def incidents_from(ev: DataFrame) -> DataFrame:
+    """The incident projection over any ``events``-shaped frame (batch or streaming)."""
     eid, uid = F.col("event_id"), F.col("user_id")
     ts = F.when(eid % 71 == 0, F.lit(None)).otherwise(F.col("ts").cast("timestamp"))
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
