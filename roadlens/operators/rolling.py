@@ -7,7 +7,8 @@ timestamps collapse) is replicated to buckets b and b+1; query rows live in
 their own bucket; a RANGE frame ``[-w, -1]`` micros over (partition key, bucket)
 sums the training counts.  Every training instant that can fall in a query's
 window is in the query's bucket partition, so the answer is exact; work is
-linear in rows, and a partition holds at most two windows' worth of data.
+linear in rows, and a partition holds at most two windows' worth of data.  Several
+widths share one shuffle; fact rows carry their columns through the window.
 """
 
 from __future__ import annotations
@@ -20,26 +21,38 @@ from roadlens.operators import rates
 HOUR_US = 3600 * 1_000_000
 
 
-def window_counts(df: DataFrame, train: DataFrame, hours: int, ts: str = "ts", key: str = "id",
-                  by: list[str] = (), out: str | None = None) -> DataFrame:
-    """Per row of ``df``: number of ``train`` rows with time in [ts - w, ts) (same ``by`` keys)."""
+def window_counts(df: DataFrame, train: DataFrame, hours, ts: str = "ts", key: str = "id",
+                  by: list[str] = (), out=None) -> DataFrame:
+    """Per row of ``df``: number of ``train`` rows with time in [ts - w, ts) (same ``by`` keys),
+    for one width or several (``hours`` int or list; ``out`` name or list of names).
+
+    One shuffle for all widths: buckets use the widest window, every width is its own
+    RANGE frame over the same (key, bucket) partitions, and the fact rows carry their
+    columns through the window (no join back).  Rows without a timestamp (or with a
+    NULL ``by`` key) count 0."""
     by = list(by)
-    w = hours * HOUR_US
-    out = out or f"rolling_{hours}h_system_count"
+    hours_l = list(hours) if isinstance(hours, (list, tuple)) else [hours]
+    outs = (list(out) if isinstance(out, (list, tuple)) else [out]) if out else \
+        [f"rolling_{h}h_system_count" for h in hours_l]
+    wmax = max(hours_l) * HOUR_US
     us = F.unix_micros(F.col(ts))
-    tr = (train.filter(F.col(ts).isNotNull()).select(*by, us.alias("__us"))
+    keys_ok = F.lit(True)
+    for b in by:
+        keys_ok = keys_ok & F.col(b).isNotNull()
+    tr = (train.filter(F.col(ts).isNotNull() & keys_ok).select(*by, us.alias("__us"))
           .groupBy(*by, "__us").agg(F.count(F.lit(1)).alias("__w")))
-    tr = tr.select(*by, "__us", "__w", F.explode(F.array(F.floor(F.col("__us") / w), F.floor(F.col("__us") / w) + 1))
-                   .alias("__b"), F.lit(None).cast("long").alias(key))
-    q = (df.filter(F.col(ts).isNotNull()).select(*by, us.alias("__us"), F.lit(0).cast("long").alias("__w"),
-                                                 F.floor(us / w).alias("__b"), F.col(key)))
-    u = tr.unionByName(q)
-    frame = Window.partitionBy(*by, "__b").orderBy("__us").rangeBetween(-w, -1)
-    counted = u.withColumn("__c", F.coalesce(F.sum("__w").over(frame), F.lit(0))).filter(F.col(key).isNotNull())
-    res = counted.select(F.col(key).alias("__id"), F.col("__c").cast("long").alias(out))
-    # rows without a timestamp count 0
-    return (df.join(res, df[key] == res["__id"], "left")
-            .select(*df.columns, F.coalesce(F.col(out), F.lit(0)).alias(out)))
+    tr = tr.select(*by, "__us", "__w", F.lit(False).alias("__q"),
+                   F.explode(F.array(F.floor(F.col("__us") / wmax), F.floor(F.col("__us") / wmax) + 1)).alias("__b"))
+    live = F.col(ts).isNotNull() & keys_ok
+    q = df.filter(live).select(*df.columns, us.alias("__us"), F.lit(0).cast("long").alias("__w"),
+                               F.lit(True).alias("__q"), F.floor(us / wmax).alias("__b"))
+    u = q.unionByName(tr, allowMissingColumns=True)
+    base = Window.partitionBy(*by, "__b").orderBy("__us")
+    counts = [F.coalesce(F.sum("__w").over(base.rangeBetween(-h * HOUR_US, -1)), F.lit(0)).cast("long").alias(o)
+              for h, o in zip(hours_l, outs)]
+    res = u.select(*df.columns, "__q", *counts).filter(F.col("__q")).drop("__q")
+    rest = df.filter(~live | F.col(ts).isNull()).select(*df.columns, *[F.lit(0).cast("long").alias(o) for o in outs])
+    return res.unionByName(rest)
 
 
 def same_day_counts(df: DataFrame, train: DataFrame, ts: str = "ts", by: list[str] = (),

@@ -2,7 +2,7 @@
 
 incidents -> clean flags (CLN-03/04) -> constant imputation (IMP-02) -> hour, hour
 bin (DTM-02/05) -> fit on training rows: zone rate (GRP-07), corridor rate
-(GRP-01), hourly rate (GRP-11) -> cause severity (EVT-01) -> composite (INT-02)
+(GRP-01), hourly rate (GRP-11) in ONE statistics pass -> cause severity (EVT-01) -> composite (INT-02)
 -> per-zone KPIs (AGG-01), top 10 by mean composite risk.
 
 Plan shape: one scan of ``events`` (pruned to the columns used) feeds three
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from roadlens.constants import CAUSE_SEVERITY, JUNCTIONS
 from roadlens.functions.common import np_round
-from roadlens.operators import clean, events, rates
+from roadlens.operators import clean, events, rates, statsbank
 from roadlens.operators import features as feat
 from roadlens.plans import oracle_base as O
 from roadlens.sources.tables import incidents
@@ -35,11 +35,26 @@ def scored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
                       clean.ts_parse_flag("start_datetime").alias("datetime_parse_failed"))
     ctx = feat.prepare_context(base)
     train = ctx.filter(F.col("is_train"))
-    prior = rates.global_mean(train, TARGET)
+    bank = statsbank.fit_bank(train, {"zone": ["zone"], "corridor": ["corridor"], "hour": ["hour"]},
+                              {"y": F.col(TARGET).cast("double")})
+    n_all = sum(v["n"] for v in bank["hour"].mapping.values()) if bank["hour"].mapping is not None else train.count()
+    prior = (sum(v["y"] for v in bank["hour"].mapping.values()) / n_all) if bank["hour"].mapping is not None \
+        else rates.global_mean(train, TARGET)
+
+    def smooth(alpha, min_count=0):
+        def fn(v):
+            return prior if v["n"] < min_count else (v["n"] * (v["y"] / v["n"]) + alpha * prior) / (v["n"] + alpha)
+        sm = (F.col("n") * (F.col("y") / F.col("n")) + F.lit(alpha * prior)) / (F.col("n") + F.lit(float(alpha)))
+        return fn, (F.when(F.col("n") < min_count, F.lit(prior)).otherwise(sm) if min_count else sm)
+
     df = ctx.select("*", *events.cause_scores())
-    df = feat.rate_feature(df, train, ["zone"], TARGET, "zone_risk_score", 10, prior)
-    df = feat.corridor_risk(df, train, TARGET, prior)
-    df = feat.hour_rate(df, train, TARGET, prior)
+    df = statsbank.apply(df, bank["zone"], {"__z": smooth(10)})
+    df = statsbank.apply(df, bank["corridor"], {"__c": smooth(20, 20)})
+    df = statsbank.apply(df, bank["hour"], {"__h": ((lambda v: v["y"] / v["n"]), F.col("y") / F.col("n"))})
+    df = df.select(*ctx.columns, "cause_severity_score", "cause_priority_score",
+                   np_round(F.coalesce("__z", F.lit(prior)), 4).alias("zone_risk_score"),
+                   np_round(F.coalesce("__c", F.lit(prior)), 4).alias("corridor_risk_score"),
+                   F.coalesce("__h", F.lit(prior)).alias("hour_closure_rate_raw"))
     return df.withColumn("closure_risk_composite", feat.composite_risk())
 
 

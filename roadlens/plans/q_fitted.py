@@ -332,9 +332,7 @@ def _roll_sql(hours, by=()):
     f"CASE WHEN p.ts IS NULL THEN 0 ELSE {_roll_sql(6)} END AS rolling_6h_system_count FROM prep p"))
 def rol_01(spark, sf):
     ctx, tr, _ = _ctx(spark, sf)
-    df = ctx.select("id", "ts")
-    df = rolling.window_counts(df, tr, 3)
-    df = rolling.window_counts(df, tr, 6)
+    df = rolling.window_counts(ctx.select("id", "ts"), tr, [3, 6])
     return df.select("id", "rolling_3h_system_count", "rolling_6h_system_count")
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from roadlens.constants import CAUSE_CATEGORY, CAUSE_PRIORITY, CAUSE_SEVERITY, VEHICLE_RISK
 from roadlens.functions import geo, temporal
-from roadlens.functions.common import np_round
-from roadlens.operators import events, rates, rolling
+from roadlens.functions.common import flag, np_round
+from roadlens.operators import events, rates, rolling, statsbank
 from roadlens.operators import features as feat
 from roadlens.plans import oracle_base as O
 from roadlens.sources.tables import incidents
@@ -45,27 +45,89 @@ def assemble_frame(ctx: DataFrame, train: DataFrame, prior: float) -> DataFrame:
                  *events.route_features(), *geo.city_distances(), *geo.grid_cells(),
                  geo.lat_lon_product().alias("lat_lon_product"))
     e = e.withColumn("radial_band", geo.radial_band("dist_to_city_centre"))
-    tr = train.select(*_TRAIN_COLS).persist(StorageLevel.MEMORY_AND_DISK)
-    x = feat.corridor_risk(e, tr, T, prior)
-    x = feat.corridor_density(x, tr)
-    x = feat.corridor_vehicle_share(x, tr)
-    x = feat.hour_corridor_density(x, tr)
-    x = feat.hour_bin_load(x, tr)
-    x = feat.police_risk(x, tr, T, prior)
-    x = feat.zone_features(x, tr, T, prior)
-    x = feat.gba_risk(x, tr, T, prior)
-    x = feat.junction_features(x, tr, T, prior)
-    x = feat.hour_rate(x, tr, T, prior)
-    x = x.withColumn("hour_closure_risk", np_round("hour_closure_rate_raw", 4))
-    x = x.withColumn("closure_risk_composite", feat.composite_risk())
+    tr = train.select(*_TRAIN_COLS, F.to_date("ts").cast("string").alias("__date")).persist(StorageLevel.MEMORY_AND_DISK)
+    e = e.withColumn("__date", F.to_date("ts").cast("string"))
+    x = apply_bank(e, tr, prior)
     x = feat.interactions(x, prior)
-    x = feat.pair_rates(x, tr, T, prior)
-    x = rolling.window_counts(x, tr, 3)
-    x = rolling.window_counts(x, tr, 6)
-    x = rolling.same_day_counts(x, tr)
-    x = rolling.same_day_counts(x, tr, by=["zone"], out="events_same_zone_day")
-    return x.drop("ts", "hour_closure_rate_raw", "latitude", "longitude", "event_cause", "event_type", "veh_type",
-                  "corridor", "zone", "gba_identifier", "junction", "police_station")
+    x = rolling.window_counts(x, tr, [3, 6])
+    return x.drop("ts", "__date", "hour_closure_rate_raw", "latitude", "longitude", "event_cause", "event_type",
+                  "veh_type", "corridor", "zone", "gba_identifier", "junction", "police_station")
+
+
+FAMILIES = {
+    "corridor": ["corridor"], "corridor_hb": ["corridor", "hour_bin_code"], "hb": ["hour_bin_code"],
+    "police": ["police_station"], "zone": ["zone"], "gba": ["gba_identifier"], "junction": ["junction"],
+    "hour": ["hour"], "pair_corridor_zone": ["corridor", "zone"], "pair_hb_cause": ["hour_bin_code", "event_cause"],
+    "pair_zone_cause": ["zone", "event_cause"], "pair_police_hb": ["police_station", "hour_bin_code"],
+    "day": ["__date"], "zone_day": ["zone", "__date"],
+}
+
+
+def apply_bank(e: DataFrame, tr: DataFrame, prior: float) -> DataFrame:
+    """All group-rate / density / rank / same-day features from one statistics pass."""
+    bank = statsbank.fit_bank(tr, FAMILIES, {
+        "y": F.col(T).cast("double"), "veh": (F.col("event_cause") == "vehicle_breakdown").cast("double"),
+        "pri": F.lit(0.0)})
+    n_all = float(sum(v["n"] for v in bank["hb"].mapping.values())) if bank["hb"].mapping is not None else \
+        float(tr.count())
+
+    def smooth(alpha, min_count=0):
+        def fn(v):
+            if v["n"] < min_count:
+                return prior
+            return (v["n"] * (v["y"] / v["n"]) + alpha * prior) / (v["n"] + alpha)
+        sm = (F.col("n") * (F.col("y") / F.col("n")) + F.lit(alpha * prior)) / (F.col("n") + F.lit(float(alpha)))
+        expr = F.when(F.col("n") < min_count, F.lit(prior)).otherwise(sm) if min_count else sm
+        return fn, expr
+
+    def share(total):
+        return (lambda v: v["n"] / total), F.col("n") / F.lit(total)
+
+    def col_of(name, default, digits=None):
+        c = F.coalesce(F.col(name), F.lit(default))
+        return np_round(c, digits) if digits is not None else c
+
+    x = e
+    x = statsbank.apply(x, bank["corridor"], {"__cr": smooth(20, 20), "__cd": share(n_all),
+                                              "__vf": ((lambda v: v["veh"] / v["n"]), F.col("veh") / F.col("n"))})
+    x = statsbank.apply(x, bank["corridor_hb"], {"__hc": share(n_all)})
+    x = statsbank.apply(x, bank["hb"], {"__hl": share(n_all)})
+    x = statsbank.apply(x, bank["police"], {"__ps": smooth(10)})
+    n_zone = float(sum(v["n"] for v in bank["zone"].mapping.values())) if bank["zone"].mapping is not None else n_all
+    x = statsbank.apply(x, bank["zone"], {"__zr": smooth(10), "__zd": share(n_zone)})
+    x = statsbank.apply(x, bank["gba"], {"__gb": smooth(10)})
+    jf = bank["junction"]
+    if jf.mapping is not None:
+        order = sorted(jf.mapping, key=lambda k: (-jf.mapping[k]["n"], k[0]))
+        for i, k in enumerate(order):
+            jf.mapping[k]["rank"] = i + 1
+    x = statsbank.apply(x, jf, {"__jr": smooth(10, 10), "__jc": ((lambda v: float(v["n"])), F.col("n").cast("double")),
+                                "__jk": ((lambda v: float(v["rank"])), F.lit(None).cast("double"))})
+    x = statsbank.apply(x, bank["hour"], {"__hr": ((lambda v: v["y"] / v["n"]), F.col("y") / F.col("n"))})
+    pairs = {}
+    for fam, (_, name) in zip(["pair_corridor_zone", "pair_hb_cause", "pair_zone_cause", "pair_police_hb"], feat.PAIR_RATES):
+        x = statsbank.apply(x, bank[fam], {f"__{name}": smooth(10, 5)})
+        pairs[name] = f"__{name}"
+    x = statsbank.apply(x, bank["day"], {"__sd": ((lambda v: float(v["n"])), F.col("n").cast("double"))})
+    x = statsbank.apply(x, bank["zone_day"], {"__szd": ((lambda v: float(v["n"])), F.col("n").cast("double"))})
+    jr = col_of("__jr", prior, 4)
+    zr = col_of("__zr", prior, 4)
+    hr_raw = col_of("__hr", prior)
+    out = x.select(
+        *[c for c in e.columns],
+        col_of("__cr", prior, 4).alias("corridor_risk_score"), col_of("__cd", 0.0, 5).alias("corridor_event_density"),
+        col_of("__vf", 0.5, 4).alias("vehicles_per_corridor"), col_of("__hc", 0.0).alias("hour_corridor_density"),
+        col_of("__hl", 0.2, 5).alias("hour_bin_system_load"), col_of("__ps", prior, 4).alias("police_station_risk"),
+        zr.alias("zone_risk_score"), col_of("__zd", 0.0, 5).alias("zone_event_density"),
+        flag(zr >= feat.HIGH_RISK_ZONE).alias("is_high_risk_zone"), col_of("__gb", prior, 4).alias("gba_risk_score"),
+        jr.alias("junction_closure_rate"), col_of("__jc", 0.0).cast("int").alias("junction_event_count"),
+        col_of("__jk", 999.0).cast("int").alias("junction_hotspot_rank"),
+        np_round(F.lit(1.0) - jr, 4).alias("junction_safety_index"),
+        hr_raw.alias("hour_closure_rate_raw"), np_round(hr_raw, 4).alias("hour_closure_risk"),
+        *[col_of(c, prior).alias(name) for name, c in pairs.items()],
+        col_of("__sd", 0.0).cast("long").alias("events_same_day"),
+        col_of("__szd", 0.0).cast("long").alias("events_same_zone_day"))
+    return out.withColumn("closure_risk_composite", feat.composite_risk())
 
 
 def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
