@@ -74,7 +74,7 @@ HOTSPOTS_SQL = O.with_prep(
     f"""
 SELECT zone, count(*) AS n_events, count(*) FILTER (WHERE status <> 'RESOLVED') AS n_active,
        round(avg(comp), 6) AS avg_closure_risk, max(comp) AS max_closure_risk,
-       sum(bad) AS n_bad_timestamps
+       CAST(sum(bad) AS BIGINT) AS n_bad_timestamps
 FROM (
   SELECT p.zone, p.status,
          CASE WHEN try_cast(p.start_datetime AS TIMESTAMP) IS NULL THEN 1 ELSE 0 END AS bad,

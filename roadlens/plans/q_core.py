@@ -106,7 +106,7 @@ def prj_03(spark, sf):
     "SELECT id, coalesce(CAST(latitude AS DOUBLE), 0.0) AS latitude, coalesce(CAST(longitude AS DOUBLE), 0.0) "
     "AS longitude, coalesce(CAST(requires_road_closure AS DOUBLE), 0.0) AS requires_road_closure, "
     "coalesce(CAST(duration_mins AS DOUBLE), 0.0) AS duration_mins, coalesce(CAST(num_lanes AS DOUBLE), 0.0) "
-    "AS num_lanes, CAST(is_train AS INTEGER) * 1.0 AS is_train FROM incidents"))
+    "AS num_lanes, CAST(is_train AS DOUBLE) AS is_train FROM incidents"))
 def prj_04(spark, sf):
     return clean.model_matrix(incidents(spark, sf), keep=["id"])
 
@@ -544,8 +544,8 @@ def geo_10(spark, sf):
 @register("geo_11", O.with_ctes(f"""
 SELECT cell_lat, cell_lon, round(sum(w), 6) AS heat, count(*) AS n_contrib FROM (
   SELECT cell_lat, cell_lon,
-         (CASE WHEN dk <= 0.12 THEN 0.22 ELSE 0 END + CASE WHEN dk <= 0.4 THEN 0.07 ELSE 0 END
-          + CASE WHEN dk <= 0.8 THEN 0.03 ELSE 0 END) AS w
+         (CASE WHEN dk <= 0.12 THEN {O.d(0.22)} ELSE {O.d(0.0)} END + CASE WHEN dk <= 0.4 THEN {O.d(0.07)} ELSE {O.d(0.0)} END
+          + CASE WHEN dk <= 0.8 THEN {O.d(0.03)} ELSE {O.d(0.0)} END) AS w
   FROM (SELECT cl AS cell_lat, cn AS cell_lon,
                {O.hav('latitude', 'longitude', '((CAST(cl AS DOUBLE) + CAST(0.5 AS DOUBLE)) * CAST(0.01 AS DOUBLE))', '((CAST(cn AS DOUBLE) + CAST(0.5 AS DOUBLE)) * CAST(0.01 AS DOUBLE))')} AS dk
         FROM (SELECT latitude, longitude, CAST(floor(latitude / 0.01) AS BIGINT) + dl AS cl,

@@ -87,7 +87,7 @@ def agg_01(spark, sf):
 
 
 @register("agg_02", with_dash(
-    "SELECT round(avg(avg_score), 6) AS network_congestion_score, sum(active_events) AS active_incidents, "
+    "SELECT round(avg(avg_score), 6) AS network_congestion_score, CAST(sum(active_events) AS BIGINT) AS active_incidents, "
     "CASE WHEN avg(avg_score) >= 50 THEN 'HIGH' ELSE 'MEDIUM' END AS network_risk_level FROM "
     "(SELECT zone, count(*) FILTER (WHERE status <> 'RESOLVED') AS active_events, avg(score) AS avg_score FROM d GROUP BY zone)"))
 def agg_02(spark, sf):
@@ -162,7 +162,7 @@ SELECT camera_id, status, density, queue_length_m, vehicle_count, uptime_pct, in
 @register("agg_09", O.with_ctes("""
 SELECT round(avg(uptime_pct) FILTER (WHERE status = 'ONLINE'), 6) AS avg_uptime,
        round(avg(queue_length_m) FILTER (WHERE status = 'ONLINE'), 6) AS avg_queue,
-       sum(vehicle_count) AS total_vehicles, arg_max(camera_id, (queue_length_m, -camera_id)) AS worst_camera,
+       CAST(sum(vehicle_count) AS BIGINT) AS total_vehicles, arg_max(camera_id, (queue_length_m, -camera_id)) AS worst_camera,
        count(*) FILTER (WHERE incident <> 'None') AS incident_cameras
 FROM (SELECT camera_id, arg_max(status, (ts, event_id)) AS status, arg_max(uptime_pct, (ts, event_id)) AS uptime_pct,
              arg_max(queue_length_m, (ts, event_id)) AS queue_length_m, arg_max(vehicle_count, (ts, event_id)) AS vehicle_count,
@@ -626,12 +626,13 @@ def scr_18(spark, sf):
 
 
 @register("scr_19", O.with_ctes(
-    "SELECT id, pos, feature, value, 0.312 AS base_value, round_even(0.312 + sum(value) OVER (PARTITION BY id), 4) "
+    f"SELECT id, pos, feature, value, {D(0.312)} AS base_value, round_even({D(0.312)} + sum(value) OVER (PARTITION BY id), 4) "
     "AS predicted_value FROM (SELECT id, unnest(range(0, 5)) AS pos, unnest(['hour_cause_closure_rate', "
     "'dist_to_city_centre', 'zone_risk_x_hour', 'rolling_3h_system_count', 'if_anomaly_score']) AS feature, "
-    "unnest([CASE WHEN lower(event_cause) = 'accident' THEN 0.145 WHEN lower(event_cause) = 'flooding' THEN 0.185 "
-    "WHEN lower(event_cause) = 'utility work' THEN -0.045 ELSE 0.012 END, CASE WHEN dc < 3.0 THEN 0.098 WHEN dc > 12.0 "
-    "THEN -0.082 ELSE 0.015 END, CASE WHEN dc < 6.0 THEN 0.062 ELSE -0.021 END, 0.038, -0.015]) AS value FROM "
+    f"unnest([CASE WHEN lower(event_cause) = 'accident' THEN {D(0.145)} WHEN lower(event_cause) = 'flooding' THEN {D(0.185)} "
+    f"WHEN lower(event_cause) = 'utility work' THEN {D(-0.045)} ELSE {D(0.012)} END, CASE WHEN dc < 3.0 THEN {D(0.098)} "
+    f"WHEN dc > 12.0 THEN {D(-0.082)} ELSE {D(0.015)} END, CASE WHEN dc < 6.0 THEN {D(0.062)} ELSE {D(-0.021)} END, "
+    f"{D(0.038)}, {D(-0.015)}]) AS value FROM "
     "(SELECT id, event_cause, sqrt(pow(latitude - 12.9716, 2) + pow(longitude - 77.5946, 2)) * 111.0 AS dc FROM incidents))"))
 def scr_19(spark, sf):
     return score.explained(incidents(spark, sf).select("id", "event_cause", "latitude", "longitude"))

@@ -74,12 +74,12 @@ _DTYPES = [("bigint", 1), ("boolean", 1), ("double", 3), ("int", 2), ("string",
 
 @register("imp_06", O.with_ctes(
     "SELECT s.rows, 23 AS columns, t.dtype, t.n_columns, s.null_cells FROM "
-    "(SELECT count(*) AS rows, sum(" + " + ".join(
+    "(SELECT count(*) AS rows, CAST(sum(" + " + ".join(
         f"CAST({c} IS NULL AS BIGINT)" for c in [
             "id", "ts", "start_datetime", "created_ts", "latitude", "longitude", "event_cause", "event_type",
             "authenticated", "veh_type", "corridor", "police_station", "zone", "gba_identifier", "junction",
             "description", "address", "requires_road_closure", "priority", "duration_mins", "num_lanes", "status",
-            "is_train"]) + ") AS null_cells FROM incidents) s, (VALUES " +
+            "is_train"]) + ") AS BIGINT) AS null_cells FROM incidents) s, (VALUES " +
     ", ".join(f"('{d}', {n})" for d, n in _DTYPES) + ") AS t(dtype, n_columns)"))
 def imp_06(spark, sf):
     return impute.feature_summary(incidents(spark, sf))

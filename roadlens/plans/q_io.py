@@ -47,7 +47,7 @@ def src_02(spark, sf):
 
 @register("src_03", O.with_ctes(
     "SELECT start_datetime, latitude, longitude, coalesce(CASE WHEN id % 4 = 0 THEN NULL ELSE event_cause END, 'others') "
-    "AS event_cause, coalesce(description, '') AS description, 30.0 AS duration_mins, 2 AS num_lanes FROM incidents"))
+    "AS event_cause, coalesce(description, '') AS description, CAST(30.0 AS DOUBLE) AS duration_mins, 2 AS num_lanes FROM incidents"))
 def src_03(spark, sf):
     inc = incidents(spark, sf).select("start_datetime", "latitude", "longitude",
                                       F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("event_cause")).alias("event_cause"),
@@ -80,7 +80,7 @@ def src_04(spark, sf):
 
 
 @register("snk_01", O.with_ctes(
-    "SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, count(*) AS rows, sum(requires_road_closure) AS positives "
+    "SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, count(*) AS rows, CAST(sum(requires_road_closure) AS BIGINT) AS positives "
     "FROM incidents GROUP BY 1"))
 def snk_01(spark, sf):
     inc = incidents(spark, sf).select("id", "requires_road_closure",
