@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from roadlens.functions.common import col
 
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_LOCAL_ROWS = 50_000
 
 
 def checked_broadcast(table: DataFrame, bounded: bool = False,
@@ -28,11 +29,17 @@ def checked_broadcast(table: DataFrame, bounded: bool = False,
     """Return ``table`` marked for broadcast only if it is provably small.
 
     ``bounded=True``: the caller knows the key domain is a fixed small set.
-    Otherwise the table is persisted, counted (a job over the already-aggregated
-    rows) and broadcast only when ``count <= max_rows``.
+    Otherwise one job takes at most ``MAX_LOCAL_ROWS + 1`` rows of the (already
+    aggregated) table: if it fits, those rows become a local relation that is
+    broadcast (the aggregate is never recomputed); if not, the table is persisted,
+    its exact size counted, and it is broadcast only under ``max_rows`` — beyond
+    that it stays a shuffle join sized by AQE.
     """
     if bounded:
         return F.broadcast(table)
+    rows = table.take(MAX_LOCAL_ROWS + 1)
+    if len(rows) <= MAX_LOCAL_ROWS:
+        return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
     n = table.count()
     return F.broadcast(table) if n <= max_rows else table
