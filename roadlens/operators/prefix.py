@@ -120,3 +120,60 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """SPL-03: seeded subsample of exactly ``n`` rows (TakeOrderedAndProject, no global sort)."""
     return df.orderBy(mix_key(key, seed), F.col(key)).limit(n)
+
+
+# ------------------------------------------------------------------ weighted prefix sums
+
+def weighted_prefix(df: DataFrame, order_cols: list, group_cols: list[str] = (), weight: str = "w",
+                    out: str = "prefix", num_partitions: int | None = None) -> DataFrame:
+    """Exclusive prefix sum of ``weight`` in ``order_cols`` order within ``group_cols``.
+
+    Same shape as ``global_positions``: range partitioning with a unique tie-break
+    (a hot group or a burst of equal keys is split across tasks), an in-partition
+    running sum computed on Arrow batches (``mapInPandas``, carried across the
+    batches of one partition), a reliable checkpoint, and a tiny per-(partition,
+    group) offset table added back with a broadcast join."""
+    import pandas as pd
+    from pyspark.sql import types as T
+    from roadlens.session import ensure_checkpoint_dir
+    group_cols = list(group_cols)
+    n = _num_partitions(df, num_partitions)
+    tagged = df.withColumn("__tb", F.monotonically_increasing_id())
+    keys = [*group_cols, *order_cols, "__tb"]
+    rp = tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    schema = T.StructType(rp.schema.fields + [T.StructField("__pid", T.IntegerType()),
+                                              T.StructField("__local", T.DoubleType())])
+
+    def running(batches):
+        import numpy as np
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        carry: dict = {}          # group key -> weight already seen in this partition
+        for pdf in batches:
+            w = pdf[weight].astype("float64").fillna(0.0)
+            if group_cols:
+                raw = zip(*(pdf[g].tolist() for g in group_cols))
+                gk = [tuple(None if (isinstance(v, float) and v != v) else v for v in row) for row in raw]
+                codes, uniq = pd.factorize(pd.Series(gk, dtype=object))
+            else:
+                codes, uniq = np.zeros(len(pdf), dtype=int), [None]
+            base = np.array([carry.get(u, 0.0) for u in uniq], dtype="float64")[codes] if len(pdf) else np.zeros(0)
+            local = w.groupby(codes, sort=False).cumsum().to_numpy() - w.to_numpy() + base
+            for code, total in w.groupby(codes, sort=False).sum().items():
+                carry[uniq[code]] = carry.get(uniq[code], 0.0) + float(total)
+            pdf["__pid"] = pid
+            pdf["__local"] = local
+            yield pdf
+
+    ensure_checkpoint_dir(df.sparkSession)
+    numbered = rp.mapInPandas(running, schema).checkpoint(eager=True)
+    stats = numbered.groupBy("__pid", *group_cols).agg(F.sum(F.col(weight).cast("double")).alias("__tot"))
+    before = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("__pid") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.select("__pid", *group_cols, F.coalesce(F.sum("__tot").over(before), F.lit(0.0)).alias("__off"))
+    cond = F.col("__pid") == F.col("__spid")
+    st = stats.select(F.col("__pid").alias("__spid"), *[F.col(g).alias(f"__sg_{g}") for g in group_cols], "__off")
+    for g in group_cols:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__sg_{g}"))
+    joined = numbered.join(F.broadcast(st), cond, "inner")
+    return joined.select(*df.columns, (F.col("__off") + F.col("__local")).alias(out))

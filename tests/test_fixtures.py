@@ -140,3 +140,41 @@ def test_empty_frame_transforms(spark):
     ctx = feat.prepare_context(inc)
     out = feat.rate_feature(ctx, ctx, ["zone"], "requires_road_closure", "z", 10, 0.1)
     assert out.count() == 0 and "z" in out.columns
+
+
+def test_rolling_per_key_with_hot_key_and_burst(spark):
+    """Per-corridor counts vs brute force; one key holds most rows and a burst of equal stamps."""
+    import random
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(600):
+        key = "hot" if i % 3 else rnd.choice(["a", "b", None])
+        minute = 500 if i % 10 == 0 else rnd.randint(0, 2000)   # burst at minute 500
+        rows.append((i, key, base + dt.timedelta(minutes=minute)))
+    rows.append((999, "a", None))
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    tr = df.filter("id % 2 = 0")
+    got = {r["id"]: (r["c3"], r["c6"]) for r in rolling.window_counts(df, tr, [3, 6], by=["k"], out=["c3", "c6"],
+                                                                       ).collect()}
+    trl = [(k, t) for i, k, t in rows if i % 2 == 0 and t is not None and k is not None]
+    for i, k, t in rows:
+        if t is None or k is None:
+            assert got[i] == (0, 0)
+            continue
+        exp = tuple(sum(1 for k2, t2 in trl if k2 == k and t - dt.timedelta(hours=h) <= t2 < t) for h in (3, 6))
+        assert got[i] == exp, (i, got[i], exp)
+
+
+def test_weighted_prefix_partition_independent(spark):
+    from roadlens.operators.prefix import weighted_prefix
+    df = spark.range(0, 400).select("id", (F.col("id") % 4).cast("string").alias("g"),
+                                    (F.col("id") % 5).cast("double").alias("w"))
+    ref = None
+    for n in (1, 3, 16):
+        got = {r["id"]: r["p"] for r in weighted_prefix(df, ["id"], ["g"], "w", "p", num_partitions=n).collect()}
+        ref = ref or got
+        assert got == ref
+    for i in range(400):
+        exp = sum(j % 5 for j in range(i) if j % 4 == i % 4)
+        assert ref[i] == exp
