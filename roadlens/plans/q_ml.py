@@ -59,7 +59,7 @@ CHECK_FOLDS = 3  # CV folds for the registered comparison check (library default
 @register("mdl_07")
 def mdl_07(spark, sf):
     train, test = lab(spark, sf)
-    return tr.compare(train, test, folds=CHECK_FOLDS, parallelism=5)
+    return tr.compare(train, test, folds=CHECK_FOLDS)
 
 
 @register("scr_01")
@@ -202,14 +202,19 @@ def rfn_03(spark, sf):
     """Learning curve: nested hash fractions of the training folds; diagnosis rules."""
     train, _ = lab(spark, sf)
     est = tr.estimators(train.count())["decision_tree"]
-    rows = []
-    for frac in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
-        for k in range(5):
-            fit_rows = train.filter((F.col("fold") != k) & ((F.abs(F.xxhash64("id")) % 1000) < int(frac * 1000)))
-            m = est.fit(fit_rows)
-            tr_auc = tr.metrics(tr.predictions(m, fit_rows))["auc"]
-            va_auc = tr.metrics(tr.predictions(m, train.filter(F.col("fold") == k)))["auc"]
-            rows.append((frac, k, float(tr_auc or 0), float(va_auc or 0)))
+    from concurrent.futures import ThreadPoolExecutor
+
+    def point(job):
+        frac, k = job
+        fit_rows = train.filter((F.col("fold") != k) & ((F.abs(F.xxhash64("id")) % 1000) < int(frac * 1000)))
+        m = est.fit(fit_rows)
+        tr_auc = tr.metrics(tr.predictions(m, fit_rows))["auc"]
+        va_auc = tr.metrics(tr.predictions(m, train.filter(F.col("fold") == k)))["auc"]
+        return (frac, k, float(tr_auc or 0), float(va_auc or 0))
+
+    jobs = [(frac, k) for frac in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0) for k in range(5)]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        rows = list(pool.map(point, jobs))
     df = spark.createDataFrame(rows, "fraction double, fold int, train_auc double, val_auc double")
     g = df.groupBy("fraction").agg(F.avg("train_auc").alias("train_mean"), F.stddev_pop("train_auc").alias("train_std"),
                                    F.avg("val_auc").alias("val_mean"), F.stddev_pop("val_auc").alias("val_std"))
@@ -223,10 +228,11 @@ def rfn_04(spark, sf):
     """Validation curve over max depth; best value by mean validation AUC."""
     train, _ = lab(spark, sf)
     est = tr.estimators(train.count())["decision_tree"]
-    rows = []
-    for depth in (2, 4, 6, 8, 10, 12):
-        v = tr.cv_score(est, {"maxDepth": depth}, train, "auc")
-        rows.append(("maxDepth", float(depth), float(v)))
+    from concurrent.futures import ThreadPoolExecutor
+    depths = (2, 4, 6, 8, 10, 12)
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        scores = list(pool.map(lambda d: tr.cv_score(est, {"maxDepth": d}, train, "auc"), depths))
+    rows = [("maxDepth", float(d), float(v)) for d, v in zip(depths, scores)]
     df = spark.createDataFrame(rows, "param string, value double, val_auc double")
     best = df.agg(F.max(F.struct("val_auc", "value")).alias("b"))
     return df.crossJoin(best.select(F.col("b.value").alias("best_value")))

@@ -178,3 +178,18 @@ def test_weighted_prefix_partition_independent(spark):
     for i in range(400):
         exp = sum(j % 5 for j in range(i) if j % 4 == i % 4)
         assert ref[i] == exp
+
+
+def test_auc_matches_spark_evaluator_with_ties(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from roadlens.operators.evaluate import auc
+    rows = [(i, i % 3 == 0 and 1 or 0, round((i * 37 % 11) / 10.0, 1)) for i in range(300)]  # many tied scores
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+    ours = auc(df).first()["auc"]
+    ref = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(
+        df.select("score", F.col("label").cast("double").alias("label")))
+    # brute force Mann-Whitney
+    pos = [s for _, y, s in rows if y == 1]
+    neg = [s for _, y, s in rows if y == 0]
+    bf = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert abs(ours - bf) < 1e-12 and abs(ref - bf) < 1e-9
