@@ -12,6 +12,8 @@ across partitions instead of landing in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +54,11 @@ def global_positions(df: DataFrame, order_cols: list, group_cols: list[str] = ()
     return joined.select(*df.columns, (F.col("__off") + F.col("__mid") - F.col("__m0")).alias(out))
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    num_partitions: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) of many columns.
-
-    Long format (column, value) -> P1 positions per column -> pick the rows at
-    floor(p*(n-1)) and ceil(p*(n-1)) -> interpolate.  Output: column, p, value.
-    """
-    long = melt(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, "column", "value")
-    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+def _quantiles_by_sort(long: DataFrame, probs: list[float], num_partitions: int | None = None) -> DataFrame:
+    """Exact quantiles by ordering every value (P1 over the whole long table)."""
     pos = global_positions(long, ["value"], ["column"], num_partitions=num_partitions)
     counts = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
+    spark = long.sparkSession
     ps = spark.createDataFrame([(float(p),) for p in probs], "p double")
     tg = counts.crossJoin(ps).select(F.col("column").alias("__c"), "p", (F.col("p") * (F.col("n") - 1)).alias("k"))
     tg = tg.select("__c", "p", "k", F.floor("k").cast("long").alias("lo"), F.ceil("k").cast("long").alias("hi"))
@@ -76,6 +71,91 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                       (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * (F.col("k") - F.col("lo"))).alias("value"))
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
+                    num_partitions: int | None = None, accuracy: int = 100_000) -> DataFrame:
+    """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) of many columns.
+
+    Exact, without sorting all values:
+      1. one pass: n per column and GK sketch values (``percentile_approx``, rank error
+         <= n/accuracy) at p -/+ 3/accuracy -> a bracket [L, H] around the target ranks;
+      2. one pass: exact counts below L, equal to L and equal to H per bracket;
+      3. only values strictly inside (L, H) (at most ~6n/accuracy of them, hot values
+         cannot sit there) get exact positions (P1), and the target ranks are read off.
+    If the counts show a bracket missed its ranks, that column falls back to ordering
+    all of its values (``_quantiles_by_sort``), so the result is always exact.
+    Output: column, p, value."""
+    spark = df.sparkSession
+    long = melt(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, "column", "value")
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    eps = 3.0 / accuracy
+    probes = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
+    sk = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"),
+                                    F.percentile_approx("value", probes, accuracy).alias("q")).collect()
+    brackets = []   # (column, p, j, lo_rank, hi_rank, k, L, H)
+    for r in sk:
+        qmap = dict(zip(probes, r["q"]))
+        for j, p in enumerate(probs):
+            k = p * (r["n"] - 1)
+            L = qmap[min(1.0, max(0.0, p - eps))]
+            H = qmap[min(1.0, max(0.0, p + eps))]
+            brackets.append((r["column"], float(p), j, int(math.floor(k)), int(math.ceil(k)), float(k), float(L), float(H)))
+    if not brackets:
+        return spark.createDataFrame([], "column string, p double, value double")
+    bt = spark.createDataFrame(brackets, "bcol string, p double, j int, lo long, hi long, k double, L double, H double")
+    j = long.join(F.broadcast(bt), F.col("column") == F.col("bcol"))
+    cnt = j.groupBy("bcol", "j").agg(F.count_if(F.col("value") < F.col("L")).alias("c_lt"),
+                                     F.count_if(F.col("value") == F.col("L")).alias("c_eqL"),
+                                     F.count_if((F.col("value") > F.col("L")) & (F.col("value") < F.col("H"))).alias("c_in"),
+                                     F.count_if(F.col("value") == F.col("H")).alias("c_eqH")).collect()
+    c = {(r["bcol"], r["j"]): r for r in cnt}
+    bad_cols = set()
+    for b in brackets:            # verify each bracket really holds its two target ranks
+        r = c.get((b[0], b[2]))
+        lo_ok = r is not None and r["c_lt"] <= b[3]
+        hi_ok = r is not None and b[4] < r["c_lt"] + r["c_eqL"] + r["c_in"] + (r["c_eqH"] if b[7] != b[6] else 0)
+        if not (lo_ok and hi_ok):
+            bad_cols.add(b[0])
+    good = [b for b in brackets if b[0] not in bad_cols]
+    parts = []
+    if good:
+        inner = (j.filter((F.col("value") > F.col("L")) & (F.col("value") < F.col("H")))
+                 .select(F.col("bcol"), F.col("j"), "value"))
+        pos = global_positions(inner, ["value"], ["bcol", "j"], num_partitions=num_partitions)
+        rows = []
+        for b in good:
+            r = c[(b[0], b[2])]
+            rows.append((b[0], b[2], b[1], b[3], b[4], b[5], b[6], b[7], r["c_lt"], r["c_eqL"], r["c_in"]))
+        meta = spark.createDataFrame(rows, "mcol string, mj int, p double, lo long, hi long, k double, L double, "
+                                           "H double, c_lt long, c_eqL long, c_in long")
+
+        def at(rank):
+            base = F.col("c_lt") + F.col("c_eqL")
+            return (F.when(rank < base, F.col("L"))
+                    .when(rank < base + F.col("c_in"), F.lit(None))
+                    .otherwise(F.col("H")), rank - base)
+        lo_direct, lo_off = at(F.col("lo"))
+        hi_direct, hi_off = at(F.col("hi"))
+        m2 = meta.select("*", lo_direct.alias("vlo_d"), lo_off.alias("lo_off"), hi_direct.alias("vhi_d"),
+                         hi_off.alias("hi_off"))
+        need = pos.join(F.broadcast(m2.select("mcol", "mj", "lo_off", "hi_off")),
+                        (F.col("bcol") == F.col("mcol")) & (F.col("j") == F.col("mj"))
+                        & ((F.col("pos") == F.col("lo_off")) | (F.col("pos") == F.col("hi_off"))))
+        vals = need.groupBy("mcol", "mj").agg(
+            F.max(F.when(F.col("pos") == F.col("lo_off"), F.col("value"))).alias("vlo_s"),
+            F.max(F.when(F.col("pos") == F.col("hi_off"), F.col("value"))).alias("vhi_s"))
+        res = m2.join(vals, ["mcol", "mj"], "left")
+        vlo = F.coalesce("vlo_d", "vlo_s")
+        vhi = F.coalesce("vhi_d", "vhi_s")
+        parts.append(res.select(F.col("mcol").alias("column"), "p",
+                                (vlo + (vhi - vlo) * (F.col("k") - F.col("lo"))).alias("value")))
+    if bad_cols:
+        parts.append(_quantiles_by_sort(long.filter(F.col("column").isin(sorted(bad_cols))), probs, num_partitions))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
 def quantile_row(df: DataFrame, columns: list[str], probs: list[float], exact: bool = True) -> dict:
     """{(column, p): value} for small outputs; exact via P1, else percentile_approx."""
     if exact:

@@ -193,3 +193,17 @@ def test_auc_matches_spark_evaluator_with_ties(spark):
     neg = [s for _, y, s in rows if y == 0]
     bf = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
     assert abs(ours - bf) < 1e-12 and abs(ref - bf) < 1e-9
+
+
+def test_bracketed_quantiles_coarse_sketch(spark):
+    """Coarse sketch (accuracy 20) forces wide brackets: interior ranks, hot values, extremes."""
+    import random
+    rnd = random.Random(3)
+    a = [rnd.uniform(0, 100) for _ in range(1500)] + [42.0] * 700          # hot value
+    b = [float(i % 7) for i in range(2200)]                                # few distinct values
+    df = spark.createDataFrame([(x, y) for x, y in zip(a, b)], "a double, b double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = {(r["column"], r["p"]): r["value"] for r in prefix.exact_quantiles(df, ["a", "b"], probs, accuracy=20).collect()}
+    for col, vals in (("a", a), ("b", b)):
+        for p in probs:
+            assert abs(got[(col, p)] - np.percentile(np.array(vals), p * 100)) < 1e-9, (col, p)
