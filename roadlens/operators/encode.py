@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadlens.operators import rates
 from roadlens.operators.unpivot import melt
 
 
-def label_table(train: DataFrame, column: str) -> DataFrame:
+def label_table(train: DataFrame, column: str, max_local: int = 50_000) -> DataFrame:
     """ENC-01 fit: sorted distinct non-NULL values -> code 0..k-1.
 
-    The rank window runs over the *distinct* values (one row per category)."""
+    A bounded category set (checked by taking at most ``max_local + 1`` distinct
+    values) is coded locally and becomes a small relation; a larger one gets exact
+    positions from the distributed prefix count (P1), never a one-task window."""
+    from roadlens.operators.prefix import global_positions
     d = train.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    return d.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).alias("code"))
+    rows = d.take(max_local + 1)
+    if len(rows) <= max_local:
+        vals = sorted(r["value"] for r in rows)
+        return train.sparkSession.createDataFrame([(v, i) for i, v in enumerate(vals)],
+                                                  T.StructType([d.schema["value"], T.StructField("code", T.LongType())]))
+    return global_positions(d, ["value"], out="code")
 
 
 def label_encode(df: DataFrame, train: DataFrame, columns: list[str], unseen: int = -1,

@@ -51,9 +51,13 @@ def constant_impute(df: DataFrame, columns: list[str], overrides: dict | None =
 
 
 def fit_mode(train: DataFrame, columns: list[str]) -> dict:
-    """IMP-03 fit: most frequent value, ties -> smallest; all-NULL -> ``unknown``."""
-    row = train.agg(*[F.mode(F.col(c), True).alias(c) for c in columns]).first()
-    return {c: (row[c] if row[c] is not None else "unknown") for c in columns}
+    """IMP-03 fit: most frequent value, ties -> smallest; all-NULL -> ``unknown``.
+
+    Distributed (``mode_table``): counts per (column, value) are partial aggregates and
+    the pick is a min over (-count, value) per column, so no task ever holds all the
+    distinct values of a column; only one row per column reaches the driver."""
+    rows = mode_table(train, columns).collect()
+    return {r["column"]: r["mode_value"] for r in rows}
 
 
 def mode_table(train: DataFrame, columns: list[str]) -> DataFrame:
