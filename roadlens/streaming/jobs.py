@@ -79,7 +79,9 @@ def latest_status(reports: DataFrame, key: str = "id", ts: str = "ts", watermark
 
 def rolling_counts(reports: DataFrame, window: str = "3 hours", slide: str = "1 hour", by: str = "corridor",
                    ts: str = "ts", watermark: str = "3 hours") -> DataFrame:
-    """STR-04: sliding-window counts per key with a watermark (late rows beyond it dropped)."""
+    """STR-04: sliding-window counts per key with a watermark: windows are finalised (and
+    their state evicted) once the watermark passes them; rows within the watermark always
+    count, rows older than it may be dropped (Spark's guarantee)."""
     return (reports.filter(F.col(ts).isNotNull()).withWatermark(ts, watermark)
             .groupBy(F.window(ts, window, slide).alias("w"), F.coalesce(F.col(by), F.lit("unknown")).alias(by))
             .agg(F.count(F.lit(1)).alias("n"))
