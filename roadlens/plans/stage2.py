@@ -47,9 +47,11 @@ def assemble_frame(ctx: DataFrame, train: DataFrame, prior: float) -> DataFrame:
     e = e.withColumn("radial_band", geo.radial_band("dist_to_city_centre"))
     tr = train.select(*_TRAIN_COLS, F.to_date("ts").cast("string").alias("__date")).persist(StorageLevel.MEMORY_AND_DISK)
     e = e.withColumn("__date", F.to_date("ts").cast("string"))
+    # range counts first, on the plain projection of the scan: the probe side and the
+    # join back then re-read only the scan, not the lookup joins added below
+    e = rolling.window_counts(e, tr, [3, 6])
     x = apply_bank(e, tr, prior)
     x = feat.interactions(x, prior)
-    x = rolling.window_counts(x, tr, [3, 6])
     return x.drop("ts", "__date", "hour_closure_rate_raw", "latitude", "longitude", "event_cause", "event_type",
                   "veh_type", "corridor", "zone", "gba_identifier", "junction", "police_station")
 
