@@ -248,9 +248,8 @@ def weekday_profile(df: DataFrame) -> DataFrame:
 
 def rain_impact(df: DataFrame, weather: DataFrame) -> DataFrame:
     """AGG-15: incidents joined to hourly rainfall; per rain bin delay and speed drop; overall corr."""
-    j = df.filter(F.col("ts").isNotNull()).join(
-        F.broadcast(weather.select("hr", "rain_mm")) if False else weather.select("hr", "rain_mm"),
-        F.date_trunc("hour", F.col("ts")) == F.col("hr"), "inner")
+    j = df.filter(F.col("ts").isNotNull()).join(weather.select("hr", "rain_mm"),
+                                                F.date_trunc("hour", F.col("ts")) == F.col("hr"), "inner")
     r = F.col("rain_mm")
     b = F.when(r == 0, "0").when(r <= 2, "0-2").when(r <= 10, "2-10").otherwise(">10")
     corr = j.agg(F.round(F.corr(r, F.col("score") * F.lit(0.45)), 6).alias("rain_delay_corr"))

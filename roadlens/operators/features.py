@@ -7,8 +7,6 @@ Every feature family is *fit* on training rows as a small statistics table and
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,11 +151,15 @@ PAIR_RATES = [
 
 
 def pair_rates(df, train, target, prior, min_count: int = 5):
-    """GRP-13: four two-key smoothed rates, alpha 10, fewer than 5 rows -> prior (unrounded)."""
+    """GRP-13: four two-key smoothed rates, alpha 10, fewer than 5 rows -> prior (unrounded).
+
+    All four families come from one statistics pass (``statsbank``)."""
+    from roadlens.operators import statsbank
+    bank = statsbank.fit_bank(train, {name: keys for keys, name in PAIR_RATES}, {"y": F.col(target).cast("double")})
     out = df
-    for keys, name in PAIR_RATES:
-        out = rate_feature(out, train, keys, target, name, 10, prior, min_count=min_count, digits=None)
-    return out
+    for _, name in PAIR_RATES:
+        out = statsbank.apply(out, bank[name], {f"__{name}": statsbank.smoothed(10, prior, min_count)})
+    return out.select(*df.columns, *[F.coalesce(F.col(f"__{name}"), F.lit(prior)).alias(name) for _, name in PAIR_RATES])
 
 
 # --- interactions (INT-01, INT-02) --------------------------------------------------
@@ -199,8 +201,3 @@ def interactions(df: DataFrame, prior: float) -> DataFrame:
     )
 
 
-@dataclass
-class Stage2:
-    """INT-03 result holder: the prior and the names of the produced features."""
-    prior: float
-    features: list = field(default_factory=list)

@@ -110,7 +110,6 @@ class FeatureSummary:
 
 def feature_summary(df: DataFrame) -> DataFrame:
     """IMP-06: row count, column count, columns per Spark type, total NULL cells."""
-    from roadlens.operators.unpivot import melt
     types: dict[str, int] = {}
     for _, t in df.dtypes:
         types[t] = types.get(t, 0) + 1
@@ -118,6 +117,5 @@ def feature_summary(df: DataFrame) -> DataFrame:
     agg = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(nulls).alias("null_cells"))
     spark = df.sparkSession
     t = spark.createDataFrame([(k, v) for k, v in sorted(types.items())], "dtype string, n_columns int")
-    del melt
     return agg.crossJoin(t).select(F.col("rows"), F.lit(len(df.columns)).alias("columns"), "dtype",
                                    "n_columns", F.coalesce(F.col("null_cells"), F.lit(0)).alias("null_cells"))

@@ -174,10 +174,8 @@ def chronological_split(df: DataFrame, ts: str, key: str, test_fraction: float =
     Exact global position by P1; adds ``split`` ('train'/'test') and ``pos``."""
     n_total = df.count()
     n_train = int(n_total * (1 - test_fraction))
-    order = [F.col(ts).isNull().cast("int").alias("__null_last"), ts, key]
     tmp = df.withColumn("__null_last", F.col(ts).isNull().cast("int"))
     pos = global_positions(tmp, ["__null_last", ts, key])
-    del order
     return pos.drop("__null_last").withColumn("split", F.when(F.col("pos") < n_train, "train").otherwise("test"))
 
 

@@ -64,6 +64,17 @@ def fit_bank(train: DataFrame, families: dict[str, list[str]], sums: dict[str, C
     return out
 
 
+def smoothed(alpha: float, prior: float, min_count: int = 0):
+    """(driver fn, table Column) pair for ``(n*mean + alpha*prior)/(n + alpha)``; groups
+    with fewer than ``min_count`` rows get the prior."""
+    def fn(v):
+        if v["n"] < min_count:
+            return prior
+        return (v["n"] * (v["y"] / v["n"]) + alpha * prior) / (v["n"] + alpha)
+    sm = (F.col("n") * (F.col("y") / F.col("n")) + F.lit(alpha * prior)) / (F.col("n") + F.lit(float(alpha)))
+    return fn, (F.when(F.col("n") < min_count, F.lit(prior)).otherwise(sm) if min_count else sm)
+
+
 def _sql_str(x: str) -> str:
     return "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
 

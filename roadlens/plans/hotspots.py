@@ -42,10 +42,7 @@ def scored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         else rates.global_mean(train, TARGET)
 
     def smooth(alpha, min_count=0):
-        def fn(v):
-            return prior if v["n"] < min_count else (v["n"] * (v["y"] / v["n"]) + alpha * prior) / (v["n"] + alpha)
-        sm = (F.col("n") * (F.col("y") / F.col("n")) + F.lit(alpha * prior)) / (F.col("n") + F.lit(float(alpha)))
-        return fn, (F.when(F.col("n") < min_count, F.lit(prior)).otherwise(sm) if min_count else sm)
+        return statsbank.smoothed(alpha, prior, min_count)
 
     df = ctx.select("*", *events.cause_scores())
     df = statsbank.apply(df, bank["zone"], {"__z": smooth(10)})

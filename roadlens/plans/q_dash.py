@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.constants import (
-    CONGESTION_CAUSE_WEIGHT, FALLBACK_RULES, JUNCTIONS, RESOURCES, TRIAGE, WEATHER_CODES, WEATHER_STATES,
+    CAUSE_DISPLAY, CONGESTION_CAUSE_WEIGHT, FALLBACK_RULES, JUNCTIONS, POLICE_STATIONS, REPORT_CATEGORY_CAUSE,
+    RESOURCES, TRIAGE, WEATHER_CODES, WEATHER_STATES,
 )
 from roadlens.functions.common import first_match, np_round
 from roadlens.functions.text import cause_display, report_cause
@@ -114,7 +115,7 @@ def agg_04(spark, sf):
 
 @register("agg_05", O.with_ctes(
     f"SELECT cause, count, round_even(count / sum(count) OVER () * 100, 2) AS percentage FROM "
-    f"(SELECT {O.dmap('event_cause', __import__('roadlens.constants', fromlist=['CAUSE_DISPLAY']).CAUSE_DISPLAY, 'Others')} "
+    f"(SELECT {O.dmap('event_cause', CAUSE_DISPLAY, 'Others')} "
     "AS cause, count(*) AS count FROM incidents GROUP BY 1)"))
 def agg_05(spark, sf):
     df = incidents(spark, sf).select(cause_display("event_cause").alias("cause"))
@@ -323,11 +324,11 @@ def jon_05(spark, sf):
     "SELECT ns AS station, arg_min(id, (ts, id)) AS first_incident, min(ts) AS first_ts FROM "
     "(SELECT id, ts, s.n AS ns FROM (SELECT *, " + "list_min([" + ", ".join(
         f"{{'d': round_even({D(6371.0)} * (2 * atan2(sqrt(a{i}), sqrt(1 - a{i}))), 2), 'i': {i}, 'n': {O.q(n)}}}"
-        for i, (n, _, _) in enumerate(__import__('roadlens.constants', fromlist=['POLICE_STATIONS']).POLICE_STATIONS))
+        for i, (n, _, _) in enumerate(POLICE_STATIONS))
     + "]) AS s FROM (SELECT *, " + ", ".join(
         f"(pow(sin(radians({D(la)} - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians({D(la)})) * "
         f"pow(sin(radians({D(lo)} - longitude) / 2), 2)) AS a{i}"
-        for i, (_, la, lo) in enumerate(__import__('roadlens.constants', fromlist=['POLICE_STATIONS']).POLICE_STATIONS))
+        for i, (_, la, lo) in enumerate(POLICE_STATIONS))
     + " FROM d WHERE risk_level IN ('HIGH', 'CRITICAL') AND status <> 'RESOLVED' AND ts IS NOT NULL))) GROUP BY 1"))
 def jon_06(spark, sf):
     b = dash_base(spark, sf)
@@ -432,7 +433,7 @@ def scr_06(spark, sf):
     f"SELECT id, cause, {O.dmap('cause', {k: v[0] for k, v in TRIAGE.items()}, 'LOW')} AS risk_level, "
     f"{O.dmap('cause', {k: v[1] for k, v in TRIAGE.items()}, 0.1)} AS probability_closure, "
     f"CAST(trunc({O.dmap('cause', {k: v[1] for k, v in TRIAGE.items()}, 0.1)} * 100) AS INTEGER) AS congestion_score FROM "
-    f"(SELECT id, {O.dmap(O.case_pick('id % 7', REPORT_CATEGORIES), __import__('roadlens.constants', fromlist=['X']).REPORT_CATEGORY_CAUSE, 'others')} AS cause FROM incidents)"))
+    f"(SELECT id, {O.dmap(O.case_pick('id % 7', REPORT_CATEGORIES), REPORT_CATEGORY_CAUSE, 'others')} AS cause FROM incidents)"))
 def scr_07(spark, sf):
     inc = incidents(spark, sf).select("id", report_cause(pick(F.col("id") % 7, REPORT_CATEGORIES)).alias("cause"))
     return inc.select("id", "cause", *score.triage("cause"))

@@ -10,6 +10,7 @@ from roadlens.operators import score
 from roadlens.plans import oracle_base as O
 from roadlens.plans.catalog import register
 from roadlens.plans.q_core import _station_sql
+from roadlens.plans.q_dash import _prob_sql
 from roadlens.sources.tables import cameras, hourly_weather, incidents
 from roadlens.streaming import jobs
 
@@ -93,7 +94,7 @@ SELECT date_trunc('hour', ts) AS window_start, model, count(*) AS n, avg(latency
        avg(confidence) AS avg_confidence FROM (
   SELECT ts, CASE WHEN event_type = 'planned' THEN 'rule_fallback' ELSE 'closure_model' END AS model,
          duration_mins / 10.0 AS latency_ms, abs(p - 0.5) / 0.5 AS confidence
-  FROM (SELECT *, {__import__('roadlens.plans.q_dash', fromlist=['_prob_sql'])._prob_sql()} AS p FROM incidents))
+  FROM (SELECT *, {_prob_sql()} AS p FROM incidents))
 WHERE ts IS NOT NULL GROUP BY 1, 2"""))
 def str_07(spark, sf):
     s = _scored_stream(jobs.incident_stream(spark, sf))

@@ -74,13 +74,7 @@ def apply_bank(e: DataFrame, tr: DataFrame, prior: float) -> DataFrame:
         float(tr.count())
 
     def smooth(alpha, min_count=0):
-        def fn(v):
-            if v["n"] < min_count:
-                return prior
-            return (v["n"] * (v["y"] / v["n"]) + alpha * prior) / (v["n"] + alpha)
-        sm = (F.col("n") * (F.col("y") / F.col("n")) + F.lit(alpha * prior)) / (F.col("n") + F.lit(float(alpha)))
-        expr = F.when(F.col("n") < min_count, F.lit(prior)).otherwise(sm) if min_count else sm
-        return fn, expr
+        return statsbank.smoothed(alpha, prior, min_count)
 
     def share(total):
         return (lambda v: v["n"] / total), F.col("n") / F.lit(total)
