@@ -207,3 +207,24 @@ def test_bracketed_quantiles_coarse_sketch(spark):
     for col, vals in (("a", a), ("b", b)):
         for p in probs:
             assert abs(got[(col, p)] - np.percentile(np.array(vals), p * 100)) < 1e-9, (col, p)
+
+
+def test_timestamp_parse_offsets_and_garbage(spark):
+    from roadlens.operators.clean import ts_parse_flag
+    rows = [("2024-01-01T10:00:00+05:30",), ("2024-01-01 10:00:00",), ("not a date",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "s string")
+    got = df.select(temporal.parse_ts("s").alias("t"), ts_parse_flag("s").alias("bad")).collect()
+    assert got[0]["t"] == dt.datetime(2024, 1, 1, 4, 30)      # offset honoured, session zone UTC
+    assert got[1]["t"] == dt.datetime(2024, 1, 1, 10, 0)
+    assert [r["bad"] for r in got] == [0, 0, 1, 1, 1]
+
+
+def test_validation_messages(spark):
+    from roadlens.operators.clean import validate_rows
+    rows = [("2024-01-01 10:00:00", 12.9, 77.6), ("bad", 13.9, None), (None, None, 77.5)]
+    df = spark.createDataFrame(rows, "start_datetime string, latitude double, longitude double")
+    got = [(r["errors"], r["is_valid"]) for r in validate_rows(df).collect()]
+    assert got[0] == ([], True)
+    assert got[1] == (["start_datetime is not a valid timestamp", "latitude outside service area",
+                       "longitude is required"], False)
+    assert got[2] == (["start_datetime is required", "latitude is required"], False)
