@@ -71,6 +71,40 @@ def _quantiles_by_sort(long: DataFrame, probs: list[float], num_partitions: int
                       (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * (F.col("k") - F.col("lo"))).alias("value"))
 
 
+MAX_LOCAL_INTERIOR = 50_000
+
+
+def _interior_by_positions(spark, inner: DataFrame, good: list, c: dict, num_partitions) -> DataFrame:
+    """Large interiors: exact positions by P1, target ranks read off in Spark."""
+    pos = global_positions(inner, ["value"], ["bcol", "j"], num_partitions=num_partitions)
+    rows = []
+    for b in good:
+        r = c[(b[0], b[2])]
+        rows.append((b[0], b[2], b[1], b[3], b[4], b[5], b[6], b[7], r["c_lt"], r["c_eqL"], r["c_in"]))
+    meta = spark.createDataFrame(rows, "mcol string, mj int, p double, lo long, hi long, k double, L double, "
+                                       "H double, c_lt long, c_eqL long, c_in long")
+
+    def at(rank):
+        base = F.col("c_lt") + F.col("c_eqL")
+        return (F.when(rank < base, F.col("L")).when(rank < base + F.col("c_in"), F.lit(None))
+                .otherwise(F.col("H")), rank - base)
+    lo_direct, lo_off = at(F.col("lo"))
+    hi_direct, hi_off = at(F.col("hi"))
+    m2 = meta.select("*", lo_direct.alias("vlo_d"), lo_off.alias("lo_off"), hi_direct.alias("vhi_d"),
+                     hi_off.alias("hi_off"))
+    need = pos.join(F.broadcast(m2.select("mcol", "mj", "lo_off", "hi_off")),
+                    (F.col("bcol") == F.col("mcol")) & (F.col("j") == F.col("mj"))
+                    & ((F.col("pos") == F.col("lo_off")) | (F.col("pos") == F.col("hi_off"))))
+    vals = need.groupBy("mcol", "mj").agg(
+        F.max(F.when(F.col("pos") == F.col("lo_off"), F.col("value"))).alias("vlo_s"),
+        F.max(F.when(F.col("pos") == F.col("hi_off"), F.col("value"))).alias("vhi_s"))
+    res = m2.join(vals, ["mcol", "mj"], "left")
+    vlo = F.coalesce("vlo_d", "vlo_s")
+    vhi = F.coalesce("vhi_d", "vhi_s")
+    return res.select(F.col("mcol").alias("column"), "p",
+                      (vlo + (vhi - vlo) * (F.col("k") - F.col("lo"))).alias("value"))
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     num_partitions: int | None = None, accuracy: int = 100_000) -> DataFrame:
     """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) of many columns.
@@ -80,7 +114,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
          <= n/accuracy) at p -/+ 3/accuracy -> a bracket [L, H] around the target ranks;
       2. one pass: exact counts below L, equal to L and equal to H per bracket;
       3. only values strictly inside (L, H) (at most ~6n/accuracy of them, hot values
-         cannot sit there) get exact positions (P1), and the target ranks are read off.
+         cannot sit there) are ordered: locally when the counted interior is small
+         (<= MAX_LOCAL_INTERIOR), else with exact positions (P1); target ranks are read off.
     If the counts show a bracket missed its ranks, that column falls back to ordering
     all of its values (``_quantiles_by_sort``), so the result is always exact.
     Output: column, p, value."""
@@ -120,34 +155,29 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if good:
         inner = (j.filter((F.col("value") > F.col("L")) & (F.col("value") < F.col("H")))
                  .select(F.col("bcol"), F.col("j"), "value"))
-        pos = global_positions(inner, ["value"], ["bcol", "j"], num_partitions=num_partitions)
-        rows = []
-        for b in good:
-            r = c[(b[0], b[2])]
-            rows.append((b[0], b[2], b[1], b[3], b[4], b[5], b[6], b[7], r["c_lt"], r["c_eqL"], r["c_in"]))
-        meta = spark.createDataFrame(rows, "mcol string, mj int, p double, lo long, hi long, k double, L double, "
-                                           "H double, c_lt long, c_eqL long, c_in long")
-
-        def at(rank):
-            base = F.col("c_lt") + F.col("c_eqL")
-            return (F.when(rank < base, F.col("L"))
-                    .when(rank < base + F.col("c_in"), F.lit(None))
-                    .otherwise(F.col("H")), rank - base)
-        lo_direct, lo_off = at(F.col("lo"))
-        hi_direct, hi_off = at(F.col("hi"))
-        m2 = meta.select("*", lo_direct.alias("vlo_d"), lo_off.alias("lo_off"), hi_direct.alias("vhi_d"),
-                         hi_off.alias("hi_off"))
-        need = pos.join(F.broadcast(m2.select("mcol", "mj", "lo_off", "hi_off")),
-                        (F.col("bcol") == F.col("mcol")) & (F.col("j") == F.col("mj"))
-                        & ((F.col("pos") == F.col("lo_off")) | (F.col("pos") == F.col("hi_off"))))
-        vals = need.groupBy("mcol", "mj").agg(
-            F.max(F.when(F.col("pos") == F.col("lo_off"), F.col("value"))).alias("vlo_s"),
-            F.max(F.when(F.col("pos") == F.col("hi_off"), F.col("value"))).alias("vhi_s"))
-        res = m2.join(vals, ["mcol", "mj"], "left")
-        vlo = F.coalesce("vlo_d", "vlo_s")
-        vhi = F.coalesce("vhi_d", "vhi_s")
-        parts.append(res.select(F.col("mcol").alias("column"), "p",
-                                (vlo + (vhi - vlo) * (F.col("k") - F.col("lo"))).alias("value")))
+        n_inner = sum(c[(b[0], b[2])]["c_in"] for b in good)
+        if n_inner <= MAX_LOCAL_INTERIOR:
+            # the counting pass proved the interior small: rank it locally
+            vals: dict = {}
+            for r in inner.collect():
+                vals.setdefault((r["bcol"], r["j"]), []).append(r["value"])
+            rows = []
+            for b in good:
+                r = c[(b[0], b[2])]
+                inside = sorted(vals.get((b[0], b[2]), []))
+                base = r["c_lt"] + r["c_eqL"]
+
+                def at(rank):
+                    if rank < base:
+                        return b[6]
+                    if rank < base + len(inside):
+                        return inside[rank - base]
+                    return b[7]
+                vlo, vhi = at(b[3]), at(b[4])
+                rows.append((b[0], b[1], vlo + (vhi - vlo) * (b[5] - b[3])))
+            parts.append(spark.createDataFrame(rows, "column string, p double, value double"))
+        else:
+            parts.append(_interior_by_positions(spark, inner, good, c, num_partitions))
     if bad_cols:
         parts.append(_quantiles_by_sort(long.filter(F.col("column").isin(sorted(bad_cols))), probs, num_partitions))
     out = parts[0]

@@ -228,3 +228,16 @@ def test_validation_messages(spark):
     assert got[1] == (["start_datetime is not a valid timestamp", "latitude outside service area",
                        "longitude is required"], False)
     assert got[2] == (["start_datetime is required", "latitude is required"], False)
+
+
+def test_bracketed_quantiles_distributed_interior(spark, monkeypatch):
+    """Force the large-interior path (exact positions via P1) and compare with numpy."""
+    import random
+    monkeypatch.setattr(prefix, "MAX_LOCAL_INTERIOR", 0)
+    rnd = random.Random(5)
+    a = [rnd.gauss(50, 20) for _ in range(2000)] + [10.0] * 500
+    df = spark.createDataFrame([(x,) for x in a], "a double")
+    probs = [0.1, 0.25, 0.5, 0.9]
+    got = {r["p"]: r["value"] for r in prefix.exact_quantiles(df, ["a"], probs, accuracy=20).collect()}
+    for p in probs:
+        assert abs(got[p] - np.percentile(np.array(a), p * 100)) < 1e-9, p
