@@ -38,3 +38,22 @@ def test_dedupe_keeps_one_row_per_id(spark):
     stream = spark.readStream.schema(schema).parquet(f"{src}/b1")
     out = jobs.run_available(jobs.dedupe(stream).select("id"), "dedupe_t")
     assert sorted(r["id"] for r in out.collect()) == [1, 2]
+
+
+def test_foreach_batch_status_merge_equals_batch(spark):
+    src = tempfile.mkdtemp(prefix="roadlens-stream-merge-")
+    out = tempfile.mkdtemp(prefix="roadlens-stream-snap-")
+    schema = "id long, ts timestamp, status string"
+    t = dt.datetime(2024, 1, 2, 12, 0)
+    b1 = [(1, t, "PENDING"), (2, t, "PENDING"), (3, t, "DISPATCHED")]
+    b2 = [(1, t + dt.timedelta(minutes=5), "DISPATCHED"), (2, t - dt.timedelta(minutes=5), "RESOLVED"),
+          (4, t, "PENDING")]
+    spark.createDataFrame(b1, schema).coalesce(1).write.parquet(f"{src}/b1")
+    time.sleep(1.5)
+    spark.createDataFrame(b2, schema).coalesce(1).write.parquet(f"{src}/b2")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    snap = jobs.run_status_merge(stream, f"{out}/status", f"{out}/ckpt")
+    got = {r["id"]: r["status"] for r in snap.collect()}
+    # id 2's second row is older than its first, so the earlier PENDING stays latest
+    assert got == {1: "DISPATCHED", 2: "PENDING", 3: "DISPATCHED", 4: "PENDING"}
