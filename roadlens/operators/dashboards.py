@@ -94,8 +94,6 @@ def severity_weight(level) -> F.Column:
     return map_lookup(level, SEVERITY_WEIGHT, 0)
 
 
-__all__ = ["Window", "search_filter", "equals_ci", "active_families", "grid_clusters", "heat_surface"]
-
 
 # ------------------------------------------------------------------------- aggregates (AGG)
 

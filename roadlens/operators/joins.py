@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.constants import POLICE_STATIONS, RESOURCES
+from roadlens.constants import RESOURCES
 from roadlens.operators import rates
 
 
@@ -73,5 +73,3 @@ def team_availability(spark, inc: DataFrame) -> DataFrame:
     st = F.when(F.col("n_d") > 0, "EN_ROUTE").when(F.col("n_s") > 0, "ON_SCENE").otherwise("AVAILABLE")
     return j.select("name", "type", st.alias("team_status"), F.coalesce("n_active", F.lit(0)).alias("active_assignments"))
 
-
-__all__ = ["POLICE_STATIONS"]

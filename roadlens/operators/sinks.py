@@ -8,7 +8,6 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from roadlens.session import ensure_checkpoint_dir
 
@@ -75,5 +74,3 @@ def row_counts(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") ->
         rows.append((name, n))
     return spark.createDataFrame(rows, "table string, rows long")
 
-
-__all__ = ["F"]

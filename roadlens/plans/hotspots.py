@@ -96,5 +96,3 @@ def nearest_junction_planar(lat="latitude", lon="longitude") -> tuple[Column, Co
     name = F.when(best["d"] < 999.0, best["n"]).otherwise(F.lit("City Centre"))
     return name, F.least(best["d"], F.lit(999.0))
 
-
-__all__ = ["closure_hotspots", "scored_incidents", "HOTSPOTS_SQL", "nearest_junction_planar", "np_round"]

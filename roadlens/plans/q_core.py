@@ -12,10 +12,8 @@ from roadlens.constants import (
     PUBLIC_TRANSPORT, REPORT_CATEGORY_CAUSE, REQUEST_BOUNDS, RISK_JUNCTIONS, VEHICLE_RISK,
 )
 from roadlens.functions import geo, temporal, text
-from roadlens.functions.common import flag as sflag
 from roadlens.functions.common import np_round
-from roadlens.operators import clean, events, impute, rates
-from roadlens.operators import features as feat
+from roadlens.operators import clean, events, impute
 from roadlens.plans import oracle_base as O
 from roadlens.plans.catalog import register
 from roadlens.plans.hotspots import closure_hotspots, HOTSPOTS_SQL, nearest_junction_planar
@@ -647,5 +645,3 @@ def evt_08(spark, sf):
                                 add_indicator=False)
     return df.select("id", *events.place_flags())
 
-
-__all__ = ["rates", "feat", "sflag"]

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.constants import (
-    CAUSE_DISPLAY, CONGESTION_CAUSE_WEIGHT, FALLBACK_RULES, JUNCTIONS, POLICE_STATIONS, REPORT_CATEGORY_CAUSE,
+    CAUSE_DISPLAY, CONGESTION_CAUSE_WEIGHT, FALLBACK_RULES, POLICE_STATIONS, REPORT_CATEGORY_CAUSE,
     RESOURCES, TRIAGE, WEATHER_CODES, WEATHER_STATES,
 )
-from roadlens.functions.common import first_match, np_round
+from roadlens.functions.common import first_match
 from roadlens.functions.text import cause_display, report_cause
 from roadlens.operators import dashboards as dash
 from roadlens.operators import joins, rolling, score
-from roadlens.operators.prefix import global_positions
 from roadlens.plans import oracle_base as O
 from roadlens.plans.catalog import register
 from roadlens.plans.hotspots import nearest_junction_planar
@@ -638,5 +637,3 @@ def scr_18(spark, sf):
 def scr_19(spark, sf):
     return score.explained(incidents(spark, sf).select("id", "event_cause", "latitude", "longitude"))
 
-
-__all__ = ["Window", "global_positions", "np_round", "JUNCTIONS"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadlens.functions import temporal
 from roadlens.operators import encode, impute, rates, rolling
 from roadlens.operators import features as feat
 from roadlens.operators.outliers import FenceModel, MinMaxModel, StandardScalerModel, iqr_fences
@@ -405,5 +404,3 @@ def spl_02(spark, sf):
 def spl_03(spark, sf):
     return hash_sample(incidents(spark, sf).select("id", "event_cause", "requires_road_closure"), "id", 500)
 
-
-__all__ = ["temporal"]

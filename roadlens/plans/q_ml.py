@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadlens.functions import geo, temporal
-from roadlens.operators import clean, encode, impute, rates, score
+from roadlens.operators import clean, encode, impute, score
 from roadlens.operators import explain as xp
 from roadlens.operators import train as tr
 from roadlens.operators.iforest import fit_isolation_forest
@@ -322,5 +322,3 @@ def int_04(spark, sf):
     x = scaler.transform(x)
     return x.drop("ts", "start_datetime", "description", *cats)
 
-
-__all__ = ["rates"]

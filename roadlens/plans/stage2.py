@@ -141,7 +141,7 @@ def _roll(hours):
 
 
 def _base_sql():
-    from roadlens.constants import (ARTERIAL_CORRIDORS, CBD_CORRIDORS, HEAVY_VEHICLES, ORBITAL_CORRIDORS,
+    from roadlens.constants import (ARTERIAL_CORRIDORS, HEAVY_VEHICLES, ORBITAL_CORRIDORS,
                                     PUBLIC_TRANSPORT, RADIAL_CORRIDORS, CITY_CENTRE, AIRPORT)
     sev = f"round_even({O.dmap('event_cause', CAUSE_SEVERITY, 0.083)}, 4)"
     cat = O.dmap("event_cause", CAUSE_CATEGORY, "other")
