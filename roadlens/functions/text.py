@@ -21,7 +21,7 @@ WS_CLASS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
 def word_count(c) -> Column:
     """TXT-01: number of whitespace-separated tokens; NULL/empty -> 0."""
     s = F.coalesce(col(c), F.lit(""))
-    return F.size(F.filter(F.split(s, "[" + WS_CLASS + "]+"), lambda x: x != F.lit(""))).cast("int")
+    return F.regexp_count(s, F.lit("[^" + WS_CLASS + "]+")).cast("int")   # runs of non-space, no arrays
 
 
 def keyword_flags(c, keywords, prefix: str) -> list[Column]:
