@@ -241,3 +241,15 @@ def test_bracketed_quantiles_distributed_interior(spark, monkeypatch):
     got = {r["p"]: r["value"] for r in prefix.exact_quantiles(df, ["a"], probs, accuracy=20).collect()}
     for p in probs:
         assert abs(got[p] - np.percentile(np.array(a), p * 100)) < 1e-9, p
+
+
+def test_redundant_pairs_wide_path_matches(spark, monkeypatch):
+    from roadlens.operators import select as sel
+    rows = [(float(i), float(i) * 2 + (i % 3), float(i % 7), float(-i) + (i % 2) * 0.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    feats = ["a", "b", "c", "d"]
+    narrow = {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in sel.redundant_pairs(df, feats, 0.5).collect()}
+    monkeypatch.setattr(sel, "WIDE_FEATURES", 1)
+    wide = {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in sel.redundant_pairs(df, feats, 0.5).collect()}
+    assert narrow.keys() == wide.keys() and len(narrow) >= 3
+    assert all(abs(narrow[k] - wide[k]) < 1e-9 for k in narrow)
