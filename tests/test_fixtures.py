@@ -253,3 +253,32 @@ def test_redundant_pairs_wide_path_matches(spark, monkeypatch):
     wide = {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in sel.redundant_pairs(df, feats, 0.5).collect()}
     assert narrow.keys() == wide.keys() and len(narrow) >= 3
     assert all(abs(narrow[k] - wide[k]) < 1e-9 for k in narrow)
+
+
+def test_heat_surface_neighbourhood_is_exact(spark):
+    """Brute force over a 7x7 cell neighbourhood: no cell outside the 3x3 ring ever gets weight."""
+    import math
+    import random
+    from roadlens.operators.dashboards import heat_surface
+    rnd = random.Random(11)
+    pts = [(12.8 + rnd.random() * 0.4, 77.3 + rnd.random() * 0.4) for _ in range(150)]
+    df = spark.createDataFrame(pts, "latitude double, longitude double")
+    got = {(r["cell_lat"], r["cell_lon"]): r["heat"] for r in heat_surface(df).collect()}
+
+    def hav(la1, lo1, la2, lo2):
+        r = math.radians
+        a = math.sin((r(la2) - r(la1)) / 2) ** 2 + math.cos(r(la1)) * math.cos(r(la2)) * math.sin((r(lo2) - r(lo1)) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(a)))
+    exp: dict = {}
+    for la, lo in pts:
+        bl, bn = math.floor(la / 0.01), math.floor(lo / 0.01)
+        for dl in range(-3, 4):
+            for dn in range(-3, 4):
+                cl, cn = bl + dl, bn + dn
+                d = hav(la, lo, (cl + 0.5) * 0.01, (cn + 0.5) * 0.01)
+                w = (0.22 if d <= 0.12 else 0) + (0.07 if d <= 0.4 else 0) + (0.03 if d <= 0.8 else 0)
+                if w > 0:
+                    assert abs(dl) <= 1 and abs(dn) <= 1
+                    exp[(cl, cn)] = exp.get((cl, cn), 0.0) + w
+    assert got.keys() == exp.keys()
+    assert all(abs(got[k] - round(exp[k], 6)) < 1e-6 for k in exp)
