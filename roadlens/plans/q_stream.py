@@ -72,12 +72,50 @@ def str_04(spark, sf):
     return jobs.run_available(jobs.rolling_counts(s), "rolling", mode="complete")
 
 
-@register("str_05")
+def _warning_sql():
+    from roadlens.plans.q_dash import _cameras_sql
+    D = O.d
+    lc, ld = "lower(coalesce(event_cause, ''))", "lower(coalesce(description, ''))"
+    ctes = dict(
+        cam=_cameras_sql(),
+        r=f"""SELECT date_trunc('hour', ts) AS w,
+                count(*) FILTER (WHERE contains({lc}, 'water') OR contains({lc}, 'flood') OR contains({ld}, 'water')) AS n_water,
+                count(*) FILTER (WHERE contains({lc}, 'accident') OR contains({lc}, 'crash') OR contains({ld}, 'accident')) AS n_accident,
+                count(*) FILTER (WHERE contains({lc}, 'construction') OR contains({ld}, 'repair') OR contains({ld}, 'work')) AS n_work
+              FROM incidents WHERE status IN ('PENDING', 'DISPATCHED', 'ON_SCENE') AND ts IS NOT NULL GROUP BY 1""",
+        c="""SELECT date_trunc('hour', ts) AS w, count(*) FILTER (WHERE density IN ('JAMMED', 'HEAVY') OR queue_length_m > 200)
+               AS n_congested_cams FROM cam WHERE ts IS NOT NULL GROUP BY 1""",
+        wx=f"""SELECT date_trunc('hour', ts) AS w, avg(CASE WHEN value > 100 THEN value / {D(20.0)} ELSE {D(0.0)} END) AS rain_mm
+               FROM events WHERE event_type = 'view' AND ts IS NOT NULL GROUP BY 1""",
+        j="""SELECT coalesce(r.w, c.w, wx.w) AS w, coalesce(n_water, 0) AS n_water, coalesce(n_accident, 0) AS n_accident,
+                    coalesce(n_work, 0) AS n_work, coalesce(n_congested_cams, 0) AS n_congested_cams,
+                    coalesce(rain_mm, 0.0) AS rain_mm
+             FROM r FULL OUTER JOIN c ON r.w = c.w FULL OUTER JOIN wx ON coalesce(r.w, c.w) = wx.w""",
+        warn="""SELECT w AS window_start, n_water, n_accident, n_work, n_congested_cams, round_even(rain_mm, 6) AS rain_mm,
+                  CASE WHEN rain_mm > 10 OR n_congested_cams >= 3 OR n_accident >= 3 THEN 'RED'
+                       WHEN rain_mm > 2 OR n_congested_cams >= 1 OR n_water >= 1 THEN 'AMBER' ELSE 'GREEN' END AS level,
+                  list_filter([CASE WHEN rain_mm > 10 THEN 'heavy rain' WHEN rain_mm > 2 THEN 'rain' END,
+                               CASE WHEN n_water > 0 THEN 'water logging reports' END,
+                               CASE WHEN n_accident > 0 THEN 'accident reports' END,
+                               CASE WHEN n_work > 0 THEN 'road works' END,
+                               CASE WHEN n_congested_cams > 0 THEN 'camera congestion' END], lambda x: x IS NOT NULL) AS alerts
+                FROM j""")
+    return ctes
+
+
+@register("str_05", O.with_ctes("SELECT * FROM warn", **_warning_sql()))
 def str_05(spark, sf):
     return jobs.early_warning(incidents(spark, sf), cameras(spark, sf), hourly_weather(spark, sf))
 
 
-@register("str_06")
+@register("str_06", O.with_ctes(f"""
+SELECT window_start, round_even(b, 6) AS risk_30m, round_even(b * {O.d(0.85)}, 6) AS risk_1h,
+       round_even(b * {O.d(0.7)}, 6) AS risk_2h,
+       CASE WHEN b >= 70 THEN 'CRITICAL' WHEN b >= 50 THEN 'HIGH' WHEN b >= 30 THEN 'ELEVATED' ELSE 'NORMAL' END AS status,
+       CASE WHEN b * {O.d(0.85)} > b THEN 'rising' WHEN b * {O.d(0.85)} < b THEN 'easing' ELSE 'steady' END AS trend
+FROM (SELECT window_start, least({O.d(100.0)}, n_accident * {O.d(15.0)} + n_water * {O.d(10.0)}
+             + n_congested_cams * {O.d(12.0)} + rain_mm * {O.d(3.0)} + n_work * {O.d(5.0)}) AS b FROM warn)""",
+    **_warning_sql()))
 def str_06(spark, sf):
     return jobs.horizon_risk(jobs.early_warning(incidents(spark, sf), cameras(spark, sf), hourly_weather(spark, sf)))
 

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlens.functions.common import np_round
 from roadlens.operators import clean, score
 from roadlens.sources.tables import incidents_from, read_table
 from roadlens.session import ensure_checkpoint_dir
@@ -111,7 +112,7 @@ def early_warning(reports: DataFrame, cams: DataFrame, weather: DataFrame, windo
         F.when(F.col("n_work") > 0, F.lit("road works")),
         F.when(F.col("n_congested_cams") > 0, F.lit("camera congestion"))))
     return j.select(F.col("w").alias("window_start"), "n_water", "n_accident", "n_work", "n_congested_cams",
-                    F.round(rain, 6).alias("rain_mm"), level.alias("level"), alerts.alias("alerts"))
+                    np_round(rain, 6).alias("rain_mm"), level.alias("level"), alerts.alias("alerts"))
 
 
 def horizon_risk(warn: DataFrame) -> DataFrame:
@@ -121,8 +122,8 @@ def horizon_risk(warn: DataFrame) -> DataFrame:
     def status(c):
         return F.when(c >= 70, "CRITICAL").when(c >= 50, "HIGH").when(c >= 30, "ELEVATED").otherwise("NORMAL")
     r30, r1h, r2h = base, base * F.lit(0.85), base * F.lit(0.7)
-    return warn.select("window_start", F.round(r30, 6).alias("risk_30m"), F.round(r1h, 6).alias("risk_1h"),
-                       F.round(r2h, 6).alias("risk_2h"), status(r30).alias("status"),
+    return warn.select("window_start", np_round(r30, 6).alias("risk_30m"), np_round(r1h, 6).alias("risk_1h"),
+                       np_round(r2h, 6).alias("risk_2h"), status(r30).alias("status"),
                        F.when(r1h > r30, "rising").when(r1h < r30, "easing").otherwise("steady").alias("trend"))
 
 
