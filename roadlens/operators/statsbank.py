@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from roadlens.operators import rates
 
 MAX_MAP_KEYS = 50_000
-SUMS = ["y", "veh", "pri"]
 
 
 @dataclass

@@ -20,8 +20,6 @@ from roadlens.plans.hotspots import closure_hotspots, HOTSPOTS_SQL, nearest_junc
 from roadlens.sources.tables import incidents, pick, read_table
 
 TWO_PI = 2 * math.pi
-INC = "SELECT * FROM incidents"
-NO_TS = ["ts", "created_ts"]
 
 register("closure_hotspots", HOTSPOTS_SQL)(closure_hotspots)
 

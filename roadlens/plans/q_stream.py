@@ -14,9 +14,6 @@ from roadlens.plans.q_dash import _prob_sql
 from roadlens.sources.tables import cameras, hourly_weather, incidents
 from roadlens.streaming import jobs
 
-_RB = {"latitude": (12.7, 13.2), "longitude": (77.4, 77.8)}
-
-
 @register("str_01", O.with_ctes(f"""
 SELECT id, event_cause, len(errs) = 0 AS is_valid, errs AS errors, ns.n AS nearest_station, ns.d AS station_km,
        {O.dmap('event_cause', {k: v[0] for k, v in TRIAGE.items()}, 'LOW')} AS risk_level,

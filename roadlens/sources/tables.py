@@ -39,7 +39,6 @@ BIND_DESCRIPTIONS = [
     "",
 ]
 BIND_STREETS = ["Outer Ring Road", "Bellary Road", "Hosur Road NH 44", "MG Road"]
-STATUS_BY_EVENT_TYPE = {"signup": "PENDING", "click": "DISPATCHED", "error": "ON_SCENE"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
