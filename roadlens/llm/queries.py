@@ -32,3 +32,19 @@ def word_bpe() -> str:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadlens.llm.token_count import count_tokens
     return count_tokens(table(spark, sf_dir, "documents"), word_bpe())
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), word_bpe())
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from roadlens.llm.langid import identify, is_held_out, labelled_rows
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, labelled_rows(docs))
+    return found.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
