@@ -79,3 +79,117 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+OP8_SQL = r"""
+WITH a AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM a),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM s WHERE len(w) > 2)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM
+      (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+c AS (SELECT s.doc_id, stratum, len(w) AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+      len(t) - len(translate(t, '#*$%&|<>', '')) AS n_symbols, len(l) AS n_lines,
+      len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+      len(t) - len(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, len(t) - len(regexp_replace(t, '[!?]', '', 'g')) AS n_marks,
+      len(w) - len(list_distinct(w)) AS n_same FROM s LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+m AS (SELECT doc_id, stratum, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'marks', 'same_words']) AS metric,
+      unnest([[n_symbols, word_chars], [n_dup_lines, n_lines], [n_repeat_words, n_words], [n_capitals, word_chars],
+              [n_marks, word_chars], [n_same, n_words]]) AS v FROM f),
+b AS (SELECT doc_id, stratum, base_failed, metric,
+      CASE WHEN v[2] > 0 THEN least(100, floor(v[1] * 100 / v[2])) ELSE 0 END AS bin FROM m),
+lab AS (SELECT stratum, metric, bin, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality <> 1) AS bad
+        FROM b JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL GROUP BY ALL),
+k AS (SELECT stratum, metric, bin, sum(good) OVER d AS k, sum(bad) OVER d AS caught, sum(good) OVER e AS n, sum(bad) OVER e AS n_bad
+      FROM lab WINDOW d AS (PARTITION BY stratum, metric ORDER BY bin DESC), e AS (PARTITION BY stratum, metric)),
+q AS (SELECT *, coalesce(caught / nullif(n_bad, 0), 0) - 20 * k / n AS gain, 0.02 / 6 AS p,
+      (SELECT count(DISTINCT stratum) FROM lab) AS strata FROM k WHERE bin > 0 AND n > 0),
+z AS (SELECT stratum, metric, bin, gain FROM q WHERE gain > 0 AND k < n * p AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1),
+      lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) <= 0.05 / (6 * strata)),
+x AS (SELECT stratum, metric, max_by(bin, gain * 1e6 + bin / 1e6) AS cutoff FROM z GROUP BY ALL),
+j AS (SELECT b.doc_id, bool_or(bin >= cutoff) AS rejected FROM b JOIN x USING (stratum, metric) GROUP BY 1)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(rejected, false) AS kept FROM f LEFT JOIN j USING (doc_id)
+"""
+
+
+@query("op8_quality_rules", OP8_SQL)
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.quality import judge
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by")
+
+
+OP4_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+OP4_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS x FROM pages),
+a AS (SELECT page_id, coalesce(translate(regexp_extract(x, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(x, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r(action, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+      ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+f AS (SELECT page_id, arg_max(h || p, len(h || p)) AS rule, arg_max(action, len(h || p)) AS by_rule
+      FROM a JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1),
+t AS (SELECT a.page_id, host, path, rule, by_rule, host || path AS text, left(md5(host || path), 1) < '3' AS held,
+      '^^^' || regexp_replace(replace(regexp_replace(regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[?=&#%:~+]', '?', 'g'), '_', '-'), '[^a-z0./?-]', '*', 'g') || '$' AS s
+      FROM a LEFT JOIN f USING (page_id)),
+e AS (SELECT by_rule, held, substr(s, i, 4) AS g FROM (SELECT *, unnest(range(1, len(s) - 2)) AS i FROM t)),
+d AS (SELECT g, count(*) FILTER (by_rule = 'allow' AND NOT held) AS a, count(*) FILTER (by_rule = 'block' AND NOT held) AS b FROM e GROUP BY g),
+n AS (SELECT sum(a) AS na, sum(b) AS nb FROM d),
+p1 AS (SELECT d.*, (sum(a) OVER (PARTITION BY substr(g, 4, 1)) + 2.0::DOUBLE / 34) / (na + 2.0::DOUBLE) AS pa,
+       (sum(b) OVER (PARTITION BY substr(g, 4, 1)) + 2.0::DOUBLE / 34) / (nb + 2.0::DOUBLE) AS pb, na > 0 AND nb > 0 AS known FROM d, n),
+p2 AS (SELECT g, a, b, known, (sum(a) OVER (PARTITION BY substr(g, 3, 2)) + 2.0::DOUBLE * pa) / (sum(a) OVER (PARTITION BY substr(g, 3, 1)) + 2.0::DOUBLE) AS pa,
+       (sum(b) OVER (PARTITION BY substr(g, 3, 2)) + 2.0::DOUBLE * pb) / (sum(b) OVER (PARTITION BY substr(g, 3, 1)) + 2.0::DOUBLE) AS pb FROM p1),
+p3 AS (SELECT g, a, b, known, (sum(a) OVER (PARTITION BY substr(g, 2, 3)) + 2.0::DOUBLE * pa) / (sum(a) OVER (PARTITION BY substr(g, 2, 2)) + 2.0::DOUBLE) AS pa,
+       (sum(b) OVER (PARTITION BY substr(g, 2, 3)) + 2.0::DOUBLE * pb) / (sum(b) OVER (PARTITION BY substr(g, 2, 2)) + 2.0::DOUBLE) AS pb FROM p2),
+m AS (SELECT g, CASE WHEN known THEN ln((a + 2.0::DOUBLE * pa) / (sum(a) OVER (PARTITION BY substr(g, 1, 3)) + 2.0::DOUBLE))
+      - ln((b + 2.0::DOUBLE * pb) / (sum(b) OVER (PARTITION BY substr(g, 1, 3)) + 2.0::DOUBLE)) ELSE 0 END AS delta FROM p3),
+x AS (SELECT text, s, count(*) FILTER (by_rule = 'allow' AND held) AS a, count(*) FILTER (by_rule = 'block' AND held) AS b
+      FROM t WHERE by_rule IS NULL OR held GROUP BY text, s),
+c AS (SELECT text, a, b, round(avg(delta), 9) AS score FROM (SELECT *, unnest(range(1, len(s) - 2)) AS i FROM x) y
+      JOIN m ON m.g = substr(s, i, 4) GROUP BY text, a, b),
+h AS (SELECT floor(score * 100) AS bin, sum(a) AS a, sum(b) AS b FROM c WHERE a + b > 0 GROUP BY 1),
+k AS (SELECT bin, round((sum(b) OVER w - b) / nullif(sum(b) OVER (), 0) - (sum(a) OVER w - a) / nullif(sum(a) OVER (), 0), 9) AS gain
+      FROM h WINDOW w AS (ORDER BY bin)),
+z AS (SELECT coalesce((SELECT bin FROM k WHERE gain IS NOT NULL ORDER BY gain DESC, abs(bin), bin DESC LIMIT 1), 0) / 100 AS cutoff)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN score < cutoff THEN 'block' ELSE 'allow' END) AS verdict
+FROM t LEFT JOIN c USING (text), z
+"""
+
+
+@query("op4_url_filter", OP4_SQL)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.url_filter import judge
+    return judge(table(spark, sf_dir, "pages"), OP4_RULES).drop("score")
+
+
+def _op7_sql() -> str:
+    from roadlens.llm.license import RULES, SENTENCES
+    values = ", ".join(f"('{i}', '{s}')" for i, _, s in SENTENCES)
+    left, cases = "sequence", []
+    for name, codes in RULES:
+        cases.append(f"CASE WHEN contains({left}, '{codes}') THEN '{name}' END")
+        left = f"replace({left}, '{codes}', ' ')"
+    return rf"""
+WITH known(code, sentence) AS (VALUES {values}),
+s AS (SELECT doc_id, unnest(x) AS raw, unnest(range(len(x))) AS i FROM
+      (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '[.!?]+(\s|$)', chr(10) || '\1', 'g'), '\n') AS x FROM documents)),
+k AS (SELECT doc_id, string_agg(code, '' ORDER BY i) AS sequence FROM
+      (SELECT doc_id, i, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s) JOIN known USING (sentence) GROUP BY 1),
+d AS (SELECT doc_id, coalesce(sequence, '') AS sequence FROM documents LEFT JOIN k USING (doc_id))
+SELECT doc_id, sequence, CAST(len(sequence) AS BIGINT) AS n_sentences,
+       array_to_string(list_sort(list_distinct(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL))), ',') AS licences FROM d
+"""
+
+
+@query("op7_license_scan", _op7_sql())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from roadlens.llm.license import scan
+    return scan(table(spark, sf_dir, "documents")).withColumn("licences", F.concat_ws(",", "licences"))
