@@ -193,3 +193,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from roadlens.llm.license import scan
     return scan(table(spark, sf_dir, "documents")).withColumn("licences", F.concat_ws(",", "licences"))
+
+
+@query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("sha256", "kept_sha256")
