@@ -1,18 +1,31 @@
-"""Exact token ids by white-space pieces, with a bounded cache in each Python worker.
+"""Exact token ids by pre-tokens, with a bounded cache in each Python worker.
 
-The tokenizer drops white space and none of its normalisation, splitting or merging steps
-reaches across an ASCII space, tab or line break.  So the ids of a text are the ids of its
-pieces between those characters, in order, and a piece that was encoded once need not be
-encoded again.  Other white space stays inside a piece and is left to the library.
+The tokenizer lower-cases, drops white space and splits texts into runs of letters, single
+digits and runs of other characters before it merges; nothing it does reaches across these
+borders.  So the ids of a text are the ids of its pre-tokens in order, and a pre-token that
+was encoded once need not be encoded again.
+
+Plain texts (printable ASCII and Latin-1 letters, no apostrophe and no ``<``) are split here
+by the same rule.  In any other text only ASCII spaces, tabs and line breaks are taken as
+borders, and each piece between them, special strings included, is left to the library.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
+
+import numpy as np
 
 BLOCK = 1 << 20          # characters of a text that are split at a time
+ENTRIES = 900_000        # pre-tokens a worker remembers
 _SPACES = str.maketrans("\n\t\r", "   ")
+_NOT_PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]|['<]").search
+_PRE_TOKENS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+").findall
+
+
+_ONE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\\[-`{-~]+").fullmatch
 
 
 def load_tokenizer(path: str):
@@ -24,43 +37,59 @@ def load_tokenizer(path: str):
 def blocks(text: str) -> Iterator[str]:
     """The text cut at ASCII white space into blocks of about BLOCK characters."""
     n, lo = len(text), 0
-    if n <= BLOCK:
-        yield text.translate(_SPACES) if n else ""
-        return
-    text = text.translate(_SPACES)
     while lo < n:
-        hi = text.find(" ", lo + BLOCK)
-        hi = n if hi < 0 else hi
-        yield text[lo:hi]
+        hi = n
+        if lo + BLOCK < n:
+            cuts = [at for at in (text.find(c, lo + BLOCK) for c in " \n") if at >= 0]
+            hi = min(cuts, default=n)
+        yield text[lo:hi] if lo or hi < n else text
         lo = hi
 
 
+def pre_tokens(text: str) -> list[str]:
+    return text.translate(_SPACES).split(" ") if _NOT_PLAIN(text) else _PRE_TOKENS(text.lower())
+
+
 class PieceCache(dict):
-    """piece -> ids as little-endian unsigned 32-bit bytes (or their count); bounded."""
+    """pre-token -> ids as little-endian unsigned 32-bit bytes (or their count); bounded."""
 
-    def __init__(self, tokenizer_path: str, counts: bool, limit: int = 300_000, frequent: dict | None = None):
+    def __init__(self, tokenizer_path: str, counts: bool, limit: int = ENTRIES, frequent: dict | None = None):
         super().__init__(frequent or {})
         self.tokenizer, self.counts, self.limit = load_tokenizer(tokenizer_path), counts, limit
         self.frequent = frequent or {}
         self[""] = 0 if counts else b""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        import numpy as np
+    def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > self.limit + len(self.frequent):
-            kept = set(pieces)
-            self.clear()
-            self.update(self.frequent)
-            self[""] = 0 if self.counts else b""
-            new = [p for p in kept if p not in self]
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
+        if len(self) + len(new) > self.limit:        # the older half goes, but what is needed now
+            for p in list(self)[:len(self) // 2]:
+                if p not in pieces and p not in self.frequent:
+                    del self[p]
+        for lo in range(0, len(new), 256):
+            part = new[lo:lo + 256]
+            # all at once where each piece is one pre-token, which shows in its one word-end id
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and self.one(part):
+                at = [0, *cuts.tolist()]
+                raw = ids.tobytes()
+                for k, p in enumerate(part):
+                    self[p] = at[k + 1] - at[k] if self.counts else raw[4 * at[k]:4 * at[k + 1]]
+                continue
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self[p] = len(e) if self.counts else np.asarray(e.ids, "<u4").tobytes()
 
+    @staticmethod
+    def one(part: list[str]) -> bool:
+        """Whether each piece is a pre-token of a plain text, so that none can be empty or several."""
+        return all(map(_ONE, part))
+
     def lists(self, texts: list[str | None]) -> list[list[list[str]]]:
-        """Pieces of each block of each text; all of them are known afterwards."""
-        out = [[b.split(" ") for b in blocks(t or "")] for t in texts]
+        """Pre-tokens of each block of each text; all of them are known afterwards."""
+        out = [[pre_tokens(b) for b in blocks(t or "")] for t in texts]
         fresh: set[str] = set()
         for t in out:
             for b in t:
