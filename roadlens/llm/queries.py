@@ -199,3 +199,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadlens.llm.suffix_dedup import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("sha256", "kept_sha256")
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.html_extract import extract
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
