@@ -41,10 +41,11 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = _WORD,
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(folded bytes, word starts, word ends, row of each word); no word crosses rows."""
     x = _FOLD[data]
-    inside = np.r_[False, _WORD[x], False].astype(np.int8)
+    inside = np.r_[False, in_word[x], False].astype(np.int8)
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     cuts = offsets[1:-1]

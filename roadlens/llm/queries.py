@@ -205,3 +205,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadlens.llm.html_extract import extract
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roadlens.llm.neardup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
