@@ -44,7 +44,7 @@ LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1           # places that compete in one string
 WIDEST = LENGTH + WINDOW - 1         # longest neighbourhood
 CHUNK = 2 << 20                      # bytes of text that are searched at a time
-BLOCK = 16 << 20                     # bytes of text whose runs are sent together
+HELD = 32 << 20                      # bytes of neighbourhoods that are sent together
 RANGE_BYTES = 8 << 20                # text bytes for each range of suffixes
 SAMPLE_ROWS = 4_000                  # documents whose suffixes give the splitters
 RUN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<u2"), ("at", "<u2")])
@@ -168,22 +168,25 @@ def string_spans(records: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, n
 
 
 def packed(records: np.ndarray, around: np.ndarray) -> bytes:
-    """Records and neighbourhoods (without their zero filling), compressed."""
-    order = np.argsort(gram_words(records, around)[0], kind="stable") if len(records) else np.zeros(0, np.int64)
+    """Records and neighbourhoods (without their zero filling), compressed.
+
+    Rows go by document and start, as differences and byte plane by byte plane: few bits each."""
+    order = np.lexsort((records["start"], records["doc"]))
     records, around = records[order], around[order]
     body = around[np.arange(WIDEST) < (records["n"].astype(np.int64) + LENGTH - 1)[:, None]]
-    fields = b"".join(np.ascontiguousarray(records[f]).tobytes() for f in RUN.names)
-    return zstandard.compress(np.int64(len(records)).tobytes() + fields + body.tobytes(), 3)
+    fields = [np.diff(records[f].astype("<i8"), prepend=0).view(np.uint8).reshape(-1, 8).T for f in ("doc", "start")]
+    fields += [records[f].astype(np.uint8) for f in ("n", "at")]            # both under 256
+    return zstandard.compress(b"".join([np.int64(len(records)).tobytes(), *(f.tobytes() for f in fields), body.tobytes()]), 6)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.decompress(blob)
     n, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
     records = np.empty(n, RUN)
-    for f in RUN.names:
-        kind = RUN[f]
-        records[f] = np.frombuffer(raw, kind, n, at)
-        at += n * kind.itemsize
+    for f, width in (("doc", 8), ("start", 8), ("n", 1), ("at", 1)):
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        records[f] = np.cumsum(np.ascontiguousarray(planes.T).view("<i8").reshape(-1)) if width == 8 else planes[0]
+        at += n * width
     around = np.zeros((n, WIDEST), np.uint8)
     around[np.arange(WIDEST) < (records["n"].astype(np.int64) + LENGTH - 1)[:, None]] = np.frombuffer(raw, np.uint8, offset=at)
     return records, around
@@ -273,17 +276,19 @@ def sender(bounds: np.ndarray, shares: np.ndarray) -> Callable:
                 if len(got[0]):
                     held.append(reduced(*got))
                     size += len(got[0]) * WIDEST
-                if size > 5 * BLOCK:
+                if size > HELD:
                     yield from flush(held)
                     held, size = [], 0
         yield from flush(held)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         if held:
-            repeat = np.concatenate([r for r, _, _ in held])
+            repeat, records = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            around = np.concatenate([h[2] for h in held])
+            held.clear()
             if len(repeat):
                 yield span_batch(*spans_of(repeat))
-            yield from route(np.concatenate([r for _, r, _ in held]), np.concatenate([a for _, _, a in held]))
+            yield from route(records, around)
     return send
 
 
@@ -303,10 +308,12 @@ def receiver(last: bool) -> Callable:
     def done(now, blobs) -> Iterator[pa.RecordBatch]:
         if not blobs:
             return
-        parts = [unpacked(b) for b in blobs]
-        blobs.clear()
-        records, around = np.concatenate([r for r, _ in parts]), np.concatenate([a for _, a in parts])
-        del parts
+        rows = sum(int(np.frombuffer(zstandard.ZstdDecompressor().stream_reader(b).read(8), "<i8")[0]) for b in blobs)
+        records, around, at = np.empty(rows, RUN), np.empty((rows, WIDEST), np.uint8), 0
+        while blobs:
+            r, a = unpacked(blobs.pop())
+            records[at:at + len(r)], around[at:at + len(r)] = r, a
+            at += len(r)
         if now[1] and not last:
             repeat, records, around = reduced(records, around)
             if len(repeat):
