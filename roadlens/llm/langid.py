@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadlens.llm.common import row_chunks, utf8
 
@@ -161,6 +162,27 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
              lang_col: str = "lang", rows_per_language: int = 4_000) -> DataFrame:
     """id, lang_pred, score for each row of ``docs``; the models come from ``labelled`` (no null label)."""
     languages, model = fit(labelled, text_col, lang_col, id_col, rows_per_language)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), has_letter(text_col).alias("letter"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return (rows.mapInArrow(inference(docs, languages, model), f"id {kind}, lang_pred string, score double")
+            .withColumnRenamed("id", id_col))
+
+
+def annotate(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             lang_col: str = "lang", rows_per_language: int = 4_000) -> DataFrame:
+    """row (a struct of all columns of ``docs``), lang_pred, score: texts are not joined to their results."""
+    languages, model = fit(labelled, text_col, lang_col, id_col, rows_per_language)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), has_letter(text_col).alias("letter"))
+    out = T.StructType([whole.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return whole.mapInArrow(inference(docs, languages, model), out)
+
+
+def has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
+
+
+def inference(docs: DataFrame, languages: list[str], model: np.ndarray):
+    """Task function: (a column to pass on, text, has a letter) in; (the column, lang_pred, score) out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +198,9 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
             best = np.where(letters & bool(languages), best, len(languages))
             score = np.where(letters, score, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)],
-                                             names=["id", "lang_pred", "score"])
+                                             names=[batch.schema.names[0], "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                       F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("letter"))
-    return (rows.mapInArrow(inferred, f"id {kind}, lang_pred string, score double")
-            .withColumnRenamed("id", id_col))
+    return inferred
 
 
 def labelled_rows(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:

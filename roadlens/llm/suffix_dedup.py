@@ -37,6 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadlens.llm.common import mix, row_chunks, utf8, words_at
 
@@ -415,3 +416,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = OUT.format(kept=", kept_text string" if keep_text else "")
     return (texts.join(spans, "id", "left").select("id", "blob", "spans").mapInArrow(cleaner(keep_text), out)
             .withColumnRenamed("id", id_col))
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated passages removed from the texts; rows without any are left as they are.
+
+    A character that is cut through loses its remaining bytes too."""
+    spans = (repeated_spans(docs, id_col, text_col).groupBy(F.col("doc").alias("span_id"))
+             .agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                raw, at, kept = (text or "").encode("utf-8"), 0, []
+                for lo, hi in sorted((s["start"], s["stop"]) for s in spans):
+                    kept.append(raw[at:max(lo, at)])
+                    at = max(hi, at)
+                texts.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["own", "text"])
+
+    others = [c for c in docs.columns if c != text_col]
+    whole = docs.select(F.struct(*others).alias("own"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("span_id"))
+    joined = whole.join(spans, "span_id", "left")
+    same = joined.where("spans is null").select("own", "text")
+    out = T.StructType([whole.schema["own"], T.StructField("text", T.StringType())])
+    changed = joined.where("spans is not null").select("own", "text", "spans").mapInArrow(clean, out)
+    return same.unionByName(changed).select(
+        *[F.col("own")[c].alias(c) if c != text_col else F.col("text").alias(c) for c in docs.columns])
