@@ -9,11 +9,15 @@ links make groups.
    the first ``DEPTH`` values of a tree are a region; a region of over ``REGION`` nodes is split
    by one more column of that tree's order, as often as its size asks for, so the depth adapts
    to each region.  A pair of similarity 0.75 misses all trees with probability 2e-6.
-3. Within a region (a bounded number of nodes) the sketches of neighbours in the order are
-   compared; pairs whose estimate is within four standard errors of the threshold go on,
-   once each.  What is left undivided at the last depth agrees on nearly all columns; it is cut
-   by a hash of the id, and each part also gets the region's smallest node.
-4. Candidates are confirmed on their full sets, links are contracted to components in Spark.
+3. Within a region (a bounded number of nodes and shingles) the sketches of neighbours in the
+   order are compared; pairs whose estimate is within four standard errors of the threshold
+   are candidates, each in one region.  What is left undivided at the last depth agrees on
+   nearly all columns; it is cut by a hash of the id, and each part also gets the region's
+   smallest node.
+4. Nodes with a candidate get their full sets, and each region confirms its candidates on them.
+   Pairs that confirmed links of the region already join need no test of their own, so a
+   region reports fewer links than it has nodes, never all its pairs.
+5. Links are contracted to components in Spark.
 
 Only sketches of nodes with a neighbour are moved, and full sets only of candidates.
 
@@ -25,7 +29,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,7 @@ from roadlens.llm.decontam import gram_hashes, word_hashes, words
 SHINGLE = 5
 TREES, DEPTH, COLUMNS = 24, 3, 96
 REGION = 2048            # nodes of a region that are compared in one task
+WEIGHT = 8 << 20         # and their shingles (48 MB of sets)
 DEEPEST = 12             # columns of a tree's order that may split a region
 MARGIN = 4.0             # standard errors of the estimate below the threshold that still go on
 CHUNK, ROWS = 1 << 20, 4096
@@ -123,36 +128,38 @@ def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["id", "n", "k1", "k2", "sketch", "trees"])
 
 
-def regions(nodes: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(region, id) with 2 to ``limit`` nodes in each region, and (id, hot): trees whose region was split."""
-    spark = nodes.sparkSession
-    rows = nodes.select("id", F.posexplode("trees").alias("tree", "region"))
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    now = cut(rows.join(sizes, "region").select("region", "id", "tree", "size"))
-    done, hot = now.where(F.col("size") <= limit).select("region", "id"), None
+def regions(nodes: DataFrame, limit: int, weight: int) -> tuple[DataFrame, DataFrame]:
+    """(region, id) with at least 2 and at most ``limit`` nodes and ``weight`` shingles in each region,
+    and (id, hot): the trees whose region was split."""
+    rows = nodes.select("id", "n", F.posexplode("trees").alias("tree", "region"))
+
+    def sized(table: DataFrame) -> DataFrame:
+        whole = table.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1")
+        big = (F.col("size") > limit) | (F.col("size") > 2) & (F.col("weight") > weight)
+        return cut(table.join(whole.select("region", "size", big.alias("big")), "region"))
+
+    now = sized(rows)
+    done, hot = now.where("not big").select("region", "id"), None
     for depth in range(DEPTH, DEEPEST + 1):
-        big = now.where(F.col("size") > limit).drop("size")
+        big = now.where("big")
         if big.isEmpty():
             break
         hot = hot or big.groupBy("id").agg(F.collect_set("tree").alias("hot"))
         if depth < DEEPEST:
             column = F.pmod(F.col("tree") * DEPTH + depth, F.lit(COLUMNS)) + 1
-            value = F.expr("substring(sketch, column, 1)")
             deeper = (big.join(nodes.select("id", "sketch"), "id").withColumn("column", column)
-                      .select(F.xxhash64("region", value).alias("region"), "id", "tree"))
+                      .select(F.xxhash64("region", F.expr("substring(sketch, column, 1)")).alias("region"), "id", "n", "tree"))
+            now = sized(deeper)
+            done = done.union(now.where("not big").select("region", "id"))
         else:
-            parts = big.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / (limit - 1)).alias("parts"), F.min("id").alias("hub"))
-            split = big.join(parts, "region")
-            salted = split.select(F.xxhash64("region", F.pmod(F.xxhash64("id"), 2 * F.col("parts"))).alias("region"),
-                                  "id", "tree", "hub")
-            hubs = salted.select("region", F.col("hub").alias("id"), "tree").distinct()
-            deeper = salted.drop("hub").union(hubs).distinct()
-        sizes = deeper.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        now = cut(deeper.join(sizes, "region").select("region", "id", "tree", "size"))
-        fits = F.col("size") <= limit if depth < DEEPEST else F.lit(True)
-        done = done.union(now.where(fits).select("region", "id"))
+            parts = big.groupBy("region").agg(
+                (2 * F.greatest(F.ceil(F.count(F.lit(1)) / (limit - 1)), F.ceil(F.sum("n") / weight))).alias("parts"),
+                F.min("id").alias("hub"))
+            salted = big.join(parts, "region").select(
+                F.xxhash64("region", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("region"), "id", "hub")
+            done = done.union(salted.select("region", "id").union(salted.select("region", "hub")).distinct())
     if hot is None:
-        hot = spark.createDataFrame([], f"id {nodes.schema['id'].dataType.simpleString()}, hot array<int>")
+        hot = nodes.sparkSession.createDataFrame([], "id long, hot array<int>")
     return done, hot
 
 
@@ -161,12 +168,9 @@ def needed(threshold: float) -> int:
     return int(np.floor(COLUMNS * (threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / COLUMNS))))
 
 
-def comparer(least: int):
-    """Task function over rows sorted by region: (region, id, sketch, marks) in; pairs out.
-
-    A pair is reported in the first tree that holds both (``marks``: one number for each tree,
-    equal where both are in one region that was not split), so mostly once."""
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def by_region(task: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
+    """Calls ``task`` with whole regions (several at a time) of rows that are sorted by region."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
@@ -174,54 +178,46 @@ def comparer(least: int):
             region = batch.column(0).to_numpy()
             last_starts = int(np.flatnonzero(region == region[-1])[0])     # the last region may go on
             if last_starts or rest and rest[-1].column(0)[0].as_py() != region[0]:
-                yield from pairs([*rest, batch.slice(0, last_starts)])
+                yield from task(pa.Table.from_batches([*rest, batch.slice(0, last_starts)]))
                 rest = []
             rest.append(batch.slice(last_starts))
-        yield from pairs(rest)
-
-    def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        region, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-        n = len(region)
-        sketch = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(n, COLUMNS)
-        marks = t.column(3).combine_chunks().flatten().to_numpy().reshape(n, TREES)
-        first = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
-        size = np.diff(np.r_[first, n])
-        left_in = np.repeat(first + size, size) - np.arange(n)        # rows of the region from here on
-        own_mark = mark_of(region)
-        for lag in range(1, int(size.max(initial=1))):
-            i = np.flatnonzero(left_in > lag)
-            for lo in range(0, len(i), 65_536):
-                a = i[lo:lo + 65_536]
-                same = np.count_nonzero(sketch[a] == sketch[a + lag], axis=1)
-                a = a[same >= least]
-                if not len(a):
-                    continue
-                equal = marks[a] == marks[a + lag]
-                a = a[~equal.any(1) | (marks[a, equal.argmax(1)] == own_mark[a])]
-                x, y = ids[a], ids[a + lag]
-                keep = x != y
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])],
-                                                 names=["a", "b"])
-    return compare
-
-
-def mark_of(region: np.ndarray) -> np.ndarray:
-    return (region.view(np.uint64) >> np.uint64(33)).astype(np.int32)
-
-
-def candidates(nodes: DataFrame, threshold: float, limit: int = REGION) -> DataFrame:
-    """Distinct pairs (a, b), a < b, whose sketches are near enough."""
-    members, hot = regions(nodes, limit)
-    marks = F.expr("""transform(trees, (x, t) -> cast(shiftrightunsigned(
-        if(array_contains(coalesce(hot, array()), t), xxhash64(id, t), x), 33) as int))""")
-    marked = nodes.join(hot, "id", "left").select("id", "sketch", marks.alias("marks"))
-    rows = (members.join(marked, "id").select("region", "id", "sketch", "marks"))
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(parts, "region").sortWithinPartitions("region", "id")
-            .mapInArrow(comparer(needed(threshold)), "a long, b long").distinct())
+        if rest:
+            yield from task(pa.Table.from_batches(rest))
+    return run
+
+
+def own_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j), i < j, of the candidate pairs among rows (region, id, sketch, marks).
+
+    A pair counts in the first tree that holds both (``marks``: one number for each tree, equal
+    where both are in one region that was not split), or else in each region that does."""
+    table = table.combine_chunks()
+    region, n = table.column(0).to_numpy(), table.num_rows
+    sketch = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(n, COLUMNS)
+    marks = table.column(3).combine_chunks().flatten().to_numpy().reshape(n, TREES)
+    own_mark = (region.view(np.uint64) >> np.uint64(33)).astype(np.int32)
+    first = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+    size = np.diff(np.r_[first, n])
+    left_in = np.repeat(first + size, size) - np.arange(n)        # rows of the region from here on
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, int(size.max())):
+        i = np.flatnonzero(left_in > lag)
+        for lo in range(0, len(i), 65_536):
+            a = i[lo:lo + 65_536]
+            a = a[np.count_nonzero(sketch[a] == sketch[a + lag], axis=1) >= least]
+            equal = marks[a] == marks[a + lag]
+            a = a[~equal.any(1) | (marks[a, equal.argmax(1)] == own_mark[a])]
+            left.append(a)
+            right.append(a + lag)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def comparer(least: int) -> Callable:
+    """Task function over (region, id, sketch, marks): (region, id) of the nodes with a candidate."""
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = np.unique(np.concatenate(own_pairs(table, least)))
+        yield from table.select(["region", "id"]).take(pa.array(rows)).combine_chunks().to_batches()
+    return by_region(compare)
 
 
 def set_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,39 +242,72 @@ def numbers(blob: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-def confirmer(percent: int):
-    """Task function: (a, b, set of a, set of b) in; pairs with the wanted similarity out."""
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = numbers(x), numbers(y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return confirm
-
-
-def links(rows: DataFrame, nodes: DataFrame, percent: int, limit: int = REGION) -> DataFrame:
-    """Confirmed pairs of nodes."""
-    pairs = cut(candidates(nodes, percent / 100, limit))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def similar(mine: np.ndarray, theirs: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of several sets have the wanted similarity with one."""
+    sizes, flat = np.array([len(t) for t in theirs]), np.concatenate(theirs)
+    place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+    both = np.add.reduceat((mine[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(mine) + sizes - both)
+
+
+def confirmer(least: int, percent: int) -> Callable:
+    """Task function over (region, id, sketch, marks, set): confirmed links that join what no
+    earlier link of the region did."""
+    def confirm(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, j = own_pairs(table, least)
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        ids, sets = table.column("id").to_numpy(), table.column("set")
+        group, known, found = np.arange(table.num_rows), {}, []
+
+        def members(row: int) -> np.ndarray:
+            if row not in known:
+                known[row] = numbers(sets[row].as_py())
+            return known[row]
+
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else i
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(i)]):
+            own, rest = int(i[lo]), j[lo:hi]
+            while len(rest := rest[group[rest] != group[own]]):
+                part, rest = rest[:256], rest[256:]
+                near = similar(members(own), [members(int(r)) for r in part], percent)
+                for r in part[near].tolist():
+                    if group[r] != group[own]:
+                        group[group == group[r]] = group[own]
+                        found.append((ids[own], ids[r]))
+            known.pop(own, None)
+        a, b = (np.array(c, np.int64) for c in (zip(*found) if found else ((), ())))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    return by_region(confirm)
+
+
+def links(rows: DataFrame, nodes: DataFrame, percent: int, limit: int, weight: int) -> DataFrame:
+    """Confirmed pairs of nodes, enough to join each group."""
+    members, hot = regions(nodes, limit, weight)
+    marks = F.expr("""transform(trees, (x, t) -> cast(shiftrightunsigned(
+        if(array_contains(coalesce(hot, array()), t), xxhash64(id, t), x), 33) as int))""")
+    marked = nodes.join(hot, "id", "left").select("id", "sketch", marks.alias("marks"))
+    parts, least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), needed(percent / 100)
+    near = cut(members.join(marked, "id").select("region", "id", "sketch", "marks")
+               .repartition(parts, "region").sortWithinPartitions("region", "id")
+               .mapInArrow(comparer(least), "region long, id long"))
+    wanted = cut(near.select("id").distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
-    sets = (rows.join(wanted, "id", "left_semi").mapInArrow(set_blobs, "id long, set binary").dropDuplicates(["id"]))
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-            .mapInArrow(confirmer(percent), "a long, b long"))
+    sets = rows.join(wanted, "id", "left_semi").mapInArrow(set_blobs, "id long, set binary").dropDuplicates(["id"])
+    return (near.join(marked.join(sets, "id"), "id").select("region", "id", "sketch", "marks", "set")
+            .repartition(parts, "region").sortWithinPartitions("region", "id")
+            .mapInArrow(confirmer(least, percent), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
-                    limit: int = REGION) -> DataFrame:
+                    limit: int = REGION, weight: int = WEIGHT) -> DataFrame:
     """id, n_shingles, component_id (smallest id of the group), kept (whether it is that)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profiles = cut(rows.mapInArrow(profiled, "id long, n long, k1 long, k2 long, sketch binary, trees array<long>"))
     copies = cut(profiles.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node")))
     nodes = (profiles.join(copies.select(F.col("node").alias("id")), "id", "left_semi").where("n > 0")
-             .select("id", "sketch", "trees").dropDuplicates(["id"]))
-    found = cut(links(rows.where("id is not null"), cut(nodes), percent, limit))
+             .select("id", "n", "sketch", "trees").dropDuplicates(["id"]))
+    found = cut(links(rows.where("id is not null"), cut(nodes), percent, limit, weight))
     groups = (copies.join(connected(found), "node", "left")
               .select("k1", "k2", F.coalesce("root", "node").alias("component")))
     own = profiles.select("id", "n", "k1", "k2").join(groups, ["k1", "k2"], "left")
