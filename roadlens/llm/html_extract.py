@@ -178,7 +178,8 @@ def best_container(blocks: list[tuple[Node, str, int]]) -> str:
     """Path of the container with the best score; '' if there is none."""
     scored: dict[int, Node] = {}
     for node, text, linked in blocks:
-        worth = len(text) - 2.0 * min(linked, len(text)) + 20.0
+        linked = min(linked, len(text))
+        worth = len(text) - 2.0 * linked + 20.0 * (1.0 - linked / len(text))
         share = 1.0
         while node is not None and node.parent is not None:
             if id(node) not in scored:
