@@ -5,15 +5,15 @@ links make groups.
 
 1. Each text becomes its shingle set, in its task; the set gives a signature of ``COLUMNS``
    MinHash values.  Texts with equal sets are one node from here on (smallest id).
-2. Forest: tree t orders the nodes by its own sequence of signature columns.  Nodes that share
-   the first ``DEPTH`` values of a tree are a region; a region of over ``REGION`` nodes is split
-   by one more column of that tree's order, as often as its size asks for, so the depth adapts
-   to each region.  A pair of similarity 0.75 misses all trees with probability 2e-6.
+2. Forest: each tree orders the nodes by its own sequence of signature columns, and nodes that
+   share the first columns of a tree are a region.  24 trees of depth 3 miss a pair of
+   similarity 0.75 with probability 2e-6.  Depth adapts to the region: the nodes of a region
+   that is too large go on to deeper trees, and to so many more of them that a pair is no more
+   likely to be missed there.
 3. Within a region (a bounded number of nodes and shingles) the sketches of neighbours in the
    order are compared; pairs whose estimate is within four standard errors of the threshold
-   are candidates, each in one region.  What is left undivided at the last depth agrees on
-   nearly all columns; it is cut by a hash of the id, and each part also gets the region's
-   smallest node.
+   are candidates.  What is too large at the last depth agrees on nearly all columns; it is cut
+   by a hash of the id, and each part also gets the region's smallest node.
 4. Nodes with a candidate get their full sets, and each region confirms its candidates on them.
    Pairs that confirmed links of the region already join need no test of their own, so a
    region reports fewer links than it has nodes, never all its pairs.
@@ -41,10 +41,11 @@ from roadlens.llm.components import connected
 from roadlens.llm.decontam import gram_hashes, word_hashes, words
 
 SHINGLE = 5
-TREES, DEPTH, COLUMNS = 24, 3, 96
+COLUMNS = 96
+LEVELS = [(3, 24), (6, 160), (9, 400)]     # (columns, trees) of the forest; further levels for nodes of large regions
+TREES = LEVELS[0][1]
 REGION = 2048            # nodes of a region that are compared in one task
 WEIGHT = 8 << 20         # and their shingles (48 MB of sets)
-DEEPEST = 12             # columns of a tree's order that may split a region
 MARGIN = 4.0             # standard errors of the estimate below the threshold that still go on
 CHUNK, ROWS = 1 << 20, 4096
 SET_BYTES = 6
@@ -94,13 +95,9 @@ def signatures(shingles: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_columns(tree: int) -> list[int]:
-    """The order of the signature columns in a tree, as deep as it may go."""
-    return [(tree * DEPTH + k) % COLUMNS for k in range(DEEPEST)]
-
-
 def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, text in; id, n, k1, k2 (the set's key), sketch, trees (region keys) out."""
+    columns = tree_columns(0)
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         rows = len(offsets) - 1
@@ -119,7 +116,7 @@ def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch[at] = (signature & np.uint32(255)).astype(np.uint8)
             for t in range(TREES):
                 key = np.full(len(at), t + 1, np.uint64)
-                for c in tree_columns(t)[:DEPTH]:
+                for c in columns[t]:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ signature[:, c].astype(np.uint64))
                 trees[at, t] = key.view(np.int64)
         blobs = pa.array([r.tobytes() for r in sketch], pa.binary())
@@ -128,39 +125,49 @@ def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["id", "n", "k1", "k2", "sketch", "trees"])
 
 
+def tree_columns(level: int) -> np.ndarray:
+    """Signature columns of each tree of a level: disjoint at the first level, drawn anew at each further one."""
+    depth, trees = LEVELS[level]
+    if level == 0:
+        return np.arange(trees * depth).reshape(trees, depth)
+    rng = np.random.default_rng(level)
+    return np.stack([rng.permutation(COLUMNS)[:depth] for _ in range(trees)])
+
+
+def deeper_rows(nodes: DataFrame, level: int) -> DataFrame:
+    """(region, id, n, tree): the regions of nodes in the trees of a further level."""
+    depth, trees = LEVELS[level]
+    places = ", ".join(str(c + 1) for c in tree_columns(level).reshape(-1))
+    key = F.expr(f"""xxhash64({level}, tree, transform(sequence(0, {depth - 1}),
+        k -> substring(sketch, array({places})[tree * {depth} + k], 1)))""")
+    return (nodes.select("id", "n", "sketch", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+            .select(key.alias("region"), "id", "n", "tree"))
+
+
 def regions(nodes: DataFrame, limit: int, weight: int) -> tuple[DataFrame, DataFrame]:
     """(region, id) with at least 2 and at most ``limit`` nodes and ``weight`` shingles in each region,
-    and (id, hot): the trees whose region was split."""
-    rows = nodes.select("id", "n", F.posexplode("trees").alias("tree", "region"))
-
+    and (id, hot): the trees of the first level whose region of the node is too large."""
     def sized(table: DataFrame) -> DataFrame:
         whole = table.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1")
         big = (F.col("size") > limit) | (F.col("size") > 2) & (F.col("weight") > weight)
-        return cut(table.join(whole.select("region", "size", big.alias("big")), "region"))
-
-    now = sized(rows)
-    done, hot = now.where("not big").select("region", "id"), None
-    for depth in range(DEPTH, DEEPEST + 1):
-        big = now.where("big")
-        if big.isEmpty():
-            break
-        hot = hot or big.groupBy("id").agg(F.collect_set("tree").alias("hot"))
-        if depth < DEEPEST:
-            column = F.pmod(F.col("tree") * DEPTH + depth, F.lit(COLUMNS)) + 1
-            deeper = (big.join(nodes.select("id", "sketch"), "id").withColumn("column", column)
-                      .select(F.xxhash64("region", F.expr("substring(sketch, column, 1)")).alias("region"), "id", "n", "tree"))
-            now = sized(deeper)
-            done = done.union(now.where("not big").select("region", "id"))
-        else:
-            parts = big.groupBy("region").agg(
-                (2 * F.greatest(F.ceil(F.count(F.lit(1)) / (limit - 1)), F.ceil(F.sum("n") / weight))).alias("parts"),
-                F.min("id").alias("hub"))
-            salted = big.join(parts, "region").select(
-                F.xxhash64("region", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("region"), "id", "hub")
-            done = done.union(salted.select("region", "id").union(salted.select("region", "hub")).distinct())
-    if hot is None:
-        hot = nodes.sparkSession.createDataFrame([], "id long, hot array<int>")
-    return done, hot
+        return cut(table.join(whole.select("region", big.alias("big")), "region"))
+
+    now = sized(nodes.select("id", "n", F.posexplode("trees").alias("tree", "region")))
+    done = now.where("not big").select("region", "id")
+    hot = now.where("big").groupBy("id").agg(F.collect_set("tree").alias("hot"))
+    for level in range(1, len(LEVELS)):
+        if now.where("big").isEmpty():
+            return done, hot
+        large = now.where("big").select("id").distinct()
+        now = sized(deeper_rows(nodes.join(large, "id", "left_semi"), level))
+        done = done.union(now.where("not big").select("region", "id"))
+    big = now.where("big")
+    parts = big.groupBy("region").agg(
+        (2 * F.greatest(F.ceil(F.count(F.lit(1)) / (limit - 1)), F.ceil(F.sum("n") / weight))).alias("parts"),
+        F.min("id").alias("hub"))
+    salted = big.join(parts, "region").select(
+        F.xxhash64("region", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("region"), "id", "hub")
+    return done.union(salted.select("region", "id").union(salted.select("region", "hub")).distinct()), hot
 
 
 def needed(threshold: float) -> int:

@@ -47,7 +47,8 @@ WIDEST = LENGTH + WINDOW - 1         # longest neighbourhood
 CHUNK = 2 << 20                      # bytes of text that are searched at a time
 HELD = 32 << 20                      # bytes of neighbourhoods that are sent together
 RANGE_BYTES = 8 << 20                # text bytes for each range of suffixes
-SAMPLE_ROWS = 4_000                  # documents whose suffixes give the splitters
+SAMPLE_ROWS = 4_000                  # documents whose suffixes give the splitters,
+STRIDE = 16                          # one of so many
 RUN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<u2"), ("at", "<u2")])
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -236,8 +237,8 @@ def splitters(docs: DataFrame, rows: int, ranges: int) -> tuple[np.ndarray, np.n
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             out = [np.zeros(0, np.uint64)]
-            for _, _, piece in pieces(data, offsets):
-                out.append(words_at(piece)[runs(piece)[0]].byteswap()[::32])
+            for i, first, piece in pieces(data, offsets):
+                out.append(words_at(piece)[runs(piece)[0][(11 * i + first) % STRIDE::STRIDE]].byteswap())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["w"])
 
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("text")
@@ -374,13 +375,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounds, shares = splitters(rows, n, ranges)
     sent = rows.mapInArrow(sender(bounds, shares), SENT)
 
-    # one pass over the texts: spans and blobs part ways behind the exchange
-    first = (sent.repartition(ranges, F.coalesce("bucket", F.col("doc")), "split")
-             .sortWithinPartitions("bucket", "split").mapInArrow(passing(receiver(False)), SENT))
-    if not (shares > 1).any():
-        return first.select("doc", "start", "stop")
-    second = (first.repartition(ranges, F.coalesce("bucket", F.col("doc")))
-              .sortWithinPartitions("bucket").mapInArrow(passing(receiver(True)), SENT))
+    def dealt(table: DataFrame, last: bool) -> DataFrame:
+        """Blobs to the task of their range, one range each; spans pass through with them."""
+        split = F.lit(0) if last else 17 * F.col("split")
+        place = F.coalesce(F.col("bucket") + split, F.pmod(F.xxhash64("doc", "start"), F.lit(ranges)).cast("int"))
+        return (table.withColumn("place", place).repartitionById(ranges, "place").sortWithinPartitions("bucket", "split")
+                .drop("place").mapInArrow(passing(receiver(last)), SENT))
+
+    first = dealt(sent, False)
+    second = dealt(first, True) if (shares > 1).any() else first
     return second.select("doc", "start", "stop")
 
 

@@ -158,9 +158,9 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, seed, chunk, held,
 def test_a_hot_leading_word_is_split_and_compared_across(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 2000)
     passage = words(4, 30, 50)
-    rows = [(k, f"{words(k, 6, 10**6)} {passage[:-k % 40]} {words(k + 500, 6, 10**6)}", None) for k in range(200)]
+    rows = [(k, f"{words(k, 6, 10**6)} {passage[:80 + k % 40]} {words(k + 500, 6, 10**6)}", None) for k in range(300)]
     docs = frame(spark, rows).repartition(20)
-    assert (suffix_dedup.splitters(docs.selectExpr("doc_id as id", "text"), 200, 40)[1] > 1).any()
+    assert (suffix_dedup.splitters(docs.selectExpr("doc_id as id", "text"), 300, 60)[1] > 1).any()
     assert cut(suffix_dedup.remove_repeats(docs)) == brute_cut(rows)
 
 
