@@ -424,26 +424,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated passages removed from the texts; rows without any are left as they are.
 
-    A character that is cut through loses its remaining bytes too."""
+    A character that is cut through loses its remaining bytes too.  Texts travel compressed."""
     spans = (repeated_spans(docs, id_col, text_col).groupBy(F.col("doc").alias("span_id"))
              .agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    whole = docs.select(F.struct(*[c for c in docs.columns if c != text_col]).alias("own"), F.col(text_col).alias("text"))
+    own = whole.schema["own"]
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            blobs = [None if t is None else pack(t.encode("utf-8")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["own", "blob"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw, at, kept = (text or "").encode("utf-8"), 0, []
-                for lo, hi in sorted((s["start"], s["stop"]) for s in spans):
+            texts, spans = [], batch.column(2)
+            for k, blob in enumerate(batch.column(1).to_pylist()):
+                raw, at, kept = b"" if blob is None else zstandard.decompress(blob), 0, []
+                for lo, hi in sorted((s["start"], s["stop"]) for s in spans[k].as_py() or ()):
                     kept.append(raw[at:max(lo, at)])
                     at = max(hi, at)
-                texts.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
+                texts.append(None if blob is None else b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["own", "text"])
 
-    others = [c for c in docs.columns if c != text_col]
-    whole = docs.select(F.struct(*others).alias("own"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("span_id"))
-    joined = whole.join(spans, "span_id", "left")
-    same = joined.where("spans is null").select("own", "text")
-    out = T.StructType([whole.schema["own"], T.StructField("text", T.StringType())])
-    changed = joined.where("spans is not null").select("own", "text", "spans").mapInArrow(clean, out)
-    return same.unionByName(changed).select(
-        *[F.col("own")[c].alias(c) if c != text_col else F.col("text").alias(c) for c in docs.columns])
+    packed_texts = whole.mapInArrow(small, T.StructType([own, T.StructField("blob", T.BinaryType())]))
+    joined = packed_texts.withColumn("span_id", F.col("own")[id_col].cast("long")).join(spans, "span_id", "left")
+    cleaned = joined.select("own", "blob", "spans").mapInArrow(clean, T.StructType([own, T.StructField("text", T.StringType())]))
+    return cleaned.select(*[F.col("own")[c].alias(c) if c != text_col else F.col("text").alias(c) for c in docs.columns])
