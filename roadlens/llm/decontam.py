@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import cut, mix, row_chunks, utf8
+from roadlens.llm.common import BASE, cut, mix, row_chunks, utf8, word_hashes
 
 WINDOW, GRAM = 10, 5
 SIDE = WINDOW - GRAM
@@ -38,7 +38,6 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = _WORD,
@@ -57,27 +56,10 @@ def words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = _WORD,
     return x, starts, ends, row
 
 
-def word_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, eight bytes at a time."""
-    padded = np.r_[x, np.zeros(8, np.uint8)]
-    eight = np.ndarray(shape=(len(x) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-    left = ends - starts
-    h = left.astype(np.uint64) * _BASE
-    live, at = np.arange(len(starts)), starts.copy()
-    while len(live):
-        n = np.minimum(left[live], 8)
-        part = eight[at[live]] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * n.astype(np.uint64)))
-        h[live] = mix(h[live] ^ part)
-        left[live] -= 8
-        at[live] += 8
-        live = live[left[live] > 0]
-    return h
-
-
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    out = np.full(max(len(h) - size + 1, 0), size, np.uint64) * _BASE
+    out = np.full(max(len(h) - size + 1, 0), size, np.uint64) * BASE
     for k in range(size):
-        out = mix(out * _BASE ^ h[k:len(h) - size + 1 + k])
+        out = mix(out * BASE ^ h[k:len(h) - size + 1 + k])
     return out
 
 
@@ -116,7 +98,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, short: set[int], own_sho
     for size in (sorted(set(n_words[(n_words > 0) & (n_words < WINDOW)].tolist())) if own_short else sorted(short)):
         if len(h) < size:
             continue
-        g = mix(gram_hashes(h, size) + np.uint64(size) * _BASE)      # unlike any winnowed hash
+        g = mix(gram_hashes(h, size) + np.uint64(size) * BASE)      # unlike any winnowed hash
         at = before[n_words == size] if own_short else np.flatnonzero(row[:len(g)] == row[size - 1:])
         yield -size, at, g[at], x, starts, ends, row, before
 

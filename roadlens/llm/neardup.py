@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import cut, mix, row_chunks, utf8
+from roadlens.llm.common import cut, mix, row_chunks, utf8, word_hashes
 from roadlens.llm.components import connected
-from roadlens.llm.decontam import gram_hashes, word_hashes, words
+from roadlens.llm.decontam import gram_hashes, words
 
 SHINGLE = 5
 COLUMNS = 96

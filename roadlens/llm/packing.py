@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from roadlens.llm.common import cut, row_chunks, utf8
 from roadlens.llm.config_lp import pack_histogram
-from roadlens.llm.tokens import PieceCache
+from roadlens.llm.tokens import Encoder
 
 CHUNK = 2 << 20
 
@@ -38,14 +38,14 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PieceCache(tokenizer_path, counts=False)
-        known = cache.__getitem__
+        encoder = Encoder(tokenizer_path)
         for batch in batches:
-            texts = batch.column(1)
+            data, offsets = utf8(batch.column(1))
             row, piece, start, length, crc = [], [], [], [], []
-            for lo, hi in row_chunks(utf8(texts)[1], CHUNK):
-                for i, doc in enumerate(cache.lists(texts.slice(lo, hi - lo).to_pylist()), lo):
-                    ids = memoryview(b"".join([b"".join(map(known, block)) for block in doc]) + end)
+            for lo, hi in row_chunks(offsets, CHUNK):
+                texts = encoder.ids(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                for i, ids in enumerate(texts, lo):
+                    ids = memoryview(b"".join((ids, end)))
                     for k, at in enumerate(range(0, len(ids), width)):
                         part = ids[at:at + width]
                         row.append(i)

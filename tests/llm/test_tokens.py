@@ -6,13 +6,15 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
+from roadlens.llm.common import utf8
 from roadlens.llm.config_lp import pack_histogram
 from roadlens.llm.packing import pack
-from roadlens.llm.token_count import count_tokens
-from roadlens.llm.tokens import PieceCache, blocks, load_tokenizer
+from roadlens.llm.token_count import count_tokens, frequent_table
+from roadlens.llm.tokens import Encoder, HashTable, blocks, load_tokenizer
 
 from .conftest import edge_rows, frame
 
@@ -21,16 +23,29 @@ ODD = ["a", "B", "é", "É", "ß", "×", "1", "23", "!", "!!", "'s", "'", "<|end
        "\u00a0", "\u2028", "日本", "e\u0301", "İ", "ſ", "Σ", "😂", "don't", "_", "¼", "Ⅷ", "ª", "[", "\\", "^", "`", "~"]
 
 
-def test_piece_ids_equal_the_library():
-    r, cache = random.Random(1), PieceCache(PATH, counts=False, limit=500)
-    plain = ["ab", "Cd", "é", " ", "1", "!", "?,", ".", "\n", "[", "\\"]
+@pytest.mark.parametrize("slots", [1 << 9, 1 << 21])
+def test_ids_and_counts_equal_the_library(slots):
+    """Also with a table so small that it is emptied all the time."""
+    r, encoder = random.Random(1), Encoder(PATH, slots=slots)
+    counter = Encoder(PATH, frequent_table(["ab", "the", "zz9", "it's", "é"], PATH), slots=slots)
+    plain = ["ab", "Cd", "é", "É", "Þ", "ÿ", " ", "1", "!", "?,", ".", "\n", "[", "\\", "22", "|"]
     texts = ["".join(r.choice(v) for _ in range(r.randint(0, 40))) for v in (ODD, plain) for _ in range(1500)]
+    r.shuffle(texts)
     for lo in range(0, len(texts), 300):
         part = texts[lo:lo + 300]
-        got = [b"".join(b"".join(map(cache.__getitem__, b)) for b in d) for d in cache.lists(part)]
-        for g, e in zip(got, cache.tokenizer.encode_batch(part, add_special_tokens=False)):
-            assert np.frombuffer(g, "<u4").tolist() == e.ids
-    assert len(cache) < 2_000
+        columns = utf8(pa.array(part))
+        want = [e.ids for e in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(g, "<u4").tolist() for g in encoder.ids(*columns)] == want
+        assert counter.counts(*columns).tolist() == [len(w) for w in want]
+
+
+def test_hash_table_with_crowded_slots():
+    table, h = HashTable(64), np.arange(1, 31, dtype=np.uint64)
+    h[10:] |= np.uint64(63 << 58)              # most share the last slot and wrap around
+    table.add(h, np.arange(30), np.arange(30) * 2)
+    at = table.find(h)
+    assert (table.start[at] == np.arange(30)).all() and (table.length[at] == 2 * np.arange(30)).all()
+    assert (table.find(np.arange(100, 110, dtype=np.uint64)) == -1).all()
 
 
 def test_blocks_join_to_the_text(monkeypatch):
