@@ -25,18 +25,27 @@ D = O.d
 # ------------------------------------------------------------------ shared base: scored incidents
 
 def dash_base(spark, sf) -> DataFrame:
-    """Incidents + rule probability (SCR-04), tier (SCR-02), 3 h density (ROL-01 over all
-    incidents), congestion score (SCR-05), nearest named junction (GEO-05)."""
+    """Incidents + rule probability (SCR-04), tier (SCR-02), nearest named junction (GEO-05):
+    a pure projection of the scan, pruned to the columns a query reads."""
     inc = incidents(spark, sf).select(
         "id", "ts", "event_cause", "event_type", F.coalesce("zone", F.lit("unknown_zone")).alias("zone"), "corridor",
         "police_station", "status", "priority", "requires_road_closure", "duration_mins", "num_lanes", "latitude",
         "longitude", "description")
-    inc = rolling.window_counts(inc, inc.select("id", "ts"), 3, out="roll")
     prob = score.fallback_probability("event_cause", "num_lanes", "duration_mins")
     name, dist = nearest_junction_planar()
     b = inc.select("*", prob.alias("prob"), name.alias("nearest_junction"), dist.alias("nearest_junction_dist_km"))
-    return b.select("*", score.risk_tier("prob").alias("risk_level"),
-                    score.congestion_score("duration_mins", "num_lanes", "event_cause", "roll", "prob").alias("score"))
+    return b.select("*", score.risk_tier("prob").alias("risk_level"))
+
+
+def with_density(b: DataFrame) -> DataFrame:
+    """``b`` + 3 h density (ROL-01 over all incidents) and congestion score (SCR-05): only for
+    queries that read them, since the range count is the expensive part."""
+    b = rolling.window_counts(b, b.select("id", "ts"), 3, out="roll")
+    return b.select("*", score.congestion_score("duration_mins", "num_lanes", "event_cause", "roll", "prob").alias("score"))
+
+
+def dash_scored(spark, sf) -> DataFrame:
+    return with_density(dash_base(spark, sf))
 
 
 def _prob_sql():
@@ -82,7 +91,7 @@ def tier75(c):
     f"SELECT zone, active_events, round(avg_score, 6) AS avg_congestion_score, {_tier('avg_score')} AS risk_level FROM "
     "(SELECT zone, count(*) FILTER (WHERE status <> 'RESOLVED') AS active_events, avg(score) AS avg_score FROM d GROUP BY zone)"))
 def agg_01(spark, sf):
-    return dash.zone_congestion(dash_base(spark, sf)).select(
+    return dash.zone_congestion(dash_scored(spark, sf)).select(
         "zone", "active_events", F.round("avg_score", 6).alias("avg_congestion_score"), tier75("avg_score").alias("risk_level"))
 
 
@@ -91,7 +100,7 @@ def agg_01(spark, sf):
     "CASE WHEN avg(avg_score) >= 50 THEN 'HIGH' ELSE 'MEDIUM' END AS network_risk_level FROM "
     "(SELECT zone, count(*) FILTER (WHERE status <> 'RESOLVED') AS active_events, avg(score) AS avg_score FROM d GROUP BY zone)"))
 def agg_02(spark, sf):
-    return dash.network_summary(dash.zone_congestion(dash_base(spark, sf)))
+    return dash.network_summary(dash.zone_congestion(dash_scored(spark, sf)))
 
 
 @register("agg_03", with_dash(
@@ -99,7 +108,7 @@ def agg_02(spark, sf):
     "round(s * 0.45, 6) AS avg_delay_mins FROM (SELECT nearest_junction, avg(score) AS s, count(*) AS n FROM d "
     "GROUP BY nearest_junction)"))
 def agg_03(spark, sf):
-    return dash.junction_table(dash_base(spark, sf))
+    return dash.junction_table(dash_scored(spark, sf))
 
 
 @register("agg_04", O.with_ctes(
@@ -192,14 +201,14 @@ SELECT metric, round(before, 6) AS before, round(after, 6) AS after,
   UNION ALL SELECT 'closure_rate', avg(CAST(requires_road_closure AS DOUBLE)) FILTER (WHERE ts < {_SPLIT}),
          avg(CAST(requires_road_closure AS DOUBLE)) FILTER (WHERE ts >= {_SPLIT}) FROM d)"""))
 def agg_11(spark, sf):
-    return dash.before_after(dash_base(spark, sf), "2024-01-16 00:00:00")
+    return dash.before_after(dash_scored(spark, sf), "2024-01-16 00:00:00")
 
 
 @register("agg_12", with_dash(
     "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS incidents, round(avg(score), 6) AS avg_score, "
     "count(*) FILTER (WHERE requires_road_closure = 1) AS closures FROM d WHERE ts IS NOT NULL GROUP BY 1"))
 def agg_12(spark, sf):
-    return dash.weekly_trend(dash_base(spark, sf))
+    return dash.weekly_trend(dash_scored(spark, sf))
 
 
 @register("agg_13", with_dash("""
@@ -209,7 +218,7 @@ SELECT hour(ts) AS hour, round(avg(score) FILTER (WHERE CAST(ts AS DATE) = ld),
        round(avg(score * 0.45) FILTER (WHERE CAST(ts AS DATE) <> ld), 6) AS baseline_delay
 FROM d, (SELECT max(CAST(ts AS DATE)) AS ld FROM d) m WHERE ts IS NOT NULL GROUP BY 1"""))
 def agg_13(spark, sf):
-    return dash.live_vs_baseline(dash_base(spark, sf))
+    return dash.live_vs_baseline(dash_scored(spark, sf))
 
 
 @register("agg_14", with_dash("""
@@ -231,7 +240,7 @@ FROM (SELECT d.score, w.rain_mm, CASE WHEN w.rain_mm = 0 THEN '0' WHEN w.rain_mm
       "FROM events WHERE event_type = 'view' AND ts IS NOT NULL GROUP BY 1"))
 def agg_15(spark, sf):
     from roadlens.sources.tables import hourly_weather
-    return dash.rain_impact(dash_base(spark, sf), hourly_weather(spark, sf))
+    return dash.rain_impact(dash_scored(spark, sf), hourly_weather(spark, sf))
 
 
 # ------------------------------------------------------------------ sorts (SRT)
@@ -252,7 +261,7 @@ UNION ALL SELECT * FROM (SELECT 'recent' AS list, CAST(id AS VARCHAR) AS item, C
 UNION ALL SELECT * FROM (SELECT 'alerts' AS list, CAST(id AS VARCHAR) AS item, round(prob, 6) AS value FROM d
                WHERE risk_level = 'CRITICAL' AND status <> 'RESOLVED' ORDER BY prob DESC, ts DESC NULLS LAST, id LIMIT 3)"""))
 def srt_02(spark, sf):
-    return dash.top_lists(dash_base(spark, sf))
+    return dash.top_lists(dash_scored(spark, sf))
 
 
 @register("srt_03", with_dash("""
@@ -415,14 +424,14 @@ def scr_04(spark, sf):
 
 @register("scr_05", with_dash("SELECT id, roll AS rolling_3h_count, round(score, 6) AS congestion_score FROM d"))
 def scr_05(spark, sf):
-    return dash_base(spark, sf).select("id", F.col("roll").alias("rolling_3h_count"), F.round("score", 6).alias("congestion_score"))
+    return dash_scored(spark, sf).select("id", F.col("roll").alias("rolling_3h_count"), F.round("score", 6).alias("congestion_score"))
 
 
 @register("scr_06", with_dash(
     "SELECT id, CAST(prob >= 0.35 AS INTEGER) AS predicted_label, round(prob, 6) AS probability_closure, risk_level, "
     "round(score, 6) AS congestion_score, nearest_junction, round(nearest_junction_dist_km, 6) AS nearest_junction_dist_km FROM d"))
 def scr_06(spark, sf):
-    b = dash_base(spark, sf)
+    b = dash_scored(spark, sf)
     return b.select("id", score.decision("prob").alias("predicted_label"), F.round("prob", 6).alias("probability_closure"),
                     "risk_level", F.round("score", 6).alias("congestion_score"), "nearest_junction",
                     F.round("nearest_junction_dist_km", 6).alias("nearest_junction_dist_km"))
@@ -438,12 +447,12 @@ def scr_07(spark, sf):
     return inc.select("id", "cause", *score.triage("cause"))
 
 
-def planned_events(spark, sf) -> DataFrame:
+def planned_events(spark, sf, scored: bool = False) -> DataFrame:
     """Planned incidents as event-planning inputs: crowd, hours, place, weather (derived)."""
-    b = dash_base(spark, sf).filter(F.col("event_type") == "planned")
+    b = (dash_scored if scored else dash_base)(spark, sf).filter(F.col("event_type") == "planned")
     return b.select("id", (F.col("duration_mins") * 200).cast("long").alias("crowd"),
                     (F.lit(1) + F.col("id") % 6).cast("int").alias("hours"), "nearest_junction",
-                    pick(F.col("id") % 5, WEATHER_STATES).alias("weather"), "score")
+                    pick(F.col("id") % 5, WEATHER_STATES).alias("weather"), *(["score"] if scored else []))
 
 
 _PLANNED = ("SELECT id, CAST(trunc(duration_mins * 200) AS BIGINT) AS crowd, CAST(1 + id % 6 AS INTEGER) AS hours, "
@@ -619,7 +628,7 @@ def scr_17(spark, sf):
     "CAST(25 + floor((score - 40) * 0.3) AS BIGINT) AS reduction_percent, CAST(1500 + floor((score - 40) * 80) AS BIGINT) "
     f"AS flow_count FROM (SELECT *, {_risk_sql()} AS r FROM pe)", pe=_PLANNED))
 def scr_18(spark, sf):
-    pe = planned_events(spark, sf)
+    pe = planned_events(spark, sf, scored=True)
     pe = pe.withColumn("dl", score.js_round(score.event_risk_score("crowd", F.col("hours") * 60, "nearest_junction",
                                                                    "weather") * F.lit(0.5)))
     return pe.select("id", *score.diversion_benefit("crowd", "dl", "score"))

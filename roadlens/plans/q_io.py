@@ -131,8 +131,8 @@ def snk_03(spark, sf):
 @register("snk_06")
 def snk_06(spark, sf):
     """Multi-table CSV export (zone, junction, cause, KPI, weekly trend) and read-back row counts."""
-    from roadlens.plans.q_dash import dash_base
-    b = dash_base(spark, sf)
+    from roadlens.plans.q_dash import dash_scored
+    b = dash_scored(spark, sf)
     tables = {"zones": dash.zone_congestion(b), "junctions": dash.junction_table(b),
               "causes": dash.distribution(b.select("event_cause"), "event_cause"), "kpis": dash.kpi_counts(b),
               "weekly": dash.weekly_trend(b)}
