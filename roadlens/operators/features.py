@@ -7,12 +7,13 @@ Every feature family is *fit* on training rows as a small statistics table and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.common import col, flag, np_round
 from roadlens.functions.temporal import hour_bin_code, hour_of
 from roadlens.operators import rates
+from roadlens.operators.prefix import global_positions
 
 HIGH_RISK_ZONE = 0.10
 
@@ -106,12 +107,13 @@ def gba_risk(df, train, target, prior):
 def junction_table(train: DataFrame, target: str, prior: float, min_count: int = 10) -> DataFrame:
     """GRP-09/10 statistics: smoothed closure rate (min 10), count, hotspot rank.
 
-    The rank is a window over the *aggregated* table (one row per junction), so the
-    single-partition window sees at most the number of distinct junctions.
+    The rank is an exact global position (range-partitioned order), so no task holds
+    all junctions.
     """
     st = rates.group_counts(train, ["junction"], target)
     sm = (F.col("n") * F.col("mean") + F.lit(10 * prior)) / (F.col("n") + F.lit(10.0))
-    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("junction")))
+    st = global_positions(st.withColumn("__neg", -F.col("n")), ["__neg", "junction"], out="__pos")
+    rank = (F.col("__pos") + 1).cast("int")
     return st.select("junction", F.when(F.col("n") < min_count, F.lit(prior)).otherwise(sm).alias("j_rate"),
                      F.col("n").alias("j_count"), rank.alias("j_rank"))
 

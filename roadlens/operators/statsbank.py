@@ -3,34 +3,32 @@
 ``fit_bank`` computes count and target sums for every key family in a single
 pass over the training rows: each row is expanded once per family (fixed
 fan-out, like GROUPING SETS), partially aggregated map-side (a hot key costs one
-partial row per task) and shuffled once.  The per-family sizes are checked with
-one tiny job; families under ``MAX_MAP_KEYS`` become literal maps and are
-applied inside a single projection (no join, no extra plan depth); larger
-families stay distributed tables and are joined (broadcast when their checked
-size allows, else a shuffle join).
+partial row per task), shuffled once and materialised (it is read once per
+family).  Every family takes the same path at every size: its rows are a
+distributed table joined on the keys.  One small job gives the exact bytes of
+each family; that only decides whether its side of the join is broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.operators import rates
+from roadlens.operators.prefix import global_positions
+from roadlens.session import ensure_checkpoint_dir
 
-MAX_MAP_KEYS = 50_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
 class Family:
     name: str
     keys: list[str]
-    n_keys: int
-    mapping: dict | None = None          # tuple(str keys) -> {"n":..., "y":..., ...}
-    table: DataFrame | None = None       # (family key columns..., n, y, veh, pri) when too large for a map
-    extra: dict = field(default_factory=dict)
+    table: DataFrame                     # __k0, __k1, ... (strings), n, one column per sum
+    n_bytes: int                         # exact size of the table's values
+    totals: dict = field(default_factory=dict)      # n and the sums over all keys of the family
 
 
 def key_array(keys: list[str]) -> Column:
@@ -43,85 +41,47 @@ def fit_bank(train: DataFrame, families: dict[str, list[str]], sums: dict[str, C
     base = train.select(*[c.alias(n) for n, c in sums.items()], F.explode(F.array(*fams)).alias("f"))
     base = base.select("f.family", "f.key", *sums)
     ok = F.forall("key", lambda x: x.isNotNull())
+    ensure_checkpoint_dir(train.sparkSession)
     stats = (base.filter(ok).groupBy("family", "key")
              .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(s).cast("double")).alias(s) for s in sums])
-             .persist(StorageLevel.MEMORY_AND_DISK))
-    sizes = {r["family"]: r["c"] for r in stats.groupBy("family").agg(F.count(F.lit(1)).alias("c")).collect()}
-    small = [f for f in families if sizes.get(f, 0) <= MAX_MAP_KEYS]
-    out: dict[str, Family] = {}
-    maps: dict[str, dict] = {f: {} for f in small}
-    if small:
-        for r in stats.filter(F.col("family").isin(small)).collect():   # bounded: sum of checked sizes
-            maps[r["family"]][tuple(r["key"])] = {"n": r["n"], **{s: r[s] for s in sums}}
+             .checkpoint(eager=True))
+    key_bytes = F.aggregate("key", F.lit(0), lambda a, k: a + F.octet_length(k) + 16)
+    totals = {r["family"]: r for r in stats.groupBy("family").agg(
+        F.sum(key_bytes + 8 * (len(sums) + 3)).alias("bytes"), F.sum("n").alias("n"),
+        *[F.sum(s).alias(s) for s in sums]).collect()}          # one row per family
+    out = {}
     for name, keys in families.items():
-        if name in maps:
-            out[name] = Family(name, keys, sizes.get(name, 0), mapping=maps[name])
-        else:
-            t = stats.filter(F.col("family") == name).select(
-                *[F.col("key")[i].alias(f"__k{i}") for i in range(len(keys))], "n", *sums)
-            out[name] = Family(name, keys, sizes[name], table=t)
+        t = stats.filter(F.col("family") == name).select(
+            *[F.col("key")[i].alias(f"__k{i}") for i in range(len(keys))], "n", *sums)
+        r = totals.get(name)
+        out[name] = Family(name, keys, t, r["bytes"] if r else 0,
+                           {c: (r[c] if r and r[c] is not None else 0) for c in ("n", *sums)})
     return out
 
 
-def smoothed(alpha: float, prior: float, min_count: int = 0):
-    """(driver fn, table Column) pair for ``(n*mean + alpha*prior)/(n + alpha)``; groups
-    with fewer than ``min_count`` rows get the prior."""
-    def fn(v):
-        if v["n"] < min_count:
-            return prior
-        return (v["n"] * (v["y"] / v["n"]) + alpha * prior) / (v["n"] + alpha)
+def smoothed(alpha: float, prior: float, min_count: int = 0) -> Column:
+    """``(n*mean + alpha*prior)/(n + alpha)``; groups with fewer than ``min_count`` rows get the prior."""
     sm = (F.col("n") * (F.col("y") / F.col("n")) + F.lit(alpha * prior)) / (F.col("n") + F.lit(float(alpha)))
-    return fn, (F.when(F.col("n") < min_count, F.lit(prior)).otherwise(sm) if min_count else sm)
+    return F.when(F.col("n") < min_count, F.lit(prior)).otherwise(sm) if min_count else sm
 
 
-def _sql_str(x: str) -> str:
-    return "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+def ranked(fam: Family, out: str) -> Family:
+    """Adds the 1-based rank of each key by descending ``n`` (ties by key): exact global positions,
+    so no task holds all keys."""
+    pos = global_positions(fam.table.withColumn("__neg", -F.col("n")),
+                           ["__neg", *[f"__k{i}" for i in range(len(fam.keys))]], out="__pos")
+    table = pos.withColumn(out, (F.col("__pos") + 1).cast("double")).drop("__neg", "__pos")
+    return Family(fam.name, fam.keys, table, fam.n_bytes, fam.totals)
 
 
-def _sql_double(v) -> str:
-    if v is None:
-        return "CAST(NULL AS DOUBLE)"
-    return repr(float(v)) + "D"
+def apply(df: DataFrame, fam: Family, value_cols: dict[str, Column]) -> DataFrame:
+    """Left join of ``value_cols`` (name -> Column over n and the sums); NULL where the key is unseen.
 
-
-def _lit_map(mapping: dict, value) -> Column:
-    """One literal map parsed from a single SQL expression (one JVM call, any size)."""
-    if not mapping:
-        return F.create_map().cast("map<array<string>,double>")
-    keys = ", ".join("array(" + ", ".join(_sql_str(x) for x in k) + ")" for k in mapping)
-    vals = ", ".join(_sql_double(value(v)) for v in mapping.values())
-    return F.expr(f"map_from_arrays(array({keys}), array({vals}))")
-
-
-def lookup_value(fam: Family, value, name: str) -> Column:
-    """Map-lookup Column of ``value(stats_dict)`` for the row's key (NULL when unseen)."""
-    assert fam.mapping is not None
-    return F.try_element_at(_lit_map(fam.mapping, value), key_array(fam.keys)).alias(name)
-
-
-MAX_INLINE_KEYS = 64   # Spark evaluates a map lookup as a scan over its keys: inline only tiny maps
-
-
-def apply(df: DataFrame, fam: Family, value_cols: dict) -> DataFrame:
-    """Add ``value_cols`` (name -> (fn(stats) for collected families, Column over n/y/... for tables)).
-
-    * tiny collected families: literal map lookups inside the projection;
-    * other collected families (size proven <= MAX_MAP_KEYS): broadcast hash join
-      against a local relation built from the collected rows (no extra job);
-    * uncollected families: checked-broadcast or shuffle join against the table."""
+    The family's side is broadcast under ``MAX_BROADCAST_BYTES``; past it the join is a
+    shuffle join that AQE sizes and splits."""
     nk = len(fam.keys)
-    if fam.mapping is not None and len(fam.mapping) <= MAX_INLINE_KEYS:
-        return df.select("*", *[lookup_value(fam, fn, name) for name, (fn, _) in value_cols.items()])
-    if fam.mapping is not None:
-        spark = df.sparkSession
-        schema = ", ".join([f"__k{i} string" for i in range(nk)] + [f"`{n}` double" for n in value_cols])
-        rows = [tuple(k) + tuple(None if fn(v) is None else float(fn(v)) for fn, _ in value_cols.values())
-                for k, v in fam.mapping.items()]
-        t = F.broadcast(spark.createDataFrame(rows, schema))
-    else:
-        t = fam.table.select(*[F.col(f"__k{i}") for i in range(nk)],
-                             *[expr.alias(name) for name, (_, expr) in value_cols.items()])
-        t = rates.checked_broadcast(t)
+    t = fam.table.select(*[f"__k{i}" for i in range(nk)], *[expr.alias(name) for name, expr in value_cols.items()])
+    t = F.broadcast(t) if fam.n_bytes <= MAX_BROADCAST_BYTES else t
     cond = None
     for i, k in enumerate(fam.keys):
         c = F.col(k).cast("string") == F.col(f"__k{i}")

@@ -37,9 +37,8 @@ def scored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = ctx.filter(F.col("is_train"))
     bank = statsbank.fit_bank(train, {"zone": ["zone"], "corridor": ["corridor"], "hour": ["hour"]},
                               {"y": F.col(TARGET).cast("double")})
-    n_all = sum(v["n"] for v in bank["hour"].mapping.values()) if bank["hour"].mapping is not None else train.count()
-    prior = (sum(v["y"] for v in bank["hour"].mapping.values()) / n_all) if bank["hour"].mapping is not None \
-        else rates.global_mean(train, TARGET)
+    totals = bank["hour"].totals
+    prior = totals["y"] / totals["n"] if totals["n"] else rates.global_mean(train, TARGET)
 
     def smooth(alpha, min_count=0):
         return statsbank.smoothed(alpha, prior, min_count)
@@ -47,7 +46,7 @@ def scored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ctx.select("*", *events.cause_scores())
     df = statsbank.apply(df, bank["zone"], {"__z": smooth(10)})
     df = statsbank.apply(df, bank["corridor"], {"__c": smooth(20, 20)})
-    df = statsbank.apply(df, bank["hour"], {"__h": ((lambda v: v["y"] / v["n"]), F.col("y") / F.col("n"))})
+    df = statsbank.apply(df, bank["hour"], {"__h": F.col("y") / F.col("n")})
     df = df.select(*ctx.columns, "cause_severity_score", "cause_priority_score",
                    np_round(F.coalesce("__z", F.lit(prior)), 4).alias("zone_risk_score"),
                    np_round(F.coalesce("__c", F.lit(prior)), 4).alias("corridor_risk_score"),

@@ -1,15 +1,14 @@
 """INT-03: full stage-2 feature assembly in dependency order
 (temporal -> event -> congestion -> zone/junction/geo -> interactions -> rolling).
 
-Fit statistics come from one persisted slim projection of the training rows,
+Fit statistics come from one pass over a slim projection of the training rows,
 so the fact table is scanned once for fitting and once for transforming, no
-matter how many statistic tables there are; every statistics table is a small
-aggregate joined back with a checked broadcast.
+matter how many statistic tables there are; every statistics table is an
+aggregate joined back, broadcast when its counted bytes allow.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +44,7 @@ def assemble_frame(ctx: DataFrame, train: DataFrame, prior: float) -> DataFrame:
                  *events.route_features(), *geo.city_distances(), *geo.grid_cells(),
                  geo.lat_lon_product().alias("lat_lon_product"))
     e = e.withColumn("radial_band", geo.radial_band("dist_to_city_centre"))
-    tr = train.select(*_TRAIN_COLS, F.to_date("ts").cast("string").alias("__date")).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = train.select(*_TRAIN_COLS, F.to_date("ts").cast("string").alias("__date"))
     e = e.withColumn("__date", F.to_date("ts").cast("string"))
     # range counts first, on the plain projection of the scan: the probe side and the
     # join back then re-read only the scan, not the lookup joins added below
@@ -68,44 +67,36 @@ FAMILIES = {
 def apply_bank(e: DataFrame, tr: DataFrame, prior: float) -> DataFrame:
     """All group-rate / density / rank / same-day features from one statistics pass."""
     bank = statsbank.fit_bank(tr, FAMILIES, {
-        "y": F.col(T).cast("double"), "veh": (F.col("event_cause") == "vehicle_breakdown").cast("double"),
-        "pri": F.lit(0.0)})
-    n_all = float(sum(v["n"] for v in bank["hb"].mapping.values())) if bank["hb"].mapping is not None else \
-        float(tr.count())
+        "y": F.col(T).cast("double"), "veh": (F.col("event_cause") == "vehicle_breakdown").cast("double")})
+    n_all, n_zone = float(bank["hb"].totals["n"]), float(bank["zone"].totals["n"])
 
     def smooth(alpha, min_count=0):
         return statsbank.smoothed(alpha, prior, min_count)
 
     def share(total):
-        return (lambda v: v["n"] / total), F.col("n") / F.lit(total)
+        return F.col("n") / F.lit(total)
 
     def col_of(name, default, digits=None):
         c = F.coalesce(F.col(name), F.lit(default))
         return np_round(c, digits) if digits is not None else c
 
+    count = F.col("n").cast("double")
     x = e
-    x = statsbank.apply(x, bank["corridor"], {"__cr": smooth(20, 20), "__cd": share(n_all),
-                                              "__vf": ((lambda v: v["veh"] / v["n"]), F.col("veh") / F.col("n"))})
+    x = statsbank.apply(x, bank["corridor"], {"__cr": smooth(20, 20), "__cd": share(n_all), "__vf": F.col("veh") / F.col("n")})
     x = statsbank.apply(x, bank["corridor_hb"], {"__hc": share(n_all)})
     x = statsbank.apply(x, bank["hb"], {"__hl": share(n_all)})
     x = statsbank.apply(x, bank["police"], {"__ps": smooth(10)})
-    n_zone = float(sum(v["n"] for v in bank["zone"].mapping.values())) if bank["zone"].mapping is not None else n_all
     x = statsbank.apply(x, bank["zone"], {"__zr": smooth(10), "__zd": share(n_zone)})
     x = statsbank.apply(x, bank["gba"], {"__gb": smooth(10)})
-    jf = bank["junction"]
-    if jf.mapping is not None:
-        order = sorted(jf.mapping, key=lambda k: (-jf.mapping[k]["n"], k[0]))
-        for i, k in enumerate(order):
-            jf.mapping[k]["rank"] = i + 1
-    x = statsbank.apply(x, jf, {"__jr": smooth(10, 10), "__jc": ((lambda v: float(v["n"])), F.col("n").cast("double")),
-                                "__jk": ((lambda v: float(v["rank"])), F.lit(None).cast("double"))})
-    x = statsbank.apply(x, bank["hour"], {"__hr": ((lambda v: v["y"] / v["n"]), F.col("y") / F.col("n"))})
+    x = statsbank.apply(x, statsbank.ranked(bank["junction"], "rank"),
+                        {"__jr": smooth(10, 10), "__jc": count, "__jk": F.col("rank")})
+    x = statsbank.apply(x, bank["hour"], {"__hr": F.col("y") / F.col("n")})
     pairs = {}
     for fam, (_, name) in zip(["pair_corridor_zone", "pair_hb_cause", "pair_zone_cause", "pair_police_hb"], feat.PAIR_RATES):
         x = statsbank.apply(x, bank[fam], {f"__{name}": smooth(10, 5)})
         pairs[name] = f"__{name}"
-    x = statsbank.apply(x, bank["day"], {"__sd": ((lambda v: float(v["n"])), F.col("n").cast("double"))})
-    x = statsbank.apply(x, bank["zone_day"], {"__szd": ((lambda v: float(v["n"])), F.col("n").cast("double"))})
+    x = statsbank.apply(x, bank["day"], {"__sd": count})
+    x = statsbank.apply(x, bank["zone_day"], {"__szd": count})
     jr = col_of("__jr", prior, 4)
     zr = col_of("__zr", prior, 4)
     hr_raw = col_of("__hr", prior)
