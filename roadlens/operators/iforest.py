@@ -1,8 +1,8 @@
 """OUT-04 isolation forest (not in Spark ML), built Spark-first.
 
-* sample: one hash per row keeps ~2x the needed rows (no shuffle), each kept row
-  is assigned to trees by a per-tree hash, and every tree keeps its 256 smallest
-  hashes -> (tree, row) table of at most 200 x 256 rows;
+* sample: every tree draws from all rows, keeping the 256 smallest of its own hash of
+  the key; rows whose hash cannot be among them are dropped in the scan, so at most
+  about 200 x 2048 (tree, row) pairs are shuffled, whatever the table's size;
 * build: ``groupBy('tree').applyInPandas`` grows the 200 trees in parallel;
 * the forest is bounded (200 trees x <= 511 nodes) so it is broadcast;
 * score: ``mapInPandas`` walks all trees for an Arrow batch at a time (vectorised
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 N_TREES = 200
@@ -78,27 +78,29 @@ class IsolationForestModel:
     offset: float = -0.5
     psi: int = PSI
 
-    def _path_lengths(self, X: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(X))
-        n_trees = 0
+    def prepared(self) -> list[tuple]:
+        """(feature, threshold, left, right, path length at the node) arrays of each tree."""
+        out = []
         for _, t in self.nodes.groupby("tree"):
             t = t.sort_values("node")
-            feat, thr = t["feature"].to_numpy(), t["threshold"].to_numpy()
-            left, right = t["left"].to_numpy(), t["right"].to_numpy()
-            size, depth = t["size"].to_numpy(), t["depth"].to_numpy()
+            path = t["depth"].to_numpy() + np.array([c_factor(s) for s in t["size"]])
+            out.append((*(t[c].to_numpy() for c in ("feature", "threshold", "left", "right")), path))
+        return out
+
+    def _path_lengths(self, X: np.ndarray, trees: list[tuple]) -> np.ndarray:
+        total = np.zeros(len(X))
+        for feat, thr, left, right, path in trees:
             cur = np.zeros(len(X), dtype=int)
-            active = feat[cur] >= 0
-            while active.any():
-                f = feat[cur[active]]
-                go_left = X[active, f] < thr[cur[active]]
-                cur[active] = np.where(go_left, left[cur[active]], right[cur[active]])
-                active = feat[cur] >= 0
-            total += depth[cur] + np.array([c_factor(s) for s in size[cur]])
-            n_trees += 1
-        return total / max(n_trees, 1)
-
-    def score_samples(self, X: np.ndarray) -> np.ndarray:
-        return -np.power(2.0, -self._path_lengths(X) / c_factor(self.psi))
+            active = np.flatnonzero(feat[cur] >= 0)
+            while len(active):
+                at = cur[active]
+                cur[active] = np.where(X[active, feat[at]] < thr[at], left[at], right[at])
+                active = active[feat[cur[active]] >= 0]
+            total += path[cur]
+        return total / max(len(trees), 1)
+
+    def score_samples(self, X: np.ndarray, trees: list[tuple] | None = None) -> np.ndarray:
+        return -np.power(2.0, -self._path_lengths(X, trees or self.prepared()) / c_factor(self.psi))
 
     def transform(self, df: DataFrame, digits: int = 6) -> DataFrame:
         cols, offset, model = list(self.columns), self.offset, self
@@ -110,31 +112,36 @@ class IsolationForestModel:
 
         def score(batches):
             m = bmodel.value
+            trees = m.prepared()
             for pdf in batches:
                 X = pdf[cols].astype(float).fillna(0.0).to_numpy()
-                s = m.score_samples(X) - offset if len(X) else np.zeros(0)
+                s = m.score_samples(X, trees) - offset if len(X) else np.zeros(0)
                 pdf["if_anomaly"] = (s < 0).astype("int32")
                 pdf["if_anomaly_score"] = np.round(s, digits)
                 yield pdf
         return df.mapInPandas(score, out_schema)
 
 
+SPARE = 8                 # times psi rows per tree that pass the scan on average
+_RANGE = 1 << 40
+
+
+def tree_samples(rows: DataFrame, key: str, n_trees: int, psi: int, seed: int) -> DataFrame:
+    """``rows`` + ``tree``: for each tree the ``psi`` rows with the smallest hash of (key, tree), of all rows."""
+    limit = int(_RANGE * min(1.0, SPARE * psi / max(rows.count(), 1)))
+    h = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(_RANGE))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) < limit)
+    order = Window.partitionBy("tree").orderBy("__h", key)        # about SPARE x psi rows each
+    return (rows.select("*", F.explode(trees).alias("tree")).withColumn("__h", h(F.col("tree")))
+            .withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= psi).drop("__h", "__r"))
+
+
 def fit_isolation_forest(train: DataFrame, columns: list[str], key: str = "id", n_trees: int = N_TREES,
                          psi: int = PSI, contamination: float = 0.05, seed: int = 42) -> IsolationForestModel:
     """Fit on ``train`` (NULL features -> 0).  Only the sampled rows (<= n_trees x psi)
     ever reach Python; the offset is an approximate quantile over all training scores."""
-    n = train.count()
-    frac = min(1.0, 2.0 * psi * 1.5 / max(n, 1))  # each tree needs psi of the kept rows
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    kept = train.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]) \
-        .filter((F.abs(h) % 1_000_000) < F.lit(int(frac * 1_000_000) + 1))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: (F.abs(F.xxhash64(F.col(key), t, F.lit(seed))) % 1000) < 500)
-    per_tree = kept.select("*", F.explode(trees).alias("tree"),
-                           ).withColumn("__h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1)))
-    from pyspark.sql import Window
-    ranked = per_tree.withColumn("__r", F.row_number().over(Window.partitionBy("tree").orderBy("__h", key)))
-    sample = ranked.filter(F.col("__r") <= psi).drop("__h", "__r")
+    sample = tree_samples(train.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]),
+                          key, n_trees, psi, seed)
     nodes = (sample.groupBy("tree")
              .applyInPandas(lambda pdf: _build_tree(pdf, columns, seed), NODE_SCHEMA)
              .toPandas())  # bounded: n_trees x (2 psi - 1) rows

@@ -116,36 +116,24 @@ def agreement(ranked: DataFrame, methods: list[str] = METHODS, top: int = 5) ->
     return ranked.select("feature", votes.alias("votes"))
 
 
-WIDE_FEATURES = 40   # beyond this many features, one Gram-matrix pass instead of p(p-1)/2 aggregates
-
-
-def _pairwise_corr_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson matrix from one distributed tree-aggregate (``pyspark.ml.stat.Correlation``),
-    as (feature_a, feature_b, r) rows of the upper triangle; only the p x p matrix reaches
-    the driver.  Rows with a NULL feature are dropped, as pairwise ``corr`` would for that pair."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=features, outputCol="__v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in features]))
-    m = Correlation.corr(vec, "__v", "pearson").first()[0].toArray()
-    rows = [(a, b, float(m[i][j])) for i, a in enumerate(features) for j, b in enumerate(features) if j > i]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
+PAIRS_PER_PASS = 300   # correlations computed in one aggregate (a limit of generated code, not of the answer)
 
 
 def redundant_pairs(df: DataFrame, features: list[str], threshold: float = 0.90, drop_at: float = 0.95) -> DataFrame:
     """SEL-07: pairs (upper triangle) with |r| >= threshold; advice 'drop' at >= drop_at.
 
-    All pairwise correlations come from one aggregate pass (p(p-1)/2 corr aggregates)."""
+    Every pair is correlated over the rows where both are present, at any number of features."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, abs_corr double, advice string")
-    if len(features) > WIDE_FEATURES:
-        long = _pairwise_corr_matrix(df, features)
-    else:
-        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
-        rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                  F.col(f"{a}__{b}").alias("r")) for a, b in pairs])
-        long = wide.select(F.explode(rows).alias("p")).select("p.*")
+    data, long = df.select(*[F.col(c).cast("double").alias(c) for c in features]), None
+    for lo in range(0, len(pairs), PAIRS_PER_PASS):
+        part = pairs[lo:lo + PAIRS_PER_PASS]
+        wide = data.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(part)])
+        rows = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"p{i}").alias("r"))
+                         for i, (a, b) in enumerate(part)])
+        found = wide.select(F.explode(rows).alias("p")).select("p.*")
+        long = found if long is None else long.unionByName(found)
     ar = F.abs(_finite("r"))
     return (long.select("feature_a", "feature_b", ar.alias("abs_corr"))
             .filter(F.col("abs_corr") >= threshold)

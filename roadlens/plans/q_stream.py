@@ -56,7 +56,7 @@ def _with_updates(stream):
     "SELECT id, CASE WHEN id % 3 = 0 THEN 'RESOLVED' ELSE status END AS status FROM incidents WHERE ts IS NOT NULL"))
 def str_03(spark, sf):
     s = _with_updates(jobs.incident_stream(spark, sf))
-    return jobs.run_available(jobs.latest_status(s), "latest", mode="complete").select("id", "status")
+    return jobs.run_available(jobs.latest_status(s), "latest", ["id"]).select("id", "status")
 
 
 @register("str_04", O.with_ctes("""
@@ -66,7 +66,7 @@ SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS window_start,
 FROM incidents, (SELECT unnest([0, 1, 2]) AS k) WHERE ts IS NOT NULL GROUP BY 1, 2, 3"""))
 def str_04(spark, sf):
     s = jobs.incident_stream(spark, sf)
-    return jobs.run_available(jobs.rolling_counts(s), "rolling", mode="complete")
+    return jobs.run_available(jobs.rolling_counts(s), "rolling", ["window_start", "window_end", "corridor"])
 
 
 def _warning_sql():
@@ -81,22 +81,21 @@ def _warning_sql():
                 count(*) FILTER (WHERE contains({lc}, 'construction') OR contains({ld}, 'repair') OR contains({ld}, 'work')) AS n_work
               FROM incidents WHERE status IN ('PENDING', 'DISPATCHED', 'ON_SCENE') AND ts IS NOT NULL GROUP BY 1""",
         c="""SELECT date_trunc('hour', ts) AS w, count(*) FILTER (WHERE density IN ('JAMMED', 'HEAVY') OR queue_length_m > 200)
-               AS n_congested_cams FROM cam WHERE ts IS NOT NULL GROUP BY 1""",
-        wx=f"""SELECT date_trunc('hour', ts) AS w, avg(CASE WHEN value > 100 THEN value / {D(20.0)} ELSE {D(0.0)} END) AS rain_mm
+               AS n_cam, max(queue_length_m) FILTER (WHERE density IN ('JAMMED', 'HEAVY') OR queue_length_m > 200) AS queue
+             FROM cam WHERE ts IS NOT NULL GROUP BY 1""",
+        wx=f"""SELECT date_trunc('hour', ts) AS w, avg(CASE WHEN value > 100 THEN value / {D(20.0)} ELSE {D(0.0)} END) AS rain
                FROM events WHERE event_type = 'view' AND ts IS NOT NULL GROUP BY 1""",
-        j="""SELECT coalesce(r.w, c.w, wx.w) AS w, coalesce(n_water, 0) AS n_water, coalesce(n_accident, 0) AS n_accident,
-                    coalesce(n_work, 0) AS n_work, coalesce(n_congested_cams, 0) AS n_congested_cams,
-                    coalesce(rain_mm, 0.0) AS rain_mm
+        j=f"""SELECT coalesce(r.w, c.w, wx.w) AS w, coalesce(n_water, 0) AS n_water, coalesce(n_accident, 0) AS n_accident,
+                    coalesce(n_work, 0) AS n_work, coalesce(n_cam, 0) AS n_cam, coalesce(queue, 0) AS queue,
+                    coalesce(rain, {D(0.0)}) AS rain, {D(10.0)} - least(coalesce(rain, {D(0.0)}), {D(16.0)}) / 2 AS sight
              FROM r FULL OUTER JOIN c ON r.w = c.w FULL OUTER JOIN wx ON coalesce(r.w, c.w) = wx.w""",
-        warn="""SELECT w AS window_start, n_water, n_accident, n_work, n_congested_cams, round_even(rain_mm, 6) AS rain_mm,
-                  CASE WHEN rain_mm > 10 OR n_congested_cams >= 3 OR n_accident >= 3 THEN 'RED'
-                       WHEN rain_mm > 2 OR n_congested_cams >= 1 OR n_water >= 1 THEN 'AMBER' ELSE 'GREEN' END AS level,
-                  list_filter([CASE WHEN rain_mm > 10 THEN 'heavy rain' WHEN rain_mm > 2 THEN 'rain' END,
-                               CASE WHEN n_water > 0 THEN 'water logging reports' END,
-                               CASE WHEN n_accident > 0 THEN 'accident reports' END,
-                               CASE WHEN n_work > 0 THEN 'road works' END,
-                               CASE WHEN n_congested_cams > 0 THEN 'camera congestion' END], lambda x: x IS NOT NULL) AS alerts
-                FROM j""")
+        warn="""SELECT w AS window_start, n_water, n_accident, n_work, n_cam AS n_congested_cams, round_even(rain, 6) AS rain_mm,
+                  CASE WHEN n_cam = 0 THEN 'MEDIUM' WHEN queue > 350 THEN 'CRITICAL' ELSE 'HIGH' END AS congestion_level,
+                  CASE WHEN NOT (rain > 2 OR sight < 6 OR n_accident > 0) THEN 'MEDIUM' WHEN rain > 10 THEN 'CRITICAL'
+                       ELSE 'HIGH' END AS accident_level,
+                  CASE WHEN rain > 10 OR n_water > 0 THEN 'CRITICAL' WHEN rain > 5 THEN 'HIGH' ELSE 'LOW' END AS flood_level,
+                  CASE WHEN hour(w) >= 16 THEN 'HIGH' ELSE 'MEDIUM' END AS event_level,
+                  CASE WHEN n_work > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS infrastructure_level FROM j""")
     return ctes
 
 
@@ -105,14 +104,22 @@ def str_05(spark, sf):
     return jobs.early_warning(incidents(spark, sf), cameras(spark, sf), hourly_weather(spark, sf))
 
 
-@register("str_06", O.with_ctes(f"""
-SELECT window_start, round_even(b, 6) AS risk_30m, round_even(b * {O.d(0.85)}, 6) AS risk_1h,
-       round_even(b * {O.d(0.7)}, 6) AS risk_2h,
-       CASE WHEN b >= 70 THEN 'CRITICAL' WHEN b >= 50 THEN 'HIGH' WHEN b >= 30 THEN 'ELEVATED' ELSE 'NORMAL' END AS status,
-       CASE WHEN b * {O.d(0.85)} > b THEN 'rising' WHEN b * {O.d(0.85)} < b THEN 'easing' ELSE 'steady' END AS trend
-FROM (SELECT window_start, least({O.d(100.0)}, n_accident * {O.d(15.0)} + n_water * {O.d(10.0)}
-             + n_congested_cams * {O.d(12.0)} + rain_mm * {O.d(3.0)} + n_work * {O.d(5.0)}) AS b FROM warn)""",
-    **_warning_sql()))
+def _horizon_sql():
+    D = O.d
+    cam = "CASE WHEN n_congested_cams > 0 THEN {} ELSE 0 END"
+    idx = {"30m": f"least(30 + {cam.format(30)} + least(rain_mm * 2, {D(30.0)}), {D(98.0)})",
+           "1h": f"least(25 + {cam.format(20)} + least(rain_mm * {D(1.5)}, {D(25.0)}), {D(90.0)})",
+           "2h": f"least(15 + least(rain_mm, {D(20.0)}), {D(80.0)})"}
+    grade = "CASE WHEN {c} > 70 THEN '{0}' WHEN {c} > 50 THEN '{1}' WHEN {c} > 30 THEN '{2}' ELSE '{3}' END"
+    cols = ", ".join(f"round_even(t{h}, 1) AS risk_{h}, {grade.format('critical', 'high', 'medium', 'low', c=f't{h}')} AS status_{h}, "
+                     f"{grade.format('RED', 'ORANGE', 'YELLOW', 'GREEN', c=f't{h}')} AS alert_{h}" for h in idx)
+    return (f"SELECT window_start, {cols}, CASE WHEN t30m > t1h THEN 'UPWARD' ELSE 'STABLE' END AS trend_30m, "
+            "CASE WHEN abs(t1h - t2h) < 5 THEN 'STABLE' WHEN t1h > t2h THEN 'UPWARD' ELSE 'DOWNWARD' END AS trend_1h, "
+            "CASE WHEN t2h < t1h THEN 'DOWNWARD' ELSE 'STABLE' END AS trend_2h FROM (SELECT window_start, "
+            + ", ".join(f"{e} AS t{h}" for h, e in idx.items()) + " FROM warn)")
+
+
+@register("str_06", O.with_ctes(_horizon_sql(), **_warning_sql()))
 def str_06(spark, sf):
     return jobs.horizon_risk(jobs.early_warning(incidents(spark, sf), cameras(spark, sf), hourly_weather(spark, sf)))
 
@@ -121,16 +128,16 @@ def _scored_stream(stream):
     prob = score.fallback_probability("event_cause", "num_lanes", "duration_mins")
     model = F.when(F.col("event_type") == "planned", "rule_fallback").otherwise("closure_model")
     return stream.select("ts", model.alias("model"), (F.col("duration_mins") / F.lit(10.0)).alias("latency_ms"),
-                         (F.abs(prob - F.lit(0.5)) / F.lit(0.5)).alias("confidence"))
+                         F.greatest(prob, F.lit(1.0) - prob).alias("confidence"))
 
 
 @register("str_07", O.with_ctes(f"""
 SELECT date_trunc('hour', ts) AS window_start, model, count(*) AS n, avg(latency_ms) AS avg_latency_ms,
        avg(confidence) AS avg_confidence FROM (
   SELECT ts, CASE WHEN event_type = 'planned' THEN 'rule_fallback' ELSE 'closure_model' END AS model,
-         duration_mins / 10.0 AS latency_ms, abs(p - 0.5) / 0.5 AS confidence
+         duration_mins / 10.0 AS latency_ms, greatest(p, 1.0 - p) AS confidence
   FROM (SELECT *, {_prob_sql()} AS p FROM incidents))
 WHERE ts IS NOT NULL GROUP BY 1, 2"""))
 def str_07(spark, sf):
     s = _scored_stream(jobs.incident_stream(spark, sf))
-    return jobs.run_available(jobs.telemetry(s), "telemetry", mode="complete")
+    return jobs.run_available(jobs.telemetry(s), "telemetry", ["window_start", "model"])

@@ -53,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder (HDFS/S3/...) there and we use it as is.  Only
-    when nothing is configured (local tests) do we create one of our own.
+    when nothing is configured and the master is local (tests) do we create one of our
+    own: on a cluster a machine-local folder would be another disk on every node.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = os.path.join(tempfile.gettempdir(), f"roadlens-ckpt-{uuid.uuid4().hex[:8]}")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -131,12 +131,15 @@ def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly rainfall bound to ``view`` events (value over 100 -> value / 20 mm) and a
-    weather code cycling through the code table by hour."""
+    """Hourly rainfall bound to ``view`` events (value over 100 -> value / 20 mm), visibility
+    (10 km, less half a kilometre for each mm) and flood risk (MEDIUM over 5 mm, HIGH over 10)
+    from it, and a weather code cycling through the code table by hour."""
     from roadlens.constants import WEATHER_CODES
     ev = read_table(spark, sf_dir, "events").filter((F.col("event_type") == "view") & F.col("ts").isNotNull())
     hr = F.date_trunc("hour", F.col("ts").cast("timestamp"))
     w = ev.groupBy(hr.alias("hr")).agg(F.avg(F.when(F.col("value") > 100, F.col("value") / F.lit(20.0))
                                              .otherwise(F.lit(0.0))).alias("rain_mm"))
     codes = list(WEATHER_CODES) + [9999]
-    return w.select("hr", "rain_mm", pick((F.unix_seconds("hr") / 3600).cast("long") % 13, codes).alias("code"))
+    rain = F.col("rain_mm")
+    return w.select("hr", "rain_mm", (F.lit(10.0) - F.least(rain, F.lit(16.0)) / 2).alias("visibility_km"),
+                    F.when(rain > 10, "HIGH").when(rain > 5, "MEDIUM").otherwise("LOW").alias("flood_risk"), pick((F.unix_seconds("hr") / 3600).cast("long") % 13, codes).alias("code"))

@@ -4,8 +4,8 @@ Sources are file streams over the driver tables (one new file = one micro-batch)
 every stateful query carries a watermark so state is bounded; sinks write with a
 checkpoint under the shared folder named by ``spark.checkpoint.dir`` so a
 restarted query resumes exactly once.  ``run_available`` drives a query with
-``trigger(availableNow=True)`` (replay of what is there, then stop) and returns
-the sink as a DataFrame, which is how the batch-equivalence checks run.
+``trigger(availableNow=True)`` (replay of what is there, then stop) into Parquet and
+reads it back, which is how the batch-equivalence checks run; nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadlens.functions.common import np_round
 from roadlens.operators import clean, score
@@ -36,15 +37,29 @@ def incident_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents_from(event_stream(spark, sf_dir))
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query over all available input into a memory sink; return the table."""
+def run_available(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a streaming query over all available input into Parquet in the shared folder; return what it wrote.
+
+    Without ``keys``: append mode and the file sink (exactly once).  With ``keys``: update mode, so
+    that the watermark evicts state; each micro-batch is written under its epoch (a replayed epoch
+    rewrites its own files), and the newest row of each key is the result."""
     spark = df.sparkSession
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:8]}"
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (df.writeStream.format("memory").queryName(table).outputMode(mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:8]}"
+    out = f"{base}/out"
+    w = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if keys is None:
+        q = w.format("parquet").option("path", out).outputMode("append").start()
+    else:
+        q = w.foreachBatch(lambda b, epoch: b.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")) \
+            .outputMode("update").start()
     q.awaitTermination()
-    return spark.table(table)
+    schema = df.schema if keys is None else T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])
+    got = spark.read.schema(schema).parquet(out)
+    if keys is None:
+        return got
+    values = [c for c in df.columns if c not in keys]
+    last = got.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col("last")[c].alias(c) for c in df.columns])
 
 
 def write_parquet_stream(df: DataFrame, path: str, checkpoint: str):
@@ -90,41 +105,64 @@ def rolling_counts(reports: DataFrame, window: str = "3 hours", slide: str = "1
 
 
 def early_warning(reports: DataFrame, cams: DataFrame, weather: DataFrame, window: str = "1 hour") -> DataFrame:
-    """STR-05 (batch or stream): per window — congested cameras, rain, active keyword
-    reports — joined on the window and turned into alert rows by rules."""
+    """STR-05: per window the inputs of the warning rules - congested cameras, rain, visibility,
+    flood risk, active keyword reports - and the level of the five alerts.
+
+    Congestion: CRITICAL over a 350 m queue, HIGH with any congested camera, else MEDIUM.  Accident:
+    CRITICAL over 10 mm of rain, HIGH over 2 mm, under 6 km of sight or with an active accident, else
+    MEDIUM.  Flood: CRITICAL over 10 mm or with active water logging, HIGH over 5 mm or a raised flood
+    risk, else LOW.  Event: HIGH from 16 to 23 h, else MEDIUM.  Infrastructure: HIGH with active works."""
     act = reports.filter(F.col("status").isin("PENDING", "DISPATCHED", "ON_SCENE") & F.col("ts").isNotNull())
     lc, ld = F.lower(F.coalesce("event_cause", F.lit(""))), F.lower(F.coalesce("description", F.lit("")))
     r = act.groupBy(F.window("ts", window).start.alias("w")).agg(
         F.count_if(F.contains(lc, F.lit("water")) | F.contains(lc, F.lit("flood")) | F.contains(ld, F.lit("water"))).alias("n_water"),
         F.count_if(F.contains(lc, F.lit("accident")) | F.contains(lc, F.lit("crash")) | F.contains(ld, F.lit("accident"))).alias("n_accident"),
         F.count_if(F.contains(lc, F.lit("construction")) | F.contains(ld, F.lit("repair")) | F.contains(ld, F.lit("work"))).alias("n_work"))
+    congested = F.col("density").isin("JAMMED", "HEAVY") | (F.col("queue_length_m") > 200)
     c = cams.filter(F.col("ts").isNotNull()).groupBy(F.window("ts", window).start.alias("w")).agg(
-        F.count_if(F.col("density").isin("JAMMED", "HEAVY") | (F.col("queue_length_m") > 200)).alias("n_congested_cams"))
-    w = weather.groupBy(F.window("hr", window).start.alias("w")).agg(F.max("rain_mm").alias("rain_mm"))
-    j = r.join(c, "w", "full_outer").join(w, "w", "full_outer").fillna(0)
-    rain = F.col("rain_mm")
-    level = (F.when((rain > 10) | (F.col("n_congested_cams") >= 3) | (F.col("n_accident") >= 3), "RED")
-             .when((rain > 2) | (F.col("n_congested_cams") >= 1) | (F.col("n_water") >= 1), "AMBER").otherwise("GREEN"))
-    alerts = F.array_compact(F.array(
-        F.when(rain > 10, F.lit("heavy rain")).when(rain > 2, F.lit("rain")),
-        F.when(F.col("n_water") > 0, F.lit("water logging reports")),
-        F.when(F.col("n_accident") > 0, F.lit("accident reports")),
-        F.when(F.col("n_work") > 0, F.lit("road works")),
-        F.when(F.col("n_congested_cams") > 0, F.lit("camera congestion"))))
-    return j.select(F.col("w").alias("window_start"), "n_water", "n_accident", "n_work", "n_congested_cams",
-                    np_round(rain, 6).alias("rain_mm"), level.alias("level"), alerts.alias("alerts"))
+        F.count_if(congested).alias("n_congested_cams"),
+        F.max(F.when(congested, F.col("queue_length_m"))).alias("queue_m"))
+    w = weather.groupBy(F.window("hr", window).start.alias("w")).agg(
+        F.max("rain_mm").alias("rain_mm"), F.min("visibility_km").alias("visibility_km"),
+        F.max(F.col("flood_risk").isin("MEDIUM", "HIGH")).alias("flood"))
+    j = (r.join(c, "w", "full_outer").join(w, "w", "full_outer")
+         .fillna({"n_water": 0, "n_accident": 0, "n_work": 0, "n_congested_cams": 0, "queue_m": 0.0, "rain_mm": 0.0,
+                  "visibility_km": 10.0, "flood": False}))
+    rain, cam, hour = F.col("rain_mm"), F.col("n_congested_cams") > 0, F.hour("w")
+    return j.select(
+        F.col("w").alias("window_start"), "n_water", "n_accident", "n_work", "n_congested_cams",
+        np_round(rain, 6).alias("rain_mm"),
+        F.when(cam & (F.col("queue_m") > 350), "CRITICAL").when(cam, "HIGH").otherwise("MEDIUM").alias("congestion_level"),
+        F.when((rain > 2) | (F.col("visibility_km") < 6) | (F.col("n_accident") > 0),
+               F.when(rain > 10, "CRITICAL").otherwise("HIGH")).otherwise("MEDIUM").alias("accident_level"),
+        F.when((rain > 5) | F.col("flood") | (F.col("n_water") > 0),
+               F.when((rain > 10) | (F.col("n_water") > 0), "CRITICAL").otherwise("HIGH")).otherwise("LOW").alias("flood_level"),
+        F.when((hour >= 16) & (hour <= 23), "HIGH").otherwise("MEDIUM").alias("event_level"),
+        F.when(F.col("n_work") > 0, "HIGH").otherwise("MEDIUM").alias("infrastructure_level"))
 
 
 def horizon_risk(warn: DataFrame) -> DataFrame:
-    """STR-06: 30 m / 1 h / 2 h risk indices from the warning counts, status 70/50/30, trend."""
-    base = (F.least(F.lit(100.0), F.col("n_accident") * 15.0 + F.col("n_water") * 10.0 + F.col("n_congested_cams") * 12.0
-                    + F.col("rain_mm") * 3.0 + F.col("n_work") * 5.0))
+    """STR-06: risk index, status, trend and alert colour 30 minutes, 1 hour and 2 hours ahead."""
+    rain, cam = F.col("rain_mm"), (F.col("n_congested_cams") > 0).cast("double")
+
+    def index(base: float, congestion: float, factor: float, cap: float, most: float):
+        return F.least(F.lit(base) + cam * congestion + F.least(rain * factor, F.lit(cap)), F.lit(most))
+
     def status(c):
-        return F.when(c >= 70, "CRITICAL").when(c >= 50, "HIGH").when(c >= 30, "ELEVATED").otherwise("NORMAL")
-    r30, r1h, r2h = base, base * F.lit(0.85), base * F.lit(0.7)
-    return warn.select("window_start", np_round(r30, 6).alias("risk_30m"), np_round(r1h, 6).alias("risk_1h"),
-                       np_round(r2h, 6).alias("risk_2h"), status(r30).alias("status"),
-                       F.when(r1h > r30, "rising").when(r1h < r30, "easing").otherwise("steady").alias("trend"))
+        return F.when(c > 70, "critical").when(c > 50, "high").when(c > 30, "medium").otherwise("low")
+
+    def colour(c):
+        return F.when(c > 70, "RED").when(c > 50, "ORANGE").when(c > 30, "YELLOW").otherwise("GREEN")
+
+    x = warn.select("window_start", index(30.0, 30.0, 2.0, 30.0, 98.0).alias("t30"),
+                    index(25.0, 20.0, 1.5, 25.0, 90.0).alias("t1"), index(15.0, 0.0, 1.0, 20.0, 80.0).alias("t2"))
+    t30, t1, t2 = F.col("t30"), F.col("t1"), F.col("t2")
+    trends = {"t30": F.when(t30 > t1, "UPWARD").otherwise("STABLE"),
+              "t1": F.when(F.abs(t1 - t2) < 5, "STABLE").when(t1 > t2, "UPWARD").otherwise("DOWNWARD"),
+              "t2": F.when(t2 < t1, "DOWNWARD").otherwise("STABLE")}
+    return x.select("window_start", *[c for n, name in (("t30", "30m"), ("t1", "1h"), ("t2", "2h")) for c in (
+        np_round(n, 1).alias(f"risk_{name}"), status(F.col(n)).alias(f"status_{name}"), trends[n].alias(f"trend_{name}"),
+        colour(F.col(n)).alias(f"alert_{name}"))])
 
 
 def telemetry(scored: DataFrame, window: str = "1 hour", ts: str = "ts") -> DataFrame:

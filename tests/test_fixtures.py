@@ -243,16 +243,22 @@ def test_bracketed_quantiles_distributed_interior(spark, monkeypatch):
         assert abs(got[p] - np.percentile(np.array(a), p * 100)) < 1e-9, p
 
 
-def test_redundant_pairs_wide_path_matches(spark, monkeypatch):
+def test_redundant_pairs_are_pairwise_complete_at_any_width(spark, monkeypatch):
+    """NULLs in one column must not change the correlation of two others, however many passes it takes."""
     from roadlens.operators import select as sel
-    rows = [(float(i), float(i) * 2 + (i % 3), float(i % 7), float(-i) + (i % 2) * 0.5) for i in range(200)]
+    rows = [(float(i), float(i) * 2 + (i % 3), float(i % 7) if i % 4 else None, float(-i) + (i % 2) * 0.5) for i in range(200)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
     feats = ["a", "b", "c", "d"]
-    narrow = {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in sel.redundant_pairs(df, feats, 0.5).collect()}
-    monkeypatch.setattr(sel, "WIDE_FEATURES", 1)
-    wide = {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in sel.redundant_pairs(df, feats, 0.5).collect()}
-    assert narrow.keys() == wide.keys() and len(narrow) >= 3
-    assert all(abs(narrow[k] - wide[k]) < 1e-9 for k in narrow)
+
+    def found():
+        return {(r["feature_a"], r["feature_b"]): r["abs_corr"] for r in sel.redundant_pairs(df, feats, 0.0).collect()}
+    one = found()
+    monkeypatch.setattr(sel, "PAIRS_PER_PASS", 2)
+    several = found()
+    assert one.keys() == several.keys() and len(one) == 6
+    assert all(abs(one[k] - several[k]) < 1e-12 for k in one)
+    a, b = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    assert abs(one[("a", "b")] - abs(np.corrcoef(a, b)[0, 1])) < 1e-12
 
 
 def test_heat_surface_neighbourhood_is_exact(spark):

@@ -23,7 +23,7 @@ def test_windows_emit_only_after_watermark(spark):
     spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{src}/b1")
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
     counts = jobs.rolling_counts(stream, window="1 hour", slide="1 hour", watermark="3 hours")
-    out = jobs.run_available(counts, "wm", mode="append")
+    out = jobs.run_available(counts, "wm")
     got = {(r["window_start"], r["n"]) for r in out.collect()}
     assert (base, 2) in got
     assert all(ws < base + dt.timedelta(hours=10) for ws, _ in got)
