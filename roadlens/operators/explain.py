@@ -1,7 +1,7 @@
 """Explainability and refinement (XPL-01..06, SEL-05/06, RFN-01..05).
 
 * impurity importances come from the fitted Spark model (a feature-sized vector);
-* linear Shapley values are exact and computed as columns: w_j * (z_j - mean(z_j));
+* linear Shapley values are exact and computed as columns: w_j * z_j (training mean 0);
 * permutation importance permutes a column with a random cyclic shift: rows get
   exact positions in a seeded hash order (P1) and take the partner row's values at
   position (pos + 1) mod n via an equi-join — no collect, no sort of all data on
@@ -16,6 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadlens.functions.common import np_round
 from roadlens.operators.prefix import global_positions, mix_key
 from roadlens.operators.train import predictions
 
@@ -28,18 +29,17 @@ def impurity_importance(model, features: list[str], spark) -> DataFrame:
 
 
 def linear_shap(pipeline_model, df: DataFrame, features: list[str], key: str = "id") -> DataFrame:
-    """XPL-02 (linear, exact): contribution_j = w_j * (z_j - mean_j) on the standardised
-    inputs; sum_j contribution_j + base = logit.  Long form (key, feature, shap)."""
+    """XPL-02 (linear, exact): contribution_j = w_j * z_j on the standardised inputs, whose training
+    mean is 0; sum_j contribution_j + intercept = logit.  Long form (key, feature, shap)."""
     scaler, lr = pipeline_model.stages[0], pipeline_model.stages[-1]
     w = lr.coefficients.toArray().tolist()
     mean, std = scaler.mean.toArray().tolist(), scaler.std.toArray().tolist()
-    z = [((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s if s else 1.0)) for f, m, s in
-         zip(features, mean, std)]
-    zs = df.select(key, *[zj.alias(f) for zj, f in zip(z, features)])
-    zmean = zs.agg(*[F.avg(f).alias(f) for f in features]).first()
-    terms = F.array(*[F.struct(F.lit(f).alias("feature"), (F.lit(wj) * (F.col(f) - F.lit(zmean[f] or 0.0))).alias("shap"))
-                      for f, wj in zip(features, w)])
-    return zs.select(key, F.explode(terms).alias("t")).select(key, "t.feature", "t.shap")
+    terms = F.array(*[
+        F.struct(F.lit(f).alias("feature"),
+                 (F.lit(wj) * (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)
+                  if s else F.lit(0.0)).alias("shap"))
+        for f, wj, m, s in zip(features, w, mean, std)])
+    return df.select(key, F.explode(terms).alias("t")).select(key, "t.feature", "t.shap")
 
 
 def mean_abs_shap(shap_long: DataFrame) -> DataFrame:
@@ -97,40 +97,52 @@ def permutation_importance(model, test: DataFrame, features: list[str], repeats:
 
 
 def influence_table(mdi: DataFrame, shap: DataFrame, perm: DataFrame) -> DataFrame:
-    """XPL-06: full outer merge of the three importances, min-ranks, mean rank,
-    composite, tiers (top 15 % critical, bottom 15 % weak)."""
+    """XPL-06: full outer merge of the three importances, min-ranks, their mean to 2 decimals, the
+    min-rank of that, and the influence label by 0.15 n and 0.85 n.  One row per feature."""
     j = (mdi.select("feature", F.col("importance").alias("mdi"))
          .join(shap.select("feature", "mean_abs_shap"), "feature", "full_outer")
          .join(perm.select("feature", F.col("perm_mean").alias("perm")), "feature", "full_outer")
          .fillna(0.0))
-    r = j.select("feature", "mdi", "mean_abs_shap", "perm",
-                 *[F.rank().over(Window.orderBy(F.col(c).desc())).alias(f"rank_{c}") for c in ("mdi", "mean_abs_shap", "perm")])
-    r = r.withColumn("mean_rank", (F.col("rank_mdi") + F.col("rank_mean_abs_shap") + F.col("rank_perm")) / 3.0)
-    n = Window.partitionBy()
-    pct = F.percent_rank().over(Window.orderBy("mean_rank", "feature"))
-    return r.select("*", pct.alias("pct")).withColumn(
-        "tier", F.when(F.col("pct") <= 0.15, "critical").when(F.col("pct") >= 0.85, "weak").otherwise("supporting")) \
-        .drop("pct").withColumn("n_features", F.count(F.lit(1)).over(n))
-
-
-def weak_features(influence: DataFrame, shap_min: float = 0.0005) -> DataFrame:
-    """RFN-01: weak-feature vote (bottom 20 % mean rank, SHAP < .0005, permutation <= 0;
-    at least 2 votes) with the reasons joined by '|'."""
-    pct = F.percent_rank().over(Window.orderBy(F.col("mean_rank").desc(), "feature"))
-    v = influence.select("feature", (pct <= 0.2).alias("low_rank"), (F.col("mean_abs_shap") < shap_min).alias("low_shap"),
-                         (F.col("perm") <= 0).alias("no_perm"))
-    votes = F.col("low_rank").cast("int") + F.col("low_shap").cast("int") + F.col("no_perm").cast("int")
-    reasons = F.concat_ws("|", F.when(F.col("low_rank"), "bottom_rank"), F.when(F.col("low_shap"), "low_shap"),
-                          F.when(F.col("no_perm"), "no_permutation_gain"))
-    return v.select("feature", votes.alias("votes"), reasons.alias("reasons"), (votes >= 2).alias("drop"))
-
-
-def final_selection(results: DataFrame) -> DataFrame:
-    """RFN-05: weighted score .35 AUC + .30 F1 + .20 recall + .10 precision + .05 accuracy,
-    penalties -0.04 for CV std > .05 and for a test-CV AUC gap > .05, ranked."""
+    names = ("mdi", "mean_abs_shap", "perm")
+    r = j.select("feature", *names, *[F.rank().over(Window.orderBy(F.col(c).desc())).alias(f"rank_{c}") for c in names],
+                 F.count(F.lit(1)).over(Window.partitionBy()).alias("n_features"))
+    r = r.withColumn("mean_rank", np_round(sum((F.col(f"rank_{c}") for c in names), F.lit(0)) / F.lit(3.0), 2))
+    r = r.withColumn("composite_rank", F.rank().over(Window.orderBy("mean_rank")))
+    return r.withColumn("influence", F.when(F.col("composite_rank") >= F.col("n_features") * 0.85, "Least Useful")
+                        .when(F.col("composite_rank") <= F.col("n_features") * 0.15, "Most Influential")
+                        .otherwise("Moderate"))
+
+
+def weak_features(influence: DataFrame, weak_pct: float = 0.2, shap_min: float = 0.0005) -> DataFrame:
+    """RFN-01: weak-feature vote - among the max(1, int(0.2 n)) features with the largest composite
+    rank (ties: first by name), SHAP under 0.0005, permutation importance <= 0; at least two
+    votes drop a feature.  The criteria are joined by '|'."""
+    place = F.row_number().over(Window.orderBy(F.col("composite_rank").desc(), "feature"))
+    bottom = F.greatest(F.lit(1), F.floor(F.col("n_features") * F.lit(weak_pct)))
+    v = influence.select("feature", (place <= bottom).alias("low_rank"), (F.col("mean_abs_shap") < shap_min).alias("low_shap"),
+                         (F.col("perm") <= 0).alias("zero_perm"))
+    names = ("low_rank", "low_shap", "zero_perm")
+    votes = sum((F.col(c).cast("int") for c in names), F.lit(0))
+    criteria = F.concat_ws("|", *[F.when(F.col(c), c) for c in names])
+    return v.select("feature", votes.alias("votes"), criteria.alias("reasons"), (votes >= 2).alias("drop"))
+
+
+def diagnosis(train_score, val_score):
+    """RFN-03: fit diagnosis of the last point of a learning curve."""
+    gap = train_score - val_score
+    return (F.when((train_score > 0.85) & (gap > 0.10), "Overfit").when((val_score < 0.60) & (gap < 0.05), "Underfit")
+            .when(gap > 0.06, "High Variance").when(train_score < 0.70, "High Bias").otherwise("Good Fit"))
+
+
+def final_selection(results: DataFrame, curves: DataFrame) -> DataFrame:
+    """RFN-05: weighted score .35 AUC + .30 F1 + .20 recall + .10 precision + .05 accuracy, less .04
+    for a learning curve that overfits or has high variance and .02 for one that underfits;
+    ranked.  ``curves``: model, diagnosis (a model without a curve is not penalised)."""
     s = (F.lit(0.35) * F.col("test_auc") + F.lit(0.30) * F.col("test_f1") + F.lit(0.20) * F.col("test_recall")
          + F.lit(0.10) * F.col("test_precision") + F.lit(0.05) * F.col("test_accuracy"))
-    pen = (F.when(F.col("cv_auc_std") > 0.05, -0.04).otherwise(0.0)
-           + F.when(F.abs(F.col("test_auc") - F.col("cv_auc_mean")) > 0.05, -0.04).otherwise(0.0))
-    return results.select("model", s.alias("weighted"), pen.alias("penalty"), (s + pen).alias("final_score")) \
-        .withColumn("rank", F.rank().over(Window.orderBy(F.col("final_score").desc())))
+    d = F.coalesce("diagnosis", F.lit("N/A"))
+    pen = F.when(d.isin("Overfit", "High Variance"), -0.04).when(d == "Underfit", -0.02).otherwise(0.0)
+    return (results.join(curves.select("model", "diagnosis"), "model", "left")
+            .select("model", F.round(s, 6).alias("weighted"), pen.alias("penalty"), F.round(s + pen, 6).alias("final_score"),
+                    d.alias("diagnosis"))
+            .withColumn("rank", F.row_number().over(Window.orderBy(F.col("final_score").desc(), "model"))))

@@ -73,8 +73,9 @@ def estimators(n_rows: int) -> dict:
     }
 
 
-def predictions(model, df: DataFrame, key: str = "id", threshold: float = 0.35) -> DataFrame:
-    """SCR-01 core: probability of class 1, label at the decision threshold."""
+def predictions(model, df: DataFrame, key: str = "id", threshold: float = 0.5) -> DataFrame:
+    """Probability of class 1 and the label at a threshold: 0.5 in the lab, as a model's own
+    prediction; batch scoring (SCR-01) passes the decision threshold 0.35."""
     p = model.transform(df)
     prob = vector_to_array(F.col("probability"))[1]
     return p.select(key, "label", prob.alias("score"), (prob >= threshold).cast("int").alias("pred"))
@@ -155,14 +156,17 @@ def random_draws(space: dict, n: int, seed: int = SEED) -> list[dict]:
     return [{k: rnd.choice(space[k]) for k in keys} for _ in range(n)]
 
 
-def focused_grid(best: dict, space: dict) -> list[dict]:
-    """TUN-02: neighbours of the best draw: +-25 % floats, stepped ints, adjacent choices."""
+def focused_grid(best: dict, space: dict, steps: int = 3) -> list[dict]:
+    """TUN-02: around the best draw: floats +-25 % of the axis' range, clipped to it, in ``steps``
+    steps; listed choices with their neighbours."""
     import itertools
     axes = {}
     for k, v in best.items():
         opts = space.get(k, [v])
         if isinstance(v, float):
-            axes[k] = sorted({round(v * 0.75, 6), v, round(v * 1.25, 6)})
+            lo, hi = min(opts), max(opts)
+            a, b = max(lo, v - 0.25 * (hi - lo)), min(hi, v + 0.25 * (hi - lo))
+            axes[k] = sorted({round(a + (b - a) * i / (steps - 1), 6) for i in range(steps)})
         elif v in opts:
             i = opts.index(v)
             axes[k] = opts[max(0, i - 1): i + 2]
@@ -172,35 +176,46 @@ def focused_grid(best: dict, space: dict) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[axes[k] for k in keys])]
 
 
-def cv_score(est, params: dict, train: DataFrame, objective: str, folds: int = 5) -> float:
-    vals = []
+def cv_scores(est, params: dict, train: DataFrame, folds: int = 5) -> dict:
+    """Mean of each metric over the folds (an undefined one counts 0)."""
+    total: dict = {}
     for k in range(folds):
         m = est.copy().setParams(**params).fit(train.filter(F.col("fold") != k)) if hasattr(est, "setParams") \
             else est.fit(train.filter(F.col("fold") != k))
-        v = metrics(predictions(m, train.filter(F.col("fold") == k)))[objective]
-        vals.append(v if v is not None else 0.0)
-    return sum(vals) / len(vals)
+        for name, v in metrics(predictions(m, train.filter(F.col("fold") == k))).items():
+            total[name] = total.get(name, 0.0) + float(v or 0.0) / folds
+    return total
+
+
+def cv_score(est, params: dict, train: DataFrame, objective: str, folds: int = 5) -> float:
+    return cv_scores(est, params, train, folds)[objective]
+
+
+OBJECTIVES = ("f1", "auc", "recall")
 
 
-def tune(train: DataFrame, test: DataFrame, name: str, objective: str = "f1", n_random: int = 60,
-         folds: int = 5, parallelism: int = 4) -> DataFrame:
-    """TUN-01/02/04: random search then focused grid, best picked by CV score (never by
-    test, SURVEY Q17); returns one row per evaluated setting with its CV score."""
+def tune(train: DataFrame, test: DataFrame, name: str, objectives: tuple = OBJECTIVES, n_random: int = 60,
+         folds: int = 5, parallelism: int = 8) -> DataFrame:
+    """TUN-01/02/04: random search, then for each objective a focused grid around its best draw,
+    picked by CV score (never by test, SURVEY Q17).  One row per draw or grid point and
+    objective; equal settings are fitted once, and one fit serves all objectives."""
     spark = train.sparkSession
     est = estimators(train.count())[name]
-    space = SPACES[name]
-
-    def evaluate(params):
-        return {"model": name, "objective": objective, "params": str(sorted(params.items())),
-                "cv_score": cv_score(est, params, train, objective, folds)}
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        stage1 = list(pool.map(evaluate, random_draws(space, n_random)))
-    best = eval_params(max(stage1, key=lambda r: r["cv_score"])["params"])
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        stage2 = list(pool.map(evaluate, focused_grid(best, space)))
-    rows = [dict(r, search="random") for r in stage1] + [dict(r, search="grid") for r in stage2]
-    return spark.createDataFrame(rows)
+    space, known = SPACES[name], {}
+
+    def evaluate(settings: list[dict]) -> list[tuple[str, dict]]:
+        keys = [str(sorted(p.items())) for p in settings]
+        new = {k: p for k, p in zip(keys, settings) if k not in known}
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            known.update(zip(new, pool.map(lambda p: cv_scores(est, p, train, folds), new.values())))
+        return [(k, known[k]) for k in keys]
+
+    draws, rows = evaluate(random_draws(space, n_random)), []
+    for objective in objectives:
+        best = eval_params(max(draws, key=lambda d: d[1][objective])[0])
+        for search, found in (("random", draws), ("grid", evaluate(focused_grid(best, space)))):
+            rows += [(name, objective, k, float(v[objective]), search) for k, v in found]
+    return spark.createDataFrame(rows, "model string, objective string, params string, cv_score double, search string")
 
 
 def eval_params(s: str) -> dict:

@@ -13,14 +13,11 @@ from roadlens.operators import explain as xp
 from roadlens.operators import train as tr
 from roadlens.operators.iforest import fit_isolation_forest
 from roadlens.operators.outliers import FenceModel, StandardScalerModel, method_comparison
-from roadlens.operators.prefix import hash_sample
 from roadlens.plans import oracle_base as O
 from roadlens.plans.catalog import register
-from roadlens.plans.q_select import FEATURES, LABEL, feature_matrix
+from roadlens.plans.q_select import FEATURES, LABEL, THRESHOLD, feature_matrix
 from roadlens.sources.tables import incidents
 
-N_RANDOM_CHECK = 12  # random-search draws for the registered check query (library default 60)
-
 _MEMO: dict = {}
 
 
@@ -33,9 +30,14 @@ def memo(spark, key, build):
     return _MEMO[k]
 
 
+def matrix(spark, sf):
+    """The feature matrix with the split flag (a function of the id, so no join is needed)."""
+    return feature_matrix(spark, sf).withColumn("is_train", F.col("id") % 5 != 0)
+
+
 def lab(spark, sf, features=FEATURES):
     def build():
-        fm = feature_matrix(spark, sf).join(incidents(spark, sf).select("id", "is_train"), "id")
+        fm = matrix(spark, sf)
         return (tr.prepare(fm.filter("is_train"), features, LABEL),
                 tr.prepare(fm.filter(~F.col("is_train")), features, LABEL))
     return memo(spark, ("lab", sf, tuple(features)), build)
@@ -65,20 +67,17 @@ for _id, _name in [("mdl_02", "logistic_regression"), ("mdl_03", "decision_tree"
     register(_id)(_model_query(_name))
 
 
-CHECK_FOLDS = 3  # CV folds for the registered comparison check (library default 5)
-
-
 @register("mdl_07")
 def mdl_07(spark, sf):
     train, test = lab(spark, sf)
-    return tr.compare(train, test, folds=CHECK_FOLDS)
+    return tr.compare(train, test)
 
 
 @register("scr_01")
 def scr_01(spark, sf):
     train, test = lab(spark, sf)
     model = tr.estimators(train.count())["logistic_regression"].fit(train)
-    p = tr.predictions(model, test)
+    p = tr.predictions(model, test, threshold=THRESHOLD)
     return p.select("id", F.round("score", 6).alias("probability_closure"), "pred",
                     score.risk_tier("score").alias("risk_level"), score.confidence_tier("score").alias("confidence"))
 
@@ -92,17 +91,17 @@ def sel_05(spark, sf):
 
 @register("sel_06")
 def sel_06(spark, sf):
-    fm = feature_matrix(spark, sf).join(incidents(spark, sf).select("id", "is_train"), "id")
+    fm = matrix(spark, sf)
     train = tr.prepare(fm.filter("is_train"), FEATURES, LABEL)
     model = tr.estimators(train.count())["decision_tree"].fit(train)
     test = fm.filter(~F.col("is_train")).select("id", F.col(LABEL).alias("label"),
                                                *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
-    return xp.permutation_importance(model, test, FEATURES, repeats=3)
+    return xp.permutation_importance(model, test, FEATURES, repeats=10)
 
 
 def _tuned(spark, sf):
     train, test = lab(spark, sf)
-    res = memo(spark, ("tune", sf), lambda: tr.tune(train, test, "decision_tree", "f1", n_random=N_RANDOM_CHECK))
+    res = memo(spark, ("tune", sf), lambda: tr.tune(train, test, "decision_tree"))
     return train, test, res
 
 
@@ -119,8 +118,9 @@ def tun_02(spark, sf):
 @register("tun_03")
 def tun_03(spark, sf):
     train, test, res = _tuned(spark, sf)
-    base = tr.cv_score(tr.estimators(train.count())["decision_tree"], {}, train, "f1")
-    baseline = spark.createDataFrame([("decision_tree", "f1", float(base))], "model string, objective string, baseline double")
+    base = tr.cv_scores(tr.estimators(train.count())["decision_tree"], {}, train)
+    baseline = spark.createDataFrame([("decision_tree", o, float(base[o])) for o in tr.OBJECTIVES],
+                                     "model string, objective string, baseline double")
     return tr.improvement_table(res, baseline)
 
 
@@ -134,8 +134,8 @@ LIGHT_SET = ["logistic_regression", "decision_tree", "gradient_boosting"]
 
 def _compare_light(spark, sf):
     train, test = lab(spark, sf)
-    return memo(spark, ("compare", sf, tuple(LIGHT_SET), CHECK_FOLDS),
-                lambda: tr.compare(train, test, names=LIGHT_SET, folds=CHECK_FOLDS))
+    return memo(spark, ("compare", sf, tuple(LIGHT_SET)),
+                lambda: tr.compare(train, test, names=LIGHT_SET))
 
 
 @register("tun_05")
@@ -150,9 +150,8 @@ def _linear(spark, sf):
 def _build_linear(spark, sf):
     train, test = lab(spark, sf)
     model = tr.estimators(train.count())["logistic_regression"].fit(train)
-    fm = feature_matrix(spark, sf).join(incidents(spark, sf).select("id", "is_train"), "id")
-    sample = hash_sample(fm.filter(~F.col("is_train")), "id", 500)
-    return model, test, xp.linear_shap(model, sample, FEATURES)
+    fm = matrix(spark, sf)
+    return model, test, xp.linear_shap(model, fm.filter(~F.col("is_train")), FEATURES)
 
 
 @register("xpl_01")
@@ -193,7 +192,7 @@ def _build_influence(spark, sf):
     dt = tr.estimators(train.count())["decision_tree"].fit(train)
     mdi = xp.impurity_importance(dt, FEATURES, spark)
     shap = xp.mean_abs_shap(_linear(spark, sf)[2])
-    fm = feature_matrix(spark, sf).join(incidents(spark, sf).select("id", "is_train"), "id")
+    fm = matrix(spark, sf)
     raw = fm.filter(~F.col("is_train")).select("id", F.col(LABEL).alias("label"),
                                               *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
     perm = xp.permutation_importance(dt, raw, FEATURES, repeats=1)
@@ -225,30 +224,38 @@ def rfn_02(spark, sf):
     return spark.createDataFrame(out, "metric string, baseline double, pruned double, delta double")
 
 
-@register("rfn_03")
-def rfn_03(spark, sf):
-    """Learning curve: nested hash fractions of the training folds; diagnosis rules."""
+CURVE_MODELS = ["logistic_regression", "decision_tree"]
+
+
+def _curves(spark, sf):
+    """Learning curves: nested hash fractions of the training folds, five folds each; the diagnosis
+    is that of the whole training set (fraction 1)."""
     train, _ = lab(spark, sf)
-    est = tr.estimators(train.count())["decision_tree"]
+    ests = tr.estimators(train.count())
     from concurrent.futures import ThreadPoolExecutor
 
     def point(job):
-        frac, k = job
-        fit_rows = train.filter((F.col("fold") != k) & ((F.abs(F.xxhash64("id")) % 1000) < int(frac * 1000)))
-        m = est.fit(fit_rows)
+        name, frac, k = job
+        fit_rows = train.filter((F.col("fold") != k) & (F.pmod(F.xxhash64("id"), F.lit(1000)) < int(frac * 1000)))
+        m = ests[name].fit(fit_rows)
         tr_auc = tr.metrics(tr.predictions(m, fit_rows))["auc"]
         va_auc = tr.metrics(tr.predictions(m, train.filter(F.col("fold") == k)))["auc"]
-        return (frac, k, float(tr_auc or 0), float(va_auc or 0))
+        return (name, frac, k, float(tr_auc or 0), float(va_auc or 0))
 
-    jobs = [(frac, k) for frac in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0) for k in range(5)]
+    jobs = [(name, frac / 10, k) for name in CURVE_MODELS for frac in range(1, 11) for k in range(5)]
     with ThreadPoolExecutor(max_workers=8) as pool:
         rows = list(pool.map(point, jobs))
-    df = spark.createDataFrame(rows, "fraction double, fold int, train_auc double, val_auc double")
-    g = df.groupBy("fraction").agg(F.avg("train_auc").alias("train_mean"), F.stddev_pop("train_auc").alias("train_std"),
-                                   F.avg("val_auc").alias("val_mean"), F.stddev_pop("val_auc").alias("val_std"))
-    gap = F.col("train_mean") - F.col("val_mean")
-    return g.select("*", gap.alias("gap"), F.when(gap > 0.10, "overfitting").when(F.col("val_mean") < 0.6, "underfitting")
-                    .otherwise("good fit").alias("diagnosis"))
+    df = spark.createDataFrame(rows, "model string, fraction double, fold int, train_auc double, val_auc double")
+    g = df.groupBy("model", "fraction").agg(
+        F.avg("train_auc").alias("train_mean"), F.stddev_pop("train_auc").alias("train_std"),
+        F.avg("val_auc").alias("val_mean"), F.stddev_pop("val_auc").alias("val_std"))
+    last = g.filter("fraction = 1").select("model", xp.diagnosis(F.col("train_mean"), F.col("val_mean")).alias("diagnosis"))
+    return g.withColumn("gap", F.col("train_mean") - F.col("val_mean")).join(last, "model")
+
+
+@register("rfn_03")
+def rfn_03(spark, sf):
+    return memo(spark, ("curves", sf), lambda: _curves(spark, sf))
 
 
 @register("rfn_04")
@@ -268,7 +275,8 @@ def rfn_04(spark, sf):
 
 @register("rfn_05")
 def rfn_05(spark, sf):
-    return xp.final_selection(_compare_light(spark, sf))
+    curves = rfn_03(spark, sf).filter("fraction = 1")
+    return xp.final_selection(_compare_light(spark, sf), curves)
 
 
 # ------------------------------------------------------------------ isolation forest + stage 1
