@@ -44,9 +44,9 @@ from roadlens.llm.common import mix, row_chunks, utf8, words_at
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1           # places that compete in one string
 WIDEST = LENGTH + WINDOW - 1         # longest neighbourhood
-CHUNK = 2 << 20                      # bytes of text that are searched at a time
-HELD = 32 << 20                      # bytes of neighbourhoods that are sent together
-RANGE_BYTES = 8 << 20                # text bytes for each range of suffixes
+CHUNK = 1 << 20                      # bytes of text that are searched at a time
+HELD = 20 << 20                      # bytes of neighbourhoods that are sent together
+RANGE_BYTES = 6 << 20                # text bytes for each range of suffixes
 SAMPLE_ROWS = 4_000                  # documents whose suffixes give the splitters,
 STRIDE = 16                          # one of so many
 RUN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<u2"), ("at", "<u2")])
@@ -360,11 +360,17 @@ def cleaner(keep_text: bool) -> Callable:
     return clean
 
 
+def packed_texts(texts: pa.Array) -> pa.Array:
+    """Each text compressed (null stays null); a few at a time become Python objects."""
+    pack, blobs = zstandard.ZstdCompressor(level=3).compress, []
+    for lo, hi in row_chunks(utf8(texts)[1], CHUNK):
+        blobs += [None if t is None else pack(t.encode("utf-8")) for t in texts.slice(lo, hi - lo).to_pylist()]
+    return pa.array(blobs, pa.binary())
+
+
 def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        blobs = [pack(t.encode("utf-8")) if t else b"" for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "blob"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed_texts(batch.column(1))], names=["id", "blob"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,13 +437,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = whole.schema["own"]
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            blobs = [None if t is None else pack(t.encode("utf-8")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["own", "blob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed_texts(batch.column(1))], names=["own", "blob"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             texts, spans = [], batch.column(2)
             for k, blob in enumerate(batch.column(1).to_pylist()):
                 raw, at, kept = b"" if blob is None else zstandard.decompress(blob), 0, []
@@ -447,7 +451,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 texts.append(None if blob is None else b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["own", "text"])
 
-    packed_texts = whole.mapInArrow(small, T.StructType([own, T.StructField("blob", T.BinaryType())]))
-    joined = packed_texts.withColumn("span_id", F.col("own")[id_col].cast("long")).join(spans, "span_id", "left")
+    sent = whole.mapInArrow(small, T.StructType([own, T.StructField("blob", T.BinaryType())]))
+    joined = sent.withColumn("span_id", F.col("own")[id_col].cast("long")).join(spans, "span_id", "left")
     cleaned = joined.select("own", "blob", "spans").mapInArrow(clean, T.StructType([own, T.StructField("text", T.StringType())]))
     return cleaned.select(*[F.col("own")[c].alias(c) if c != text_col else F.col("text").alias(c) for c in docs.columns])
