@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions.common import np_round
-from roadlens.operators.prefix import global_positions, mix_key
+from roadlens.operators.prefix import global_positions
 from roadlens.operators.train import predictions
 
 
@@ -82,7 +82,8 @@ def permutation_importance(model, test: DataFrame, features: list[str], repeats:
     n = raw.count()
     rows = []
     for r in range(repeats):
-        pos = global_positions(raw.withColumn("__h", mix_key(key, seed + r)), ["__h", key], out="__p").drop("__h")
+        order = F.xxhash64(F.col(key), F.lit(seed + r))     # a new order in each repeat
+        pos = global_positions(raw.withColumn("__h", order), ["__h", key], out="__p").drop("__h")
         partner = pos.select(((F.col("__p") + n - 1) % n).alias("__p"), *[F.col(f).alias(f"__s_{f}") for f in features])
         wide = pos.join(partner, "__p").persist(StorageLevel.MEMORY_AND_DISK)   # read once per feature below
         for f in features:
