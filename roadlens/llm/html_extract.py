@@ -47,16 +47,22 @@ CLOSES_P = BLOCK - {"br", "option", "body", "html", "caption", "tbody", "td", "t
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
         "option": ("option",), "p": ("p",)}
 SCOPE = frozenset("table ul ol dl article section div main body html td th blockquote".split())
-# Words of class, id or role that mark what is not the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banners?|breadcrumbs?|comments?|commentlist|respond|"
-    r"replies|disqus|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|promos?|"
-    r"promoted|sponsor(?:s|ed)?|sidebars?|side|widgets?|related|recommended|share|sharing|social|menus?|nav|navbar|navigation|"
-    r"pagination|pager|footer|masthead|toolbar|topbar|site-header|page-header|siteheader|skip|search|login|signup|"
-    r"complementary|contentinfo|dialog|tags?|hidden)(?:$|[\s_-])", re.I)
+# Words of class, id or role that mark what is not the article ...
+NOISE = frozenset(
+    "ad ads adbox adslot adunit advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment "
+    "comments commentlist respond reply replies disqus cookie cookies consent gdpr privacy disclaimer notice notices alert alerts "
+    "popup popups modal overlay newsletter subscribe subscription promo promos promoted sponsor sponsors sponsored sidebar "
+    "sidebars side sidenav widget widgets related recommended share sharing social menu menus nav navbar navigation topnav subnav "
+    "leftnav pagination pager footer masthead toolbar topbar siteheader skip search login signup complementary contentinfo "
+    "dialog tag tags hidden".split())
+# ... and of a page's header, outside the article.
+HEADERS = frozenset("header site-header page-header top-header global-header main-header".split())
+# Words that turn the meaning of a mark round ("with-sidebar").
+ABOUT = frozenset("has with no without".split())
 TOKEN = re.compile(r"<!--(?:.*?-->|.*$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=$|[\s/>\"'])", re.I)
 DIGITS = re.compile(r"\d+")
+MARK_WORDS = re.compile(r"[-_:]+")
 SPACES = re.compile(r"\s+")
 OPEN_TAG = re.compile(r"<[a-zA-Z/!?][^>]*$")
 
@@ -68,6 +74,15 @@ class Node:
         self.tag, self.path, self.noise, self.parent, self.link, self.score = tag, path, noise, parent, link, 0.0
 
 
+def marked_noise(marks: str, outside: bool) -> bool:
+    """Whether a class, id or role names something that is not the article."""
+    for mark in marks.lower().split():
+        words = MARK_WORDS.split(mark)
+        if not ABOUT.intersection(words) and (not NOISE.isdisjoint(words) or outside and mark in HEADERS):
+            return True
+    return False
+
+
 def open_node(tag: str, attributes: str, parent: Node) -> Node:
     classes, marks, off = "", "", False
     if attributes:
@@ -79,8 +94,10 @@ def open_node(tag: str, attributes: str, parent: Node) -> Node:
                 off = True
             elif name != "style":
                 marks += " " + value
-    noise = (parent.noise or off or tag in DROPPED or tag == "header" and not within_article(parent)
-             or tag not in ("body", "html", "article", "main") and bool(marks) and bool(NOISE.search(marks)))
+    noise = parent.noise or off or tag in DROPPED
+    if not noise and (marks or tag == "header") and tag not in ("body", "html", "article", "main"):
+        outside = not within_article(parent)
+        noise = tag == "header" and outside or marked_noise(marks, outside)
     path = f"{parent.path}>{tag}.{classes}" if classes else f"{parent.path}>{tag}"
     return Node(tag, path, noise, parent, parent.link or tag == "a")
 
@@ -93,8 +110,11 @@ def within_article(node: Node | None) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """(container, text, characters in links) of each block of a page, boilerplate left out."""
+Block = tuple[Node, str, int, bool]
+
+
+def blocks_of(page: str) -> list[Block]:
+    """(container, text, characters in links, is a heading) of each block of a page, boilerplate left out."""
     node, out, text, linked = Node("", "", False, None, False), [], [], 0
 
     def end_block() -> None:
@@ -102,7 +122,8 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         if text:
             joined = SPACES.sub(" ", html.unescape("".join(text))).strip()
             if joined:
-                out.append((container(node), joined, linked))
+                around, heading = container(node)
+                out.append((around, joined, linked, heading))
             text.clear()
             linked = 0
 
@@ -163,21 +184,27 @@ def closed(node: Node, tags: tuple[str, ...]) -> Node:
     return node
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre b i em strong span a u font small sub sup code mark "
                   "figure figcaption table tbody thead tr td th caption label".split())
 
 
-def container(node: Node) -> Node:
-    """The nearest element around a block that is no text part itself."""
+def container(node: Node) -> tuple[Node, bool]:
+    """The nearest element around a block that is no text part itself; whether a heading is passed."""
+    heading = False
     while node.tag in PARTS and node.parent is not None:
+        heading = heading or node.tag in HEADINGS
         node = node.parent
-    return node
+    return node, heading
+
 
+def best_container(blocks: list[Block]) -> str:
+    """Path of the container with the best score; '' if there is none.
 
-def best_container(blocks: list[tuple[Node, str, int]]) -> str:
-    """Path of the container with the best score; '' if there is none."""
+    It is widened to the article element around it (else the main element), or to parents that
+    add nothing but headings."""
     scored: dict[int, Node] = {}
-    for node, text, linked in blocks:
+    for node, text, linked, _ in blocks:
         linked = min(linked, len(text))
         worth = len(text) - 2.0 * linked + 20.0 * (1.0 - linked / len(text))
         share = 1.0
@@ -189,7 +216,20 @@ def best_container(blocks: list[tuple[Node, str, int]]) -> str:
             share *= 0.6
             node = node.parent
     best = max(scored.values(), key=lambda v: (v.score, v.path), default=None)
-    return best.path if best is not None else ""
+    if best is None:
+        return ""
+    for tag in ("article", "main"):
+        node = best
+        while node is not None and node.tag != tag:
+            node = node.parent
+        if node is not None:
+            return node.path
+    while best.parent is not None and best.parent.parent is not None and best.parent.tag not in ("body", "html"):
+        more = [heading for node, _, _, heading in blocks if inside(node, best.parent.path) and not inside(node, best.path)]
+        if not all(more):
+            break
+        best = best.parent
+    return best.path
 
 
 def inside(node: Node | None, path: str) -> bool:
@@ -204,10 +244,10 @@ def main_text(page: str | None, host_path: str | None) -> str:
     blocks = blocks_of(page or "")
     for path in (host_path, best_container(blocks) if blocks else ""):
         if path:
-            found = [text for node, text, _ in blocks if inside(node, path)]
+            found = [text for node, text, _, _ in blocks if inside(node, path)]
             if found:
                 return " ".join(found)
-    return " ".join(text for _, text, _ in blocks)
+    return " ".join(text for _, text, _, _ in blocks)
 
 
 def votes(pages: DataFrame) -> DataFrame:

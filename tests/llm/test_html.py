@@ -31,7 +31,10 @@ def test_article_without_the_rest():
     (None, ""), ("", ""), ("no markup", "no markup"), ("<p>a<p>b", "a b"), ("a &am", "a &am"), ("<p>1 < 2 &#65;&#x42;&eacute;", "1 < 2 ABé"),
     ("<p>cut <a hre", "cut"), ("<p>x</p><script>alert(1)", "x"), ("<p>x<!-- never closed", "x"), ("<article><p>in</article><p>out", "in"),
     ("<div><div><div>" * 300 + "deep", "deep"), ("</p></div>stray", "stray"), ("<p hidden>no</p><p>yes", "yes"),
-    ("<article><header><h1>T</h1></header><p>b</p></article>", "T b"), ("<P CLASS='Menu'>no</P><P>yes</P>", "yes"),
+    ("<article><header><h1>T</h1></header><p>b</p></article>", "T b"), ("<div class=header>Site</div><p>text", "text"),
+    ("<main><h1>T</h1><div class=entry><p>" + "b " * 900 + "</div></main>", "T " + "b " * 899 + "b"),
+    ("<div id=page><div class=post><h1>T</h1><div class=body><p>long text of it</p></div></div><div class=box>x</div></div>", "T long text of it"),
+    ("<div class='content with-sidebar'><p>kept</p></div>", "kept"), ("<div class='reader-comments'>no</div><p>yes", "yes"), ("<P CLASS='Menu'>no</P><P>yes</P>", "yes"),
 ])
 def test_odd_pages(page, text):
     assert main_text(page, None) == text
