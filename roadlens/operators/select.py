@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadlens.functions.common import np_round
 from roadlens.operators.unpivot import melt
 
 
@@ -81,36 +82,35 @@ METHODS = ["abs_corr", "mutual_info", "chi2", "f_score"]
 
 
 def consensus(scores: DataFrame, methods: list[str] = METHODS, categories=None) -> DataFrame:
-    """SEL-08: min-rank per method (higher score = rank 1), mean rank, ensemble rank, category."""
+    """SEL-08: min-rank per method (higher score = rank 1), mean rank to 3 decimals, its min-rank as
+    ensemble rank, category.  One row per feature."""
     from roadlens.functions.text import name_category
     rk = [F.rank().over(Window.orderBy(F.col(m).desc())).alias(f"rank_{m}") for m in methods]
     r = scores.select("feature", *methods, *rk)
     mean = sum((F.col(f"rank_{m}") for m in methods), F.lit(0)) / F.lit(float(len(methods)))
-    r = r.withColumn("mean_rank", mean)
-    r = r.withColumn("ensemble_rank", F.row_number().over(Window.orderBy("mean_rank", "feature")))
+    r = r.withColumn("mean_rank", np_round(mean, 3))
+    r = r.withColumn("ensemble_rank", F.rank().over(Window.orderBy("mean_rank")))
     if categories:
         r = r.withColumn("category", name_category("feature", categories))
     return r
 
 
-def top_subsets(ranked: DataFrame, ks=(3, 5, 8)) -> DataFrame:
-    """SEL-09: top-k feature subsets by ensemble rank."""
-    out = None
-    for k in ks:
-        part = ranked.filter(F.col("ensemble_rank") <= k).select(F.lit(k).alias("k"), "feature", "ensemble_rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+def top_subsets(ranked: DataFrame, ks=(10, 20, 30)) -> DataFrame:
+    """SEL-09: the k best features by ensemble rank (equal ranks by name)."""
+    placed = ranked.select("feature", "ensemble_rank", F.row_number().over(Window.orderBy("ensemble_rank", "feature")).alias("place"))
+    k = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+    return placed.select(k, "feature", "ensemble_rank", "place").filter(F.col("place") <= F.col("k")).drop("place")
 
 
-def category_summary(ranked: DataFrame, top: int = 5) -> DataFrame:
-    """SEL-10: per category n, n in top, best rank, mean scores."""
-    return ranked.groupBy("category").agg(F.count(F.lit(1)).alias("n_features"),
-                                          F.count_if(F.col("ensemble_rank") <= top).alias("n_in_top"),
-                                          F.min("ensemble_rank").alias("best_rank"),
-                                          F.avg("abs_corr").alias("mean_abs_corr"), F.avg("f_score").alias("mean_f"))
+def category_summary(ranked: DataFrame) -> DataFrame:
+    """SEL-10: per category n, n in the top 10 and 30, best rank, mean scores."""
+    return ranked.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("ensemble_rank") <= 10).alias("n_top10"),
+        F.count_if(F.col("ensemble_rank") <= 30).alias("n_top30"), F.min("ensemble_rank").alias("best_rank"),
+        F.avg("abs_corr").alias("mean_abs_corr"), F.avg("mutual_info").alias("mean_mi"), F.avg("f_score").alias("mean_f"))
 
 
-def agreement(ranked: DataFrame, methods: list[str] = METHODS, top: int = 5) -> DataFrame:
+def agreement(ranked: DataFrame, methods: list[str] = METHODS, top: int = 10) -> DataFrame:
     """SEL-11: number of methods placing each feature in their top-n."""
     votes = sum(((F.col(f"rank_{m}") <= top).cast("int") for m in methods), F.lit(0))
     return ranked.select("feature", votes.alias("votes"))

@@ -142,7 +142,8 @@ def evl_06(spark, sf):
 FEATURES = ["cause_severity_score", "cause_priority_score", "veh_type_risk_score", "is_heavy_vehicle",
             "is_public_transport", "is_high_closure_risk", "is_planned_event", "is_weekend", "is_morning_peak",
             "is_night_peak", "hour", "day_of_week", "dist_to_city_centre", "dist_to_airport", "lat_lon_product",
-            "num_lanes", "description_len_words"]
+            "num_lanes", "description_len_words", "latitude", "longitude", "lat_grid_cell", "lon_grid_cell",
+            "time_since_midnight_min", "hour_quadrant"]
 LABEL = "requires_road_closure"
 
 
@@ -153,8 +154,10 @@ def feature_matrix(spark, sf) -> DataFrame:
                       events.planned_flag().alias("is_planned_event"), *temporal.peak_flags("ts"),
                       temporal.calendar_parts("ts")[0], temporal.calendar_parts("ts")[1],
                       *geo.city_distances(), geo.lat_lon_product().alias("lat_lon_product"),
-                      text.word_count("description").alias("description_len_words"))
-    return base.withColumn("is_high_closure_risk", events.high_closure_flag())
+                      text.word_count("description").alias("description_len_words"), "latitude", "longitude",
+                      *geo.grid_cells(), temporal.minutes_of_day("ts")[0])
+    return (base.withColumn("is_high_closure_risk", events.high_closure_flag())
+            .withColumn("hour_quadrant", temporal.hour_quadrant("hour")))
 
 
 def _matrix_sql():
@@ -174,7 +177,10 @@ def _matrix_sql():
   round_even({O.hav('latitude', 'longitude', *AIRPORT)}, 3) AS dist_to_airport,
   round_even(latitude * longitude, 6) AS lat_lon_product, num_lanes,
   CAST(len(list_filter(regexp_split_to_array(coalesce(description, ''), '[{WS_CLASS}]+'), lambda x: x <> '')) AS INTEGER)
-    AS description_len_words FROM incidents"""
+    AS description_len_words, latitude, longitude, CAST(trunc(latitude / 0.01) AS INTEGER) AS lat_grid_cell,
+  CAST(trunc(longitude / 0.01) AS INTEGER) AS lon_grid_cell,
+  coalesce(hour(ts) * 60 + minute(ts), -1) AS time_since_midnight_min,
+  CAST(least(greatest(floor(coalesce(hour(ts), -1) / 6), 0), 3) AS INTEGER) AS hour_quadrant FROM incidents"""
 
 
 _LONG = f"SELECT feature, CAST(x AS DOUBLE) AS x, y FROM (UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in FEATURES)}, requires_road_closure AS y FROM fm) ON {', '.join(FEATURES)} INTO NAME feature VALUE x)"
@@ -246,26 +252,34 @@ _PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]]
 _PAIRS_SQL = " UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM fm"
     for a, b in _PAIRS)
+# redundancy is looked for within the 30 best features
 _RED = ("SELECT feature_a, feature_b, round(ar, 6) AS abs_corr, CASE WHEN ar >= 0.95 THEN 'drop one' ELSE 'review' END "
         "AS advice FROM (SELECT feature_a, feature_b, abs(CASE WHEN r IS NULL OR isnan(r) THEN 0.0 ELSE r END) AS ar "
-        f"FROM ({_PAIRS_SQL})) WHERE ar >= 0.90")
+        f"FROM ({_PAIRS_SQL})) WHERE ar >= 0.90 AND feature_a IN (SELECT feature FROM rk WHERE place <= 30) "
+        "AND feature_b IN (SELECT feature FROM rk WHERE place <= 30)")
 
 
 def _ranked_sql():
     rk = ", ".join(f"rank() OVER (ORDER BY {m} DESC) AS rank_{m}" for m in sel.METHODS)
     mean = " + ".join(f"rank() OVER (ORDER BY {m} DESC)" for m in sel.METHODS)
     cat = "CASE " + " ".join(f"WHEN starts_with(lower(feature), '{p}') THEN '{c}'" for p, c in FEATURE_CATEGORIES) + " ELSE 'Other' END"
-    return (f"SELECT *, row_number() OVER (ORDER BY mean_rank, feature) AS ensemble_rank FROM (SELECT feature, "
-            f"{', '.join(sel.METHODS)}, {rk}, ({mean}) / {float(len(sel.METHODS))} AS mean_rank, {cat} AS category FROM sc)")
+    return (f"SELECT *, rank() OVER (ORDER BY mean_rank) AS ensemble_rank, row_number() OVER (ORDER BY mean_rank, feature) AS place "
+            f"FROM (SELECT feature, {', '.join(sel.METHODS)}, {rk}, round_even(({mean}) / {float(len(sel.METHODS))}, 3) AS mean_rank, "
+            f"{cat} AS category FROM sc)")
 
 
 def _ranked(spark, sf):
     return sel.consensus(_scores(spark, sf), categories=FEATURE_CATEGORIES)
 
 
-@register("sel_07", _with_scores(_RED))
+def _redundant(spark, sf, ranked):
+    best = {r["feature"] for r in sel.top_subsets(ranked, (30,)).collect()}       # at most 30 names
+    return sel.redundant_pairs(feature_matrix(spark, sf), [f for f in FEATURES if f in best])
+
+
+@register("sel_07", _with_scores(_RED, rk=_ranked_sql()))
 def sel_07(spark, sf):
-    r = sel.redundant_pairs(feature_matrix(spark, sf), FEATURES)
+    r = _redundant(spark, sf, _ranked(spark, sf))
     return r.select("feature_a", "feature_b", F.round("abs_corr", 6).alias("abs_corr"), "advice")
 
 
@@ -278,23 +292,25 @@ def sel_08(spark, sf):
 
 
 @register("sel_09", _with_scores(
-    "SELECT k, feature, ensemble_rank FROM rk, (VALUES (3), (5), (8)) t(k) WHERE ensemble_rank <= k", rk=_ranked_sql()))
+    "SELECT k, feature, ensemble_rank FROM rk, (VALUES (10), (20), (30)) t(k) WHERE place <= k", rk=_ranked_sql()))
 def sel_09(spark, sf):
     return sel.top_subsets(_ranked(spark, sf))
 
 
 @register("sel_10", _with_scores(
-    "SELECT category, count(*) AS n_features, count(*) FILTER (WHERE ensemble_rank <= 5) AS n_in_top, "
-    "min(ensemble_rank) AS best_rank, round(avg(abs_corr), 6) AS mean_abs_corr, round(avg(f_score), 4) AS mean_f "
+    "SELECT category, count(*) AS n_features, count(*) FILTER (WHERE ensemble_rank <= 10) AS n_top10, "
+    "count(*) FILTER (WHERE ensemble_rank <= 30) AS n_top30, min(ensemble_rank) AS best_rank, "
+    "round(avg(abs_corr), 6) AS mean_abs_corr, round(avg(mutual_info), 6) AS mean_mi, round(avg(f_score), 4) AS mean_f "
     "FROM rk GROUP BY category", rk=_ranked_sql()))
 def sel_10(spark, sf):
     out = sel.category_summary(_ranked(spark, sf))
-    return out.select("category", "n_features", "n_in_top", "best_rank", F.round("mean_abs_corr", 6).alias("mean_abs_corr"),
+    return out.select("category", "n_features", "n_top10", "n_top30", "best_rank",
+                      F.round("mean_abs_corr", 6).alias("mean_abs_corr"), F.round("mean_mi", 6).alias("mean_mi"),
                       F.round("mean_f", 4).alias("mean_f"))
 
 
 @register("sel_11", _with_scores(
-    "SELECT feature, " + " + ".join(f"CAST(rank_{m} <= 5 AS INTEGER)" for m in sel.METHODS) + " AS votes FROM rk",
+    "SELECT feature, " + " + ".join(f"CAST(rank_{m} <= 10 AS INTEGER)" for m in sel.METHODS) + " AS votes FROM rk",
     rk=_ranked_sql()))
 def sel_11(spark, sf):
     return sel.agreement(_ranked(spark, sf))
@@ -305,8 +321,8 @@ def sel_11(spark, sf):
     "FROM red p JOIN rk ra ON p.feature_a = ra.feature JOIN rk rb ON p.feature_b = rb.feature",
     rk=_ranked_sql(), red=_RED))
 def sel_12(spark, sf):
-    fm = feature_matrix(spark, sf)
-    return sel.drop_candidates(sel.redundant_pairs(fm, FEATURES), _ranked(spark, sf))
+    ranked = _ranked(spark, sf)
+    return sel.drop_candidates(_redundant(spark, sf, ranked), ranked)
 
 
 @register("txt_10", _with_scores("SELECT feature, category FROM rk", rk=_ranked_sql()))
