@@ -90,7 +90,9 @@ def snk_01(spark, sf):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("requires_road_closure").alias("positives"))
 
 
-@register("snk_02")
+@register("snk_02", O.with_ctes(
+    "SELECT i.id, true AS identical, round(a.m, 6) AS avg_duration FROM incidents i LEFT JOIN "
+    "(SELECT num_lanes, avg(duration_mins) AS m FROM incidents WHERE is_train GROUP BY 1) a USING (num_lanes)"))
 def snk_02(spark, sf):
     """Persist + reload fitted state (statistics tables and an ML pipeline); transform equals."""
     inc = incidents(spark, sf).select("id", "is_train", "duration_mins", "num_lanes", F.hour("ts").cast("double").alias("hr"))
@@ -109,26 +111,45 @@ def snk_02(spark, sf):
     b = reloaded.transform(inc).select("id", vector_to_array("z").alias("zb"))
     lanes = inc.select("id", "num_lanes").join(state["lane_stats"], "num_lanes", "left")
     j = a.join(b, "id").join(lanes, "id")
-    return j.select("id", (F.col("za") == F.col("zb")).alias("identical"), "avg_duration")
+    return j.select("id", (F.col("za") == F.col("zb")).alias("identical"), F.round("avg_duration", 6).alias("avg_duration"))
 
 
 @register("snk_03")
 def snk_03(spark, sf):
-    """Artifact bundle: model + features + metadata; reload and score a sample."""
+    """Artifact bundle: raw-feature pipeline + features + test metrics; reload and score the test rows."""
     from pyspark.ml.classification import LogisticRegression
-    inc = incidents(spark, sf).select("id", "is_train", "duration_mins", "num_lanes", "requires_road_closure")
-    feats = ["duration_mins", "num_lanes"]
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
-                            LogisticRegression(labelCol="requires_road_closure", maxIter=50)]).fit(inc.filter("is_train"))
+
+    from roadlens.operators import train as tr
+    from roadlens.plans.q_select import FEATURES, LABEL, feature_matrix
+    rows = feature_matrix(spark, sf).select(
+        "id", F.col(LABEL).cast("int").alias("label"), (F.col("id") % 5 != 0).alias("is_train"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
+    train, test = rows.filter("is_train"), rows.filter(~F.col("is_train"))
+    weights = tr.class_weights(train.select("label")).select("label", "weight")     # one row per class
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"),
+                            StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
+                            LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=200)
+                            ]).fit(train.join(F.broadcast(weights), "label"))
+    metrics = tr.metrics(tr.predictions(pipe, test, threshold=0.35))
     path = sinks.scratch(spark, "bundle")
-    sinks.save_bundle(spark, pipe, feats, {"auc": None}, path)
+    sinks.save_bundle(spark, pipe, FEATURES, {k: float(metrics[k] or 0) for k in ("auc", "f1", "recall", "precision", "accuracy")}, path)
     model, meta = sinks.load_bundle(spark, path)
-    out = model.transform(inc.filter(~F.col("is_train")))
-    return out.select("id", (vector_to_array("probability")[1] >= meta["threshold"]).cast("int").alias("pred"),
-                      F.lit(meta["version"]).alias("version"))
+    out = tr.predictions(model, test, threshold=meta["threshold"])
+    return out.select("id", "pred", F.lit(meta["version"]).alias("version"),
+                      F.round(F.lit(float(meta["metrics"]["auc"])), 6).alias("test_auc"))
+
+
+def _export_counts_sql():
+    from roadlens.plans.catalog import ORACLES
+    from roadlens.plans.q_dash import with_dash
+    weekly = ORACLES["agg_12"]
+    return with_dash(f"""
+SELECT 'zones' AS "table", count(DISTINCT zone) AS rows FROM d UNION ALL SELECT 'junctions', count(DISTINCT nearest_junction) FROM d
+UNION ALL SELECT 'causes', count(DISTINCT event_cause) FROM d UNION ALL SELECT 'kpis', 1
+UNION ALL SELECT 'weekly', count(*) FROM ({weekly})""")
 
 
-@register("snk_06")
+@register("snk_06", _export_counts_sql())
 def snk_06(spark, sf):
     """Multi-table CSV export (zone, junction, cause, KPI, weekly trend) and read-back row counts."""
     from roadlens.plans.q_dash import dash_scored
