@@ -154,9 +154,10 @@ x AS (SELECT text, s, count(*) FILTER (by_rule = 'allow' AND held) AS a, count(*
 c AS (SELECT text, a, b, round(avg(delta), 9) AS score FROM (SELECT *, unnest(range(1, len(s) - 2)) AS i FROM x) y
       JOIN m ON m.g = substr(s, i, 4) GROUP BY text, a, b),
 h AS (SELECT floor(score * 100) AS bin, sum(a) AS a, sum(b) AS b FROM c WHERE a + b > 0 GROUP BY 1),
-k AS (SELECT bin, round((sum(b) OVER w - b) / nullif(sum(b) OVER (), 0) - (sum(a) OVER w - a) / nullif(sum(a) OVER (), 0), 9) AS gain
+k AS (SELECT CASE WHEN bin < 0 THEN bin WHEN lag(bin) OVER w + 1 > 0 THEN lag(bin) OVER w + 1 ELSE 0 END AS cut,
+      round((sum(b) OVER w - b) / nullif(sum(b) OVER (), 0) - (sum(a) OVER w - a) / nullif(sum(a) OVER (), 0), 9) AS gain
       FROM h WINDOW w AS (ORDER BY bin)),
-z AS (SELECT coalesce((SELECT bin FROM k WHERE gain IS NOT NULL ORDER BY gain DESC, abs(bin), bin DESC LIMIT 1), 0) / 100 AS cutoff)
+z AS (SELECT coalesce((SELECT cut FROM k WHERE gain IS NOT NULL ORDER BY gain DESC, abs(cut), cut DESC LIMIT 1), 0) / 100 AS cutoff)
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN score < cutoff THEN 'block' ELSE 'allow' END) AS verdict
 FROM t LEFT JOIN c USING (text), z
 """

@@ -14,7 +14,7 @@ without shuffling their characters.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and is judged as an
 empty string; with no rule-decided URL of one of the kinds the ratio is 0 and the verdict is
-allow; ties of the calibration take the cutoff nearest to 0; repeated rows are judged alike;
+allow; equally good cutoffs: the one nearest to 0; repeated rows are judged alike;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -87,17 +87,21 @@ def log_ratios(training: DataFrame) -> DataFrame:
 
 
 def calibrated(scores: DataFrame) -> float:
-    """The cutoff with the best sum of accepted share kept and rejected share blocked."""
+    """The cutoff with the best sum of accepted share kept and rejected share blocked; of equally good
+    ones (all between two neighbouring scores) the one nearest to 0, where both models agree."""
     bins = (scores.groupBy(F.floor(F.col("score") * STEP).alias("bin"))
             .agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")))
     whole = Window.orderBy("bin")           # bins of a bounded score, not rows
-    best = (bins.withColumn("below_a", F.sum("a").over(whole) - F.col("a"))
+    low = F.coalesce(F.lag("bin").over(whole) + 1, F.lit(0))
+    place = F.when(F.col("bin") < 0, F.col("bin")).when(low > 0, low).otherwise(0)
+    best = (bins.withColumn("cut", place)
+            .withColumn("below_a", F.sum("a").over(whole) - F.col("a"))
             .withColumn("below_b", F.sum("b").over(whole) - F.col("b"))
-            .withColumn("gain", F.col("below_b") / F.sum("b").over(Window.partitionBy())
-                        - F.col("below_a") / F.sum("a").over(Window.partitionBy()))
-            .agg(F.max_by("bin", F.struct(F.round("gain", 9), -F.abs("bin"), "bin")).alias("bin"),
+            .withColumn("gain", F.try_divide("below_b", F.sum("b").over(Window.partitionBy()))
+                        - F.try_divide("below_a", F.sum("a").over(Window.partitionBy())))
+            .agg(F.max_by("cut", F.struct(F.round("gain", 9), -F.abs("cut"), "cut")).alias("cut"),
                  F.max("gain").alias("gain")).first())
-    return 0.0 if best is None or best["gain"] is None else best["bin"] / STEP
+    return 0.0 if best is None or best["gain"] is None else best["cut"] / STEP
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
