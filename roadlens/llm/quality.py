@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from roadlens.llm.common import cut
 
 GRID = 100
-COST = 20.0
-METRICS = ["symbols", "dup_lines", "repeats", "capitals", "marks", "same_words"]
+COST = 100.0
+METRICS = ["symbols", "dup_lines", "repeats", "capitals", "marks"]
 SPACE = " \t\n\x0b\x0c\r"
 HIGH, LOW = -(1 << 32), (1 << 32) - 1      # upper and lower half of a long
 
@@ -50,10 +50,9 @@ def base_counts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
                         _chars_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
                         _chars_of(text, "!?").alias("n_marks"))
     kept = ["id", *more, "word_chars", "n_symbols", "n_capitals", "n_marks", "n_words", "n_lines", "n_dup_lines",
-            "n_same", "w"]
+            "w"]
     hashed = (split.withColumn("n_words", F.size("w").cast("long")).withColumn("n_lines", F.size("lines"))
               .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-              .withColumn("n_same", F.size("w") - F.size(F.array_distinct("w")))
               .select(*kept, F.expr("""if(size(w) < 3, array(),
                   transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))""").alias("h")))
     # windows whose upper hash half is not alone, found on a sorted array of longs ...
@@ -80,7 +79,7 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     return counts.withColumns({
         "symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"),
         "repeats": share("n_repeat_words", "n_words"), "capitals": share("n_capitals", "word_chars"),
-        "marks": share("n_marks", "word_chars"), "same_words": share("n_same", "n_words")})
+        "marks": share("n_marks", "word_chars")})
 
 
 def log_gamma(x: Column) -> Column:
@@ -128,7 +127,7 @@ MAX_STRATA = 100_000     # strata whose cutoffs are broadcast; more are joined b
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          stratum_col: str = "lang", good_col: str = "quality", label_id: str = "doc_id", risk: float = 0.02,
+          stratum_col: str = "lang", good_col: str = "quality", label_id: str = "doc_id", risk: float = 0.03,
           level: float = 0.05, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """id, n_words, the counts, base_failed, kept and the metrics that rejected (``rejected_by``)."""
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")

@@ -92,22 +92,21 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 c AS (SELECT s.doc_id, stratum, len(w) AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
       len(t) - len(translate(t, '#*$%&|<>', '')) AS n_symbols, len(l) AS n_lines,
       len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-      len(t) - len(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, len(t) - len(regexp_replace(t, '[!?]', '', 'g')) AS n_marks,
-      len(w) - len(list_distinct(w)) AS n_same FROM s LEFT JOIN r USING (doc_id)),
+      len(t) - len(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, len(t) - len(regexp_replace(t, '[!?]', '', 'g')) AS n_marks FROM s LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
-m AS (SELECT doc_id, stratum, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'marks', 'same_words']) AS metric,
+m AS (SELECT doc_id, stratum, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'marks']) AS metric,
       unnest([[n_symbols, word_chars], [n_dup_lines, n_lines], [n_repeat_words, n_words], [n_capitals, word_chars],
-              [n_marks, word_chars], [n_same, n_words]]) AS v FROM f),
+              [n_marks, word_chars]]) AS v FROM f),
 b AS (SELECT doc_id, stratum, base_failed, metric,
       CASE WHEN v[2] > 0 THEN least(100, floor(v[1] * 100 / v[2])) ELSE 0 END AS bin FROM m),
 lab AS (SELECT stratum, metric, bin, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality <> 1) AS bad
         FROM b JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL GROUP BY ALL),
 k AS (SELECT stratum, metric, bin, sum(good) OVER d AS k, sum(bad) OVER d AS caught, sum(good) OVER e AS n, sum(bad) OVER e AS n_bad
       FROM lab WINDOW d AS (PARTITION BY stratum, metric ORDER BY bin DESC), e AS (PARTITION BY stratum, metric)),
-q AS (SELECT *, coalesce(caught / nullif(n_bad, 0), 0) - 20 * k / n AS gain, 0.02 / 6 AS p,
+q AS (SELECT *, coalesce(caught / nullif(n_bad, 0), 0) - 100 * k / n AS gain, 0.03 / 5 AS p,
       (SELECT count(DISTINCT stratum) FROM lab) AS strata FROM k WHERE bin > 0 AND n > 0),
 z AS (SELECT stratum, metric, bin, gain FROM q WHERE gain > 0 AND k < n * p AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1),
-      lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) <= 0.05 / (6 * strata)),
+      lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) <= 0.05 / (5 * strata)),
 x AS (SELECT stratum, metric, max_by(bin, gain * 1e6 + bin / 1e6) AS cutoff FROM z GROUP BY ALL),
 j AS (SELECT b.doc_id, bool_or(bin >= cutoff) AS rejected FROM b JOIN x USING (stratum, metric) GROUP BY 1)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
