@@ -6,11 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from roadlens.session import ensure_checkpoint_dir
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts for Python hold at most 4 MB (Spark's default is 64 MB, or 10,000 texts)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that several jobs read one result
     and a lost executor costs a re-read, not a re-computation."""

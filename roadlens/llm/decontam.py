@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import BASE, cut, mix, row_chunks, utf8, word_hashes
+from roadlens.llm.common import BASE, cut, mix, row_chunks, small_batches, utf8, word_hashes
 
 WINDOW, GRAM = 10, 5
 SIDE = WINDOW - GRAM
@@ -166,6 +166,7 @@ def bit_table(prints: DataFrame) -> bytes:
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item, first, last: spans of document words [first, last) that are in item windows."""
+    small_batches(docs.sparkSession)
     of_items = cut(printed(items, item_col, item_text, set(), True, None)
                    .select(F.col("id").alias("item"), "size", "hash", "gram", F.col("before").alias("i_before"),
                            F.col("after").alias("i_after")).distinct())

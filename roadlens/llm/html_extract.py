@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import cut
+from roadlens.llm.common import cut, small_batches
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -274,6 +274,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, host, path (the host's), text, n_chars for each page."""
     from roadlens.llm.url_filter import address
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                         address(F.col(url_col))[0].alias("host"))
     paths = cut(host_paths(rows))

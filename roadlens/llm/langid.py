@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import row_chunks, utf8
+from roadlens.llm.common import row_chunks, small_batches, utf8
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 512
@@ -123,6 +123,7 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, rows_per_language: int,
         ) -> tuple[list[str], np.ndarray]:
     """(languages, BUCKETS x languages probabilities) from a bounded sample of labelled rows."""
+    small_batches(labelled.sparkSession)
     seen = {r.lang: r.n for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
             .limit(MAX_LANGUAGES + 1).collect()}
     if len(seen) > MAX_LANGUAGES:

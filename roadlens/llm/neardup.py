@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import cut, mix, row_chunks, utf8, word_hashes
+from roadlens.llm.common import cut, mix, row_chunks, small_batches, utf8, word_hashes
 from roadlens.llm.components import connected
 from roadlens.llm.decontam import gram_hashes, words
 
@@ -309,6 +309,7 @@ def links(rows: DataFrame, nodes: DataFrame, percent: int, limit: int, weight: i
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
                     limit: int = REGION, weight: int = WEIGHT) -> DataFrame:
     """id, n_shingles, component_id (smallest id of the group), kept (whether it is that)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profiles = cut(rows.mapInArrow(profiled, "id long, n long, k1 long, k2 long, sketch binary, trees array<long>"))
     copies = cut(profiles.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import cut, row_chunks, utf8
+from roadlens.llm.common import cut, row_chunks, small_batches, utf8
 from roadlens.llm.config_lp import pack_histogram
 from roadlens.llm.tokens import Encoder
 
@@ -99,6 +99,7 @@ def numbered(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     pieces = cut(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     kind = docs.schema[id_col].dataType.simpleString()

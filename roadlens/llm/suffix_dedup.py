@@ -2,7 +2,7 @@
 
 Every byte that a ``LENGTH``-byte (50) string covers is removed if that string also starts in
 a document with a smaller id.  Suffixes are taken at content-chosen places only: of each 50
-bytes, the place whose 16 following bytes hash lowest.  Equal strings choose the same place,
+bytes, the place whose 12 following bytes hash lowest.  Equal strings choose the same place,
 so comparing the suffixes there (with what lies before them) finds every repeat.
 
 1. Sampled splitters (the leading 8 bytes of suffixes of a bounded sample) range-partition the
@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import mix, row_chunks, utf8, words_at
+from roadlens.llm.common import mix, row_chunks, small_batches, utf8, words_at
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 12                # GRAM: 8 to 16
 WINDOW = LENGTH - GRAM + 1           # places that compete in one string
 WIDEST = LENGTH + WINDOW - 1         # longest neighbourhood
 CHUNK = 1 << 20                      # bytes of text that are searched at a time
@@ -50,6 +50,7 @@ RANGE_BYTES = 6 << 20                # text bytes for each range of suffixes
 SAMPLE_ROWS = 4_000                  # documents whose suffixes give the splitters,
 STRIDE = 16                          # one of so many
 RUN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<u2"), ("at", "<u2")])
+_REST = np.uint64((1 << 8 * (GRAM - 8)) - 1)      # of a gram's second word (first bytes are the low ones)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -68,9 +69,9 @@ def runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data) - LENGTH + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3
-    eight = words_at(data)
+    eight = words_at(np.r_[data, np.zeros(16 - GRAM, np.uint8)])
     places = len(data) - GRAM + 1
-    h = (eight[:places] * _M1) ^ (eight[8:8 + places] * _M2)
+    h = (eight[:places] * _M1) ^ ((eight[8:8 + places] & _REST) * _M2)
     h ^= h >> np.uint64(32)
     h *= _M1
     low = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(places, dtype=np.uint64)     # leftmost of equals
@@ -118,7 +119,7 @@ def gram_words(records: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.
     """The two leading 8-byte words of each suffix, in byte order."""
     base = np.arange(len(records)) * WIDEST + records["at"]
     eight = words_at(np.ascontiguousarray(around).reshape(-1))
-    return eight[base].byteswap(), eight[base + 8].byteswap()
+    return eight[base].byteswap(), (eight[base + 8] & _REST).byteswap()
 
 
 def run_hashes(records: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -375,6 +376,7 @@ def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, start, stop: byte spans to remove (they may touch or overlap)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     ranges = max(1, -(-size // RANGE_BYTES))

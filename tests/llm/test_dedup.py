@@ -168,7 +168,7 @@ def test_workers_take_changed_sizes():
     """Runs of overlapping blocks of one text are those of the whole text, cut at block ends."""
     data = np.frombuffer(words(8, 3000, 50).encode(), np.uint8)
     at, start, n = suffix_dedup.runs(data)
-    assert n.sum() == len(data) - 49 and (start <= at).all() and (at + 16 <= start + 50).all()
+    assert n.sum() == len(data) - 49 and (start <= at).all() and (at + suffix_dedup.GRAM <= start + 50).all()
     covered = np.concatenate([np.arange(a, a + k) for a, k in zip(start, n)])
     assert covered.tolist() == list(range(len(data) - 49))
 
@@ -196,3 +196,18 @@ def test_cut_texts_keep_their_rows(spark, edge):
     rows = {r.doc_id: r for r in got.collect()}
     assert rows[1].text is None and rows[2].text == "" and rows[7].text == "" and rows[6].text == edge_rows()[5][1]
     assert rows[10].source == "s" and len(rows[10].text) < 60 and rows[10].kept == "k"
+
+
+@pytest.mark.parametrize("gram", [8, 12, 16])
+def test_places_depend_on_the_gram_only(gram, monkeypatch):
+    """Equal 50-byte strings choose the same place in any text around them."""
+    monkeypatch.setattr(suffix_dedup, "GRAM", gram)
+    monkeypatch.setattr(suffix_dedup, "WINDOW", 50 - gram + 1)
+    monkeypatch.setattr(suffix_dedup, "_REST", np.uint64((1 << 8 * (gram - 8)) - 1))
+    shared = words(3, 40, 30).encode()
+
+    def place(before: bytes, after: bytes) -> dict:
+        at, start, n = suffix_dedup.runs(np.frombuffer(before + shared + after, np.uint8))
+        return {s + k - len(before): a - len(before) for a, s, m in zip(at, start, n) for k in range(m)}
+    one, two = place(b"", b""), place(b"something else 17 ", words(5, 9).encode())
+    assert all(two[s] == one[s] for s in range(len(shared) - 49))
