@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module (registration happens at import time)."""
     import importlib
-    for mod in ("q_core", "q_fitted", "q_dash", "q_select", "q_ml", "q_stream", "q_io"):
+    for mod in ("q_core", "q_fitted", "q_dash", "q_select", "q_ml", "q_rules", "q_stream", "q_io"):
         try:
             importlib.import_module(f"roadlens.plans.{mod}")
         except ModuleNotFoundError as e:

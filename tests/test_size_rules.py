@@ -107,3 +107,33 @@ def test_update_mode_keeps_the_newest_row_of_each_key(spark, tmp_path):
     counts = stream.withWatermark("ts", "1 day").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
     got = {r["k"]: (r["n"], r["last"]) for r in jobs.run_available(counts, "upd", ["k"]).collect()}
     assert got == {"a": (3, base + dt.timedelta(minutes=2)), "b": (3, base + dt.timedelta(hours=2))}
+
+
+def test_linear_contributions_add_up_to_the_models_logit(spark):
+    import math
+
+    from roadlens.operators import explain as xp
+    from roadlens.operators import train as tr
+    rows = [(k, float(k % 7), float((k * 13) % 11), 3.0, int((k % 7) + (k * 13) % 11 > 8)) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, constant double, y int")
+    features = ["a", "b", "constant"]
+    train, test = (tr.prepare(df.filter(c), features, "y") for c in ("id % 4 <> 0", "id % 4 = 0"))
+    model = tr.estimators(train.count())["logistic_regression"].fit(train)
+    shap = xp.linear_shap(model, df.filter("id % 4 = 0"), features)
+    top = xp.additive_explanation(shap, float(model.stages[-1].intercept))
+    want = {r["id"]: math.log(r["score"] / (1 - r["score"])) for r in tr.predictions(model, test).collect()}
+    got = {r["id"]: r["predicted_logit"] for r in top.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert sum(r["shap"] for r in shap.filter("feature = 'constant'").collect()) == 0.0
+
+
+def test_final_selection_penalties(spark):
+    from roadlens.operators import explain as xp
+    results = spark.createDataFrame([(m, 0.8, 0.5, 0.5, 0.5, 0.8) for m in "abcd"],
+                                    "model string, test_auc double, test_f1 double, test_recall double, test_precision double, test_accuracy double")
+    curves = spark.createDataFrame([("a", "Overfit"), ("b", "Underfit"), ("c", "Good Fit")], "model string, diagnosis string")
+    got = {r["model"]: (r["penalty"], r["rank"]) for r in xp.final_selection(results, curves).collect()}
+    assert got == {"a": (-0.04, 4), "b": (-0.02, 3), "c": (0.0, 1), "d": (0.0, 2)}
+    points = spark.createDataFrame([(0.9, 0.7), (0.55, 0.52), (0.8, 0.73), (0.65, 0.62), (0.8, 0.78)], "t double, v double")
+    assert [r[0] for r in points.select(xp.diagnosis(F.col("t"), F.col("v"))).collect()] == \
+        ["Overfit", "Underfit", "High Variance", "High Bias", "Good Fit"]
