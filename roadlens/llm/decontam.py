@@ -165,11 +165,14 @@ def bit_table(prints: DataFrame) -> bytes:
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id, item, first, last: spans of document words [first, last) that are in item windows."""
+    """id, items, first, last: spans of document words [first, last) that are in windows of the items.
+
+    Items whose fingerprints agree with all words around them are one row of the join, so a passage
+    of many items meets a document once."""
     small_batches(docs.sparkSession)
     of_items = cut(printed(items, item_col, item_text, set(), True, None)
-                   .select(F.col("id").alias("item"), "size", "hash", "gram", F.col("before").alias("i_before"),
-                           F.col("after").alias("i_after")).distinct())
+                   .groupBy("size", "hash", "gram", F.col("before").alias("i_before"), F.col("after").alias("i_after"))
+                   .agg(F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("items")))
     short = {-r["size"] for r in of_items.where("size < 0").select("size").distinct().collect()}   # at most 9
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(of_items))
     of_docs = printed(docs, id_col, text_col, short, False, bits)
@@ -181,7 +184,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     spans = (joined.withColumn("l", F.when(F.col("size") > 0, left).otherwise(0))
              .withColumn("r", F.when(F.col("size") > 0, right).otherwise(0))
              .where((F.col("size") < 0) | (F.col("l") + F.col("size") + F.col("r") >= WINDOW)))
-    return spans.select("id", "item", (F.col("at") - F.col("l")).alias("first"),
+    return spans.select("id", "items", (F.col("at") - F.col("l")).alias("first"),
                         (F.col("at") + F.abs("size") + F.col("r")).alias("last"))
 
 
@@ -194,7 +197,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items (sorted as strings), spans, contaminated for each document."""
     found = (hits(docs, items, id_col, text_col, item_col, item_text).groupBy("id")
-             .agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
+             .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
                   F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")))
     merged = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),

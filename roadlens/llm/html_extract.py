@@ -18,7 +18,8 @@ a skewed host).
 Edge cases: null or empty html has no text; truncated pages end where they end; a page
 without blocks has no text; a null URL or one without ``://`` belongs to host ''; equal votes
 go to the path that sorts first; repeated rows are extracted alike; an empty table gives an
-empty result; other columns are ignored.
+empty result; elements nested deeper than 400 count to the one around them; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -64,14 +65,17 @@ ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style)(?:\s*=\s*(?:
 DIGITS = re.compile(r"\d+")
 MARK_WORDS = re.compile(r"[-_:]+")
 SPACES = re.compile(r"\s+")
+DEEPEST = 400            # elements nested deeper are taken as part of the one they are in
 OPEN_TAG = re.compile(r"<[a-zA-Z/!?][^>]*$")
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "parent", "score", "link")
+    __slots__ = ("tag", "path", "noise", "parent", "score", "link", "depth", "article")
 
     def __init__(self, tag: str, path: str, noise: bool, parent: "Node | None", link: bool):
         self.tag, self.path, self.noise, self.parent, self.link, self.score = tag, path, noise, parent, link, 0.0
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.article = tag in ("article", "main") or parent is not None and parent.article
 
 
 def marked_noise(marks: str, outside: bool) -> bool:
@@ -96,20 +100,12 @@ def open_node(tag: str, attributes: str, parent: Node) -> Node:
                 marks += " " + value
     noise = parent.noise or off or tag in DROPPED
     if not noise and (marks or tag == "header") and tag not in ("body", "html", "article", "main"):
-        outside = not within_article(parent)
+        outside = not parent.article
         noise = tag == "header" and outside or marked_noise(marks, outside)
-    path = f"{parent.path}>{tag}.{classes}" if classes else f"{parent.path}>{tag}"
+    path = parent.path if noise else f"{parent.path}>{tag}.{classes}" if classes else f"{parent.path}>{tag}"
     return Node(tag, path, noise, parent, parent.link or tag == "a")
 
 
-def within_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 Block = tuple[Node, str, int, bool]
 
 
@@ -162,12 +158,15 @@ def blocks_of(page: str) -> list[Block]:
             node = closed(node, SAME[tag])
         if tag in VOID:
             continue
+        if tag not in BLOCK and tag not in DROPPED and tag not in RAW and tag != "a" and not m.group(3):
+            continue                                   # plain inline mark-up changes nothing
         opened = open_node(tag, m.group(3), node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        node = opened
+        if opened.depth <= DEEPEST * (4 if opened.noise else 1):
+            node = opened
     end_block()
     return out
 

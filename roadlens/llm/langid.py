@@ -31,6 +31,7 @@ from roadlens.llm.common import row_chunks, small_batches, utf8
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 512
 CHUNK = 1 << 20
+LONG = 4 << 20           # bytes of one text that are counted at a time
 STEPS = 12
 SMOOTHING = 0.5
 PENALTY = 6.0            # times log(n) / 2 for each language after the first: grams overlap
@@ -53,6 +54,13 @@ def grams(data: np.ndarray) -> np.ndarray:
 def gram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, count) of the distinct grams of each row; no gram crosses rows."""
     n = len(offsets) - 1
+    if n == 1 and len(data) > LONG:              # piece by piece, pieces overlap by two bytes
+        total = np.zeros(BUCKETS, np.int64)
+        for lo in range(0, len(data) - 2, LONG):
+            code = grams(data[lo:lo + LONG + 2])
+            total += np.bincount(code[code < BUCKETS], minlength=BUCKETS)
+        bucket = np.flatnonzero(total)
+        return np.zeros(len(bucket), np.int64), bucket, total[bucket]
     if len(data) < 3:
         return (np.zeros(0, np.int64),) * 3
     code = grams(data)

@@ -45,8 +45,8 @@ LENGTH, GRAM = 50, 12                # GRAM: 8 to 16
 WINDOW = LENGTH - GRAM + 1           # places that compete in one string
 WIDEST = LENGTH + WINDOW - 1         # longest neighbourhood
 CHUNK = 1 << 20                      # bytes of text that are searched at a time
-HELD = 20 << 20                      # bytes of neighbourhoods that are sent together
-RANGE_BYTES = 6 << 20                # text bytes for each range of suffixes
+HELD = 16 << 20                      # bytes of neighbourhoods that are sent together
+RANGE_BYTES = 5 << 20                # text bytes for each range of suffixes
 SAMPLE_ROWS = 4_000                  # documents whose suffixes give the splitters,
 STRIDE = 16                          # one of so many
 RUN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<u2"), ("at", "<u2")])
@@ -130,15 +130,17 @@ def run_hashes(records: np.ndarray, around: np.ndarray) -> np.ndarray:
 
 
 def merged(records: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts by suffix, neighbourhood and document; (order, is first of its suffix, first of its
-    neighbourhood, smallest document of that) - the last three in sorted order."""
+    """Sorts by suffix and neighbourhood; (order, is first of its suffix, first of its neighbourhood,
+    smallest document of that) - the last three in sorted order."""
     w0, w1 = gram_words(records, around)
     h = run_hashes(records, around)
-    order = np.lexsort((records["doc"], h, w1, w0))
+    order = np.lexsort((h, w1, w0))
     w0, w1, h, doc = w0[order], w1[order], h[order], records["doc"][order]
+    if not len(order):
+        return order, np.zeros(0, bool), np.zeros(0, bool), doc
     new_suffix = np.r_[True, (w0[1:] != w0[:-1]) | (w1[1:] != w1[:-1])]
     new_run = new_suffix | np.r_[True, h[1:] != h[:-1]]
-    least = doc[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
+    least = np.minimum.reduceat(doc, np.flatnonzero(new_run))[np.cumsum(new_run) - 1]
     return order, new_suffix, new_run, least
 
 
@@ -160,13 +162,15 @@ def string_spans(records: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, n
     which = np.repeat(np.arange(len(records)), n)
     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     h = hash_strings(np.ascontiguousarray(around).reshape(-1), which * WIDEST + step)
-    doc = records["doc"][which]
-    order = np.lexsort((doc, h))
-    new = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.zeros(0, bool)
-    least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else doc
-    hit = order[doc[order] > least]
+    hit = np.zeros(0, np.int64)
+    if len(h):
+        order = np.argsort(h)
+        h, doc = h[order], records["doc"][which[order]]
+        new = np.r_[True, h[1:] != h[:-1]]
+        least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
+        hit = order[doc > least]
     out = np.empty(len(hit), RUN)
-    out["doc"], out["start"], out["n"], out["at"] = doc[hit], records["start"][which[hit]] + step[hit], 1, 0
+    out["doc"], out["start"], out["n"], out["at"] = records["doc"][which[hit]], records["start"][which[hit]] + step[hit], 1, 0
     return spans_of(out)
 
 

@@ -21,6 +21,7 @@ import numpy as np
 from roadlens.llm.common import word_hashes
 
 BLOCK = 1 << 20          # characters of an odd text that are split at a time
+LONG = 8 << 20           # bytes of one text from which on it is taken in parts
 SLOTS = 1 << 21          # of the hash table; at most half of them are filled
 PIECES = 100_000         # pieces of odd texts that a worker remembers
 
@@ -30,6 +31,8 @@ _KIND = np.full(256, OTHER, np.uint8)
 _KIND[[9, 10, 13, 32]] = SPACE
 _KIND[97:123] = _KIND[128:] = LETTER
 _KIND[48:58] = DIGIT
+_CUT = np.zeros(256, bool)
+_CUT[[10, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _ODD = np.zeros(256, bool)
@@ -79,6 +82,20 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return x, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, odd
 
 
+def cut_at_spaces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The bytes of a text in parts of about ``size``, cut before an ASCII space or line break."""
+    lo = 0
+    while lo < len(data):
+        hi = len(data)
+        for at in range(lo + size, len(data), size):
+            found = np.flatnonzero(_CUT[data[at:at + size]])
+            if len(found):
+                hi = at + int(found[0])
+                break
+        yield data[lo:hi]
+        lo = hi
+
+
 class HashTable:
     """64-bit hash -> (start, length) of ids in a pool; open addressing, looked up many at a time."""
 
@@ -187,6 +204,11 @@ class Encoder:
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Number of ids of each row."""
+        if len(offsets) == 2 and len(data) > LONG:
+            return np.array([sum(int(self._counts(p, np.array([0, len(p)]))[0]) for p in cut_at_spaces(data, LONG // 2))])
+        return self._counts(data, offsets)
+
+    def _counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x, starts, ends, row, odd = pre_tokens(data, offsets)
         slot = self.slots_of(x, starts, ends)        # before the table is read: it may be a new one
         n = np.bincount(row, self.table.length[slot], minlength=len(offsets) - 1).astype(np.int64)
@@ -196,6 +218,11 @@ class Encoder:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Ids of each row as little-endian unsigned 32-bit numbers."""
+        if len(offsets) == 2 and len(data) > LONG:
+            return [b"".join(self._ids(p, np.array([0, len(p)]))[0] for p in cut_at_spaces(data, LONG // 2))]
+        return self._ids(data, offsets)
+
+    def _ids(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         x, starts, ends, row, odd = pre_tokens(data, offsets)
         rows = len(offsets) - 1
         flat, upto = np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)

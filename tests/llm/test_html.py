@@ -70,3 +70,10 @@ def test_links_count_against_a_container():
     page = "<div class=x>" + "<p><a href=1>link text here</a></p>" * 20 + "</div><div class=y><p>plain text of the page, not long</p></div>"
     assert main_text(page, None) == "plain text of the page, not long"
     assert len(blocks_of(page)) == 21
+
+
+def test_very_deep_and_unclosed_pages():
+    deep = "<div class=d>" * 50_000 + "deep" + "</div>" * 50_000 + "<p>after"
+    assert main_text(deep, None).startswith("deep")
+    assert main_text("<b><p>x " * 20_000, None) == " ".join(["x"] * 20_000)
+    assert main_text("<nav>" + "<div>" * 20_000 + "no", None) == ""

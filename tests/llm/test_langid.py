@@ -44,6 +44,13 @@ def test_grams_do_not_cross_rows():
     assert one[1].tolist() == [two[0][1][0], two[1][1][0]]
 
 
+def test_a_long_text_is_counted_in_pieces(monkeypatch):
+    data = np.frombuffer(("some words with Größe and 12 numbers, " * 90).encode(), np.uint8)
+    whole = langid.gram_counts(data, np.array([0, len(data)]))
+    monkeypatch.setattr(langid, "LONG", 100)
+    assert all((a == b).all() for a, b in zip(whole, langid.gram_counts(data, np.array([0, len(data)]))))
+
+
 def test_edge_rows(spark, edge):
     rows = langid.identify(edge, langid.labelled_rows(edge)).collect()
     assert len(rows) == len(edge_rows())

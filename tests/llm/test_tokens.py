@@ -39,6 +39,15 @@ def test_ids_and_counts_equal_the_library(slots):
         assert counter.counts(*columns).tolist() == [len(w) for w in want]
 
 
+def test_a_long_text_is_taken_in_parts(monkeypatch):
+    monkeypatch.setattr("roadlens.llm.tokens.LONG", 64)
+    encoder, r = Encoder(PATH), random.Random(4)
+    for text in ["".join(r.choice(ODD + [" "] * 12) for _ in range(900)), "x" * 5000, " " * 500, "word " * 700]:
+        columns = utf8(pa.array([text]))
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(*columns)[0], "<u4").tolist() == want and encoder.counts(*columns).tolist() == [len(want)]
+
+
 def test_hash_table_with_crowded_slots():
     table, h = HashTable(64), np.arange(1, 31, dtype=np.uint64)
     h[10:] |= np.uint64(63 << 58)              # most share the last slot and wrap around
