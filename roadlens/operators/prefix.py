@@ -259,10 +259,11 @@ def weighted_prefix(df: DataFrame, order_cols: list, group_cols: list[str] = (),
         carry: dict = {}          # group key -> weight already seen in this partition
         for pdf in batches:
             w = pdf[weight].astype("float64").fillna(0.0)
-            if group_cols:
-                raw = zip(*(pdf[g].tolist() for g in group_cols))
-                gk = [tuple(None if (isinstance(v, float) and v != v) else v for v in row) for row in raw]
-                codes, uniq = pd.factorize(pd.Series(gk, dtype=object))
+            if group_cols and len(pdf):
+                codes = pdf.groupby(group_cols, sort=False, dropna=False).ngroup().to_numpy()
+                _, first = np.unique(codes, return_index=True)      # one row per group of the batch
+                uniq = [tuple(None if pd.isna(v) else v for v in row)
+                        for row in pdf[group_cols].iloc[first].itertuples(index=False, name=None)]
             else:
                 codes, uniq = np.zeros(len(pdf), dtype=int), [None]
             base = np.array([carry.get(u, 0.0) for u in uniq], dtype="float64")[codes] if len(pdf) else np.zeros(0)
