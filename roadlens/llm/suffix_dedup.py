@@ -49,6 +49,7 @@ HELD = 16 << 20                      # bytes of neighbourhoods that are sent tog
 RANGE_BYTES = 5 << 20                # text bytes for each range of suffixes
 SAMPLE_ROWS = 4_000                  # documents whose suffixes give the splitters,
 STRIDE = 16                          # one of so many
+DIRECT = 512                         # ranges that a task deals to at once; more are dealt in two rounds
 RUN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("n", "<u2"), ("at", "<u2")])
 _REST = np.uint64((1 << 8 * (GRAM - 8)) - 1)      # of a gram's second word (first bytes are the low ones)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -253,26 +254,39 @@ def splitters(docs: DataFrame, rows: int, ranges: int) -> tuple[np.ndarray, np.n
     return np.unique(w[(np.arange(1, ranges) * len(w)) // ranges], return_counts=True)
 
 
-def sender(bounds: np.ndarray, shares: np.ndarray) -> Callable:
-    """Task function: texts in, one block of runs for each range out, and the spans found on the way."""
-    def route(records: np.ndarray, around: np.ndarray) -> Iterator[pa.RecordBatch]:
-        repeat, records, around = reduced(records, around)
+def route(records: np.ndarray, around: np.ndarray, bounds: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One block for each range, after equal runs are merged; what is merged leaves as spans."""
+    repeat, records, around = reduced(records, around)
+    if len(repeat):
+        yield span_batch(*spans_of(repeat))
+    w0, _ = gram_words(records, around)
+    bucket = np.searchsorted(bounds, w0, side="right")
+    hot = np.zeros(len(w0), np.int64)      # a leading word that fills several ranges: dealt by document
+    at = np.maximum(bucket - 1, 0)
+    if len(bounds):
+        same = (bucket > 0) & (bounds[at] == w0) & (shares[at] > 1)
+        hot[same] = 1 + records["doc"][same] % shares[at[same]]
+    key = bucket * (1 << 20) + hot
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True]) if len(key) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        rows = order[lo:hi]
+        yield blob_batch([int(bucket[rows[0]])], [int(hot[rows[0]])], [packed(records[rows], around[rows])])
+
+
+def flush(held: list, bounds: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks (repeated runs, other runs, their neighbourhoods) that a task holds, dealt to the ranges."""
+    if held:
+        repeat, records = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        around = np.concatenate([h[2] for h in held])
+        held.clear()
         if len(repeat):
             yield span_batch(*spans_of(repeat))
-        w0, _ = gram_words(records, around)
-        bucket = np.searchsorted(bounds, w0, side="right")
-        hot = np.zeros(len(w0), np.int64)      # a leading word that fills several ranges: dealt by document
-        at = np.maximum(bucket - 1, 0)
-        if len(bounds):
-            same = (bucket > 0) & (bounds[at] == w0) & (shares[at] > 1)
-            hot[same] = 1 + records["doc"][same] % shares[at[same]]
-        key = bucket * (1 << 20) + hot
-        order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True]) if len(key) else np.zeros(1, np.int64)
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            rows = order[lo:hi]
-            yield blob_batch([int(bucket[rows[0]])], [int(hot[rows[0]])], [packed(records[rows], around[rows])])
+        yield from route(records, around, bounds, shares)
 
+
+def sender(bounds: np.ndarray, shares: np.ndarray) -> Callable:
+    """Task function: texts in, one block of runs for each range out, and the spans found on the way."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -284,21 +298,28 @@ def sender(bounds: np.ndarray, shares: np.ndarray) -> Callable:
                     held.append(reduced(*got))
                     size += len(got[0]) * WIDEST
                 if size > HELD:
-                    yield from flush(held)
+                    yield from flush(held, bounds, shares)
                     held, size = [], 0
-        yield from flush(held)
-
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        if held:
-            repeat, records = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            around = np.concatenate([h[2] for h in held])
-            held.clear()
-            if len(repeat):
-                yield span_batch(*spans_of(repeat))
-            yield from route(records, around)
+        yield from flush(held, bounds, shares)
     return send
 
 
+def redealer(bounds: np.ndarray, shares: np.ndarray) -> Callable:
+    """Task function: blocks of a coarse range in, larger blocks of its ranges out."""
+    def redeal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for blob in batch.column(2).to_pylist():
+                records, around = unpacked(blob)
+                held.append((np.empty(0, RUN), records, around))
+                size += len(records) * WIDEST
+                if size > HELD:
+                    yield from flush(held, bounds, shares)
+                    held, size = [], 0
+        yield from flush(held, bounds, shares)
+    return redeal
+
+
 def receiver(last: bool) -> Callable:
     """Task function over blobs sorted by bucket and split: spans out, and (not ``last``) the
     remaining runs of split buckets, for the comparison across them."""
@@ -394,6 +415,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return (table.withColumn("place", place).repartitionById(ranges, "place").sortWithinPartitions("bucket", "split")
                 .drop("place").mapInArrow(passing(receiver(last)), SENT))
 
+    if ranges > DIRECT:
+        # blocks would be tiny: first to coarse ranges, where they are merged and dealt to the ranges
+        coarse = bounds[::max(1, round(len(bounds) ** 0.5))]
+        place = F.coalesce("bucket", F.pmod(F.xxhash64("doc", "start"), F.lit(len(coarse) + 1)).cast("int"))
+        sent = (rows.mapInArrow(sender(coarse, np.ones(len(coarse), np.int64)), SENT).withColumn("place", place)
+                .repartitionById(len(coarse) + 1, "place").drop("place").mapInArrow(passing(redealer(bounds, shares)), SENT))
     first = dealt(sent, False)
     second = dealt(first, True) if (shares > 1).any() else first
     return second.select("doc", "start", "stop")

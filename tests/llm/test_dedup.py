@@ -145,9 +145,12 @@ def passages(seed: int) -> list[tuple]:
     return rows + [(5000 + k, rows[3][1], None) for k in range(30)] + [(9000, None, None), (9001, "short", None)]
 
 
-@pytest.mark.parametrize("seed, chunk, held, ranges", [(1, 2 << 20, 32 << 20, 8 << 20), (2, 300, 2000, 1000), (3, 1000, 10**9, 200)])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, seed, chunk, held, ranges):
-    """Small blocks and ranges make long texts overlap and hot leading words fill several ranges."""
+@pytest.mark.parametrize("seed, chunk, held, ranges, direct", [
+    (1, 2 << 20, 32 << 20, 8 << 20, 512), (2, 300, 2000, 1000, 512), (3, 1000, 10**9, 200, 1000), (4, 1000, 3000, 1000, 5)])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, seed, chunk, held, ranges, direct):
+    """Small blocks and ranges make long texts overlap, hot leading words fill several ranges, and
+    many ranges are dealt in two rounds."""
+    monkeypatch.setattr(suffix_dedup, "DIRECT", direct)
     monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", ranges)
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     monkeypatch.setattr(suffix_dedup, "HELD", held)
