@@ -12,8 +12,8 @@ from roadlens.session import ensure_checkpoint_dir
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches of texts for Python hold at most 4 MB (Spark's default is 64 MB, or 10,000 texts)."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    """Batches of texts for Python hold at most 1 MB (Spark's default is 64 MB, or 10,000 texts)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
 
 
 def cut(df: DataFrame) -> DataFrame:

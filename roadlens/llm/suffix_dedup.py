@@ -44,9 +44,9 @@ from roadlens.llm.common import mix, row_chunks, small_batches, utf8, words_at
 LENGTH, GRAM = 50, 12                # GRAM: 8 to 16
 WINDOW = LENGTH - GRAM + 1           # places that compete in one string
 WIDEST = LENGTH + WINDOW - 1         # longest neighbourhood
-CHUNK = 1 << 20                      # bytes of text that are searched at a time
+CHUNK = 1 << 19                      # bytes of text that are searched at a time
 HELD = 16 << 20                      # bytes of neighbourhoods that are sent together
-RANGE_BYTES = 5 << 20                # text bytes for each range of suffixes
+RANGE_BYTES = 3 << 20                # text bytes for each range of suffixes
 SAMPLE_ROWS = 4_000                  # documents whose suffixes give the splitters,
 STRIDE = 16                          # one of so many
 DIRECT = 512                         # ranges that a task deals to at once; more are dealt in two rounds
