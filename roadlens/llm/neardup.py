@@ -13,11 +13,16 @@ links make groups.
 3. Within a region (a bounded number of nodes and shingles) the sketches of neighbours in the
    order are compared; pairs whose estimate is within four standard errors of the threshold
    are candidates.  What is too large at the last depth agrees on nearly all columns; it is cut
-   by a hash of the id, and each part also gets the region's smallest node.
+   by a hash of the id, drawn anew in each region, and each part also gets the region's smallest
+   node.  That only joins most of its nodes cheaply; see 5.
 4. Nodes with a candidate get their full sets, and each region confirms its candidates on them.
    Pairs that confirmed links of the region already join need no test of their own, so a
    region reports fewer links than it has nodes, never all its pairs.
-5. Links are contracted to components in Spark.
+5. Cut regions that share nodes are one cluster.  Its nodes are dealt into blocks, and every pair
+   of blocks is one task that compares the nodes not yet in one component, so no pair of a cut
+   region is left out.  Large components have blocks of their own, which are not compared with
+   each other: a tight group costs what its loose rest costs times its size.
+6. Links are contracted to components in Spark.
 
 Only sketches of nodes with a neighbour are moved, and full sets only of candidates.
 
@@ -144,9 +149,10 @@ def deeper_rows(nodes: DataFrame, level: int) -> DataFrame:
             .select(key.alias("region"), "id", "n", "tree"))
 
 
-def regions(nodes: DataFrame, limit: int, weight: int) -> tuple[DataFrame, DataFrame]:
+def regions(nodes: DataFrame, limit: int, weight: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(region, id) with at least 2 and at most ``limit`` nodes and ``weight`` shingles in each region,
-    and (id, hot): the trees of the first level whose region of the node is too large."""
+    (id, hot): the trees of the first level whose region of the node is too large, and (id, hub): the
+    nodes of the cut regions with each region's smallest one, if a region had to be cut."""
     def sized(table: DataFrame) -> DataFrame:
         whole = table.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1")
         big = (F.col("size") > limit) | (F.col("size") > 2) & (F.col("weight") > weight)
@@ -157,17 +163,20 @@ def regions(nodes: DataFrame, limit: int, weight: int) -> tuple[DataFrame, DataF
     hot = now.where("big").groupBy("id").agg(F.collect_set("tree").alias("hot"))
     for level in range(1, len(LEVELS)):
         if now.where("big").isEmpty():
-            return done, hot
+            return done, hot, None
         large = now.where("big").select("id").distinct()
         now = sized(deeper_rows(nodes.join(large, "id", "left_semi"), level))
         done = done.union(now.where("not big").select("region", "id"))
     big = now.where("big")
+    if big.isEmpty():
+        return done, hot, None
     parts = big.groupBy("region").agg(
         (2 * F.greatest(F.ceil(F.count(F.lit(1)) / (limit - 1)), F.ceil(F.sum("n") / weight))).alias("parts"),
         F.min("id").alias("hub"))
     salted = big.join(parts, "region").select(
-        F.xxhash64("region", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("region"), "id", "hub")
-    return done.union(salted.select("region", "id").union(salted.select("region", "hub")).distinct()), hot
+        F.xxhash64("region", F.pmod(F.xxhash64("id", "region"), F.col("parts"))).alias("region"), "id", "hub")
+    return (done.union(salted.select("region", "id").union(salted.select("region", "hub")).distinct()), hot,
+            salted.select("id", "hub").distinct())
 
 
 def needed(threshold: float) -> int:
@@ -219,11 +228,31 @@ def own_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def comparer(least: int) -> Callable:
-    """Task function over (region, id, sketch, marks): (region, id) of the nodes with a candidate."""
+def cross_pairs(table: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j), i < j, of the candidate pairs of different components among rows (region, id, sketch,
+    side, component) in order of region and side: one side against the other, or all pairs of a
+    region that has one side."""
+    table = table.combine_chunks()
+    region, side, group = (table.column(c).to_numpy() for c in ("region", "side", "component"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COLUMNS)
+    first = np.flatnonzero(np.r_[True, region[1:] != region[:-1]]).tolist()
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip(first, [*first[1:], len(region)]):
+        other = lo + int(np.count_nonzero(side[lo:hi] == 0))
+        for i in range(lo, other):
+            at = other if other < hi else i + 1
+            j = at + np.flatnonzero(group[at:hi] != group[i])
+            j = j[np.count_nonzero(sketch[j] == sketch[i], axis=1) >= least]
+            left.append(np.full(len(j), i))
+            right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def comparer(least: int, pairs: Callable = own_pairs, kept: tuple[str, ...] = ("region", "id")) -> Callable:
+    """Task function over the rows of ``pairs``: the columns ``kept`` of the nodes with a candidate."""
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = np.unique(np.concatenate(own_pairs(table, least)))
-        yield from table.select(["region", "id"]).take(pa.array(rows)).combine_chunks().to_batches()
+        rows = np.unique(np.concatenate(pairs(table, least)))
+        yield from table.select(list(kept)).take(pa.array(rows)).combine_chunks().to_batches()
     return by_region(compare)
 
 
@@ -257,15 +286,17 @@ def similar(mine: np.ndarray, theirs: list[np.ndarray], percent: int) -> np.ndar
     return 100 * both >= percent * (len(mine) + sizes - both)
 
 
-def confirmer(least: int, percent: int) -> Callable:
-    """Task function over (region, id, sketch, marks, set): confirmed links that join what no
-    earlier link of the region did."""
+def confirmer(least: int, percent: int, pairs: Callable = own_pairs) -> Callable:
+    """Task function over the rows of ``pairs`` and their sets: confirmed links that join what no
+    earlier link of the region (nor their components, if known) did."""
     def confirm(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j = own_pairs(table, least)
+        i, j = pairs(table, least)
         order = np.lexsort((j, i))
         i, j = i[order], j[order]
         ids, sets = table.column("id").to_numpy(), table.column("set")
         group, known, found = np.arange(table.num_rows), {}, []
+        if "component" in table.column_names:
+            group = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
 
         def members(row: int) -> np.ndarray:
             if row not in known:
@@ -288,9 +319,72 @@ def confirmer(least: int, percent: int) -> Callable:
     return by_region(confirm)
 
 
+def full_sets(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, set) of the nodes with a candidate."""
+    wanted = cut(near.select("id").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
+    return rows.join(wanted, "id", "left_semi").mapInArrow(set_blobs, "id long, set binary").dropDuplicates(["id"])
+
+
+def components_of(ids: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``ids`` with the smallest node of each id's component as column ``name``."""
+    roots = connected(edges).select(F.col("node").alias("id"), F.col("root").alias(name))
+    return ids.join(roots, "id", "left").withColumn(name, F.coalesce(name, "id"))
+
+
+def block_pairs(loose: DataFrame, nodes: DataFrame, found: DataFrame, limit: int, weight: int) -> DataFrame:
+    """(region, id, side, component) of the nodes of cut regions: a region is a pair of blocks of one cluster
+    (or one block) that holds nodes of different components, with about half of ``limit`` and ``weight``."""
+    def parts(size: str, n: str):
+        return F.greatest(F.ceil(4 * F.col(size) / limit), F.ceil(4 * F.col(n) / weight))
+
+    ids = nodes.select("id", "n").join(loose.select("id").distinct(), "id", "left_semi")
+    ids = components_of(ids, loose.select(F.col("id").alias("a"), F.col("hub").alias("b")), "cluster")
+    ids = cut(components_of(ids, found, "component"))
+    sizes = ids.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    several = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    alone = parts("size", "weight") > 1
+    owners = cut(sizes.join(several, "cluster", "left_semi").select(
+        "cluster", "component", "size", "weight", alone.alias("alone"),
+        F.when(alone, F.col("component")).otherwise(F.col("cluster")).alias("owner")))
+    dealt = (owners.groupBy("cluster", "alone", "owner").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+             .select("cluster", "alone", "owner", parts("size", "weight").alias("parts")))
+    key = F.xxhash64("cluster", "alone", "owner", "part")
+    blocks = cut(dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+                 .select("cluster", "alone", "owner", key.alias("block")))
+    one, two = blocks.alias("x"), blocks.alias("y")
+    pairs = cut(one.join(two, F.expr("""x.cluster = y.cluster and x.block <= y.block
+                                        and not (x.alone and y.alone and x.owner = y.owner)"""))
+                .select(F.xxhash64("x.block", "y.block").alias("region"), F.col("x.block").alias("left"),
+                        F.col("y.block").alias("right")))
+    sides = (pairs.select("region", F.lit(0).alias("side"), F.col("left").alias("block"))
+             .union(pairs.where("left <> right").select("region", F.lit(1), "right")))
+    placed = (ids.join(owners.select("cluster", "component", "alone", "owner"), ["cluster", "component"])
+              .join(dealt, ["cluster", "alone", "owner"])
+              .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+              .select("id", "component", key.alias("block")))
+    return placed.join(sides, "block").select("region", "id", "side", "component")
+
+
+def loose_links(rows: DataFrame, nodes: DataFrame, loose: DataFrame, found: DataFrame, percent: int, limit: int,
+                weight: int) -> DataFrame:
+    """Confirmed pairs of nodes of cut regions that ``found`` leaves in different components."""
+    parts, least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), needed(percent / 100)
+    sketches = nodes.select("id", "sketch")
+    near = cut(block_pairs(loose, nodes, found, limit, weight).join(sketches, "id")
+               .select("region", "id", "sketch", "side", "component")
+               .repartition(parts, "region").sortWithinPartitions("region", "side", "id")
+               .mapInArrow(comparer(least, cross_pairs, ("region", "id", "side", "component")),
+                           "region long, id long, side int, component long"))
+    return (near.join(sketches, "id").join(full_sets(rows, near), "id")
+            .select("region", "id", "sketch", "side", "component", "set")
+            .repartition(parts, "region").sortWithinPartitions("region", "side", "id")
+            .mapInArrow(confirmer(least, percent, cross_pairs), "a long, b long").distinct())
+
+
 def links(rows: DataFrame, nodes: DataFrame, percent: int, limit: int, weight: int) -> DataFrame:
     """Confirmed pairs of nodes, enough to join each group."""
-    members, hot = regions(nodes, limit, weight)
+    members, hot, loose = regions(nodes, limit, weight)
     marks = F.expr("""transform(trees, (x, t) -> cast(shiftrightunsigned(
         if(array_contains(coalesce(hot, array()), t), xxhash64(id, t), x), 33) as int))""")
     marked = nodes.join(hot, "id", "left").select("id", "sketch", marks.alias("marks"))
@@ -298,12 +392,10 @@ def links(rows: DataFrame, nodes: DataFrame, percent: int, limit: int, weight: i
     near = cut(members.join(marked, "id").select("region", "id", "sketch", "marks")
                .repartition(parts, "region").sortWithinPartitions("region", "id")
                .mapInArrow(comparer(least), "region long, id long"))
-    wanted = cut(near.select("id").distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
-    sets = rows.join(wanted, "id", "left_semi").mapInArrow(set_blobs, "id long, set binary").dropDuplicates(["id"])
-    return (near.join(marked.join(sets, "id"), "id").select("region", "id", "sketch", "marks", "set")
-            .repartition(parts, "region").sortWithinPartitions("region", "id")
-            .mapInArrow(confirmer(least, percent), "a long, b long").distinct())
+    found = cut(near.join(marked.join(full_sets(rows, near), "id"), "id").select("region", "id", "sketch", "marks", "set")
+                .repartition(parts, "region").sortWithinPartitions("region", "id")
+                .mapInArrow(confirmer(least, percent), "a long, b long").distinct())
+    return found if loose is None else cut(found.union(loose_links(rows, nodes, cut(loose), found, percent, limit, weight)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
@@ -315,7 +407,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = cut(profiles.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node")))
     nodes = (profiles.join(copies.select(F.col("node").alias("id")), "id", "left_semi").where("n > 0")
              .select("id", "n", "sketch", "trees").dropDuplicates(["id"]))
-    found = cut(links(rows.where("id is not null"), cut(nodes), percent, limit, weight))
+    found = links(rows.where("id is not null"), cut(nodes), percent, limit, weight)
     groups = (copies.join(connected(found), "node", "left")
               .select("k1", "k2", F.coalesce("root", "node").alias("component")))
     own = profiles.select("id", "n", "k1", "k2").join(groups, ["k1", "k2"], "left")

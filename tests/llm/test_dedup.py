@@ -77,6 +77,30 @@ def test_groups_equal_exact_ones(spark, limit, weight):
     assert found(neardup.near_duplicates(frame(spark, rows).repartition(4), limit=limit, weight=weight)) == exact_groups(rows)
 
 
+def loose_group(seed: int) -> list[tuple]:
+    """Variants of one text, pairwise just under 0.75, joined by one that is just above it to all of them; and
+    a tight group around one of the variants."""
+    r = random.Random(seed)
+    base = words(seed, 1000, 10**6).split()
+
+    def variant(of: list[str], changes: int) -> list[str]:
+        w = list(of)
+        for at in r.sample(range(0, 1000, 6), changes):
+            w[at] = f"new{r.randrange(10**9)}"
+        return w
+    rows = [(k, variant(base, 19)) for k in range(60)]
+    rows += [(100 + k, variant(rows[0][1], 1)) for k in range(40)] + [(1000, variant(base, 9))]
+    return [(k, " ".join(w), None) for k, w in rows]
+
+
+@pytest.mark.parametrize("limit, weight", [(6, neardup.WEIGHT), (neardup.REGION, 6000)])
+def test_a_loose_group_in_cut_regions_equals_the_exact_one(spark, limit, weight):
+    rows = loose_group(11)
+    want = exact_groups(rows)
+    assert {c for _, c in want.values()} == {0} and len({c for _, c in exact_groups(rows[:-1]).values()}) > 50
+    assert found(neardup.near_duplicates(frame(spark, rows).repartition(4), limit=limit, weight=weight)) == want
+
+
 def test_groups_of_the_given_documents(spark):
     rows = [(r.doc_id, r.text, None) for r in table(spark, SF001, "documents").collect()]
     assert found(QUERIES["op9_minhash_near_dedup"](spark, SF001)) == exact_groups(rows)
