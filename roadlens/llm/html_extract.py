@@ -8,8 +8,10 @@
    its own best container where it has none there.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are
-left out by element and by words of class, id and role.  White space inside a block is one
-space, character references are decoded, blocks are joined in page order.
+left out by element and by words of class, id and role.  Such a word does not count on an
+element that holds most of the page's text with its article, main or h1 in it, nor as an id made
+from a heading of the article, nor where it would leave nothing of the page.  White space inside
+a block is one space, character references are decoded, blocks are joined in page order.
 
 The votes of a host are partial sums per (host, path), so a host of a third of all pages is
 no hot spot.  Host paths are broadcast if they are few, else joined by shuffle (Spark splits
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +59,10 @@ NOISE = frozenset(
     "sidebars side sidenav widget widgets related recommended share sharing social menu menus nav navbar navigation topnav subnav "
     "leftnav pagination pager footer masthead toolbar topbar siteheader skip search login signup complementary contentinfo "
     "dialog tag tags hidden".split())
+# ... those among them that no section of an article is about ...
+DISCUSSION = frozenset(
+    "comment comments commentlist respond reply replies disqus newsletter subscribe subscription promo promos promoted sponsored "
+    "share signup breadcrumb breadcrumbs pagination pager".split())
 # ... and of a page's header, outside the article.
 HEADERS = frozenset("header site-header page-header top-header global-header main-header".split())
 # Words that turn the meaning of a mark round ("with-sidebar").
@@ -64,31 +71,43 @@ TOKEN = re.compile(r"<!--(?:.*?-->|.*$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=$|[\s/>\"'])", re.I)
 DIGITS = re.compile(r"\d+")
 MARK_WORDS = re.compile(r"[-_:]+")
+NOT_SLUG = re.compile(r"[\W_]+")
 SPACES = re.compile(r"\s+")
 DEEPEST = 400            # elements nested deeper are taken as part of the one they are in
 OPEN_TAG = re.compile(r"<[a-zA-Z/!?][^>]*$")
 
 
 class Node:
-    __slots__ = ("tag", "path", "noise", "parent", "score", "link", "depth", "article")
+    __slots__ = ("tag", "path", "noise", "parent", "score", "link", "depth", "article", "mark")
 
     def __init__(self, tag: str, path: str, noise: bool, parent: "Node | None", link: bool):
         self.tag, self.path, self.noise, self.parent, self.link, self.score = tag, path, noise, parent, link, 0.0
         self.depth = parent.depth + 1 if parent is not None else 0
         self.article = tag in ("article", "main") or parent is not None and parent.article
+        self.mark: Mark | None = parent.mark if parent is not None else None     # of the nearest marked element
 
 
-def marked_noise(marks: str, outside: bool) -> bool:
-    """Whether a class, id or role names something that is not the article."""
+class Mark:
+    """An element that a class, id or role names as something else than the article."""
+    __slots__ = ("outer", "header", "id", "chars", "linked", "titled", "heading", "ignored", "gone")
+
+    def __init__(self, outer: "Mark | None", header: bool, id: str):
+        self.outer, self.header, self.id = outer, header, id      # id: if that alone is the mark, inside an article
+        self.chars = self.linked = 0
+        self.titled, self.heading, self.ignored, self.gone = False, None, False, True
+
+
+def marked_noise(marks: str, outside: bool) -> str:
+    """The first class, id or role that names something that is not the article; '' if none does."""
     for mark in marks.lower().split():
         words = MARK_WORDS.split(mark)
         if not ABOUT.intersection(words) and (not NOISE.isdisjoint(words) or outside and mark in HEADERS):
-            return True
-    return False
+            return mark
+    return ""
 
 
 def open_node(tag: str, attributes: str, parent: Node) -> Node:
-    classes, marks, off = "", "", False
+    classes, marks, ids, off = "", "", "", False
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
@@ -96,32 +115,108 @@ def open_node(tag: str, attributes: str, parent: Node) -> Node:
                 classes = ".".join(sorted(set(DIGITS.sub("0", value).lower().split())))
             if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 off = True
+            elif name == "id":
+                ids += " " + value
             elif name != "style":
                 marks += " " + value
-    noise = parent.noise or off or tag in DROPPED
-    if not noise and (marks or tag == "header") and tag not in ("body", "html", "article", "main"):
-        outside = not parent.article
-        noise = tag == "header" and outside or marked_noise(marks, outside)
+    outside = not parent.article
+    noise = parent.noise or off or tag in DROPPED or tag == "header" and outside
     path = parent.path if noise else f"{parent.path}>{tag}.{classes}" if classes else f"{parent.path}>{tag}"
-    return Node(tag, path, noise, parent, parent.link or tag == "a")
+    node = Node(tag, path, noise, parent, parent.link or tag == "a")
+    if noise or tag in ("body", "html"):
+        return node
+    mark = marked_noise(marks, outside) if marks else ""
+    by_id = marked_noise(ids, outside) if ids and not mark and (outside or tag not in HEADINGS) else ""
+    if tag in ("article", "main"):
+        if node.mark is not None and not mark and not by_id:
+            node.mark.titled = True
+    elif mark or by_id:
+        node.mark = Mark(parent.mark, (mark or by_id) in HEADERS, "" if outside else by_id)
+    elif tag == "h1" and node.mark is not None and not node.mark.header:
+        node.mark.titled = True
+    return node
 
 
 Block = tuple[Node, str, int, bool]
+Piece = tuple[str, bool, "Mark | None"]      # text, whether it is in a link, mark of the nearest marked element
+
+
+def about_heading(mark: Mark) -> bool:
+    """Whether a mark is an id made from the heading that its element begins with, over plain text."""
+    slug = lambda x: NOT_SLUG.sub("-", x.lower()).strip("-")
+    return bool(mark.id and mark.heading and 2 * mark.linked < mark.chars and DISCUSSION.isdisjoint(MARK_WORDS.split(mark.id))
+                and slug(re.sub(r"[-_]\d+$", "", mark.id)) == slug(html.unescape(mark.heading)))
+
+
+def weigh_marks(marks: list[Mark], pieces: list[Piece]) -> None:
+    """Sets which marked elements are gone; ``marks`` has outer elements before inner ones."""
+    total = left = 0
+    for part, link, mark in pieces:
+        n = len(part.strip())
+        total += n
+        if mark is None:
+            left += n
+        else:
+            mark.chars += n
+            mark.linked += n * link
+    for mark in reversed(marks):
+        most = 2 * mark.chars > total
+        mark.ignored = most and mark.titled or about_heading(mark)
+        if mark.outer is not None:
+            mark.outer.chars += mark.chars
+            mark.outer.linked += mark.linked
+            mark.outer.titled = mark.outer.titled or most and mark.titled
+    while True:
+        for mark in marks:
+            mark.gone = not mark.ignored or mark.outer is not None and mark.outer.gone
+        if left or any(part.strip() for part, _, mark in pieces if mark is not None and not mark.gone):
+            return
+        outermost = [m for m in marks if m.chars and not m.ignored and (m.outer is None or not m.outer.gone)]
+        if not outermost:
+            return
+        max(outermost, key=lambda m: m.chars).ignored = True
 
 
 def blocks_of(page: str) -> list[Block]:
     """(container, text, characters in links, is a heading) of each block of a page, boilerplate left out."""
-    node, out, text, linked = Node("", "", False, None, False), [], [], 0
+    raw, pieces, marks = raw_blocks(page)
+    if marks:
+        weigh_marks(marks, pieces)
+    out = []
+    for node, heading, lo, hi in raw:
+        kept = [p for p in pieces[lo:hi] if p[2] is None or not p[2].gone]
+        joined = SPACES.sub(" ", html.unescape("".join(p[0] for p in kept))).strip()
+        if joined:
+            out.append((node, joined, sum(len(p[0]) for p in kept if p[1]), heading))
+    return out
+
+
+def raw_blocks(page: str) -> tuple[list[tuple[Node, bool, int, int]], list[Piece], list[Mark]]:
+    """(container, is a heading, first piece, end) of each block, marked elements included; pieces; marks."""
+    node, raw, pieces, marks, begun = Node("", "", False, None, False), [], [], [], 0
+    unopened, counts = [], Counter()             # tags of open elements that are nested too deep, and how many of each
 
     def end_block() -> None:
-        nonlocal linked
-        if text:
-            joined = SPACES.sub(" ", html.unescape("".join(text))).strip()
-            if joined:
-                around, heading = container(node)
-                out.append((around, joined, linked, heading))
-            text.clear()
-            linked = 0
+        nonlocal begun
+        if begun < len(pieces):
+            around, heading = container(node)
+            raw.append((around, heading, begun, len(pieces)))
+            if node.mark is not None and node.mark.heading is None:
+                joined = "".join(p[0] for p in pieces[begun:]).strip()
+                if joined:
+                    node.mark.heading = joined if heading else ""
+            begun = len(pieces)
+
+    def forget(tags: tuple[str, ...]) -> bool:
+        """Closes the nearest element of ``tags`` that was not opened, if it is in scope; whether the search ends here."""
+        for k in range(len(unopened) - 1, -1, -1):
+            if unopened[k] in tags:
+                counts.subtract(unopened[k:])
+                del unopened[k:]
+                return True
+            if unopened[k] in SCOPE:
+                return True
+        return False
 
     at, n = 0, len(page)
     while at < n:
@@ -131,14 +226,24 @@ def blocks_of(page: str) -> list[Block]:
             part = page[at:stop]
             if not m:
                 part = OPEN_TAG.sub("", part)      # a tag that the end of the page cuts off
-            text.append(part)
-            linked += len(part) * node.link
+            pieces.append((part, node.link, node.mark))
         if not m:
             break
         at, tag = m.end(), (m.group(2) or "").lower()
         if not tag:
             continue
         if m.group(1):
+            if unopened and tag in BLOCK:
+                end_block()
+                if counts[tag]:
+                    while True:
+                        last = unopened.pop()
+                        counts[last] -= 1
+                        if last == tag:
+                            break
+                    continue
+            elif unopened and forget((tag,)):
+                continue
             top = node
             while top is not None and top.tag != tag:
                 if top.tag in SCOPE and tag not in BLOCK:
@@ -149,26 +254,35 @@ def blocks_of(page: str) -> list[Block]:
                 end_block()
             if top is not None and top.parent is not None:
                 node = top.parent
+                unopened.clear()
+                counts.clear()
             continue
         if tag in BLOCK:
             end_block()
-        if tag in CLOSES_P:
-            node = closed(node, ("p",))
-        if tag in SAME:
-            node = closed(node, SAME[tag])
+        for tags in (("p",) if tag in CLOSES_P else (), SAME.get(tag, ())):
+            if tags and not (unopened and forget(tags)):
+                before, node = node, closed(node, tags)
+                if unopened and node is not before:
+                    unopened.clear()
+                    counts.clear()
         if tag in VOID:
             continue
         if tag not in BLOCK and tag not in DROPPED and tag not in RAW and tag != "a" and not m.group(3):
             continue                                   # plain inline mark-up changes nothing
         opened = open_node(tag, m.group(3), node)
+        if opened.mark is not node.mark:
+            marks.append(opened.mark)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if opened.depth <= DEEPEST * (4 if opened.noise else 1):
+        if opened.depth <= DEEPEST * (4 if opened.noise or opened.mark is not None else 1):
             node = opened
+        else:
+            unopened.append(tag)
+            counts[tag] += 1
     end_block()
-    return out
+    return raw, pieces, marks
 
 
 def closed(node: Node, tags: tuple[str, ...]) -> Node:

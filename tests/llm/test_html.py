@@ -72,6 +72,28 @@ def test_links_count_against_a_container():
     assert len(blocks_of(page)) == 21
 
 
+STORY = "<h2>Title</h2><p>" + "the story goes on " * 20 + "</p>"
+SIDE = "<div class=sidebar><p>more to read</p></div>"
+WHOLE = "Title " + ("the story goes on " * 20).strip()
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='site-content right-sidebar'><article>{STORY}</article>{SIDE}</div><p>made by us</p>", WHOLE),
+    (f"<div class='layout sidebar-left'><main>{STORY}</main>{SIDE}</div>", WHOLE),
+    (f"<div class='layout sidebar-left'><div class=post>{STORY}</div>{SIDE}</div>", WHOLE),
+    (f"<div class=cookie-notice>We use cookies</div><div class=widget-page><div class=modal-page><article>{STORY}</article></div></div>", WHOLE),
+    (f"<article>{STORY}<section id=related-work><h2>Related work</h2><p>plain text of it</p></section></article>", WHOLE + " Related work plain text of it"),
+    (f"<article>{STORY}<h2 id=privacy>Privacy</h2><h2 id='search-and-login'>Search and login</h2><p>x</p></article>", WHOLE + " Privacy Search and login x"),
+    (f"<article>{STORY}<div id=related-posts><h2>Related posts</h2><a href=1>one post</a> <a href=2>two posts are here</a></div></article>", WHOLE),
+    (f"<article>{STORY}<section id=comments><h2>Comments</h2><p>so nice</p></section></article>", WHOLE),
+    (f"<div class=post>{STORY}</div><ol class=comments><li><article class=comment><p>" + "so nice " * 200 + "</p></article></ol>", WHOLE),
+    ("<div><article>" + "<div>" * 450 + "in" + "</div>" * 450 + "<p>still in</p></article><p>out</p></div>", "in still in"),
+    ("<div><article>" + "<div>" * 450 + "<p>a<p>b<ul><li>c<li>d</ul>" + "</div>" * 450 + "<p>still in</p></article><p>out</p></div>", "a b c d still in"),
+])
+def test_marks_do_not_swallow_the_article(page, text):
+    assert main_text(page, None) == text
+
+
 def test_very_deep_and_unclosed_pages():
     deep = "<div class=d>" * 50_000 + "deep" + "</div>" * 50_000 + "<p>after"
     assert main_text(deep, None).startswith("deep")
