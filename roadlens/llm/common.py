@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roadlens.session import ensure_checkpoint_dir
 
@@ -84,3 +86,52 @@ def word_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
         at[live] += 8
         live = live[left[live] > 0]
     return h
+
+
+def ranked(df: DataFrame, group: str, order: list[str], out: str = "idx") -> DataFrame:
+    """Adds the 0-based place of each row among those of its ``group`` (null is a group), in ``order``.
+
+    Rows are range-partitioned by (group, order, a unique number) and sorted there, so a group of
+    any size is spread over tasks; what a partition holds of its first and last group is all that
+    reaches the driver (one row per partition), and each task adds its first group's offset."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order, "_row")]
+    tagged = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    placed = cut(tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    runs = placed.groupBy("_part", group).agg(F.count(F.lit(1)).alias("n"))
+    held = runs.groupBy("_part").agg(F.sum("n").alias("n"), F.min(F.struct(group)).alias("first"),
+                                     F.max(F.struct(group, "n")).alias("last")).orderBy("_part").collect()
+    offsets, open_group, carried = {}, None, 0
+    for r in held:
+        first, last = r["first"][0], r["last"][0]
+        offsets[r["_part"]] = carried if open_group == (first,) else 0
+        carried = offsets[r["_part"]] + r["n"] if first == last else r["last"]["n"]
+        open_group = (last,)
+    at_group, at_part = placed.columns.index(group), placed.columns.index("_part")
+    kept = [k for k, c in enumerate(placed.columns) if c not in ("_row", "_part")]
+    names = [placed.columns[k] for k in kept] + [out]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nxt = None, None               # the group of the row before, the next place in it
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            col = batch.column(at_group)
+            a, b = col.slice(0, len(col) - 1), col.slice(1)
+            differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+            differs |= (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+            starts = np.r_[0, np.flatnonzero(differs) + 1]
+            if nxt is None:
+                nxt = offsets[batch.column(at_part)[0].as_py()]
+            elif (col[0].as_py(),) != last:
+                nxt = 0
+            base = np.zeros(len(starts), np.int64)
+            base[0] = nxt
+            run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(col)]))
+            place = np.arange(len(col)) - starts[run] + base[run]
+            last, nxt = (col[-1].as_py(),), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(place, pa.int64())], names=names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (placed.schema[k] for k in kept))
+    return placed.mapInArrow(numbered, f"{schema}, {out} long")

@@ -211,3 +211,6 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roadlens.llm.neardup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+from roadlens.llm import chat_queries  # noqa: E402, F401  (registers operators 11 to 13)
