@@ -10,20 +10,38 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadlens.functions.common import np_round
 from roadlens.operators.prefix import global_positions
-from roadlens.operators.train import predictions
+from roadlens.session import ensure_checkpoint_dir
 
 
 def impurity_importance(model, features: list[str], spark) -> DataFrame:
     """XPL-01 / SEL-05: feature importances of a tree ensemble, ranked."""
-    imp = model.featureImportances.toArray().tolist()
+    return ranked_importance(model.featureImportances.toArray().tolist(), features, spark)
+
+
+def forest_importance(nodes: DataFrame, weight: tuple[float, float], features: list[str]) -> DataFrame:
+    """XPL-01 over a node table: per tree the weighted impurity that each feature's splits take away, as a
+    share of the tree's; the mean of the shares over the trees, ranked."""
+    w = F.lit(weight[0]) * F.col("n0") + F.lit(weight[1]) * F.col("n1")
+    impure = F.when(w > 0, 2 * F.lit(weight[0]) * F.col("n0") * F.lit(weight[1]) * F.col("n1") / w).otherwise(0.0)
+    each = nodes.select("tree", "node", "feature", impure.alias("i"))
+    # a child hands its impurity to its parent; what the parent had more is the split's gain
+    handed = each.where("node > 1").groupBy("tree", F.expr("node div 2").alias("node")).agg(F.sum("i").alias("below"))
+    gain = each.where("feature >= 0").join(handed, ["tree", "node"]).groupBy("tree", "feature").agg(F.sum(F.col("i") - F.col("below")).alias("g"))
+    whole = gain.groupBy("tree").agg(F.sum("g").alias("t"))
+    n = nodes.select("tree").distinct().agg(F.count(F.lit(1)).alias("n"))
+    mean = (gain.join(whole, "tree").where("t > 0").groupBy("feature").agg(F.sum(F.col("g") / F.col("t")).alias("s"))
+            .crossJoin(n).select("feature", (F.col("s") / F.col("n")).alias("importance")))
+    names = nodes.sparkSession.createDataFrame(list(enumerate(features)), "feature int, name string")
+    out = names.join(mean, "feature", "left").select(F.col("name").alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
+
+
+def ranked_importance(imp: list[float], features: list[str], spark) -> DataFrame:
     df = spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
 
@@ -68,33 +86,168 @@ def additive_explanation(shap_long: DataFrame, base: float, key: str = "id", k:
             .filter(F.col("rank") <= k))
 
 
-def permutation_importance(model, test: DataFrame, features: list[str], repeats: int = 3, key: str = "id",
-                           seed: int = 42) -> DataFrame:
-    """SEL-06: mean AUC drop over ``repeats`` random cyclic permutations; negative -> 0."""
-    spark = test.sparkSession
-    raw = test.select(key, "label", *features)
-    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-
-    def auc_of(frame):
-        return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(
-            predictions(model, frame).select(F.col("score").cast("double"), F.col("label").cast("double")))
-    base_auc = auc_of(assembler.transform(raw))
-    n = raw.count()
-    rows = []
-    for r in range(repeats):
-        order = F.xxhash64(F.col(key), F.lit(seed + r))     # a new order in each repeat
-        pos = global_positions(raw.withColumn("__h", order), ["__h", key], out="__p").drop("__h")
-        partner = pos.select(((F.col("__p") + n - 1) % n).alias("__p"), *[F.col(f).alias(f"__s_{f}") for f in features])
-        wide = pos.join(partner, "__p").persist(StorageLevel.MEMORY_AND_DISK)   # read once per feature below
-        for f in features:
-            cols = [F.col(f"__s_{c}").alias(c) if c == f else F.col(c) for c in features]
-            perm = assembler.transform(wide.select(key, "label", *cols))
-            a = auc_of(perm)
-            rows.append((f, r, float(base_auc - a)))
-        wide.unpersist()
-    df = spark.createDataFrame(rows, "feature string, rep int, drop double")
-    g = df.groupBy("feature").agg(F.avg("drop").alias("perm_mean"), F.stddev_pop("drop").alias("perm_std"))
-    return g.select("feature", F.greatest(F.col("perm_mean"), F.lit(0.0)).alias("perm_mean"), "perm_std")
+def tree_shap(rows: DataFrame, nodes: DataFrame, weight: tuple[float, float], features: list[str], key: str = "id") -> DataFrame:
+    """XPL-02 (trees, exact): Shapley values of the forest's probability, long form (key, feature, shap).
+
+    A leaf is a product game over the features on its path: feature i is worth 1 (row passes all its
+    splits) or 0 if known and z_i, the share of training weight that passes them, if not.  Its Shapley
+    value is  v (o_i - z_i) * integral over t of prod_{j != i} (z_j (1 - t) + o_j t),  a polynomial that
+    Gauss-Legendre points integrate exactly.  Sum over features + mean of the model = its output."""
+    import numpy as np
+    import pyarrow as pa
+
+    from roadlens.operators import forest as fo
+    from roadlens.operators import trees as T
+    width, spark = len(features), rows.sparkSession
+    model = spark.sparkContext.broadcast(fo.model_arrays(nodes))
+
+    def shares(batches):
+        paths = [leaf_paths(*m, weight, width) for m in model.value.values()]
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+            phi = np.zeros((len(x), width))
+            for value, z, lo, hi in paths:
+                phi += leaf_shapley(x, value, z, lo, hi)
+            n = len(x)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(np.repeat(np.arange(n), width))), pa.array(features * n, pa.string()),
+                 pa.array((phi / max(len(paths), 1)).ravel())], names=[key, "feature", "shap"])
+
+    # the lab's rows are few per batch: a batch is a task's share of the work, not one partition of it
+    dealt = rows.select(key, "x").repartition(4 * spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(shares, f"{key} {rows.schema[key].dataType.simpleString()}, feature string, shap double")
+
+
+def forest_base(nodes: DataFrame, weight: tuple[float, float]) -> float:
+    """The model's mean over its training weight: what SHAP values are added to."""
+    w = F.lit(weight[0]) * F.col("n0") + F.lit(weight[1]) * F.col("n1")
+    return float(nodes.where("node = 1").agg(F.avg(F.lit(weight[1]) * F.col("n1") / w)).first()[0] or 0.0)
+
+
+def forest_predictor(nodes: DataFrame, weight: tuple[float, float]):
+    """x (rows, features) -> mean probability over the trees, for use inside tasks."""
+    import numpy as np
+
+    from roadlens.operators import forest as fo
+    from roadlens.operators import trees as T
+    model = nodes.sparkSession.sparkContext.broadcast(fo.model_arrays(nodes))
+
+    def predict(x):
+        total = np.zeros(len(x))
+        for node, feature, threshold, n0, n1 in model.value.values():
+            total += T.share(n0, n1, weight)[T.leaf_of(x, node, feature, threshold)]
+        return total / max(len(model.value), 1)
+
+    return predict
+
+
+def leaf_paths(node, feature, threshold, n0, n1, weight, width):
+    """Per leaf: probability, and per feature the share z of the weight that its splits let pass and their interval (lo, hi]."""
+    import numpy as np
+
+    from roadlens.operators import trees as T
+    cover = weight[0] * n0 + weight[1] * n1
+    left, right = T.links(node, feature)
+    k = len(node)
+    z, lo, hi = np.ones((k, width)), np.full((k, width), -np.inf), np.full((k, width), np.inf)
+    for p in range(k):                               # parents come before their children
+        f = feature[p]
+        if f >= 0:
+            for c, side in ((left[p], 0), (right[p], 1)):
+                z[c], lo[c], hi[c] = z[p], lo[p], hi[p]
+                z[c, f] *= cover[c] / max(cover[p], 1e-300)
+                if side:
+                    lo[c, f] = max(lo[c, f], threshold[p])
+                else:
+                    hi[c, f] = min(hi[c, f], threshold[p])
+    leaf = feature < 0
+    return T.share(n0, n1, weight)[leaf], z[leaf], lo[leaf], hi[leaf]
+
+
+def leaf_shapley(x, value, z, lo, hi, rows: int = 64):
+    """(rows, features): the sum over the leaves of one tree."""
+    import numpy as np
+    used = np.flatnonzero((z != 1).any(0) | np.isfinite(lo).any(0) | np.isfinite(hi).any(0))
+    on_path = np.isfinite(lo) | np.isfinite(hi)
+    out = np.zeros(x.shape)
+    if not len(used):
+        return out
+    t, wt = np.polynomial.legendre.leggauss(max(1, (int(on_path.sum(1).max()) + 1) // 2))
+    t, wt = (t + 1) / 2, wt / 2
+    z, lo, hi = z[:, used], lo[:, used], hi[:, used]
+    for a in range(0, len(x), rows):
+        part = x[a:a + rows, None, used]
+        o = (part > lo) & (part <= hi)                            # rows x leaves x features
+        total = np.zeros((o.shape[0], len(used)))
+        for tq, wq in zip(t, wt, strict=True):
+            terms = z * (1 - tq) + o * tq
+            whole = terms.prod(2)
+            total += wq * np.einsum("rl,rlf->rf", whole * value, (o - z) / terms)
+        out[a:a + rows, used] = total
+    return out
+
+
+def permuted_rows(rows: DataFrame, repeats: int, key: str = "id", seed: int = 42) -> DataFrame:
+    """key, label, x, rep, other: for each repeat, ``other`` is the x of the next row in a seeded order
+    (the last row's is the first's).  One exact order for all repeats, one equi-join."""
+    r = rows.select(key, "label", "x").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    placed = global_positions(r.withColumn("__h", F.xxhash64(key, F.col("rep") + seed)), ["__h", key], ["rep"], out="__p").drop("__h")
+    n = rows.count()
+    nxt = placed.select(F.col("rep").alias("__r"), F.pmod(F.col("__p") - 1, F.lit(max(n, 1))).alias("__q"), F.col("x").alias("other"))
+    return placed.join(nxt, (F.col("rep") == F.col("__r")) & (F.col("__p") == F.col("__q"))).select(key, "label", "x", "rep", "other")
+
+
+def permutation_importance(rows: DataFrame, predict, features: list[str], repeats: int = 10, key: str = "id", seed: int = 42,
+                           keep: bool = False) -> DataFrame:
+    """SEL-06 / XPL-06: mean AUC drop over ``repeats`` permutations of each feature (negative -> 0; ``keep``
+    leaves the sign).  ``predict``: x (rows, features) -> probability, called in the tasks.
+
+    All (feature, repeat) variants of a row are scored where the row is; what is shuffled is the count
+    per distinct score, and every AUC comes from one grouped rank sum."""
+    import numpy as np
+    import pyarrow as pa
+    width = len(features)
+
+    def variants(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x, other = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width) for c in ("x", "other"))
+            n = len(x)
+            for f in range(-1, width):
+                changed = x.copy()
+                if f >= 0:
+                    changed[:, f] = other[:, f]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, f, np.int32)), b.column("rep"), b.column("label"), pa.array(np.asarray(predict(changed), np.float64))],
+                                                 names=["f", "rep", "label", "score"])
+
+    dealt = permuted_rows(rows, repeats, key, seed).select("x", "other", "rep", F.col("label").cast("int").alias("label"))
+    # few bytes, much work: by rows, not by size
+    scores = (dealt.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+              .mapInArrow(variants, "f int, rep int, label int, score double"))
+    drops = grouped_auc(scores, ["f", "rep"])
+    base = drops.where("f = -1").select("rep", F.col("auc").alias("whole"))
+    names = F.element_at(F.array(*map(F.lit, features)), F.col("f") + 1)
+    g = (drops.where("f >= 0").join(base, "rep").groupBy(names.alias("feature"))
+         .agg(F.avg(F.col("whole") - F.col("auc")).alias("perm_mean"), F.stddev_pop(F.col("whole") - F.col("auc")).alias("perm_std")))
+    return g if keep else g.select("feature", F.greatest("perm_mean", F.lit(0.0)).alias("perm_mean"), "perm_std")
+
+
+def grouped_auc(scores: DataFrame, by: list[str]) -> DataFrame:
+    """AUC (ties count half) of (label, score) per group.  Counts per distinct score are the running sums'
+    rows; scores are cut into ranges first, so that no group's scores pass one task."""
+    per = scores.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("q"))
+    per = per.withColumn("cell", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * 4096))
+    ensure_checkpoint_dir(scores.sparkSession)
+    per = per.checkpoint(eager=True)             # read four times below; the scores are made once
+    cells = per.groupBy(*by, "cell").agg(F.sum("p").alias("cp"), F.sum("q").alias("cq"))
+    before = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = cells.select(*by, "cell", F.coalesce(F.sum("cq").over(before), F.lit(0)).alias("below"))
+    inside = Window.partitionBy(*by, "cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per.withColumn("less", F.coalesce(F.sum("q").over(inside), F.lit(0))).join(base, [*by, "cell"])
+    s = ranked.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("less") + F.col("q") / 2)).alias("u"),
+                                F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    return s.select(*by, F.when((F.col("np") > 0) & (F.col("nq") > 0), F.col("u") / (F.col("np") * F.col("nq"))).alias("auc"))
 
 
 def influence_table(mdi: DataFrame, shap: DataFrame, perm: DataFrame) -> DataFrame:

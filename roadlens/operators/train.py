@@ -1,4 +1,4 @@
-"""Model lab on pyspark.ml (MDL-01..07, TUN-01..05, SCR-01).
+"""pyspark.ml models (MDL-01..04, SCR-01), and the lab's fits on tables that one task must not hold.
 
 Training data is a cached, slim (id, label, weight, fold, features-vector) frame:
 every estimator and every fold reads the same assembled vectors.  Folds come
@@ -7,9 +7,6 @@ from the stratified P1 fold column (SPL-02), so CV is reproducible under retries
 
 from __future__ import annotations
 
-import time
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -50,11 +47,8 @@ def prepare(df: DataFrame, features: list[str], label: str, key: str = "id", fol
 def estimators(n_rows: int) -> dict:
     """The comparison set (parameters follow the reference where Spark has them).
 
-    * logistic regression: L2, C = 1 -> regParam = 1 / (C * n), standardised inputs;
-    * 'extra_trees' is re-aimed: Spark has no extremely-randomised trees, so it is a
-      random forest without bootstrap and with coarse bins (random-ish thresholds);
-    * 'gradient_boosting' stands in for the boosted-tree libraries (same shrinkage
-      budget as 300 x 0.05 with fewer, larger steps because each Spark iteration is a job).
+    logistic regression: L2, C = 1 -> regParam = 1 / (C * n), standardised inputs.  Extra trees are
+    in ``forest``, the boosted models in ``lab``.
     """
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=1000,
@@ -65,11 +59,6 @@ def estimators(n_rows: int) -> dict:
                                                 minInstancesPerNode=10, seed=SEED),
         "random_forest": RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=300, maxDepth=10,
                                                 minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=SEED),
-        "extra_trees": RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=300, maxDepth=10,
-                                              minInstancesPerNode=5, featureSubsetStrategy="sqrt", bootstrap=False,
-                                              maxBins=8, seed=SEED),
-        "gradient_boosting": GBTClassifier(labelCol="label", weightCol="weight", maxIter=60, maxDepth=5,
-                                           stepSize=0.25, subsamplingRate=0.8, minInstancesPerNode=10, seed=SEED),
     }
 
 
@@ -98,129 +87,58 @@ def metrics(pred: DataFrame, key: str = "id") -> dict:
     return m
 
 
-def compare(train: DataFrame, test: DataFrame, names: list[str] | None = None, folds: int = 5,
-            parallelism: int = 8) -> DataFrame:
-    """MDL-07: per estimator CV mean/std of AUC/F1/recall/precision/accuracy, full fit,
-    test metrics, confusion counts and fit time; sorted by test AUC.  Fits run as
-    concurrent Spark jobs (threads), each reading the cached vectors."""
-    spark = train.sparkSession
-    n = train.count()
-    ests = estimators(n)
-    names = names or list(ests)
-
-    def fold_metrics(job):
-        name, k = job
-        m = ests[name].fit(train.filter(F.col("fold") != k))
-        return metrics(predictions(m, train.filter(F.col("fold") == k)))
-
-    def full_fit(name):
-        t0 = time.perf_counter()
-        model = ests[name].fit(train)
-        fit_s = time.perf_counter() - t0
-        return fit_s, metrics(predictions(model, test))
-
-    jobs = [(name, k) for name in names for k in range(folds)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:   # every (model, fold) fit is its own Spark job
-        cv_all = dict(zip(jobs, pool.map(fold_metrics, jobs)))
-        full = dict(zip(names, pool.map(full_fit, names)))
-    rows = []
-    for name in names:
-        cv = [cv_all[(name, k)] for k in range(folds)]
-        fit_s, tm = full[name]
-        row = {"model": name, "fit_time_s": round(fit_s, 3)}
-        for metric in ("auc", "f1", "recall", "precision", "accuracy"):
-            vals = [c[metric] for c in cv if c[metric] is not None]
-            mean = sum(vals) / len(vals) if vals else None
-            std = (sum((v - mean) ** 2 for v in vals) / len(vals)) ** 0.5 if vals else None
-            row[f"cv_{metric}_mean"], row[f"cv_{metric}_std"], row[f"test_{metric}"] = mean, std, tm[metric]
-        row.update({k: int(tm[k]) for k in ("tn", "fp", "fn", "tp")})
-        rows.append(row)
-    return spark.createDataFrame(rows).orderBy(F.col("test_auc").desc_nulls_last())
-
-
-# ------------------------------------------------------------------ tuning (TUN)
-
-SPACES = {
-    "random_forest": {"numTrees": [100, 200, 300, 400], "maxDepth": [6, 8, 10, 12],
-                      "minInstancesPerNode": [1, 2, 5, 10]},
-    "decision_tree": {"maxDepth": [4, 6, 8, 10, 12], "minInstancesPerNode": [1, 5, 10, 20]},
-    "gradient_boosting": {"maxIter": [40, 60, 80], "maxDepth": [3, 4, 5, 6], "stepSize": [0.1, 0.2, 0.3]},
-}
-
-
-def random_draws(space: dict, n: int, seed: int = SEED) -> list[dict]:
-    """TUN-01: seeded random parameter draws (deterministic list)."""
-    import random
-    rnd = random.Random(seed)
-    keys = sorted(space)
-    return [{k: rnd.choice(space[k]) for k in keys} for _ in range(n)]
-
-
-def focused_grid(best: dict, space: dict, steps: int = 3) -> list[dict]:
-    """TUN-02: around the best draw: floats +-25 % of the axis' range, clipped to it, in ``steps``
-    steps; listed choices with their neighbours."""
-    import itertools
-    axes = {}
-    for k, v in best.items():
-        opts = space.get(k, [v])
-        if isinstance(v, float):
-            lo, hi = min(opts), max(opts)
-            a, b = max(lo, v - 0.25 * (hi - lo)), min(hi, v + 0.25 * (hi - lo))
-            axes[k] = sorted({round(a + (b - a) * i / (steps - 1), 6) for i in range(steps)})
-        elif v in opts:
-            i = opts.index(v)
-            axes[k] = opts[max(0, i - 1): i + 2]
-        else:
-            axes[k] = [v]
-    keys = sorted(axes)
-    return [dict(zip(keys, vals)) for vals in itertools.product(*[axes[k] for k in keys])]
-
-
-def cv_scores(est, params: dict, train: DataFrame, folds: int = 5) -> dict:
-    """Mean of each metric over the folds (an undefined one counts 0)."""
-    total: dict = {}
-    for k in range(folds):
-        m = est.copy().setParams(**params).fit(train.filter(F.col("fold") != k)) if hasattr(est, "setParams") \
-            else est.fit(train.filter(F.col("fold") != k))
-        for name, v in metrics(predictions(m, train.filter(F.col("fold") == k))).items():
-            total[name] = total.get(name, 0.0) + float(v or 0.0) / folds
-    return total
-
-
-def cv_score(est, params: dict, train: DataFrame, objective: str, folds: int = 5) -> float:
-    return cv_scores(est, params, train, folds)[objective]
-
-
-OBJECTIVES = ("f1", "auc", "recall")
-
-
-def tune(train: DataFrame, test: DataFrame, name: str, objectives: tuple = OBJECTIVES, n_random: int = 60,
-         folds: int = 5, parallelism: int = 8) -> DataFrame:
-    """TUN-01/02/04: random search, then for each objective a focused grid around its best draw,
-    picked by CV score (never by test, SURVEY Q17).  One row per draw or grid point and
-    objective; equal settings are fitted once, and one fit serves all objectives."""
-    spark = train.sparkSession
-    est = estimators(train.count())[name]
-    space, known = SPACES[name], {}
-
-    def evaluate(settings: list[dict]) -> list[tuple[str, dict]]:
-        keys = [str(sorted(p.items())) for p in settings]
-        new = {k: p for k, p in zip(keys, settings) if k not in known}
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            known.update(zip(new, pool.map(lambda p: cv_scores(est, p, train, folds), new.values())))
-        return [(k, known[k]) for k in keys]
-
-    draws, rows = evaluate(random_draws(space, n_random)), []
-    for objective in objectives:
-        best = eval_params(max(draws, key=lambda d: d[1][objective])[0])
-        for search, found in (("random", draws), ("grid", evaluate(focused_grid(best, space)))):
-            rows += [(name, objective, k, float(v[objective]), search) for k, v in found]
-    return spark.createDataFrame(rows, "model string, objective string, params string, cv_score double, search string")
-
-
-def eval_params(s: str) -> dict:
-    import ast
-    return dict(ast.literal_eval(s))
+def spark_estimator(fit, n_rows: int, width: int):
+    """The pyspark.ml estimator of a lab fit, for tables that one task must not hold."""
+    from roadlens.operators.lab import DEFAULTS
+    p = DEFAULTS[fit.model] | fit.params
+    common = dict(labelCol="label", weightCol="weight", seed=SEED)
+    subset = {"sqrt": "sqrt", "log2": "log2", None: "all"}.get(p.get("max_features", "sqrt"), str(p.get("max_features")))
+    if fit.model == "logistic_regression":
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+        ratio = {"l1": 1.0, "l2": 0.0}.get(p["penalty"], p.get("l1_ratio", 0.5))
+        return Pipeline(stages=[scaler, LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", elasticNetParam=ratio,
+                                                           maxIter=p.get("max_iter", 1000), regParam=1.0 / (p["C"] * max(n_rows, 1)))])
+    if fit.model == "decision_tree":
+        return DecisionTreeClassifier(maxDepth=min(p["max_depth"], 30), minInstancesPerNode=p.get("min_samples_leaf", 1),
+                                      minInfoGain=p.get("min_impurity_decrease", 0.0), impurity=p.get("criterion", "gini"), **common)
+    if fit.model == "random_forest":
+        return RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=min(p["max_depth"], 30), minInstancesPerNode=p.get("min_samples_leaf", 1),
+                                      featureSubsetStrategy=subset, subsamplingRate=p.get("max_samples", 1.0),
+                                      minInfoGain=p.get("min_impurity_decrease", 0.0), **common)
+    return GBTClassifier(maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"], subsamplingRate=p.get("subsample", 1.0),
+                         minInstancesPerNode=p.get("min_samples_leaf", p.get("min_child_samples", 1)), **common)
+
+
+def predict_spark(rows: DataFrame, fit, width: int) -> DataFrame:
+    """id, label, score, pred of the rows that ``fit`` holds out: one distributed fit on all other training
+    rows.  The boosted models, which Spark has in one form only, all are its ``GBTClassifier`` here."""
+    from pyspark.ml.functions import array_to_vector
+
+    from roadlens.operators import forest
+    from roadlens.operators.lab import TEST
+    train = rows.where((F.col("fold") != fit.fold) & (F.col("fold") != TEST))
+    if fit.share < 1:
+        train = train.where(F.pmod(F.xxhash64("id"), F.lit(1000)) < int(fit.share * 1000))
+    held = rows.where(F.col("fold") == fit.fold)
+    if fit.model == "extra_trees":
+        nodes, weight = forest.fit(train.withColumn("fold", F.lit(0)), width, fit.params)
+        p = forest.score(held, nodes, weight, width)
+        return p.select("id", "label", "score", (F.col("score") >= 0.5).cast("int").alias("pred"))
+    w = class_weights(train)
+    vec = lambda df: df.select("id", "label", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
+    data = vec(train).join(F.broadcast(w.select("label", "weight")), "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = spark_estimator(fit, data.count(), width).fit(data)
+    finally:
+        data.unpersist()
+    return predictions(model, vec(held))
+
+
+def fit_spark(rows: DataFrame, fit, width: int) -> list[tuple]:
+    """(mark, held, metrics) of one distributed fit."""
+    m = metrics(predict_spark(rows, fit, width))
+    names = ("auc", "f1", "recall", "precision", "accuracy", "tn", "fp", "fn", "tp")
+    return [(0, "held_out", *(float("nan") if m[k] is None else float(m[k]) for k in names))]
 
 
 def improvement_table(results: DataFrame, baseline: DataFrame) -> DataFrame:
