@@ -168,22 +168,39 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), OP4_RULES).drop("score")
 
 
+# Of its own: sentences as one reads them, their identifiers, and what they stand for.
+OP7_SENTENCES = [
+    ("Licensed under the Apache License, Version 2.0.", "apache.name", "Apache-2.0"),
+    ("Released under the MIT License.", "short.MIT", "MIT"), ("Licensed under the MIT license.", "short.MIT", "MIT"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl.work3", "GPL-3.0"),
+    ("Licensed under the GNU General Public License, version 3.", "short.GPL-3.0", "GPL-3.0"),
+    ("Licensed under CC BY 4.0.", "short.CC-BY-4.0", "CC-BY-4.0"), ("Licensed under CC BY-NC 4.0.", "short.CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+    ("Licensed under CC BY-SA 4.0.", "short.CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("All rights reserved.", "rights", "All-rights-reserved"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense", "Unlicense"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl.20", "MPL-2.0"),
+    ("Distributed under the Boost Software License, Version 1.0.", "boost.short", "BSL-1.0"),
+    ("SPDX-License-Identifier: MIT", "short.MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0", "short.Apache-2.0", "Apache-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0", "short.GPL-3.0", "GPL-3.0"),
+]
+
+
 def _op7_sql() -> str:
-    from roadlens.llm.license import RULES, SENTENCES
-    values = ", ".join(f"('{i}', '{s}')" for i, _, s in SENTENCES)
-    left, cases = "sequence", []
-    for name, codes in RULES:
-        cases.append(f"CASE WHEN contains({left}, '{codes}') THEN '{name}' END")
-        left = f"replace({left}, '{codes}', ' ')"
+    """Every sentence as a pattern over the whole normalised text: its words with line breaks (<) between
+    them, from a break or sentence end (>) to the next; places order what is found."""
+    values = ", ".join("('{}', '{}', '{}')".format(s.replace("'", "''"), i, c) for s, i, c in OP7_SENTENCES)
     return rf"""
-WITH known(code, sentence) AS (VALUES {values}),
-s AS (SELECT doc_id, unnest(x) AS raw, unnest(range(len(x))) AS i FROM
-      (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '[.!?]+(\s|$)', chr(10) || '\1', 'g'), '\n') AS x FROM documents)),
-k AS (SELECT doc_id, string_agg(code, '' ORDER BY i) AS sequence FROM
-      (SELECT doc_id, i, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s) JOIN known USING (sentence) GROUP BY 1),
-d AS (SELECT doc_id, coalesce(sequence, '') AS sequence FROM documents LEFT JOIN k USING (doc_id))
-SELECT doc_id, sequence, CAST(len(sequence) AS BIGINT) AS n_sentences,
-       array_to_string(list_sort(list_distinct(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL))), ',') AS licences FROM d
+WITH known(raw, code, licence) AS (VALUES {values}),
+k AS (SELECT code, licence, '(^|[<>])( *)' || regexp_replace(trim(regexp_replace(regexp_replace(lower(raw), '\bv\. ([0-9])', 'v \1'), '[^a-z0-9]+', ' ', 'g')),
+      ' ', '[ <]+', 'g') || '( *)([<>]|$)' AS p FROM known),
+t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[<>]', ' ', 'g'), '\bv\.(\s+[0-9])', 'v\1', 'g'),
+      '[.!?]+(\s|$)', ' >> \1', 'g'), '\n[ \t]*\n', ' >> ', 'g'), '\n', ' << ', 'g'), '[^a-z0-9<>]+', ' ', 'g') AS x
+      FROM documents WHERE regexp_matches(lower(text), 'licen|rights|unencumbered|source code form')),
+f AS (SELECT doc_id, code, licence, length(string_agg(part, '') OVER (PARTITION BY doc_id, code, p ORDER BY i ROWS UNBOUNDED PRECEDING)) AS pos, n, i FROM
+      (SELECT doc_id, code, licence, p, unnest(regexp_split_to_array(x, p)) AS part, generate_subscripts(regexp_split_to_array(x, p), 1) AS i,
+              len(regexp_split_to_array(x, p)) AS n FROM t JOIN k ON regexp_matches(x, p))),
+g AS (SELECT doc_id, string_agg(code, ' ' ORDER BY pos) AS sequence, count(*) AS n_sentences, list_sort(list_distinct(list(licence))) AS l FROM f WHERE i < n GROUP BY 1)
+SELECT doc_id, coalesce(sequence, '') AS sequence, coalesce(n_sentences, 0) AS n_sentences, coalesce(array_to_string(l, ','), '') AS licences
+FROM documents LEFT JOIN g USING (doc_id)
 """
 
 
