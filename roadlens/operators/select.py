@@ -57,24 +57,27 @@ def chi2(long: DataFrame) -> DataFrame:
                                           .otherwise(F.lit(0.0))).alias("chi2"))
 
 
-def binned_mutual_info(long: DataFrame, bins: int = 10) -> DataFrame:
-    """SEL-02 (re-aimed): mutual information of equal-width bins of x with y (nats)."""
-    mm = long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n_total"))
-    j = long.join(F.broadcast(mm), "feature")
-    b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins))), F.lit(bins - 1)))
-    c = j.groupBy("feature", b.alias("bin"), "y", "n_total").agg(F.count(F.lit(1)).alias("nxy"))
-    bx = Window.partitionBy("feature", "bin")
-    by = Window.partitionBy("feature", "y")
-    t = c.select("feature", (F.col("nxy") / F.col("n_total")).alias("pxy"), (F.sum("nxy").over(bx) / F.col("n_total")).alias("px"),
-                 (F.sum("nxy").over(by) / F.col("n_total")).alias("py"))
+def quantile_mutual_info(df: DataFrame, features: list[str], label: str, bins: int = 10) -> DataFrame:
+    """SEL-02: mutual information (nats) of quantile bins of x with y.  The cut points are each feature's
+    exact quantiles k / ``bins``; a value's bin is the number of cut points below it, so equal values
+    share a bin and a feature of few values keeps them apart."""
+    from roadlens.operators.prefix import exact_quantiles
+    long = long_form(df, features, label).filter(F.col("x").isNotNull())
+    q = exact_quantiles(df, features, [k / bins for k in range(1, bins)])
+    cuts = q.groupBy(F.col("column").alias("feature")).agg(F.collect_list("value").alias("cuts"))    # features x bins numbers
+    binned = long.join(F.broadcast(cuts), "feature").select(
+        "feature", "y", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("bin"))
+    c = binned.groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("nxy"))
+    total = F.sum("nxy").over(Window.partitionBy("feature"))
+    t = c.select("feature", (F.col("nxy") / total).alias("pxy"), (F.sum("nxy").over(Window.partitionBy("feature", "bin")) / total).alias("px"),
+                 (F.sum("nxy").over(Window.partitionBy("feature", "y")) / total).alias("py"))
     return t.groupBy("feature").agg(F.sum(F.col("pxy") * F.log(F.col("pxy") / (F.col("px") * F.col("py")))).alias("mutual_info"))
 
 
 def score_table(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Four closed-form scores per feature joined into one table."""
     long = long_form(df, features, label)
-    return (point_biserial(long).join(binned_mutual_info(long), "feature")
+    return (point_biserial(long).join(quantile_mutual_info(df, features, label), "feature")
             .join(chi2(long), "feature").join(anova_f(long), "feature"))
 
 

@@ -189,8 +189,10 @@ _SCORES_SQL = dict(
     fm=_matrix_sql(), lg=_LONG,
     pb="SELECT feature, abs(coalesce(CASE WHEN isnan(corr(x, CAST(y AS DOUBLE))) THEN 0.0 ELSE corr(x, CAST(y AS DOUBLE)) END, 0.0)) AS abs_corr FROM lg GROUP BY feature",
     mm="SELECT feature, min(x) AS lo, max(x) AS hi, count(*) AS n_total FROM lg GROUP BY feature",
-    mi_c="SELECT lg.feature, CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / (hi - lo) * 10.0), 9) END AS bin, y, n_total, "
-         "count(*) AS nxy FROM lg JOIN mm ON lg.feature = mm.feature GROUP BY ALL",
+    qc="SELECT feature, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM lg GROUP BY feature",
+    mi_c="SELECT *, sum(nxy) OVER (PARTITION BY feature) AS n_total FROM (SELECT feature, bin, y, count(*) AS nxy FROM "
+         "(SELECT lg.feature, y, len(list_filter(cuts, lambda c: c < x)) AS bin FROM lg JOIN qc ON lg.feature = qc.feature WHERE x IS NOT NULL) "
+         "GROUP BY feature, bin, y)",
     mi="SELECT feature, sum(pxy * ln(pxy / (px * py))) AS mutual_info FROM (SELECT feature, nxy / n_total AS pxy, "
        "sum(nxy) OVER (PARTITION BY feature, bin) / n_total AS px, sum(nxy) OVER (PARTITION BY feature, y) / n_total AS py FROM mi_c) "
        "GROUP BY feature",
@@ -232,8 +234,7 @@ def sel_01(spark, sf):
 
 @register("sel_02", _with_scores("SELECT feature, round(mutual_info, 6) AS mutual_info FROM mi"))
 def sel_02(spark, sf):
-    long = sel.long_form(feature_matrix(spark, sf), FEATURES, LABEL)
-    return _round_cols(sel.binned_mutual_info(long), ["mutual_info"])
+    return _round_cols(sel.quantile_mutual_info(feature_matrix(spark, sf), FEATURES, LABEL), ["mutual_info"])
 
 
 @register("sel_03", _with_scores("SELECT feature, round(chi2, 6) AS chi2 FROM ch"))
