@@ -29,14 +29,18 @@ def point_biserial(long: DataFrame) -> DataFrame:
     return g.select("feature", F.abs(_finite("r")).alias("abs_corr"))
 
 
-def anova_f(long: DataFrame) -> DataFrame:
-    """SEL-04: one-way ANOVA F from per-class n, mean, sample variance (numerically
-    stable centred form); non-finite -> 0."""
-    c = long.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"),
-                                         F.var_samp("x").alias("v"))
-    t = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_total"), F.avg("x").alias("grand_mean"),
-                                    F.countDistinct("y").alias("k"))
-    j = c.join(t, "feature")
+def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """SEL-04: one-way ANOVA F from per-class n, mean, sample variance (numerically stable centred form);
+    non-finite -> 0.  One aggregate over the wide rows (a row per class), unpivoted afterwards."""
+    x = {f: F.col(f).cast("double") for f in features}
+    wide = df.groupBy(F.col(label).cast("int").alias("y")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.struct(F.count(x[f]).alias("c"), F.avg(x[f]).alias("m"), F.var_samp(x[f]).alias("v")).alias(f"s_{f}")
+                                        for f in features])
+    each = wide.select("y", "n", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"s_{f}").alias("s")) for f in features])).alias("e"))
+    c = each.select("y", "n", "e.feature", "e.s.c", "e.s.m", "e.s.v")
+    per = Window.partitionBy("feature")
+    j = c.select("feature", "n", "m", "v", F.sum("n").over(per).alias("n_total"), F.count("y").over(per).alias("k"),
+                 (F.sum(F.col("c") * F.col("m")).over(per) / F.sum("c").over(per)).alias("grand_mean"))
     s = j.groupBy("feature", "n_total", "k").agg(
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand_mean"), 2)).alias("ssb"),
         F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw"))
@@ -78,7 +82,7 @@ def score_table(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Four closed-form scores per feature joined into one table."""
     long = long_form(df, features, label)
     return (point_biserial(long).join(quantile_mutual_info(df, features, label), "feature")
-            .join(chi2(long), "feature").join(anova_f(long), "feature"))
+            .join(chi2(long), "feature").join(anova_f(df, features, label), "feature"))
 
 
 METHODS = ["abs_corr", "mutual_info", "chi2", "f_score"]
