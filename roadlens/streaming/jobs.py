@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,8 @@ def run_available(df: DataFrame, name: str, keys: list[str] | None = None) -> Da
 
     Without ``keys``: append mode and the file sink (exactly once).  With ``keys``: update mode, so
     that the watermark evicts state; each micro-batch is written under its epoch (a replayed epoch
-    rewrites its own files), and the newest row of each key is the result."""
+    rewrites its own files), and the newest row of each key is the result.  A stream that never had
+    an input file has written nothing: the result is an empty table."""
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex[:8]}"
     out = f"{base}/out"
@@ -54,7 +56,12 @@ def run_available(df: DataFrame, name: str, keys: list[str] | None = None) -> Da
             .outputMode("update").start()
     q.awaitTermination()
     schema = df.schema if keys is None else T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])
-    got = spark.read.schema(schema).parquet(out)
+    try:
+        got = spark.read.schema(schema).parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], df.schema)
     if keys is None:
         return got
     values = [c for c in df.columns if c not in keys]

@@ -57,3 +57,14 @@ def test_foreach_batch_status_merge_equals_batch(spark):
     got = {r["id"]: r["status"] for r in snap.collect()}
     # id 2's second row is older than its first, so the earlier PENDING stays latest
     assert got == {1: "DISPATCHED", 2: "PENDING", 3: "DISPATCHED", 4: "PENDING"}
+
+
+def test_stream_without_input_is_empty(spark, tmp_path):
+    """A folder without files: the append sink and the keyed sink both give an empty table."""
+    (tmp_path / "in").mkdir()
+    schema = "id string, ts timestamp, status string"
+    for keys in (None, ["id"]):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        df = stream if keys is None else jobs.latest_status(stream)
+        got = jobs.run_available(df, "empty", keys)
+        assert got.columns == df.columns and got.count() == 0
