@@ -2,10 +2,11 @@
 
 * impurity importances come from the fitted Spark model (a feature-sized vector);
 * linear Shapley values are exact and computed as columns: w_j * z_j (training mean 0);
+* tree Shapley values are exact too (path weights, Gauss-Legendre points);
 * permutation importance permutes a column with a random cyclic shift: rows get
   exact positions in a seeded hash order (P1) and take the partner row's values at
   position (pos + 1) mod n via an equi-join — no collect, no sort of all data on
-  one task; the AUC drop is measured with Spark's exact (numBins=0) evaluator.
+  one task; all (feature, repeat) variants are scored in one pass, their AUCs are grouped rank sums.
 """
 
 from __future__ import annotations
@@ -97,7 +98,6 @@ def tree_shap(rows: DataFrame, nodes: DataFrame, weight: tuple[float, float], fe
     import pyarrow as pa
 
     from roadlens.operators import forest as fo
-    from roadlens.operators import trees as T
     width, spark = len(features), rows.sparkSession
     model = spark.sparkContext.broadcast(fo.model_arrays(nodes))
 
