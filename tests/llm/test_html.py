@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
@@ -99,3 +100,43 @@ def test_very_deep_and_unclosed_pages():
     assert main_text(deep, None).startswith("deep")
     assert main_text("<b><p>x " * 20_000, None) == " ".join(["x"] * 20_000)
     assert main_text("<nav>" + "<div>" * 20_000 + "no", None) == ""
+
+
+LONG = ("plain words here " * 9).strip()
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><form id=aspnetForm><nav>x</nav><div class=post>{STORY}</div></form>", WHOLE),
+    (f"<form><div><p>{LONG}</div></form>", LONG), ("<p>a</p><form><label>Name</label><input></form>", "a"),
+    (f"<div class=post>{STORY}</div><form class=login><p>{LONG}</p></form>", WHOLE),
+    ("<p title=it's>one</p><p>two's</p>", "one two's"), ("<p title='a>b'>x</p><p data-x=a\"b>y", "x y"), ("<p title=\"a>first</p><p>second", "first second"),
+    ("<a title='class=ad x'>kept</a>", "kept"), ("<div/class=ad>no</div><p>yes", "yes"), ("<p a = 'x' b= c>yes", "yes"),
+    ("<p>a <!--> b <!-- no --!> c <!-- no --> d", "a b c d"), ("<p>a</p><p>b <div class='x", "a b"), ("a </ b", "a"), ("1 < 2 <3", "1 < 2 <3"),
+    (f"<article>{STORY}<section class='alert-systems'><h2>Alert systems</h2><p>they ring</p></section></article>", WHOLE + " Alert systems they ring"),
+    (f"<article>{STORY}<div class='login-guide'><p>{LONG}</p></div></article>", WHOLE + " " + LONG),
+    (f"<article>{STORY}<div class='alert-box'><p>{LONG}</p></div><div class='cookie-notice'><p>{LONG}</p></div></article>", WHOLE),
+    (f"<article>{STORY}<div class='sponsor-acme'><p>{LONG}</p></div><div class='reader-comments'><p>{LONG}</p></div></article>", WHOLE),
+    ("<article><p>The <span class='alert'>red</span> fox</p><p><span class=alert>Beware</span></p><p>It <span class=ad>buy</span> ran</p></article>", "The red fox It ran"),
+    (f"<div class='alert-systems'><p>{LONG}</p></div><p>yes", "yes"),
+])
+def test_ordinary_faults_and_topics(page, text):
+    assert main_text(page, None) == text
+
+
+@pytest.mark.parametrize("page", ["<div " * 60_000, "<p a=\"" * 40_000, "<p title=it's>" * 20_000, "<!--" * 60_000, "<a 'b" * 50_000 + ">",
+                                  "<span id=a>" * 9_000 + "<hr>" * 20_000, "<script>" * 40_000, "</div " * 50_000, "<div class=x" + "y" * 3000 + ">"] +
+                         ["".join(f"<div class=c{k}x{'y' * 3000}>" for k in range(300)) + "deep"])
+def test_time_is_linear(page):
+    start = time.monotonic()
+    main_text(page, None)
+    assert time.monotonic() - start < 5
+
+
+def test_a_long_path_still_votes(spark):
+    """A host whose article lies under a path of over 2,000 characters is extracted by it."""
+    deep = "".join(f"<div class='level{chr(97 + k)} {'z' * 300}'>" for k in range(12))
+    page = "<body>" + deep + "<div class=box><p>{}</p></div><div class=story><p>{}</p></div>"
+    rows = [(k, f"http://h.com/{k}", page.format("short", f"the story number {k} is long enough")) for k in range(4)]
+    rows.append((9, "http://h.com/9", page.format("a far longer text in the box " * 20, "brief")))
+    got = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[9].text == "brief" and got[9].path.startswith("#") and len(got[9].path) <= 2_000
