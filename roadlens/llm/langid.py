@@ -9,10 +9,12 @@ proportion is the score.  Inference runs over whole texts, many documents at a t
 
 The language models are fitted on a bounded, hashed sample of labelled rows:
 ``rows_per_language`` documents of each language at most (on average).  The fitted table
-has ``BUCKETS`` x languages numbers; more than ``MAX_LANGUAGES`` labels is an error.
+has ``BUCKETS`` x languages numbers; more than ``MAX_LANGUAGES`` labels is an error.  The bytes
+inferred at a time shrink as languages grow.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is everything
-if no row is labelled; repeated rows are judged alike; ties go to the language that sorts
+if no row is labelled; a text with a letter but without a 3-gram gets the language of most
+labelled rows, with its share of them as the score; repeated rows are judged alike; ties go to the language that sorts
 first; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -131,6 +133,12 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, rows_per_language: int,
         ) -> tuple[list[str], np.ndarray]:
     """(languages, BUCKETS x languages probabilities) from a bounded sample of labelled rows."""
+    return fit_with_prior(labelled, text_col, lang_col, id_col, rows_per_language)[:2]
+
+
+def fit_with_prior(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, rows_per_language: int,
+                   ) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As ``fit``, and each language's share of all labelled rows."""
     small_batches(labelled.sparkSession)
     seen = {r.lang: r.n for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
             .limit(MAX_LANGUAGES + 1).collect()}
@@ -138,7 +146,8 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, rows_per
         raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
     languages = sorted(seen)
     if not languages:
-        return [], np.zeros((BUCKETS, 0))
+        return [], np.zeros((BUCKETS, 0)), np.zeros(0)
+    prior = np.array([seen[k] for k in languages], float)
     spark = labelled.sparkSession
     share = spark.createDataFrame([(k, min(1_000_000, rows_per_language * 1_000_000 // n + 1), i)
                                    for i, (k, n) in enumerate(sorted(seen.items()))],
@@ -164,35 +173,36 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, rows_per
     got = sums.toPandas()
     table[got["bucket"].to_numpy(), got["code"].to_numpy()] = got["n"].to_numpy()
     table += SMOOTHING
-    return languages, table / table.sum(0)
+    return languages, table / table.sum(0), prior / prior.sum()
 
 
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", rows_per_language: int = 4_000) -> DataFrame:
     """id, lang_pred, score for each row of ``docs``; the models come from ``labelled`` (no null label)."""
-    languages, model = fit(labelled, text_col, lang_col, id_col, rows_per_language)
+    languages, *model = fit_with_prior(labelled, text_col, lang_col, id_col, rows_per_language)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), has_letter(text_col).alias("letter"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return (rows.mapInArrow(inference(docs, languages, model), f"id {kind}, lang_pred string, score double")
+    return (rows.mapInArrow(inference(docs, languages, *model), f"id {kind}, lang_pred string, score double")
             .withColumnRenamed("id", id_col))
 
 
 def annotate(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", rows_per_language: int = 4_000) -> DataFrame:
     """row (a struct of all columns of ``docs``), lang_pred, score: texts are not joined to their results."""
-    languages, model = fit(labelled, text_col, lang_col, id_col, rows_per_language)
+    languages, *model = fit_with_prior(labelled, text_col, lang_col, id_col, rows_per_language)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), has_letter(text_col).alias("letter"))
     out = T.StructType([whole.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return whole.mapInArrow(inference(docs, languages, model), out)
+    return whole.mapInArrow(inference(docs, languages, *model), out)
 
 
 def has_letter(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
 
 
-def inference(docs: DataFrame, languages: list[str], model: np.ndarray):
+def inference(docs: DataFrame, languages: list[str], model: np.ndarray, prior: np.ndarray):
     """Task function: (a column to pass on, text, has a letter) in; (the column, lang_pred, score) out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    chunk = max(CHUNK >> 4, CHUNK * 8 // max(8, len(languages)))
 
     def inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*languages, UNKNOWN], dtype=object)
@@ -200,10 +210,13 @@ def inference(docs: DataFrame, languages: list[str], model: np.ndarray):
             data, offsets = utf8(batch.column(1))
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             best, score = np.zeros(len(letters), np.int64), np.zeros(len(letters))
-            for lo, hi in row_chunks(offsets, CHUNK):
+            for lo, hi in row_chunks(offsets, chunk):
                 part = gram_counts(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 if languages:
                     best[lo:hi], score[lo:hi] = predict(*part, shared.value, hi - lo)
+            if languages:
+                bare = score == 0.0
+                best[bare], score[bare] = prior.argmax(), prior.max()
             best = np.where(letters & bool(languages), best, len(languages))
             score = np.where(letters, score, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)],

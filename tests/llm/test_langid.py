@@ -67,3 +67,25 @@ def test_too_many_labels(spark, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
     with pytest.raises(ValueError):
         langid.identify(frame(spark, [(1, "a b", "x"), (2, "c d", "y")]), frame(spark, [(1, "a b", "x"), (2, "c d", "y")]))
+
+
+def test_letters_without_grams_get_the_commonest_language(spark):
+    rows = [(k, f"the words of an english text number {k} go on", "en") for k in range(2)]
+    rows += [(10 + k, f"las palabras de un texto en castellano {k} siguen", "es") for k in range(6)]
+    labelled = frame(spark, rows)
+    odd = frame(spark, [(1, "a", None), (2, "é", None), (3, "", None), (4, "12 !", None), (5, "the words go on", None), (None, "b", None)])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, labelled).collect()}
+    assert got[1] == ("es", 0.75) and got[None] == ("es", 0.75) and got[2][0] in ("es", "en")
+    assert got[3] == got[4] == ("und", 0.0) and got[5][0] == "en"
+    none = langid.identify(odd, frame(spark, [])).collect()
+    assert all(r.lang_pred == "und" and r.score == 0 for r in none)
+
+
+def test_the_chunk_does_not_change_the_result(spark, monkeypatch):
+    docs = table(spark, SF001, "documents").limit(60)
+    labelled = langid.labelled_rows(table(spark, SF001, "documents"))
+    want = sorted(langid.identify(docs, labelled).collect())
+    monkeypatch.setattr(langid, "CHUNK", 1 << 14)
+    got = sorted(langid.identify(docs, labelled).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(a.score - b.score) < 1e-9 for a, b in zip(got, want))
