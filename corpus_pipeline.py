@@ -4,8 +4,8 @@ Each stage is a function ``(spark, docs, sf_dir) -> DataFrame``; its result is w
 Parquet and read again as the next one's ``docs``.  All but the last return the columns of
 ``documents``; a stage's decision takes effect on what its predecessor kept:
 
-1. language ID: rows without a language (``und``) or without a main one (share under
-   ``MIN_SHARE``) go; the models are fitted on the labelled rows of the stage's input;
+1. language ID: rows without a language (``und``) go, texts of several languages stay; the
+   models are fitted on the labelled rows of the stage's input;
 2. near-dedup: of each group of near duplicates the smallest id stays;
 3. suffix-array dedup: repeated passages are cut out of the texts, ``n_chars`` is set anew;
    rows of which nothing is left go;
@@ -28,15 +28,13 @@ from pyspark.sql import functions as F
 from roadlens.llm.queries import table, word_bpe
 from roadlens.session import ensure_checkpoint_dir
 
-MIN_SHARE = 0.5
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from roadlens.llm.langid import UNKNOWN, annotate, labelled_rows
     judged = annotate(docs, labelled_rows(docs))
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SHARE)).select("row.*")
+    return judged.where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +50,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from roadlens.llm.decontam import hits
-    hit = hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    from roadlens.llm.decontam import without_hits
+    return without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,9 +13,12 @@ hash some item has (a broadcast bit table of the item hashes, of fixed size); th
 joined with the items' in Spark by hash and agreement, and hits are merged per document.
 The broadcast table does not decide anything, it only drops most rows before the shuffle.
 
-Edge cases: a null or empty text has no words; repeated items are each counted; repeated
-document ids are merged (their hits and their words add up only if the rows differ in id);
-an item without words matches nothing; empty tables give no hits; other columns are ignored.
+A document is known by its id and the 64-bit hash of its text, so rows with a null id and rows
+that share an id are judged each by its own text.
+
+Edge cases: a null or empty text has no words; a null id is an id like others; repeated items are
+each counted; repeated rows are judged alike; an item without words matches nothing; empty tables
+give no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.llm.common import BASE, cut, mix, row_chunks, small_batches, utf8, word_hashes
@@ -163,9 +166,13 @@ def bit_table(prints: DataFrame) -> bytes:
     return bits.tobytes()
 
 
+def document_key(id_col: str, text_col: str) -> Column:
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
+
+
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id, items, first, last: spans of document words [first, last) that are in windows of the items.
+    """doc (``document_key``), items, first, last: spans of document words [first, last) in windows of the items.
 
     Items whose fingerprints agree with all words around them are one row of the join, so a passage
     of many items meets a document once."""
@@ -175,7 +182,8 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                    .agg(F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("items")))
     short = {-r["size"] for r in of_items.where("size < 0").select("size").distinct().collect()}   # at most 9
     bits = docs.sparkSession.sparkContext.broadcast(bit_table(of_items))
-    of_docs = printed(docs, id_col, text_col, short, False, bits)
+    keyed = docs.select(document_key(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    of_docs = printed(keyed, "doc", "text", short, False, bits)
     same = lambda a, b: F.aggregate(  # noqa: E731  number of leading places where both agree
         F.zip_with(a, b, lambda p, q: F.coalesce(p == q, F.lit(False))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
         lambda s, x: F.struct((s.n + (s.on & x).cast("int")).alias("n"), (s.on & x).alias("on")), lambda s: s.n)
@@ -184,7 +192,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     spans = (joined.withColumn("l", F.when(F.col("size") > 0, left).otherwise(0))
              .withColumn("r", F.when(F.col("size") > 0, right).otherwise(0))
              .where((F.col("size") < 0) | (F.col("l") + F.col("size") + F.col("r") >= WINDOW)))
-    return spans.select("id", "items", (F.col("at") - F.col("l")).alias("first"),
+    return spans.select(F.col("id").alias("doc"), "items", (F.col("at") - F.col("l")).alias("first"),
                         (F.col("at") + F.abs("size") + F.col("r")).alias("last"))
 
 
@@ -196,7 +204,7 @@ def n_words(text) -> F.Column:
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items (sorted as strings), spans, contaminated for each document."""
-    found = (hits(docs, items, id_col, text_col, item_col, item_text).groupBy("id")
+    found = (hits(docs, items, id_col, text_col, item_col, item_text).groupBy("doc")
              .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
                   F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans")))
     merged = F.aggregate(
@@ -204,9 +212,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         lambda s, x: F.struct((s.n + F.greatest(F.lit(0), x["last"] - F.greatest(x["first"], s.upto))).alias("n"),
                               F.greatest(s.upto, x["last"]).alias("upto")), lambda s: s.n)
     found = found.withColumn("hit", merged.cast("long"))
-    base = docs.select(F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("n_words"))
+    base = docs.select(document_key(id_col, text_col).alias("doc"), n_words(F.col(text_col)).alias("n_words"))
     none = F.array().cast("array<string>")
-    return (base.join(found, "id", "left")
-            .select(F.col("id").alias(id_col), "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"),
+    return (base.join(found, "doc", "left")
+            .select(F.col("doc.id").alias(id_col), "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce("items", none).alias("items"), "spans", F.col("hit").isNotNull().alias("contaminated")))
+
+
+def without_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of an item occurs."""
+    found = hits(docs, items, id_col, text_col, item_col, item_text).select("doc").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), document_key(id_col, text_col).alias("doc"))
+    return rows.join(found, "doc", "left_anti").select("row.*")

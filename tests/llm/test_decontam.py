@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from roadlens.llm.decontam import decontaminate, n_words
+from roadlens.llm.decontam import decontaminate, n_words, without_hits
 
 from .conftest import edge_rows, frame
 
@@ -90,3 +90,18 @@ def test_word_count(spark):
     texts = ["", "a", "A b-c_d 1é2", "日本 語", "\x00x\x7fy", "`z{", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", n_words(F.col("t")).alias("n")).collect()
     assert [(r.t, r.n) for r in rows] == [(t, len(fold(t))) for t in texts]
+
+
+def test_null_and_repeated_ids(spark):
+    """Each row is judged by its own text, whatever its id."""
+    passage = " ".join(f"p{k}" for k in range(14))
+    docs = [(None, f"a {passage} b", "en"), (None, "clean text of another row", "en"), (None, None, None), (2, f"a {passage} b", "en"),
+            (2, "clean as well", "en"), (3, f"c {passage}", "en"), (3, f"c {passage}", "en")]
+    table = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = sorted(((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in decontaminate(frame(spark, docs), table).collect()))
+    assert got == sorted([("None", 16, 14, True), ("None", 5, 0, False), ("None", 0, 0, False), ("2", 16, 14, True), ("2", 3, 0, False),
+                          ("3", 15, 14, True), ("3", 15, 14, True)])
+    left = without_hits(frame(spark, docs), table)
+    assert left.columns == frame(spark, docs).columns
+    assert sorted(str(r.text) for r in left.collect()) == ["None", "clean as well", "clean text of another row"]
+    assert without_hits(frame(spark, []), table).count() == 0
