@@ -11,7 +11,7 @@ from roadlens.plans import oracle_base as O
 from roadlens.plans.catalog import register
 from roadlens.plans.q_core import _station_sql
 from roadlens.plans.q_dash import _prob_sql
-from roadlens.sources.tables import cameras, hourly_weather, incidents
+from roadlens.sources.tables import cameras, cameras_from, hourly_weather, incidents
 from roadlens.streaming import jobs
 
 @register("str_01", O.with_ctes(f"""
@@ -56,17 +56,35 @@ def _with_updates(stream):
     "SELECT id, CASE WHEN id % 3 = 0 THEN 'RESOLVED' ELSE status END AS status FROM incidents WHERE ts IS NOT NULL"))
 def str_03(spark, sf):
     s = _with_updates(jobs.incident_stream(spark, sf))
-    return jobs.run_available(jobs.latest_status(s), "latest", ["id"]).select("id", "status")
+    return jobs.compact_status(jobs.run_available(jobs.latest_status(s), "latest", ["span", "id"])).select("id", "status")
 
 
 @register("str_04", O.with_ctes("""
-SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS window_start,
-       date_trunc('hour', ts) - k * INTERVAL 1 HOUR + INTERVAL 3 HOUR AS window_end,
+SELECT hours, time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS window_start,
+       time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE + hours * INTERVAL 1 HOUR AS window_end,
        coalesce(corridor, 'unknown') AS corridor, count(*) AS n
-FROM incidents, (SELECT unnest([0, 1, 2]) AS k) WHERE ts IS NOT NULL GROUP BY 1, 2, 3"""))
+FROM incidents, (SELECT 3 AS hours, unnest(range(36)) AS k UNION ALL SELECT 6, unnest(range(72)))
+WHERE ts IS NOT NULL GROUP BY 1, 2, 3, 4"""))
 def str_04(spark, sf):
-    s = jobs.incident_stream(spark, sf)
-    return jobs.run_available(jobs.rolling_counts(s), "rolling", ["window_start", "window_end", "corridor"])
+    """Counts in windows of 3 h and 6 h that slide by 5 minutes, per corridor."""
+    out = None
+    for hours in (3, 6):
+        s = jobs.rolling_counts(jobs.incident_stream(spark, sf), f"{hours} hours", "5 minutes")
+        got = jobs.run_available(s, f"rolling{hours}", ["window_start", "window_end", "corridor"]).withColumn("hours", F.lit(hours))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@register("str_04_live", O.with_ctes("""
+SELECT id, ts, corridor, n_3h, n_6h FROM (
+  SELECT id, ts, coalesce(corridor, 'unknown') AS corridor,
+         count(*) OVER (w RANGE BETWEEN INTERVAL 3 HOUR PRECEDING AND CURRENT ROW) - count(*) OVER (w RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS n_3h,
+         count(*) OVER (w RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) - count(*) OVER (w RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS n_6h
+  FROM incidents WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY coalesce(corridor, 'unknown') ORDER BY ts))
+WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 3600000 FROM incidents)"""))
+def str_04_live(spark, sf):
+    """Per report the reports of its corridor in the 3 h and 6 h before it; those the watermark has passed."""
+    return jobs.run_available(jobs.live_counts(jobs.incident_stream(spark, sf)), "live")
 
 
 def _warning_sql():
@@ -104,6 +122,39 @@ def str_05(spark, sf):
     return jobs.early_warning(incidents(spark, sf), cameras(spark, sf), hourly_weather(spark, sf))
 
 
+def _feeds(spark, sf):
+    """The three feeds of the warning rules as streams."""
+    ev = jobs.event_stream(spark, sf)
+    v = F.col("value")
+    rain = ev.filter(F.col("event_type") == "view").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.when(v > 100, v / F.lit(20.0)).otherwise(F.lit(0.0)).alias("rain_mm"))
+    return jobs.incident_stream(spark, sf), cameras_from(jobs.event_stream(spark, sf)), rain
+
+
+def _live_warning(spark, sf):
+    return jobs.run_available(jobs.early_warning_stream(*_feeds(spark, sf)), "warning", ["window_start"])
+
+
+def _alerts_sql():
+    from roadlens.streaming.jobs import ALERTS
+    of = {"congestion": "n_congested_cams", "accident": "n_accident", "flood": "n_water", "event": "0", "infrastructure": "n_work"}
+    return " UNION ALL ".join(
+        f"SELECT window_start, '{i}' AS alert_id, '{c}' AS category, {n}_level AS risk_level, CASE WHEN {n}_level = '{calm}' THEN '{later}' "
+        f"ELSE '{soon}' END AS timeframe, CAST({of[n]} AS BIGINT) AS n_sources, "
+        f"{'rain_mm' if n in ('accident', 'flood') else 'CAST(NULL AS DOUBLE)'} AS rain_mm FROM warn"
+        for n, (i, c, calm, soon, later) in ALERTS.items())
+
+
+@register("str_05_stream", O.with_ctes("SELECT * FROM warn", **_warning_sql()))
+def str_05_stream(spark, sf):
+    return _live_warning(spark, sf)
+
+
+@register("str_05_alerts", O.with_ctes(_alerts_sql(), **_warning_sql()))
+def str_05_alerts(spark, sf):
+    return jobs.alert_rows(_live_warning(spark, sf))
+
+
 def _horizon_sql():
     D = O.d
     cam = "CASE WHEN n_congested_cams > 0 THEN {} ELSE 0 END"
@@ -124,10 +175,15 @@ def str_06(spark, sf):
     return jobs.horizon_risk(jobs.early_warning(incidents(spark, sf), cameras(spark, sf), hourly_weather(spark, sf)))
 
 
+@register("str_06_stream", O.with_ctes(_horizon_sql(), **_warning_sql()))
+def str_06_stream(spark, sf):
+    return jobs.horizon_risk(_live_warning(spark, sf))
+
+
 def _scored_stream(stream):
     prob = score.fallback_probability("event_cause", "num_lanes", "duration_mins")
     model = F.when(F.col("event_type") == "planned", "rule_fallback").otherwise("closure_model")
-    return stream.select("ts", model.alias("model"), (F.col("duration_mins") / F.lit(10.0)).alias("latency_ms"),
+    return stream.select("id", "ts", model.alias("model"), (F.col("duration_mins") / F.lit(10.0)).alias("latency_ms"),
                          F.greatest(prob, F.lit(1.0) - prob).alias("confidence"))
 
 
@@ -141,3 +197,14 @@ WHERE ts IS NOT NULL GROUP BY 1, 2"""))
 def str_07(spark, sf):
     s = _scored_stream(jobs.incident_stream(spark, sf))
     return jobs.run_available(jobs.telemetry(s), "telemetry", ["window_start", "model"])
+
+
+@register("str_07_last100", O.with_ctes(f"""
+SELECT model, count(*) AS n, avg(latency_ms) AS avg_latency_ms, avg(confidence) AS avg_confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts DESC, id DESC) AS k FROM (
+    SELECT id, ts, CASE WHEN event_type = 'planned' THEN 'rule_fallback' ELSE 'closure_model' END AS model,
+           duration_mins / 10.0 AS latency_ms, greatest(p, 1.0 - p) AS confidence
+    FROM (SELECT *, {_prob_sql()} AS p FROM incidents) WHERE ts IS NOT NULL))
+WHERE k <= 100 GROUP BY 1"""))
+def str_07_last100(spark, sf):
+    return jobs.recent_means(jobs.run_recent(_scored_stream(jobs.incident_stream(spark, sf))))

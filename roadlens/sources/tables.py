@@ -119,7 +119,11 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Camera readings bound to ``events`` (6 cameras by user): status, density, queue,
     vehicle count, uptime, incident."""
-    ev = read_table(spark, sf_dir, "events")
+    return cameras_from(read_table(spark, sf_dir, "events"))
+
+
+def cameras_from(ev: DataFrame) -> DataFrame:
+    """The camera projection over any ``events``-shaped frame (batch or streaming)."""
     v = F.col("value")
     return ev.select(
         ((F.col("user_id") % 6) + 1).alias("camera_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
