@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,47 @@ def test_final_selection_penalties(spark):
     points = spark.createDataFrame([(0.9, 0.7), (0.55, 0.52), (0.8, 0.73), (0.65, 0.62), (0.8, 0.78)], "t double, v double")
     assert [r[0] for r in points.select(xp.diagnosis(F.col("t"), F.col("v"))).collect()] == \
         ["Overfit", "Underfit", "High Variance", "High Bias", "Good Fit"]
+
+
+@pytest.mark.parametrize("accuracy", [4, 200])
+def test_mutual_information_equals_brute_force_at_any_sketch(spark, accuracy):
+    """Exact quantile bins from brackets of any width: hot values, nulls, NaN, a constant and an empty column."""
+    import math
+
+    from roadlens.operators import select as sel
+    r = np.random.default_rng(5)
+    n = 900
+    a, b = r.normal(size=n), np.where(r.random(n) < 0.4, 3.0, r.integers(0, 6, n))
+    y = (a + r.normal(size=n) > 0.5).astype(int)
+    rows = [(float(a[i]), None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(b[i]), 7.0, None, int(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y int").repartition(5)
+    got = {x["feature"]: x["mutual_info"] for x in sel.quantile_mutual_info(df, ["a", "b", "c", "d"], "y", accuracy=accuracy).collect()}
+    assert got.keys() == {"a", "b", "c"} and abs(got["c"]) < 1e-12
+    for k, f in enumerate("ab"):
+        v = [(x[k], x[4]) for x in rows if x[k] is not None]
+        cuts = np.quantile([x for x, _ in v if not math.isnan(x)], np.arange(1, 10) / 10)
+        pair = [(sum(bool(c < x) or math.isnan(x) for c in cuts), t) for x, t in v]
+        want = 0.0
+        for p in set(pair):
+            pxy, px, py = pair.count(p) / len(pair), sum(q[0] == p[0] for q in pair) / len(pair), sum(q[1] == p[1] for q in pair) / len(pair)
+            want += pxy * math.log(pxy / (px * py))
+        assert got[f] == pytest.approx(want, abs=1e-9)
+
+
+def test_class_statistics_give_the_scores_of_the_rows(spark):
+    """Correlation and chi-square from class statistics; rows of no class, a constant and nulls."""
+    from roadlens.operators import select as sel
+    rows = [(float(i % 17), 0.1, float(i) if i % 4 else None, None if i % 50 == 0 else int(i % 3 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int")
+    stats = sel.class_stats(df, ["a", "b", "c"], "y")
+    got = {r["feature"]: r["abs_corr"] for r in sel.point_biserial(stats).collect()}
+    chi = {r["feature"]: r["chi2"] for r in sel.chi2(stats).collect()}
+    assert got["b"] == 0.0 and chi["b"] == 0.0
+    for k, f in ((0, "a"), (2, "c")):
+        x, y = np.array([(r[k], r[3]) for r in rows if r[k] is not None and r[3] is not None]).T
+        assert got[f] == pytest.approx(abs(np.corrcoef(x, y)[0, 1]))
+        every = [r[k] for r in rows if r[k] is not None]
+        lo, hi = min(every), max(every)
+        o = {c: sum((r[k] - lo) / (hi - lo) for r in rows if r[3] == c and r[k] is not None) for c in (0, 1, None)}
+        e = {c: sum(r[3] == c for r in rows) / len(rows) * sum(o.values()) for c in o}
+        assert chi[f] == pytest.approx(sum((o[c] - e[c]) ** 2 / e[c] for c in o))
