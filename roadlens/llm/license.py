@@ -14,7 +14,7 @@ follow each other there.  Rules are ordered: one of more sentences comes first,
 do not count again for a shorter one.
 
 The known sentences are a constant table, broadcast; nothing else is.  Documents without any
-of the anchor words are not cut.
+of the anchor words are not cut; each known sentence has one of them.
 
 Edge cases: null and empty texts have no licence; repeated sentences count each time they occur,
 a licence is listed once; a row with a null id is scanned like any other; repeated rows give a row
@@ -24,6 +24,7 @@ each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,6 +181,17 @@ def lines(text: Column) -> Column:
     return F.filter(parts, lambda p: (p["words"] != "") | p["hard"])
 
 
+# Words by which a text is cut at all, the rarer ones first; they may not hold a blank, since lines wrap.
+ANCHORS = ["unencumbered", "noninfringement", "redistribut", "acknowledgement", "warranty", "permission", "licen[cs]e", "rights"]
+
+
+def anchors(sentences: Iterable[str]) -> str:
+    """A pattern that every text with a known sentence matches (in lower case): the anchors, and the longest word of
+    each sentence that has none of them."""
+    some = re.compile("|".join(ANCHORS))
+    return "|".join([*ANCHORS, *sorted({max(s.split(" "), key=len) for s in sentences if not some.search(s)})])
+
+
 def opening(words: Column) -> Column:
     """The first word, by which lines are picked that may begin a known sentence."""
     return F.substring_index(words, " ", 1)
@@ -193,9 +205,8 @@ def known_sequences(rows: DataFrame) -> DataFrame:
     most_words = max(s.count(" ") + 1 for s in table)
     most_chars = max(map(len, table))
     first = sorted({s.split(" ")[0] for s in table})
-    anchor = "(?i)licen[cs]e|permission|redistribut|free software|rights|unencumbered|source code form|accompanying materials|as-is|asf|extent possible"
     # a run of lines longer than the longest known sentence cannot be one: what is cut off cannot match
-    cut = (rows.where(F.col("text").rlike(anchor)).select("id", "row", lines(F.col("text")).alias("p")).where(F.size("p") > 0)
+    cut = (rows.where(F.lower("text").rlike(anchors(table))).select("id", "row", lines(F.col("text")).alias("p")).where(F.size("p") > 0)
            .select("id", "row", F.transform("p", lambda x: F.struct(F.substring(x["words"], 1, most_chars + 1).alias("words"), x["hard"].alias("hard"))).alias("p")))
     starts = cut.select("id", "row", "p", F.explode(F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: opening(F.element_at("p", i)["words"]).isin(first))
                                                     ).alias("at"))

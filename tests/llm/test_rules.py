@@ -162,6 +162,15 @@ def test_published_notices_are_found(spark):
     assert got == want
 
 
+def test_no_known_sentence_is_skipped(spark):
+    """Every known sentence is found, in upper case and with a line break between any two words."""
+    table, _ = license.known()
+    known = sorted(table)
+    rows = [(i, s.upper() if i % 2 else s.replace(" ", "\n"), "en") for i, s in enumerate(known)]
+    got = {r.doc_id: r.sequence for r in license.scan(frame(spark, rows)).collect()}
+    assert [s for i, s in enumerate(known) if table[s] not in got[i].split(" ")] == []
+
+
 def test_license_sequences(spark, edge):
     table, rules = license.known()
     assert len({name for name, _ in rules}) > 30
