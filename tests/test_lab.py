@@ -79,6 +79,18 @@ def test_extra_trees_equal_brute_force(spark, rows, small):
         forest.grow(train, [T.Spec(seed=1, n_candidates=1)], WIDTH)
 
 
+def test_large_tables_move_no_rows(spark, rows, monkeypatch):
+    """Above the last levels no row is sent to another task, below them small nodes are; the trees are the same."""
+    train, calls = rows.where("fold >= 0"), []
+    want = sorted(map(tuple, forest.grow(train, SPECS, WIDTH, 50_000).collect()))
+    kept = forest._finish
+    monkeypatch.setattr(forest, "_finish", lambda *a: calls.append(a[-1]) or kept(*a))
+    monkeypatch.setattr(forest, "PART_ROWS", 100)
+    assert sorted(map(tuple, forest.grow(train, SPECS, WIDTH, 300).collect())) == want and calls == []
+    monkeypatch.setattr(forest, "LEVELS", 2)
+    assert sorted(map(tuple, forest.grow(train, SPECS, WIDTH, 300).collect())) == want and min(calls) == 2
+
+
 def test_forest_scores_and_edges(spark, rows):
     nodes, weight = forest.fit(rows, WIDTH, {"n_estimators": 12, "max_depth": 4})
     test = rows.where(f"fold = {lab.TEST}")
