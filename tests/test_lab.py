@@ -332,3 +332,32 @@ def test_curves(spark, rows):
     staged = lab.validation_curves(rows, WIDTH, ("extra_trees",), folds=1)
     alone = lab.run(rows, [lab.Fit("extra_trees", {"n_estimators": 50}, 0)], WIDTH).where("held = 'held_out'").first()
     assert staged.where("value = 50").first()["val_auc"] == pytest.approx(alone.auc)
+
+
+SHARED = [lab.Fit("logistic_regression", {"C": 0.5}, 0), lab.Fit("decision_tree", {"max_depth": 5}, 1),
+          lab.Fit("random_forest", {"n_estimators": 5, "max_depth": 4}, 0, 0.7, (2,)), lab.Fit("extra_trees", {"n_estimators": 5, "max_depth": 4}, lab.TEST),
+          lab.Fit("newton_boosting", {"n_estimators": 4, "max_depth": 3, "colsample_bylevel": 0.7}, 2), lab.Fit("leafwise_boosting", {"n_estimators": 4}, 0),
+          lab.Fit("symmetric_boosting", {"n_estimators": 4}, 0), lab.Fit("gradient_boosting", {"n_estimators": 4}, 0)]
+
+
+def test_shared_fits_equal_those_of_one_task(spark, rows, monkeypatch):
+    """Rows dealt over the tasks of a barrier stage: every model's metrics of both sides, its marks and its scores."""
+    key, cols = lambda r: (r.fit, r.mark, r.held), lab.NAMES
+    one = {key(r): r for r in lab.run(rows, SHARED, WIDTH).collect()}
+    alone = [{r.id: r.score for r in lab.predictions(rows, f, WIDTH).collect()} for f in SHARED]
+    monkeypatch.setattr(lab, "TASK_ROWS", 300)
+    got = {key(r): r for r in lab.run(rows, SHARED, WIDTH).collect()}
+    assert got.keys() == one.keys()
+    for k, r in got.items():
+        assert [r[c] for c in cols] == pytest.approx([one[k][c] for c in cols], abs=1e-4), k
+    for f, want in zip(SHARED[4:6], alone[4:6], strict=True):
+        assert {r.id: r.score for r in lab.predictions(rows, f, WIDTH).collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_shared_scores_keep_repeated_and_null_ids(spark, monkeypatch):
+    """Every held-out row has one score, also where ids repeat or are null; tasks without rows take the steps."""
+    monkeypatch.setattr(lab, "TASK_ROWS", 5)
+    df = spark.createDataFrame([(None if i % 7 == 0 else i // 2, i % 2, i % 3 - 1, [float(i % 2), float(i)]) for i in range(24)],
+                               "id long, label int, fold int, x array<float>")
+    got = lab.predictions(df, lab.Fit("newton_boosting", {"n_estimators": 2}), 2).collect()
+    assert sorted(str(r.id) for r in got) == sorted(str(r.id) for r in df.where("fold = -1").collect())
