@@ -361,3 +361,13 @@ def test_shared_scores_keep_repeated_and_null_ids(spark, monkeypatch):
                                "id long, label int, fold int, x array<float>")
     got = lab.predictions(df, lab.Fit("newton_boosting", {"n_estimators": 2}), 2).collect()
     assert sorted(str(r.id) for r in got) == sorted(str(r.id) for r in df.where("fold = -1").collect())
+
+
+def test_newton_steps_reach_the_same_coefficients():
+    x, y = data(500)
+    z, w = ((x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0)).astype(float), np.where(y == 1, 1.7, 0.6)
+    z = np.c_[z, z[:, 0] * 0.5 + z[:, 1]]                               # one column is a sum of others
+    for c, ratio in ((0.5, 0.0), (0.004, 1.0), (0.02, 0.4), (100.0, 0.5)):
+        b, a = T.logistic(z, y, w, c, ratio, 20_000)
+        got, at = T.alone(T.solved_in_few(z, y, w, c, ratio, 100))
+        assert z @ got + at == pytest.approx(z @ b + a, abs=2e-4)
