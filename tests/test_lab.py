@@ -371,3 +371,32 @@ def test_newton_steps_reach_the_same_coefficients():
         b, a = T.logistic(z, y, w, c, ratio, 20_000)
         got, at = T.alone(T.solved_in_few(z, y, w, c, ratio, 100))
         assert z @ got + at == pytest.approx(z @ b + a, abs=2e-4)
+
+
+@pytest.mark.parametrize("extra", [True, False])
+def test_small_nodes_are_finished_by_one_task(extra, monkeypatch):
+    """Deep trees over rows in three parts, one of them empty: small nodes are sent to one part, in several rounds."""
+    for name, value in (("SHARED_LEVELS", 2), ("SMALL", 120), ("ROUND", 100)):
+        monkeypatch.setattr(T, name, value)
+    x, y = data()
+    edges = [np.unique(np.quantile(x[:, f], np.arange(1, 32) / 32).astype(np.float32)) for f in range(WIDTH)]
+    edges = [e[e < x[:, f].max()] for f, e in enumerate(edges)]
+    codes, w = T.bin_codes(x, edges), np.arange(len(y)) % 3
+    spec = T.Spec(seed=5, n_candidates=3, max_depth=14, min_leaf=2, extra=extra, total=float(w.sum()))
+    where = np.arange(len(y)) % 2
+    parts = [T.growing(spec, x[where == k], codes[where == k], edges, y[where == k], w[where == k], part=(k, 3)) for k in range(3)]
+    trees, replies = [], [None] * 3
+    while not trees:
+        asked = []
+        for part, reply in zip(parts, replies, strict=True):
+            try:
+                asked.append(part.send(reply))
+            except StopIteration as end:
+                trees.append(end.value.arrays())
+        if asked:
+            replies = [[asked[0][i][0]([p[i][1] for p in asked]) for i in range(len(asked[0]))] for _ in asked]
+    want = T.grow(spec, x, codes, edges, y, w).arrays()
+    assert len(trees) == 3 and len(want[0]) > 100
+    for tree in trees:
+        for got, a in zip(tree, want, strict=True):
+            assert got == pytest.approx(a)
